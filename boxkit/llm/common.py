@@ -80,24 +80,27 @@ def chunks(column: pa.Array, limit: int = CHUNK):
         lo = hi
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, blank: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, word ends, and the first word of each document (one more at the end).
-
-    blank: words are runs without ASCII blanks; else of lower-case ASCII
-    letters, digits and non-ASCII characters (lower-case the bytes first).
-    """
-    inside = ~_BLANK[buf] if blank else _LETTER[buf]
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of marked bytes within each document."""
     full = offsets[1:] > offsets[:-1]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
     before[:1] = False
     before[offsets[:-1][full]] = False
-    starts = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
     after[:-1] = inside[1:]
     after[-1:] = False
     after[offsets[1:][full] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, blank: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, word ends, and the first word of each document (one more at the end).
+
+    blank: words are runs without ASCII blanks; else of lower-case ASCII
+    letters, digits and non-ASCII characters (lower-case the bytes first).
+    """
+    starts, ends = runs(~_BLANK[buf] if blank else _LETTER[buf], offsets)
     return starts, ends, np.searchsorted(starts, offsets)
 
 

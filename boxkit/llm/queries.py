@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .license_scan import op10_license_scan
+from .secret_scan import op4_secret_scan
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_toxicity": op3_toxicity,
+    "op4_secret_scan": op4_secret_scan,
     "op10_license_scan": op10_license_scan,
 }
 
