@@ -108,10 +108,24 @@ class Lexicon:
             codes = np.array([_hash(terms[k][0]) for k in ks], dtype=np.uint64)
             order = np.argsort(codes)
             self.by_length[n] = (codes[order], np.array(ks)[order])
-        #: Words of five letters and more may be misspelled.
+        #: Words of five letters and more may be misspelled: one edit leaves one of their halves whole.
         self.fuzzy = [k for k, (w, stem, _) in enumerate(terms) if not stem and len(w) >= 5 and w.isascii()]
         self.masks = np.array([_mask(terms[k][0]) for k in self.fuzzy], dtype=np.uint32)
         self.sizes = np.array([len(terms[k][0]) for k in self.fuzzy], dtype=np.int64)
+        self.halves: list[tuple[bool, int, np.ndarray]] = []
+        for front in (True, False):
+            by: dict[int, set] = {}
+            for k in self.fuzzy:
+                w = terms[k][0]
+                half = w[: len(w) // 2] if front else w[len(w) // 2 :]
+                by.setdefault(len(half), set()).add(_hash(half))
+            self.halves += [(front, n, np.sort(np.array(list(x), dtype=np.uint64))) for n, x in by.items()]
+        self.near_trie: dict = {}
+        for k in self.fuzzy:
+            node = self.near_trie
+            for c in terms[k][0]:
+                node = node.setdefault(c, {})
+            node[""] = k
         self.known: dict[str, tuple[int, int]] = {}
 
     def exact(self, sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -136,17 +150,16 @@ class Lexicon:
             got = self.known[word] = self._intersect(word)
         return got
 
-    def _intersect(self, word: str) -> tuple[int, int]:
-        reach = 1 if len(word) < 9 else 2
+    def _intersect(self, word: str, reach: int = 1) -> tuple[int, int]:
+        """The automaton's state is a row of edit costs; a branch ends where none is within reach."""
         best, found = reach + 1, -1
-        work = [(self.trie, list(range(len(word) + 1)), None, "")]
+        work = [(self.near_trie, list(range(len(word) + 1)), None, "")]
         while work:
             node, row, above, last = work.pop()
             for c, child in node.items():
                 if c == "":
-                    k, stem = child
-                    if not stem and row[-1] < best and len(self.terms[k][0]) >= 5 and row[-1] <= (1 if len(self.terms[k][0]) < 9 else 2):
-                        best, found = row[-1], k
+                    if row[-1] < best:
+                        best, found = row[-1], child
                     continue
                 step = [row[0] + 1]
                 for i, x in enumerate(word):
@@ -158,13 +171,23 @@ class Lexicon:
                     work.append((child, step, row, c))
         return (found, best) if found >= 0 else (-1, 0)
 
-    def candidates(self, masks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Words whose letters could be within two edits of a term."""
-        ok = np.zeros(len(masks), bool)
+    def candidates(self, low: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Places of the words that could be one edit away from a term."""
+        some = np.zeros(len(s), bool)
+        for front, n, codes in self.halves:
+            pick = np.flatnonzero(e - s >= n)
+            h = C.span_hash(sums, s[pick], s[pick] + n) if front else C.span_hash(sums, e[pick] - n, e[pick])
+            some[pick[codes[np.minimum(np.searchsorted(codes, h), len(codes) - 1)] == h]] = True
+        at = np.flatnonzero(some)
+        if not len(at):
+            return at
+        sizes = e[at] - s[at]
+        flat = np.repeat(s[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        masks = np.bitwise_or.reduceat(_BIT[low[flat]], np.cumsum(sizes) - sizes)
+        ok = np.zeros(len(at), bool)
         for m, n in zip(self.masks, self.sizes, strict=True):
-            reach = 1 if n < 9 else 2
-            ok |= (np.abs(sizes - n) <= reach) & (np.bitwise_count(masks & ~m) <= reach) & (np.bitwise_count(m & ~masks) <= reach)
-        return ok
+            ok |= (np.abs(sizes - n) <= 1) & (np.bitwise_count(masks & ~m) <= 1) & (np.bitwise_count(m & ~masks) <= 1)
+        return at[ok]
 
 
 def _hash(w: str) -> np.uint64:
@@ -191,14 +214,10 @@ def figures(lexicon: Lexicon, low: np.ndarray, offs: np.ndarray) -> np.ndarray:
     sums = C.prefix_sums(C.BYTE_CODES[low])
     term, edits = lexicon.exact(sums, s, e), np.zeros(len(s), np.int8)
     rest = np.flatnonzero((term < 0) & (e - s >= 4) & (e - s <= 40))
-    if len(rest) and len(lexicon.fuzzy):
-        bounds = np.stack([s[rest], e[rest]], 1).ravel()
-        bounds = bounds[:-1] if bounds[-1] >= len(low) else bounds
-        masks = np.bitwise_or.reduceat(_BIT[low], bounds)[::2]
-        rest = rest[lexicon.candidates(masks, e[rest] - s[rest])]
-        data = low.tobytes()
-        for i in rest.tolist():
-            term[i], edits[i] = lexicon.near(data[s[i] : e[i]].decode("utf-8", "replace"))
+    data = low.tobytes()
+    rest = rest[lexicon.candidates(low, sums, s[rest], e[rest])]
+    for i in rest.tolist():
+        term[i], edits[i] = lexicon.near(data[s[i] : e[i]].decode("utf-8", "replace"))
     hits = np.flatnonzero(term >= 0)
     doc = np.searchsorted(first, hits, "right") - 1
     weight = lexicon.weights[term[hits]]
@@ -207,7 +226,6 @@ def figures(lexicon: Lexicon, low: np.ndarray, offs: np.ndarray) -> np.ndarray:
     near = np.bincount(doc[~plain], weight[~plain] * 0.5 ** edits[hits][~plain], len(n))
     # context windows around hits: how dense the passage is, and whether it quotes or addresses
     dense, quoted, address = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
-    data = low.tobytes()
     total = np.concatenate(([0], np.cumsum(weight * 0.5 ** edits[hits])))
     upto = np.searchsorted(hits, np.minimum(hits + 2 * WINDOW, first[doc + 1]))
     np.maximum.at(dense, doc, total[upto] - total[: len(hits)])
