@@ -65,7 +65,7 @@ def chunks(column: pa.Array, limit: int = CHUNK):
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     column = column.cast(pa.large_binary())
     n = len(column)
     if not n:

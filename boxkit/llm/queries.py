@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .decontaminate import op2_decontaminate
+from .embedding_dedup import op1_embedding_dedup
 from .license_scan import op10_license_scan
+from .mixing import op8_mix
+from .recompression_dedup import op9_recompression_dedup
+from .reshard import op6_reshard
 from .secret_scan import op4_secret_scan
+from .suffix_dedup import op7_suffix_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op6_reshard": op6_reshard,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_mix": op8_mix,
+    "op9_recompression_dedup": op9_recompression_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_mix": mixing.ORACLE}
