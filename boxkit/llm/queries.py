@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing
 from .decontaminate import op2_decontaminate
 from .embedding_dedup import op1_embedding_dedup
+from .jaccard_join import op5_jaccard_join
 from .license_scan import op10_license_scan
 from .mixing import op8_mix
 from .recompression_dedup import op9_recompression_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_reshard": op6_reshard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mix": op8_mix,
