@@ -67,8 +67,8 @@ def pack(a: np.ndarray) -> bytes:
     return np.int64(base).tobytes() + bytes([kind.itemsize]) + off.astype(kind).tobytes()
 
 
-def unpack(b: bytes) -> np.ndarray:
-    if not b:
+def unpack(b: bytes | None) -> np.ndarray:
+    if not b:  # nothing, or no row at all
         return np.empty(0, np.int64)
     return np.frombuffer(b, np.dtype(f"u{b[8]}"), offset=9).astype(np.int64) + np.frombuffer(b, np.int64, 1)[0]
 
@@ -98,21 +98,21 @@ def settle(k1, k2, doc, many, earlier_only: bool):
 
 
 EXCHANGE = "part int, k1 binary, k2 binary, rid binary, doc binary, at binary, n binary, many binary"
-_NAMES = ["part", "k1", "k2", "rid", "doc", "at", "n", "many"]
+NAMES = ["part", "k1", "k2", "rid", "doc", "at", "n", "many"]
 TO_DOCS = "part int, rid binary, at binary, n binary, state binary"
 _TO_DOCS = ["part", "rid", "at", "n", "state"]
 DONE, OPEN, WITNESS = 1, 2, 3
-#: Sent of both keys, by whether they are heads. A head's bucket is its part and 32 bits more: two that share
-#: them by chance only list windows in vain.
-KINDS = {True: (np.uint32, np.uint64), False: (np.uint64, np.uint32)}
+#: Sent of both keys. A head's bucket is its part and 32 bits more: two that share them by chance only list
+#: windows in vain. So it is with single tokens.
+KINDS = {"heads": (np.uint32, np.uint64), "windows": (np.uint64, np.uint32), "tokens": (np.uint32, np.uint8)}
 
 
 class Sender:
     """Collects entries of a task and gives packed rows, settled ones apart (negative part)."""
 
-    def __init__(self, buckets: int, earlier_only: bool, heads: bool):
+    def __init__(self, buckets: int, earlier_only: bool, kind: str):
         self.buckets, self.earlier_only, self.held, self.size = buckets, earlier_only, [], 0
-        self.kinds = KINDS[heads]
+        self.kinds = KINDS[kind]
 
     def add(self, *columns):
         if len(columns[0]):
@@ -120,7 +120,7 @@ class Sender:
             self.size += len(columns[0])
 
     def rows(self, last: bool = False):
-        """k1, k2, rid, doc, at, n of what is held, as tuples in the order of _NAMES."""
+        """k1, k2, rid, doc, at, n of what is held, as tuples in the order of NAMES."""
         if not self.held or (self.size < FLUSH and not last):
             return
         k1, k2, rid, doc, at, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
@@ -144,7 +144,7 @@ def _split(part: np.ndarray, keep: np.ndarray):
         yield int(part[pick[0]]), pick
 
 
-def _batches(rows, names, types):
+def batches_of(rows, names, types):
     """Record batches of at most about 8 MB."""
     held, size = [], 0
     for r in rows:
@@ -161,11 +161,11 @@ def _batch(rows, names, types):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-_EX_TYPES = [pa.int32()] + [pa.binary()] * 7
+EX_TYPES = [pa.int32()] + [pa.binary()] * 7
 _DOC_TYPES = [pa.int32()] + [pa.binary()] * 4
 
 
-def _meet(buckets: int, earlier_only: bool, heads: bool):
+def meet(buckets: int, earlier_only: bool, kind: str):
     """The reducer of an exchange: entries of a bucket to states of documents."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -173,13 +173,13 @@ def _meet(buckets: int, earlier_only: bool, heads: bool):
             rid, at, n = (np.concatenate([unpack(x) for x in table.column(k).to_pylist()]) for k in ("rid", "at", "n"))
             state = np.full(len(rid), DONE, np.uint8)
         else:
-            k1, k2 = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in zip(("k1", "k2"), KINDS[heads], strict=True))
+            k1, k2 = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in zip(("k1", "k2"), KINDS[kind], strict=True))
             rid, at, n = (np.concatenate([unpack(x) for x in table.column(k).to_pylist()]) for k in ("rid", "at", "n"))
             many = np.frombuffer(b"".join(table.column("many").to_pylist()), np.uint8)
             doc = np.concatenate([unpack(x) for x in table.column("doc").to_pylist()]) + rid if earlier_only else rid
             done, stands, number, key = settle(k1, k2, doc, many, earlier_only)
             state = np.where(done, DONE, 0).astype(np.uint8)
-            if heads:  # key: the bucket of each context, in order
+            if kind == "heads":  # key: the bucket of each context, in order
                 _, bucket, contexts = np.unique(key, return_inverse=True, return_counts=True)
                 mixed = (contexts > 1)[bucket][number]
                 state[mixed & stands & ~done] = OPEN
@@ -206,7 +206,7 @@ def _per_document(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("srid", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("state", pa.binary())))})
 
 
-def _to_documents(met: DataFrame) -> DataFrame:
+def to_documents(met: DataFrame) -> DataFrame:
     return met.groupBy("part").applyInArrow(_per_document, "srid long, at binary, n binary, state binary")
 
 
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, finder: Finder, texts: bool = False) -> Data
         return b.column("_rid").to_numpy(), pa.compute.fill_null(doc, NO_ID).to_numpy()
 
     def send_heads(batches):
-        sender = Sender(buckets, finder.earlier_only, True)
+        sender = Sender(buckets, finder.earlier_only, "heads")
 
         def rows():
             for b in batches:
@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, finder: Finder, texts: bool = False) -> Data
                     yield from sender.rows()
             yield from sender.rows(last=True)
 
-        return _batches(rows(), _NAMES, _EX_TYPES)
+        return batches_of(rows(), NAMES, EX_TYPES)
 
     def finish(chunk, k: int, doc_id, at, n):
         """The result row of one document, given its settled runs."""
@@ -258,65 +258,51 @@ def remove_repeats(docs: DataFrame, finder: Finder, texts: bool = False) -> Data
         kept = finder.kept(chunk, covered, k)
         return (doc_id, z - a, int(covered.sum()), [{"start": s, "end": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)], hashlib.sha256(kept).hexdigest(), *([kept] * texts))
 
-    none = np.empty(0, np.int64)
-
     def list_windows(batches):
-        """Final rows where all is settled; else the document again, and the windows of its open runs."""
-        sender = Sender(buckets, finder.earlier_only, False)
-        pad_final, pad_open, pad_send = (None,) * len(final_names), (None,) * 5, (None,) * 8
+        """The windows of open runs and witnesses."""
+        sender = Sender(buckets, finder.earlier_only, "windows")
 
-        def rows():
+        def out():
             for b in batches:
                 rid, doc = ids(b)
-                doc_id = b.column("doc_id").to_pylist()
                 info = [b.column(k).to_pylist() for k in ("at", "n", "state")]
-                for lo, hi, buf, offs in C.chunks(b.column("text")):
+                text = b.column("text")
+                listed = [r for r in range(b.num_rows) if info[2][r] is not None and max(info[2][r]) >= OPEN]
+                for lo, hi, buf, offs in C.chunks(text.take(pa.array(listed, pa.int64()))):
                     chunk = finder.prepare(buf, offs)
                     for k in range(hi - lo):
-                        r = lo + k
-                        if info[0][r] is None:
-                            yield finish(chunk, k, doc_id[r], none, none) + pad_open + pad_send
-                            continue
-                        at, n, state = unpack(info[0][r]), unpack(info[1][r]), np.frombuffer(info[2][r], np.uint8)
-                        if (listed := np.flatnonzero(state >= OPEN)).size:
-                            many = n[listed]
-                            p = np.repeat(at[listed] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                            k1, k2 = finder.names(chunk, p + chunk.first[k])
-                            sender.add(k1, k2, np.full(len(p), rid[r]), np.full(len(p), doc[r]), p, np.ones(len(p), np.int64))
-                        settled = state != OPEN
-                        if settled.all():
-                            yield finish(chunk, k, doc_id[r], at, n) + pad_open + pad_send
-                        else:
-                            yield pad_final + (int(rid[r]), doc_id[r], buf[offs[k] : offs[k + 1]].tobytes(), pack(at[settled]), pack(n[settled])) + pad_send
-                    for x in sender.rows():
-                        yield pad_final + pad_open + x
-            for x in sender.rows(last=True):
-                yield pad_final + pad_open + x
-
-        names = ["doc_id", *final_names[1:], "orid", "odoc", "otext", "oat", "on", *_NAMES[:1], *(f"w_{x}" for x in _NAMES[1:])]
-        return _batches(rows(), names, final_types + [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()] + _EX_TYPES)
-
-    mid_ddl = final_ddl + ", orid long, odoc long, otext binary, oat binary, on binary, part int, " + ", ".join(f"w_{x}" for x in EXCHANGE.split(", ")[1:])
-    met = rows.mapInArrow(send_heads, EXCHANGE).groupBy("part").applyInArrow(_meet(buckets, finder.earlier_only, True), TO_DOCS)
-    info = _to_documents(met)
-    joined = rows.join(info.hint("shuffle_hash"), rows["_rid"] == info["srid"], "left").drop("srid")
-    mid = C.saved(joined.mapInArrow(list_windows, mid_ddl), "repeats")
-    windows = mid.where("part IS NOT NULL").select("part", *(F.col(f"w_{x}").alias(x) for x in _NAMES[1:]))
-    more = _to_documents(windows.groupBy("part").applyInArrow(_meet(buckets, finder.earlier_only, False), TO_DOCS))
-    still = mid.where("orid IS NOT NULL").select("orid", "odoc", "otext", "oat", "on").join(more.hint("shuffle_hash"), F.col("orid") == F.col("srid"), "left")
+                        r = listed[lo + k]
+                        state = np.frombuffer(info[2][r], np.uint8)
+                        at, many = unpack(info[0][r])[state >= OPEN], unpack(info[1][r])[state >= OPEN]
+                        p = np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())
+                        k1, k2 = finder.names(chunk, p + chunk.first[k])
+                        sender.add(k1, k2, np.full(len(p), rid[r]), np.full(len(p), doc[r]), p, np.ones(len(p), np.int64))
+                    yield from sender.rows()
+            yield from sender.rows(last=True)
+
+        return batches_of(out(), NAMES, EX_TYPES)
 
     def close(batches):
-        def rows():
+        def out():
             for b in batches:
-                doc_id = b.column("odoc").to_pylist()
-                cols = [b.column(k).to_pylist() for k in ("oat", "on", "at", "n")]
-                for lo, hi, buf, offs in C.chunks(b.column("otext")):
+                doc_id = b.column("doc_id").to_pylist()
+                cols = [b.column(k).to_pylist() for k in ("at", "n", "state", "more_at", "more_n")]
+                for lo, hi, buf, offs in C.chunks(b.column("text")):
                     chunk = finder.prepare(buf, offs)
                     for k in range(hi - lo):
-                        at, n = (np.concatenate([unpack(cols[i][lo + k] or b""), unpack(cols[i + 2][lo + k] or b"")]) for i in (0, 1))
+                        at0, n0, state, at1, n1 = (c[lo + k] for c in cols)
+                        at, n = unpack(at1), unpack(n1)
+                        if state is not None:
+                            settled = np.frombuffer(state, np.uint8) != OPEN
+                            at, n = np.concatenate([unpack(at0)[settled], at]), np.concatenate([unpack(n0)[settled], n])
                         yield finish(chunk, k, doc_id[lo + k], at, n)
 
-        return _batches(rows(), final_names, final_types)
+        return batches_of(out(), final_names, final_types)
 
-    ended = mid.where("n_units IS NOT NULL").select(*final_names)
-    return ended.unionByName(still.mapInArrow(close, final_ddl))
+    met = rows.mapInArrow(send_heads, EXCHANGE).groupBy("part").applyInArrow(meet(buckets, finder.earlier_only, "heads"), TO_DOCS)
+    info = to_documents(met)
+    # both uses of this share one exchange of the texts, and the second join needs no further one
+    joined = rows.join(info.hint("shuffle_hash"), rows["_rid"] == info["srid"], "left").drop("srid")
+    windows = joined.mapInArrow(list_windows, EXCHANGE).groupBy("part").applyInArrow(meet(buckets, finder.earlier_only, "windows"), TO_DOCS)
+    more = to_documents(windows).selectExpr("srid", "at AS more_at", "n AS more_n")
+    return joined.join(more.hint("shuffle_hash"), F.col("_rid") == F.col("srid"), "left").drop("srid").mapInArrow(close, final_ddl)

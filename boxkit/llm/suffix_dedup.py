@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .repeats import Finder, remove_repeats
 
-WINDOW, Q = 200, 40
+WINDOW, Q = 200, 100
 
 
 class _Chunk:
