@@ -1,5 +1,6 @@
 """Registered queries: which operators run on which tables."""
 
 from ..registry import ORACLES, QUERIES
+from . import filters, joins
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "filters", "joins"]
