@@ -139,6 +139,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like saved(), in buckets of a key: later joins on it move only the other side."""
+    spark = df.sparkSession
+    table = f"boxkit_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{table}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """rows with text as zstd, for an exchange of whole texts; unsqueezed() gives them back in a task."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            z = [None if t is None else pack.compress(t.encode()) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, "text", pa.array(z, pa.binary()))
+
+    schema = ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, schema)
+
+
+def unsqueezed(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([None if z is None else unpack.decompress(z) for z in column.to_pylist()], pa.large_binary())
+
+
 def n_buckets(spark: SparkSession) -> int:
     """Buckets of an exchange of packed rows: two for each shuffle partition, as hashing deals them unevenly."""
     return 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

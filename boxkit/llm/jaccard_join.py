@@ -63,7 +63,7 @@ def _least(n, percent: int):
 
 def _more(n):
     """How many tokens beyond the first a prefix is lengthened by, and that two linked ones then share."""
-    return n // 20
+    return n // 8
 
 
 def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -95,7 +95,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
     def sets(batches):
         for b in batches:
             shared = b.column("shared").fill_null(0).to_numpy()
-            for lo, hi, buf, offs in C.chunks(b.column("text")):
+            for lo, hi, buf, offs in C.chunks(C.unsqueezed(b.column("text"))):
                 h, first = shingle_sets(buf, offs, size)
                 n = np.diff(first)
                 stay = (n > 0) & (shared[lo:hi] >= 1 + _more(_least(n, percent)))
@@ -108,21 +108,21 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("_rid").slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(tokens, longs), pa.array(marks, longs), pa.array(prints, longs)], names=["_rid", "doc_id", "n", "tokens", "marks", "prints"])
 
-    joined = rows.join(shared.hint("shuffle_hash"), rows["_rid"] == shared["srid"], "left").drop("srid")
-    every = C.saved(joined.mapInArrow(sets, "_rid long, doc_id long, n long, tokens array<long>, marks array<long>, prints array<long>"), "shingle-sets")
+    joined = C.squeezed(rows).join(shared.hint("shuffle_hash"), F.col("_rid") == F.col("srid"), "left").drop("srid")
+    # the one table with the sets; all that follows joins it by _rid
+    every = C.saved_by(joined.mapInArrow(sets, "_rid long, doc_id long, n long, tokens array<long>, marks array<long>, prints array<long>"), "_rid", "shingle-sets")
     left = every.where("tokens IS NOT NULL")
     same = ["n", F.col("prints")[0].alias("p0"), F.col("prints")[1].alias("p1")]
-    member = left.select("_rid", *same)
-    reps = left.select("_rid", "tokens", "marks", *same).groupBy("n", "p0", "p1").agg(F.min("_rid").alias("rep"), F.min_by(F.struct("tokens", "marks"), "_rid").alias("s"))
-    reps = C.saved(reps.select("rep", "n", "p0", "p1", "s.tokens", "s.marks"), "distinct-sets")
+    reps = left.select("_rid", "marks", *same).groupBy("n", "p0", "p1").agg(F.min("_rid").alias("rep"), F.min_by("marks", "_rid").alias("marks"))
+    reps = C.saved(reps, "distinct-sets")
+    tokens = left.select(F.col("_rid").alias("rep"), F.col("n").alias("size"), "tokens")
 
-    star = C.saved(_verified(reps, _stars(reps), percent), "star-links")
+    star = C.saved(_verified(tokens, _stars(reps, percent), percent), "star-links")
     groups = components(star)
-    grouped = reps.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", "tokens", F.coalesce("root", "rep").alias("grp"))
-    grouped = C.saved(grouped, "token-groups")
-    across = C.saved(_verified(reps, _open(grouped, percent), percent), "cross-links")
+    grouped = C.saved(reps.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("root", "rep").alias("grp")), "token-groups")
+    across = C.saved(_verified(tokens, _open(grouped, tokens, percent, buckets), percent), "cross-links")
     roots = components(star.unionByName(across))
-    named = member.join(reps.select("rep", "n", "p0", "p1"), ["n", "p0", "p1"]).join(roots, F.col("rep") == F.col("node"), "left")
+    named = left.select("_rid", *same).join(reps.select("rep", "n", "p0", "p1"), ["n", "p0", "p1"]).join(roots, F.col("rep") == F.col("node"), "left")
     named = C.saved(named.select("_rid", F.coalesce("root", "rep").alias("root")), "set-roots")
     out = every.select("_rid", "doc_id", F.col("n").alias("n_shingles")).join(named, "_rid", "left").withColumn("root", F.coalesce("root", -1 - F.col("_rid")))
     out = C.saved(out, "linked-documents")
@@ -130,25 +130,55 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
     return out.join(names, "root", "left").select("_rid", "doc_id", "n_shingles", F.when(F.col("root") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
-def _stars(reps: DataFrame) -> DataFrame:
-    """Each set with the first set that shares a minimum hash, for each of the seeds."""
-    marks = reps.select("rep", F.posexplode("marks").alias("seed", "mark"))
-    leads = marks.groupBy("seed", "mark").agg(F.min("rep").alias("lead"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
-    return marks.join(leads, ["seed", "mark"]).where("rep <> lead").selectExpr("lead AS a", "rep AS b").distinct()
+def _stars(reps: DataFrame, percent: int) -> DataFrame:
+    """Each set with the first set that shares a minimum hash, for each of the seeds, if their sizes allow a link."""
+    marks = reps.select("rep", "n", F.posexplode("marks").alias("seed", "mark"))
+    leads = marks.groupBy("seed", "mark").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    pairs = marks.join(leads, ["seed", "mark"]).where("rep <> lead.rep").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
+    return pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _verified(reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    one = reps.selectExpr("rep AS a", "n AS na", "tokens AS ta")
-    two = reps.selectExpr("rep AS b", "n AS nb", "tokens AS tb")
-    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
-    return pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("ta", "tb"))).where(close).select("a", "b")
+def _verified(tokens: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets reach the threshold. A set may be a of very many pairs, so b's tokens go to where a's are and not the reverse."""
+    pairs = C.saved(pairs, "pairs")
+    with_b = pairs.join(tokens.selectExpr("rep AS b", "size AS nb", "tokens AS tb"), "b")
+    with_a = pairs.select("a").distinct().join(tokens.selectExpr("rep AS a", "size AS na", "tokens AS ta"), "a")
+    common = F.size(F.array_intersect("ta", "tb"))
+    return with_b.join(with_a, "a").withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _open(grouped: DataFrame, percent: int) -> DataFrame:
+def _shared_groups(grouped: DataFrame, tokens: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Groups that could hold a set with enough tokens in the unions of other groups: the matrix' rows, bound all at once."""
+
+    def send(batches):
+        sender = Sender(buckets, False, "groups")
+
+        def out():
+            for b in batches:
+                grp = b.column("grp").to_numpy()
+                t = b.column("tokens")
+                many = pa.compute.list_value_length(t).to_numpy()
+                of = np.repeat(grp, many)
+                one = np.ones(len(of), np.int64)
+                sender.add(t.flatten().to_numpy().view(np.uint64), of.astype(np.uint64), of, one, one, one)
+                yield from sender.rows()
+            yield from sender.rows(last=True)
+
+        return batches_of(out(), NAMES, EX_TYPES)
+
+    rows = tokens.join(grouped.select("rep", "grp"), "rep").select("grp", "tokens")
+    met = rows.mapInArrow(send, EXCHANGE).groupBy("part").applyInArrow(meet(buckets, False, "groups"), TO_DOCS)
+    mixed = to_documents(met).select("srid", F.octet_length("state").alias("mixed"))
+    small = grouped.groupBy("grp").agg(F.min("n").alias("smallest"))
+    return mixed.join(small, F.col("srid") == F.col("grp")).where(100 * F.col("mixed") >= percent * F.col("smallest")).select("grp")
+
+
+def _open(grouped: DataFrame, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     """Pairs of a set and the members of other groups that its tokens qualify for."""
+    some = C.saved(_shared_groups(grouped, sets, percent, buckets), "shared-groups")
+    grouped = C.saved(grouped.join(some, "grp"), "open-groups")
     least = F.ceil(F.col("n") * percent / 100)
-    tokens = grouped.select("rep", "grp", "n", F.explode("tokens").alias("t"))
+    tokens = C.saved(sets.join(grouped, "rep").select("rep", "grp", "n", F.explode("tokens").alias("t")), "open-tokens")
     shared = tokens.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("freq")).where("lo < hi").select("t", "freq")
     # the matrix without the tokens of a single group, which bound nothing
     cells = C.saved(tokens.join(shared, "t"), "shared-tokens")

@@ -104,7 +104,7 @@ _TO_DOCS = ["part", "rid", "at", "n", "state"]
 DONE, OPEN, WITNESS = 1, 2, 3
 #: Sent of both keys. A head's bucket is its part and 32 bits more: two that share them by chance only list
 #: windows in vain. So it is with single tokens.
-KINDS = {"heads": (np.uint32, np.uint64), "windows": (np.uint64, np.uint32), "tokens": (np.uint32, np.uint8)}
+KINDS = {"heads": (np.uint32, np.uint64), "windows": (np.uint64, np.uint32), "tokens": (np.uint32, np.uint8), "groups": (np.uint32, np.uint64)}
 
 
 class Sender:
@@ -112,7 +112,7 @@ class Sender:
 
     def __init__(self, buckets: int, earlier_only: bool, kind: str):
         self.buckets, self.earlier_only, self.held, self.size = buckets, earlier_only, [], 0
-        self.kinds = KINDS[kind]
+        self.kind, self.kinds = kind, KINDS[kind]
 
     def add(self, *columns):
         if len(columns[0]):
@@ -130,12 +130,17 @@ class Sender:
         part = (k1 >> np.uint64(32)) % np.uint64(self.buckets)
         for p, pick in _split(part, stands):
             yield p, k1[pick].astype(self.kinds[0]).tobytes(), k2[pick].astype(self.kinds[1]).tobytes(), pack(rid[pick]), pack(doc[pick] - rid[pick]) if self.earlier_only else b"", pack(at[pick]), pack(n[pick]), many[pick].tobytes()
-        back = (C.mix(rid.astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        back = _home(rid, self.buckets)
         # those that stand for their key are told by the reducer
-        for p, pick in _split(back, done & ~stands):
+        for p, pick in _split(back, done & ~stands) if self.kind != "groups" else ():
             yield -1 - p, b"", b"", pack(rid[pick]), b"", pack(at[pick]), pack(n[pick]), b""
 
 
+def _home(rid: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document's states: half as many as for keys, as each of those sends to each of these."""
+    return (C.mix(rid.astype(np.uint64)) % np.uint64(max(1, buckets // 2))).astype(np.int64)
+
+
 def _split(part: np.ndarray, keep: np.ndarray):
     at = np.flatnonzero(keep)
     order = at[np.argsort(part[at], kind="stable")]
@@ -179,14 +184,14 @@ def meet(buckets: int, earlier_only: bool, kind: str):
             doc = np.concatenate([unpack(x) for x in table.column("doc").to_pylist()]) + rid if earlier_only else rid
             done, stands, number, key = settle(k1, k2, doc, many, earlier_only)
             state = np.where(done, DONE, 0).astype(np.uint8)
-            if kind == "heads":  # key: the bucket of each context, in order
+            if kind in ("heads", "groups"):  # key: the bucket of each context, in order
                 _, bucket, contexts = np.unique(key, return_inverse=True, return_counts=True)
                 mixed = (contexts > 1)[bucket][number]
                 state[mixed & stands & ~done] = OPEN
                 state[mixed & stands & done] = WITNESS
-            keep = state > 0
+            keep = state >= (OPEN if kind == "groups" else DONE)
             rid, at, n, state = rid[keep], at[keep], n[keep], state[keep]
-        back = (C.mix(rid.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        back = _home(rid, buckets)
         order = np.lexsort((at, rid, back))
         rid, at, n, state, back = rid[order], at[order], n[order], state[order], back[order]
         rows = [(p, pack(rid[x]), pack(at[x]), pack(n[x]), state[x].tobytes()) for p, x in _split(back, np.ones(len(back), bool))]
