@@ -1,6 +1,6 @@
 """Registered queries: which operators run on which tables."""
 
 from ..registry import ORACLES, QUERIES
-from . import filters, joins, scoring, stats
+from . import filters, joins, scoring, stats, tracks
 
-__all__ = ["ORACLES", "QUERIES", "filters", "joins", "scoring", "stats"]
+__all__ = ["ORACLES", "QUERIES", "filters", "joins", "scoring", "stats", "tracks"]
