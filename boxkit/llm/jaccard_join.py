@@ -3,14 +3,16 @@
 1. A document's set holds its word shingles, hashed. If two sets reach the
    threshold, the smallest hashes of each share so many that most documents are
    ruled out by how few of theirs occur anywhere else. Only counts come back.
-2. The remaining sets are partitioned into groups of similar ones: sets that
-   share a minimum hash are linked to one of them each (verified exactly), and
-   the connected parts are the groups. A group is connected, so no further pair
-   within it matters, however large it is.
-3. The matrix holds each group's token union. A set can only link to a group
-   whose union has four fifths of its tokens, so sets are bound first against
-   all other groups together, then group by group; only groups that qualify are
-   opened, and their members compared exactly.
+2. The remaining sets are partitioned into groups of similar ones: of the sets
+   that share a minimum hash, the one with the largest share of tokens known
+   elsewhere leads, and those that link to it (verified exactly) are its group.
+   A group is connected, so no further pair within it matters, however large it is.
+3. The matrix holds each group's token union, and which tokens its leader has. A
+   set can only link to a group whose union has four fifths of its tokens, so
+   sets are bound first against all other groups together, then group by group.
+   Where the tokens shared with the leader don't give a link to it already, the
+   group is opened: its members are compared exactly, as far as the tokens that
+   they and the set share with the leader and outside of it can suffice.
 
 So links between texts are lost nowhere, and no list of all pairs of a group is
 made. Equal sets are compared once.
@@ -33,7 +35,7 @@ from . import common as C
 from .components import components
 from .repeats import EX_TYPES, EXCHANGE, NAMES, TO_DOCS, Sender, batches_of, meet, to_documents
 
-WORDS, PERCENT, SEEDS = 5, 80, 4
+WORDS, PERCENT, SEEDS, VOTES = 5, 80, 4, 32
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,29 +101,33 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
                 h, first = shingle_sets(buf, offs, size)
                 n = np.diff(first)
                 stay = (n > 0) & (shared[lo:hi] >= 1 + _more(_least(n, percent)))
+                known = shared[lo:hi] / np.maximum(1, np.minimum(n, n - _least(n, percent) + 1 + _more(n)))
                 tokens, marks, prints = [None] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
                 for k in np.flatnonzero(stay).tolist():
                     t = h[first[k] : first[k + 1]]
                     tokens[k] = t.view(np.int64)
-                    marks[k] = np.array([C.mix(t ^ np.uint64(0x5851F42D4C957F2D * (j + 1) % (1 << 64))).min() for j in range(SEEDS)]).view(np.int64)
+                    marks[k] = np.array([C.mix(t ^ np.uint64(0x5851F42D4C957F2D * (j + 1) % (1 << 64))).min() for j in range(VOTES)]).view(np.int64)
                     prints[k] = np.array([t.sum(), C.mix(t).sum()]).view(np.int64)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("_rid").slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(tokens, longs), pa.array(marks, longs), pa.array(prints, longs)], names=["_rid", "doc_id", "n", "tokens", "marks", "prints"])
+                yield pa.RecordBatch.from_arrays([b.column("_rid").slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(tokens, longs), pa.array(marks, longs), pa.array(prints, longs), pa.array(known, pa.float64())], names=["_rid", "doc_id", "n", "tokens", "marks", "prints", "known"])
 
     joined = C.squeezed(rows).join(shared.hint("shuffle_hash"), F.col("_rid") == F.col("srid"), "left").drop("srid")
     # the one table with the sets; all that follows joins it by _rid
-    every = C.saved_by(joined.mapInArrow(sets, "_rid long, doc_id long, n long, tokens array<long>, marks array<long>, prints array<long>"), "_rid", "shingle-sets")
+    every = C.saved_by(joined.mapInArrow(sets, "_rid long, doc_id long, n long, tokens array<long>, marks array<long>, prints array<long>, known double"), "_rid", "shingle-sets")
     left = every.where("tokens IS NOT NULL")
     same = ["n", F.col("prints")[0].alias("p0"), F.col("prints")[1].alias("p1")]
-    reps = left.select("_rid", "marks", *same).groupBy("n", "p0", "p1").agg(F.min("_rid").alias("rep"), F.min_by("marks", "_rid").alias("marks"))
+    reps = left.select("_rid", "marks", "known", *same).groupBy("n", "p0", "p1").agg(F.min("_rid").alias("rep"), F.min_by("marks", "_rid").alias("marks"), F.min("known").alias("known"))
     reps = C.saved(reps, "distinct-sets")
     tokens = left.select(F.col("_rid").alias("rep"), F.col("n").alias("size"), "tokens")
 
     star = C.saved(_verified(tokens, _stars(reps, percent), percent), "star-links")
-    groups = components(star)
-    grouped = C.saved(reps.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("root", "rep").alias("grp")), "token-groups")
-    across = C.saved(_verified(tokens, _open(grouped, tokens, percent, buckets), percent), "cross-links")
-    roots = components(star.unionByName(across))
+    # each set goes to one leader, the one that shares most; a leader that goes to another one leads no more
+    joins = star.groupBy("b").agg(F.max(F.struct(F.col("common") / F.col("na"), "a", "common")).alias("m")).select("b", F.col("m.a").alias("a"), F.col("m.common").alias("common"))
+    joins = C.saved(joins.join(star.select(F.col("a").alias("b")).distinct(), "b", "left_anti"), "members")
+    grouped = reps.join(joins, F.col("rep") == F.col("b"), "left").select("rep", "n", F.coalesce("a", "rep").alias("grp"), F.coalesce("common", "n").alias("with_lead"))
+    grouped = C.saved(grouped, "token-groups")
+    across = _across(grouped, tokens, percent, buckets)
+    roots = components(star.select("a", "b").unionByName(across))
     named = left.select("_rid", *same).join(reps.select("rep", "n", "p0", "p1"), ["n", "p0", "p1"]).join(roots, F.col("rep") == F.col("node"), "left")
     named = C.saved(named.select("_rid", F.coalesce("root", "rep").alias("root")), "set-roots")
     out = every.select("_rid", "doc_id", F.col("n").alias("n_shingles")).join(named, "_rid", "left").withColumn("root", F.coalesce("root", -1 - F.col("_rid")))
@@ -131,11 +137,18 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def _stars(reps: DataFrame, percent: int) -> DataFrame:
-    """Each set with the first set that shares a minimum hash, for each of the seeds, if their sizes allow a link."""
-    marks = reps.select("rep", "n", F.posexplode("marks").alias("seed", "mark"))
-    leads = marks.groupBy("seed", "mark").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
-    pairs = marks.join(leads, ["seed", "mark"]).where("rep <> lead.rep").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
-    return pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    """Each set with the leader of those that share a minimum hash, for each of the first seeds, if their sizes allow a link.
+
+    The text that others were changed from shares most minimum hashes with them, so it leads; they may be less like each other.
+    """
+    marks = reps.select("rep", "n", "known", F.posexplode("marks").alias("seed", "mark"))
+    shared = C.saved(marks.groupBy("seed", "mark").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-marks")
+    votes = marks.select("rep", "seed", "mark").join(shared, ["seed", "mark"]).groupBy("rep").agg(F.sum("sets").alias("votes"))
+    marks = C.saved(marks.where(F.col("seed") < SEEDS).join(votes, "rep"), "marks")
+    leads = marks.groupBy("seed", "mark").agg(F.max(F.struct("votes", "known", (-F.col("rep")).alias("order"), "n")).alias("lead"))
+    leads = leads.select("seed", "mark", (-F.col("lead.order")).alias("a"), F.col("lead.n").alias("na"))
+    pairs = marks.join(leads, ["seed", "mark"]).where("rep <> a").where(100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
+    return pairs.select("a", F.col("rep").alias("b")).distinct()
 
 
 def _verified(tokens: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -144,7 +157,7 @@ def _verified(tokens: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     with_b = pairs.join(tokens.selectExpr("rep AS b", "size AS nb", "tokens AS tb"), "b")
     with_a = pairs.select("a").distinct().join(tokens.selectExpr("rep AS a", "size AS na", "tokens AS ta"), "a")
     common = F.size(F.array_intersect("ta", "tb"))
-    return with_b.join(with_a, "a").withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    return with_b.join(with_a, "a").withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "na", "common")
 
 
 def _shared_groups(grouped: DataFrame, tokens: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -173,27 +186,41 @@ def _shared_groups(grouped: DataFrame, tokens: DataFrame, percent: int, buckets:
     return mixed.join(small, F.col("srid") == F.col("grp")).where(100 * F.col("mixed") >= percent * F.col("smallest")).select("grp")
 
 
-def _open(grouped: DataFrame, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs of a set and the members of other groups that its tokens qualify for."""
+def _across(grouped: DataFrame, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Links between sets of different groups, at least one for each set and group that have any."""
     some = C.saved(_shared_groups(grouped, sets, percent, buckets), "shared-groups")
     grouped = C.saved(grouped.join(some, "grp"), "open-groups")
     least = F.ceil(F.col("n") * percent / 100)
     tokens = C.saved(sets.join(grouped, "rep").select("rep", "grp", "n", F.explode("tokens").alias("t")), "open-tokens")
-    shared = tokens.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("freq")).where("lo < hi").select("t", "freq")
     # the matrix without the tokens of a single group, which bound nothing
-    cells = C.saved(tokens.join(shared, "t"), "shared-tokens")
+    matrix = tokens.groupBy("t", "grp").agg(F.max(F.col("rep") == F.col("grp")).alias("lead"))
+    shared = matrix.groupBy("t").agg(F.count("*").alias("groups")).where("groups > 1")
+    sizes = grouped.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = C.saved(matrix.join(shared, "t").join(sizes, "grp"), "token-group-matrix")
+    cells = C.saved(tokens.join(matrix.drop("lo", "hi"), ["t", "grp"]), "shared-tokens")
     bound = cells.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("rep", "c")
     query = C.saved(cells.join(bound, "rep"), "bounded-sets")
-    matrix = cells.selectExpr("t", "grp AS other").distinct()
     # of the tokens a linked group may lack, one more than it can: the rarest first; those of no other group come before all
-    rarest = Window.partitionBy("rep").orderBy("freq", "t")
+    rarest = Window.partitionBy("rep").orderBy("groups", "t")
     probe = query.withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= F.col("c") - least + 1)
-    pairs = probe.join(matrix, "t").where("grp <> other").select("rep", "other").distinct()
-    full = query.join(pairs, "rep").select("rep", "n", "t", "other").join(matrix, ["t", "other"])
-    fit = full.groupBy("rep", "n", "other").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("rep", "n", "other")
-    members = grouped.selectExpr("rep AS member", "n AS m", "grp AS other")
-    sized = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return fit.join(members, "other").where(sized).select(F.least("rep", "member").alias("a"), F.greatest("rep", "member").alias("b")).distinct()
+    rows = matrix.select("t", F.col("grp").alias("other"), F.col("lead").alias("in_lead"), "lo", "hi")
+    sized = (percent * F.col("lo") <= 100 * F.col("n")) & (percent * F.col("n") <= 100 * F.col("hi"))
+    # the tokens from this one on must suffice for the group's smallest set
+    enough = (100 + percent) * (F.col("c") - F.col("nth") + 1) >= percent * (F.col("n") + F.col("lo"))
+    pairs = probe.select("rep", "grp", "n", "t", "c", "nth").join(rows, "t").where((F.col("grp") != F.col("other")) & sized & enough).select("rep", "other").distinct()
+    full = query.select("rep", "n", "t").join(pairs, "rep").join(rows.drop("lo", "hi"), ["t", "other"])
+    fit = full.groupBy("rep", "n", "other").agg(F.count("*").alias("c"), F.count_if("in_lead").alias("x")).where(F.col("c") >= least)
+    leads = grouped.where("rep = grp").selectExpr("grp AS other", "n AS lead_n")
+    fit = C.saved(fit.join(leads, "other").withColumn("linked", 100 * F.col("x") >= percent * (F.col("n") + F.col("lead_n") - F.col("x"))), "qualified-groups")
+    # tokens of a member that its leader lacks but another group has
+    own = cells.where("NOT lead").groupBy("rep").agg(F.count("*").alias("own"))
+    members = grouped.where("rep <> grp").join(own, "rep", "left").select(F.col("rep").alias("member"), F.col("n").alias("m"), F.col("grp").alias("other"), "with_lead", F.coalesce("own", F.lit(0)).alias("own"))
+    most = F.least("x", "with_lead") + F.least(F.col("c") - F.col("x"), F.col("own"))
+    can = 100 * most >= percent * (F.col("n") + F.col("m") - most)
+    opened = fit.where("NOT linked").join(members, "other").where(can & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    opened = opened.select(F.least("rep", "member").alias("a"), F.greatest("rep", "member").alias("b")).distinct()
+    direct = fit.where("linked").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    return C.saved(_verified(sets, opened, percent).select("a", "b").unionByName(direct), "cross-links")
 
 
 def keep_first(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
