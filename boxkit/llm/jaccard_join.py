@@ -195,7 +195,7 @@ def _across(grouped: DataFrame, sets: DataFrame, percent: int, buckets: int) ->
     # the matrix without the tokens of a single group, which bound nothing
     matrix = tokens.groupBy("t", "grp").agg(F.max(F.col("rep") == F.col("grp")).alias("lead"))
     shared = matrix.groupBy("t").agg(F.count("*").alias("groups")).where("groups > 1")
-    sizes = grouped.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    sizes = grouped.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("sets"))
     matrix = C.saved(matrix.join(shared, "t").join(sizes, "grp"), "token-group-matrix")
     cells = C.saved(tokens.join(matrix.drop("lo", "hi"), ["t", "grp"]), "shared-tokens")
     bound = cells.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("rep", "c")
@@ -203,12 +203,14 @@ def _across(grouped: DataFrame, sets: DataFrame, percent: int, buckets: int) ->
     # of the tokens a linked group may lack, one more than it can: the rarest first; those of no other group come before all
     rarest = Window.partitionBy("rep").orderBy("groups", "t")
     probe = query.withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= F.col("c") - least + 1)
-    rows = matrix.select("t", F.col("grp").alias("other"), F.col("lead").alias("in_lead"), "lo", "hi")
+    rows = matrix.select("t", F.col("grp").alias("other"), F.col("lead").alias("in_lead"), "lo", "hi", F.col("sets").alias("more"))
+    # a link is found from either side: the sets of the smaller group are asked for
+    turn = (F.col("more") > F.col("sets")) | ((F.col("more") == F.col("sets")) & (F.col("other") < F.col("grp")))
     sized = (percent * F.col("lo") <= 100 * F.col("n")) & (percent * F.col("n") <= 100 * F.col("hi"))
     # the tokens from this one on must suffice for the group's smallest set
     enough = (100 + percent) * (F.col("c") - F.col("nth") + 1) >= percent * (F.col("n") + F.col("lo"))
-    pairs = probe.select("rep", "grp", "n", "t", "c", "nth").join(rows, "t").where((F.col("grp") != F.col("other")) & sized & enough).select("rep", "other").distinct()
-    full = query.select("rep", "n", "t").join(pairs, "rep").join(rows.drop("lo", "hi"), ["t", "other"])
+    pairs = probe.select("rep", "grp", "n", "t", "c", "nth", "sets").join(rows, "t").where(turn & sized & enough).select("rep", "other").distinct()
+    full = query.select("rep", "n", "t").join(pairs, "rep").join(rows.select("t", "other", "in_lead"), ["t", "other"])
     fit = full.groupBy("rep", "n", "other").agg(F.count("*").alias("c"), F.count_if("in_lead").alias("x")).where(F.col("c") >= least)
     leads = grouped.where("rep = grp").selectExpr("grp AS other", "n AS lead_n")
     fit = C.saved(fit.join(leads, "other").withColumn("linked", 100 * F.col("x") >= percent * (F.col("n") + F.col("lead_n") - F.col("x"))), "qualified-groups")
