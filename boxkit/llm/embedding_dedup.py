@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-THRESHOLD, TREES, LEAF, BLOCK, SAMPLE, SPILL, SEED = 0.9, 8, 400, 2000, 16384, 0.7, 7
+THRESHOLD, TREES, LEAF, BLOCK, SAMPLE, SPILL, SEED = 0.9, 5, 400, 2000, 16384, 0.4, 7
 
 
 class Tree:
