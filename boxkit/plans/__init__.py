@@ -1,6 +1,6 @@
 """Registered queries: which operators run on which tables."""
 
 from ..registry import ORACLES, QUERIES
-from . import filters, fusion, joins, scoring, stats, tracks
+from . import filters, fusion, joins, scoring, search, stats, survey, tracks
 
-__all__ = ["ORACLES", "QUERIES", "filters", "fusion", "joins", "scoring", "stats", "tracks"]
+__all__ = ["ORACLES", "QUERIES", "filters", "fusion", "joins", "scoring", "search", "stats", "survey", "tracks"]
