@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-FLUSH = 400_000
+FLUSH = 250_000
 NO_ID = np.iinfo(np.int64).max
 
 
