@@ -87,6 +87,8 @@ class TestSuffixes:
             array = suffixes[order]  # the shard's suffix array, as far down as windows go
             lo, hi = np.searchsorted(array, keys, "left"), np.searchsorted(array, keys, "right")
             many = hi - lo
+            if not many.any():
+                continue
             hit = np.repeat(np.arange(len(keys)), many)
             within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             found.append((p[order[lo[hit] + within]], item[hit], start[hit], n))
@@ -189,9 +191,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     blocks = item_blocks(benchmark)
     first, more = next(blocks), next(blocks, None)
     if more is not None:  # several passes: what they hit must be added up before judging
-        rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+        rows = docs.select(F.struct(*columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
         bad = judge(docs, benchmark, window, share).where("contaminated").select("_rid")
-        return rows.join(bad, "_rid", "left_anti").select(*columns)
+        return rows.join(bad, "_rid", "left_anti").select("_row.*")
     sent = docs.sparkSession.sparkContext.broadcast(first)
     place = columns.index("text")
 

@@ -227,11 +227,11 @@ def _across(grouped: DataFrame, sets: DataFrame, percent: int, buckets: int) ->
 
 def keep_first(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without those that a component has a smaller doc_id (or earlier row) for."""
-    columns = docs.columns
     linked = links(docs, size, percent).where("root >= 0")
     first = linked.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_rid")).getField("_rid").alias("first"))
     gone = linked.join(first, "root").where("_rid <> first").select("_rid")
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").select(*columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
+    return rows.join(gone, "_rid", "left_anti").select("_row.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
