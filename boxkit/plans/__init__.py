@@ -1,6 +1,6 @@
 """Registered queries: which operators run on which tables."""
 
 from ..registry import ORACLES, QUERIES
-from . import filters, fusion, joins, scoring, search, sources, stats, survey, tracks
+from . import filters, fusion, joins, scoring, search, sources, stats, streams, survey, tracks, udfs
 
-__all__ = ["ORACLES", "QUERIES", "filters", "fusion", "joins", "scoring", "search", "sources", "stats", "survey", "tracks"]
+__all__ = ["ORACLES", "QUERIES", "filters", "fusion", "joins", "scoring", "search", "sources", "stats", "streams", "survey", "tracks", "udfs"]

@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEQ = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
 #: A comma outside double quotes.
 COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
+def seq() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """seq and value of all lines of the files below a path."""
-    return spark.read.option("recursiveFileLookup", "true").text(path).select(SEQ.alias("seq"), "value")
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(seq().alias("seq"), "value")
 
 
 def number(c: Column) -> Column:
