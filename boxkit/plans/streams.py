@@ -20,7 +20,7 @@ def _dir(spark, name):
 
 def _stream(spark, df, order, name, parts=4, per=2):
     path = _dir(spark, name)
-    df.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(path)
+    op.staged(df, order, path, parts)
     return op.source(spark, path, df.schema, per)
 
 

@@ -24,6 +24,16 @@ def source(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def staged(df: DataFrame, order: str, path: str, parts: int = 4) -> None:
+    """Writes a table as files that arrive in order: one range of the order after the other."""
+    key = F.col(order).cast("double")
+    cuts = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)])).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df if lo is None else df.where(key > lo)
+        part = part if hi is None else part.where(key <= hi)
+        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append"):
     """Runs a stream over what is there and writes it as Parquet; gives the finished query."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)

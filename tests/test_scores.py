@@ -24,14 +24,14 @@ def boxes(n_frames=12, seed=0, jitter=6, extra=2):
     truth, comp, k = [], [], 0
     for f in range(n_frames):
         for t in range(5):
-            x, y = 30 * t + rng.uniform(0, 5), rng.uniform(0, 20)
+            x, y = 30 * t + float(rng.uniform(0, 5)), float(rng.uniform(0, 20))
             truth.append((f % 2, f, k, t, x, y, x + 40, y + 40, 1.0, "AB"[t % 2]))
             if rng.random() < 0.85:
-                d = rng.uniform(-jitter, jitter, 2)
+                d = rng.uniform(-jitter, jitter, 2).tolist()
                 comp.append((f % 2, f, 1000 + k, t if rng.random() < 0.9 else t + 10, x + d[0], y + d[1], x + 40 + d[0], y + 40 + d[1], round(float(rng.uniform(0.2, 1)), 2), "AB"[t % 2]))
             k += 1
         for _ in range(extra):
-            x = rng.uniform(0, 200)
+            x = float(rng.uniform(0, 200))
             comp.append((f % 2, f, 5000 + k + len(comp), 99, x, 0.0, x + 40, 40.0, round(float(rng.uniform(0.2, 1)), 2), "A"))
     return truth, comp
 

@@ -91,7 +91,7 @@ def test_stream_equals_batch(spark, tmp_path, what):
     }
     table, op = run[what]
     at = str(tmp_path / "in")
-    table.repartitionByRange(3, "frame_id").sortWithinPartitions("frame_id").write.parquet(at)
+    streams.staged(table, "frame_id", at, 3)
     stream = op(streams.source(spark, at, table.schema))
     streams.drain(stream, str(tmp_path / "out"))
     got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
