@@ -156,3 +156,11 @@ def io_query_results_write(spark, sf):
     r = r.withColumn("track_id", F.row_number().over(Window.orderBy("uid")) - 1)  # one row per result
     c = view(spark, sf, "computed").select(F.expr("det_id DIV 10 % 1000").alias("uid"), "frame_id", "det_id")
     return c.join(r, "uid").select("track_id", "frame_id", "det_id", F.round(1.0 - F.col("track_id") / 1000, 6).alias("conf"))
+
+
+@query("itq_fit")
+def itq_fit(spark, sf):
+    """The fitted projection, one row per dimension and bit, with the mean of the dimension."""
+    model = op.itq_fit(_v(spark, sf), 16, 5)
+    rows = [(d, b, float(model.mean[d]), float(model.projection[d, b])) for d in range(model.projection.shape[0]) for b in range(model.projection.shape[1])]
+    return spark.createDataFrame(rows, "dim int, bit int, mean double, weight double")
