@@ -34,11 +34,11 @@ def nms(spark, sf):
     return op.nms(view(spark, sf, "computed"), 0.5, 4.0)
 
 
-@query("sort_by_conf", with_views("SELECT det_id, rank FROM (SELECT det_id, row_number() OVER (PARTITION BY seq_id, frame_id ORDER BY conf DESC, det_id) AS rank FROM computed) WHERE rank <= 5"))
+@query("sort_by_conf", with_views("SELECT det_id, rank FROM (SELECT det_id, row_number() OVER (PARTITION BY seq_id, frame_id ORDER BY round(conf, 6) DESC, det_id) AS rank FROM computed) WHERE rank <= 5"))
 def sort_by_conf(spark, sf):
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("seq_id", "frame_id").orderBy(F.desc("conf"), "det_id")
+    w = Window.partitionBy("seq_id", "frame_id").orderBy(F.desc(F.round("conf", 6)), "det_id")
     return view(spark, sf, "computed").select("det_id", F.row_number().over(w).alias("rank")).where("rank <= 5")
 
 
