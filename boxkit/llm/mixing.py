@@ -127,7 +127,7 @@ take AS (
   SELECT c.*, least(round(coalesce(quota, 0) * total / {BLOCKS}), 2.0 * cell_size)::BIGINT AS take
   FROM cell c CROSS JOIN total LEFT JOIN won ON c.source IS NOT DISTINCT FROM won.source AND c.shard = won.shard),
 run AS (
-  SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY code, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto FROM placed p)
+  SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY substr(code, 3, 3), code, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto FROM placed p)
 SELECT doc_id, size, t.source_size, t.target,
        (CASE WHEN cell_size > 0 THEN take // cell_size ELSE 0 END * size
         + greatest(0, least(size, take - CASE WHEN cell_size > 0 THEN take // cell_size ELSE 0 END * cell_size - (upto - size))))::BIGINT AS taken
