@@ -4,7 +4,8 @@ The lexicon starts from a short list of insults and learns further words and
 word stems from labelled rows: those that stand in toxic texts far more often
 than chance allows. Its terms form a trie; a word is looked up by running a
 Levenshtein automaton along the trie, so that misspelled terms are found at the
-cost of the branches that stay within reach. Each hit counts by the weight of
+cost of the branches that stay within reach: one edit for terms and stems of five
+letters and more, two for those of nine and more. Each hit counts by the weight of
 its term, less for each edit; windows around hits weigh in whether the passage
 quotes or speaks about the term, or turns it at a reader. A small logistic
 model over these figures gives the score.
@@ -72,7 +73,7 @@ def learn_lexicon(train: DataFrame, size: int = LEXICON_SIZE) -> list[tuple[str,
     found = counts.where(p > 0.9).withColumn("gain", gain).where(F.col("gain") >= 12).orderBy(F.desc("gain"), "w", "stem").limit(4 * size).collect()
     kept: dict[tuple[str, bool], float] = {}
     for r in sorted(found, key=lambda r: (len(r.w), not r.stem)):
-        if any((r.w[:k], True) in kept for k in range(1, len(r.w) + (not r.stem))):
+        if any((r.w[:k], True) in kept for k in range(1, len(r.w))):
             continue  # a shorter stem has it
         weight = float(np.log((r.a + 0.5) / (toxic + 1)) - np.log((r.n - r.a + 0.5) / (clean + 1)))
         if r.stem and any(s.startswith(r.w) for s in SEEDS):
@@ -108,24 +109,33 @@ class Lexicon:
             codes = np.array([_hash(terms[k][0]) for k in ks], dtype=np.uint64)
             order = np.argsort(codes)
             self.by_length[n] = (codes[order], np.array(ks)[order])
-        #: Words of five letters and more may be misspelled: one edit leaves one of their halves whole.
-        self.fuzzy = [k for k, (w, stem, _) in enumerate(terms) if not stem and len(w) >= 5 and w.isascii()]
-        self.masks = np.array([_mask(terms[k][0]) for k in self.fuzzy], dtype=np.uint32)
-        self.sizes = np.array([len(terms[k][0]) for k in self.fuzzy], dtype=np.int64)
-        self.halves: list[tuple[bool, int, np.ndarray]] = []
-        for front in (True, False):
-            by: dict[int, set] = {}
-            for k in self.fuzzy:
-                w = terms[k][0]
-                half = w[: len(w) // 2] if front else w[len(w) // 2 :]
-                by.setdefault(len(half), set()).add(_hash(half))
-            self.halves += [(front, n, np.sort(np.array(list(x), dtype=np.uint64))) for n, x in by.items()]
-        self.near_trie: dict = {}
+        #: Terms of five letters and more may be misspelled once, those of nine and more twice.
+        self.fuzzy = [k for k, (w, _, _) in enumerate(terms) if len(w) >= 5]
+        mine = [terms[k] for k in self.fuzzy]
+        self.masks = np.array([_mask(w) for w, _, _ in mine], dtype=np.uint32)
+        self.sizes = np.array([len(w) for w, _, _ in mine], dtype=np.int64)
+        self.stems = np.array([stem for _, stem, _ in mine], dtype=bool)
+        self.reach = np.array([_reach(w) for w, _, _ in mine], dtype=np.int64)
+        self.longest = max((len(w) for w, _, _ in mine), default=0)
+        self.letters = _letters([w for w, _, _ in mine], self.longest)
+        keys: dict[tuple[bool, int, int], set] = {}
+        for k, (w, stem, _) in enumerate(mine):
+            for front, at, piece in _pieces(w, stem):
+                keys.setdefault((front, at, len(piece)), set()).add((int(_hash(piece.decode())), k))
+        self.keys = []
+        for key, pairs in sorted(keys.items()):
+            codes, ks = zip(*sorted(pairs), strict=True)
+            self.keys.append((*key, np.array(codes, dtype=np.uint64), np.array(ks, dtype=np.int64)))
+        #: Each node has the terms that end there and, under None, the most edits that a term below it allows.
+        self.near_trie: dict = {None: 0}
         for k in self.fuzzy:
+            w, stem, _ = terms[k]
             node = self.near_trie
-            for c in terms[k][0]:
-                node = node.setdefault(c, {})
-            node[""] = k
+            for c in w:
+                node[None] = max(node[None], _reach(w))
+                node = node.setdefault(c, {None: 0})
+            node[None] = max(node[None], _reach(w))
+            node.setdefault("", []).append((k, stem, _reach(w)))
         self.known: dict[str, tuple[int, int]] = {}
 
     def exact(self, sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -150,44 +160,139 @@ class Lexicon:
             got = self.known[word] = self._intersect(word)
         return got
 
-    def _intersect(self, word: str, reach: int = 1) -> tuple[int, int]:
-        """The automaton's state is a row of edit costs; a branch ends where none is within reach."""
-        best, found = reach + 1, -1
-        work = [(self.near_trie, list(range(len(word) + 1)), None, "")]
+    def cut(self, data: bytes) -> str:
+        """What near() needs of a word: no term tells words apart by what follows."""
+        return data[: 4 * (self.longest + 3)].decode("utf-8", "replace")[: self.longest + 3]
+
+    def _intersect(self, word: str) -> tuple[int, int]:
+        """The automaton's state is a row of edit costs; a branch ends where none is within reach.
+
+        A stem is met by the beginning of a word that goes on after it.
+        """
+        best, found = 3, -1
+        work = [(self.near_trie, list(range(len(word) + 1)), None, "", 0)]
         while work:
-            node, row, above, last = work.pop()
+            node, row, above, last, depth = work.pop()
+            for k, stem, reach in node.get("", ()):
+                cost = row[-1] if not stem else min(row[:-1], default=3) if row[-1] else 3
+                if cost < best and cost <= reach:
+                    best, found = cost, k
             for c, child in node.items():
-                if c == "":
-                    if row[-1] < best:
-                        best, found = row[-1], child
+                if not c:
                     continue
-                step = [row[0] + 1]
-                for i, x in enumerate(word):
+                step = [depth + 1] + [9] * len(word)
+                for i in range(max(0, depth - 2), min(len(word), depth + 3)):  # others cost more than two edits
+                    x = word[i]
                     cost = min(step[i] + 1, row[i + 1] + 1, row[i] + (x != c))
                     if above is not None and i and x == last and word[i - 1] == c:
                         cost = min(cost, above[i - 1] + 1)  # two letters changed places
-                    step.append(cost)
-                if min(step) <= reach:
-                    work.append((child, step, row, c))
+                    step[i + 1] = cost
+                if min(step) <= child[None] and min(step) < best:
+                    work.append((child, step, row, c, depth + 1))
         return (found, best) if found >= 0 else (-1, 0)
 
     def candidates(self, low: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Places of the words that could be one edit away from a term."""
-        some = np.zeros(len(s), bool)
-        for front, n, codes in self.halves:
-            pick = np.flatnonzero(e - s >= n)
-            h = C.span_hash(sums, s[pick], s[pick] + n) if front else C.span_hash(sums, e[pick] - n, e[pick])
-            some[pick[codes[np.minimum(np.searchsorted(codes, h), len(codes) - 1)] == h]] = True
-        at = np.flatnonzero(some)
-        if not len(at):
-            return at
-        sizes = e[at] - s[at]
-        flat = np.repeat(s[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        masks = np.bitwise_or.reduceat(_BIT[low[flat]], np.cumsum(sizes) - sizes)
-        ok = np.zeros(len(at), bool)
-        for m, n in zip(self.masks, self.sizes, strict=True):
-            ok |= (np.abs(sizes - n) <= 1) & (np.bitwise_count(masks & ~m) <= 1) & (np.bitwise_count(m & ~masks) <= 1)
-        return at[ok]
+        """Places of the words that are within reach of a term: pairs that share a piece and enough letters, then run letter by letter."""
+        n_terms, pairs = len(self.fuzzy), [np.empty(0, np.int64)]
+        for front, at, n, codes, ks in self.keys:
+            pick = np.flatnonzero(e - s >= at + n)
+            h = C.span_hash(sums, s[pick] + at, s[pick] + at + n) if front else C.span_hash(sums, e[pick] - n, e[pick])
+            lo = np.searchsorted(codes, h)
+            met = np.flatnonzero(codes[np.minimum(lo, len(codes) - 1)] == h)
+            pick, lo, many = pick[met], lo[met], np.searchsorted(codes, h[met], "right") - lo[met]
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            pairs.append(np.repeat(pick, many) * n_terms + ks[np.repeat(lo, many) + nth])
+        pairs = np.unique(np.concatenate(pairs))
+        if not len(pairs):
+            return pairs
+        at, word = np.unique(pairs // n_terms, return_inverse=True)
+        term = pairs % n_terms
+        sizes = np.minimum(e[at] - s[at], 4 * (self.longest + 3))
+        begins = np.cumsum(sizes) - sizes
+        flat = np.repeat(s[at] - begins, sizes) + np.arange(sizes.sum())
+        masks = np.bitwise_or.reduceat(_BIT[low[flat]], begins)[word]
+        letters = np.add.reduceat(((low[flat] & 0xC0) != 0x80).astype(np.int64), begins)[word]
+        m, n, stem, reach = self.masks[term], self.sizes[term], self.stems[term], self.reach[term]
+        ok = (letters >= n - reach) & (np.bitwise_count(m & ~masks) <= reach)
+        ok &= stem | ((letters <= n + reach) & (np.bitwise_count(masks & ~m) <= reach))
+        word, term = word[ok], term[ok]
+        used, word = np.unique(word, return_inverse=True)
+        texts = [self.cut(low[i:j].tobytes()) for i, j in zip(s[at[used]].tolist(), e[at[used]].tolist(), strict=True)]
+        return at[used[np.unique(word[self._within(texts, word, term)])]]
+
+    def _within(self, texts: list[str], word: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Whether each pair of a text and a term is within reach: rows of edit costs of all pairs at a time, two places to both sides."""
+        pad, far = 2, 9
+        chars = _letters(texts, self.longest + 3 + pad, pad)
+        sizes = np.array([len(w) for w in texts], dtype=np.int64)[word]
+        n, stem, reach = self.sizes[term], self.stems[term], self.reach[term]
+        # row i: costs of i letters of the term against i - 2 .. i + 2 letters of the word
+        row, above = np.tile(np.array([far, far, 0, 1, 2], dtype=np.int8), (len(word), 1)), None
+        out = np.zeros(len(word), bool)
+        live = np.arange(len(word))
+        for i in range(1, self.longest + 1):
+            c, step = self.letters[term[live], i - 1], np.full((len(live), 5), far, dtype=np.int8)
+            x = chars[word[live], i - 3 + pad : i + 2 + pad]  # the word's letters i - 2 .. i + 2
+            before = chars[word[live], i - 4 + pad : i + 1 + pad] if i > 1 else None
+            for d in range(5):
+                j = i + d - 2
+                if j < 0:
+                    continue
+                cost = row[:, d + 1] + 1 if d < 4 else np.full(len(live), far, np.int8)
+                if j:
+                    cost = np.minimum(cost, row[:, d] + (x[:, d] != c))
+                    if d:
+                        cost = np.minimum(cost, step[:, d - 1] + 1)
+                    if i > 1 and j > 1:
+                        swap = (x[:, d] == self.letters[term[live], i - 2]) & (before[:, d] == c)
+                        cost = np.where(swap, np.minimum(cost, above[:, d] + 1), cost)
+                step[:, d] = np.where(j <= sizes[live], cost, far)
+            done = n[live] == i
+            if done.any():
+                mine, rest = live[done], sizes[live[done]] - i
+                place = np.arange(-2, 3)
+                costs = np.where(np.where(stem[mine, None], place < rest[:, None], place == rest[:, None]), step[done], far)
+                same = (rest == 0) & (step[done][:, 2] == 0)
+                out[mine] = (costs.min(axis=1) <= reach[mine]) & ~(stem[mine] & same)
+            on = ~done & (step.min(axis=1) <= reach[live])
+            above, row, live = row[on], step[on], live[on]
+            if not len(live):
+                break
+        return out
+
+
+def _letters(words: list[str], width: int, pad: int = 0) -> np.ndarray:
+    """Code points, a row for each word, 0 around it."""
+    text = "".join("\0" * pad + w.ljust(width, "\0") for w in words)
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(len(words), pad + width)
+
+
+def _reach(w: str) -> int:
+    return 1 if len(w) < 9 else 2
+
+
+def _pieces(w: str, stem: bool) -> set[tuple[bool, int, bytes]]:
+    """(from the front, first byte or 0, bytes) of pieces of which each word within reach has one whole.
+
+    k edits leave one of k + 1 pieces whole, but for two letters that change places across a cut: there
+    the pieces of the swapped term are taken. The first piece stands at the front of the word and the last
+    one at its end; others, and the last one of a stem, are shifted by one edit, of a letter of four bytes
+    at most. (Where a shifted piece is the only whole one, one edit stands before it.)
+    """
+    n = _reach(w) + 1
+    cuts = [len(w) * i // n for i in range(n + 1)]
+    out = set()
+    for swap in (0, *cuts[1:-1]):
+        v = w if not swap else w[: swap - 1] + w[swap] + w[swap - 1] + w[swap + 1 :]
+        for i in range(n):
+            piece, at = v[cuts[i] : cuts[i + 1]].encode(), len(v[: cuts[i]].encode())
+            if not i:
+                out.add((True, 0, piece))
+            elif i == n - 1 and not stem:
+                out.add((False, 0, piece))
+            elif not swap or stem:
+                out |= {(True, at + d, piece) for d in range(-4, 5) if at + d >= 0}
+    return out
 
 
 def _hash(w: str) -> np.uint64:
@@ -213,11 +318,15 @@ def figures(lexicon: Lexicon, low: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return x
     sums = C.prefix_sums(C.BYTE_CODES[low])
     term, edits = lexicon.exact(sums, s, e), np.zeros(len(s), np.int8)
-    rest = np.flatnonzero((term < 0) & (e - s >= 4) & (e - s <= 40))
+    rest = np.flatnonzero((term < 0) & (e - s >= 4))
     data = low.tobytes()
-    rest = rest[lexicon.candidates(low, sums, s[rest], e[rest])]
-    for i in rest.tolist():
-        term[i], edits[i] = lexicon.near(data[s[i] : e[i]].decode("utf-8", "replace"))
+    # each word of a chunk is looked at once
+    _, one, same = np.unique(C.span_hash(sums, s[rest], e[rest]), return_index=True, return_inverse=True)
+    got = np.full((len(one), 2), (-1, 0), dtype=np.int64)
+    one = rest[one]
+    for i in lexicon.candidates(low, sums, s[one], e[one]).tolist():
+        got[i] = lexicon.near(lexicon.cut(data[s[one[i]] : e[one[i]]]))
+    term[rest], edits[rest] = got[same, 0], got[same, 1]
     hits = np.flatnonzero(term >= 0)
     doc = np.searchsorted(first, hits, "right") - 1
     weight = lexicon.weights[term[hits]]

@@ -249,6 +249,65 @@ def test_automaton_finds_misspelled():
     assert lex.near("patriot")[0] == -1
 
 
+def edits(a, b):
+    """Rows of the plain table of edit costs, two neighbours that change places being one edit."""
+    d = [list(range(len(b) + 1))]
+    for i, x in enumerate(a):
+        d.append([i + 1])
+        for j, y in enumerate(b):
+            d[-1].append(min(d[i][j + 1] + 1, d[i + 1][j] + 1, d[i][j] + (x != y)))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                d[-1][-1] = min(d[-1][-1], d[i - 1][j - 1] + 1)
+    return d[-1]
+
+
+def variants(w, letters):
+    out = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+    return out | {w[:i] + c + w[i + k :] for i in range(len(w) + 1) for c in letters for k in (0, 1)}
+
+
+def test_all_misspellings_within_reach_are_found():
+    terms = [(w, False) for w in toxicity.SEEDS] + [("über", False), ("señorito", False), ("écritoire", False), ("日本語日本語日本語", False), ("blarg", True), ("zömple", True), ("kötzend", True), ("fnord" * 9, False)]
+    lex = toxicity.Lexicon([(w, stem, 1.0) for w, stem in sorted(terms)])
+    reach = {w: 0 if len(w) < 5 else 1 if len(w) < 9 else 2 for w, _ in terms}
+    rng = random.Random(5)
+    tries = set()
+    for w, stem in terms:
+        one = variants(w, "aeé語")
+        tries |= {v + t for v in one for t in (("q", "isch", "x" * 60) if stem else ("", "q"))} | (one if stem else set())
+        if reach[w] == 2:
+            two = sorted(set().union(*(variants(v, "eé") for v in one)))
+            tries |= set(rng.sample(two, 1200))
+    tries = sorted(v for v in tries if len(v.encode()) >= 4 and v not in reach)
+    low = np.frombuffer(" ".join(tries).encode(), np.uint8)
+    s, e, _ = words(low, np.array([0, len(low)]), blank=False)
+    assert len(s) == len(tries)
+    picked = set(lex.candidates(low, toxicity.C.prefix_sums(toxicity.C.BYTE_CODES[low]), s, e).tolist())
+    for i, v in enumerate(tries):
+        best = {}
+        for w, stem in terms:
+            if reach[w] and (stem or abs(len(v) - len(w)) <= 2):
+                d = edits(w, v)
+                d = min(d[: min(len(v), len(w) + 3)]) if stem else d[-1]
+                if d <= reach[w]:
+                    best[w] = d
+        k, n = lex.near(lex.cut(v.encode())) if i in picked else (-1, 0)
+        assert (k >= 0) == bool(best) and (k < 0 or best[lex.terms[k][0]] == n == min(best.values())), (v, best, k, n)
+
+
+def test_misspelled_words_count():
+    lex = toxicity.Lexicon([("degenerate", False, 3.0), ("idiot", False, 3.0), ("blarg", True, 3.0)])
+    for w in ("iidot", "degnerat", "balrgisch"):
+        low = np.frombuffer(f"some {w} here".encode(), np.uint8)
+        assert toxicity.figures(lex, low, np.array([0, len(low)]))[0, 2] > 0, w
+
+
+def test_word_beside_its_stem_is_learned(spark):
+    rows = [(f"{w} plain{i}", 1) for i in range(30) for w in ("blar", "blarisch")] + [(f"other plain{i} word", 0) for i in range(60)]
+    terms = {(w, stem) for w, stem, _ in toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))}
+    assert {("blar", False), ("blar", True)} <= terms
+
+
 def test_reshard(docs, rows, empty):
     got = reshard.assign(docs).collect()
     assert sorted(r.size for r in got) == sorted(len((t or "").encode()) + 1 for _, t in rows)
