@@ -3,8 +3,10 @@
 Each text is layer 0 of a worklist. A layer is scanned by the three base
 patterns; then its encoded stretches (URL escapes, Unicode escapes, base64,
 and base64 of gzip or zlib data) are decoded, each to a further layer, until
-none is left. A layer whose content was met before is not taken up again, so
-encodings that lead back to themselves end. Every character of a layer knows
+none is left. A layer that has the same content from the same places as one
+before is not taken up again, so encodings that lead back to themselves end
+(they contain a compressed stretch, all of whose content has one place), while
+the same content in another place is scanned there too. Every character of a layer knows
 the stretch of the original text that it comes from, so what is found at any
 depth is given in code points of the original.
 
@@ -15,15 +17,22 @@ have no match at all.
 Defined cases: a null text counts as empty and has no spans; equal rows give
 equal results, each for itself; a span found both in the text and in a decoded
 layer is given once; further columns are ignored. A compressed stretch that
-would grow beyond ``max_layer`` bytes is left as it is.
+grows beyond ``max_layer`` bytes is unpacked and scanned in pieces of about that
+size, cut at line ends or blanks that no pattern can span; pieces of a stretch
+without any overlap by ``OVERLAP`` characters, and what is encoded in such a
+stretch as a whole (above all, compressed once more) is not decoded.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
+import hashlib
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +51,9 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _HEX_BYTE = np.array([b in b"0123456789abcdef" for b in range(256)])
 _B64_BYTE = np.array([b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" for b in range(256)])
-MAX_LAYER = 16_000_000
+MAX_LAYER, OVERLAP = 16_000_000, 1 << 16
+#: Places where no pattern goes on: blanks but spaces, and spaces beside neither : nor =.
+_CUT = re.compile(r"[^\S\x20]|(?<=[^\s:=])\x20+(?=[^\s:=])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,16 +74,59 @@ def _readable(data: bytes) -> str | None:
     return text if text and plain >= 0.95 * len(text) else None
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    for magic, bits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
-        if data.startswith(magic):
-            try:
-                unpack = zlib.decompressobj(bits)
-                out = unpack.decompress(data, most)
-                return out if unpack.eof else None
-            except zlib.error:
-                return None
-    return None
+def _unpacked(data: bytes, bits: int, most: int) -> Iterator[bytes]:
+    """The bytes of a compressed stretch, at most so many at once; ValueError unless it is whole."""
+    unpack = zlib.decompressobj(bits)
+    while not unpack.eof:
+        try:
+            out = unpack.decompress(data, most)
+        except zlib.error as x:
+            raise ValueError from x
+        data = unpack.unconsumed_tail
+        if not out and not data and not unpack.eof:
+            raise ValueError
+        if out:
+            yield out
+
+
+def _inflate(data: bytes, most: int) -> Iterator[str] | None:
+    """The text that a compressed stretch holds, in pieces; None if it is none."""
+    bits = 31 if data.startswith(b"\x1f\x8b") else 15 if data.startswith(b"\x78") else 0
+    if not bits:
+        return None
+    # a first pass tells whether it is whole and looks like a text
+    read, n, plain, small = codecs.getincrementaldecoder("utf-8")(), 0, 0, []
+    try:
+        for k, block in enumerate(_unpacked(data, bits, most)):
+            text = read.decode(block)
+            n += len(text)
+            plain += sum(c.isprintable() or c in "\n\r\t" for c in text)
+            small = [text] if not k else []
+        read.decode(b"", final=True)
+    except ValueError:
+        return None
+    if not n or plain < 0.95 * n:
+        return iter(())
+    return iter(small) if small else _pieces(_unpacked(data, bits, most), most)
+
+
+def _pieces(blocks: Iterator[bytes], most: int) -> Iterator[str]:
+    read, held = codecs.getincrementaldecoder("utf-8")(), ""
+    for block in blocks:
+        held += read.decode(block)
+        while len(held) > most:
+            end = max((m.end() for m in _CUT.finditer(held, 0, most)), default=0)
+            if end:
+                yield held[:end]
+                held = held[end:]
+            else:
+                yield held[:most]
+                at = most - min(OVERLAP, most // 2)
+                # base64 goes on at a multiple of four
+                at -= next(((at - m.start()) % 4 for m in _BASE64.finditer(held, 0, most) if m.start() <= at < m.end()), 0)
+                held = held[at:]
+    if held:
+        yield held
 
 
 def _unescape(segment: str, url: bool) -> tuple[str, list[int], list[int]]:
@@ -128,7 +182,7 @@ def _layers(text: str, max_layer: int):
             continue
         packed = _inflate(data, max_layer)
         if packed is not None:
-            if (out := _readable(packed)) is not None:
+            for out in packed:
                 yield out, [m.start()] * len(out), [m.end()] * len(out), "base64+compressed"
         elif (out := _readable(data)) is not None:
             first, last, k = [], [], 0
@@ -143,17 +197,25 @@ def _layers(text: str, max_layer: int):
 def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list]:
     """(base spans, [(start, kind, end, depth, path, found text)] of deeper layers) of one text."""
     base, deep = base_spans(text), []
-    work, seen = [(text, None, None, 0, "")], {text}
+    work, seen = [((text, None, None, 0, ""), _layers(text, max_layer))], set()
     while work:
-        layer, first, last, depth, path = work.pop()
+        (_, first, last, depth, path), layers = work[-1]
+        got = next(layers, None)
+        if got is None:
+            work.pop()
+            continue
+        out, f, l, by = got
         if depth:
-            deep += [(first[s], kind, last[e - 1], depth, path, layer[s:e]) for s, kind, e in base_spans(layer)]
-        for out, f, l, by in _layers(layer, max_layer):
-            if out not in seen:
-                seen.add(out)
-                if depth:
-                    f, l = [first[x] for x in f], [last[x - 1] for x in l]
-                work.append((out, f, l, depth + 1, f"{path}/{by}" if path else by))
+            f, l = [first[x] for x in f], [last[x - 1] for x in l]
+        key = hashlib.blake2b(out.encode("utf-8", "replace"), digest_size=16)
+        for places in (f, l):
+            key.update(array("q", places))
+        if key.digest() in seen:
+            continue
+        seen.add(key.digest())
+        path = f"{path}/{by}" if path else by
+        deep += [(f[s], kind, l[e - 1], depth + 1, path, out[s:e]) for s, kind, e in base_spans(out)]
+        work.append(((out, f, l, depth + 1, path), _layers(out, max_layer)))
     return base, sorted(deep)
 
 

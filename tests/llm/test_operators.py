@@ -203,6 +203,21 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.find(loop * 3)[0] == []
 
 
+def test_secrets_in_every_place_and_in_large_layers():
+    inner = "password=hunter22"
+    b64, url = base64.b64encode(inner.encode()).decode(), "".join(f"%{ord(c):02X}" for c in inner)
+    text = f"{b64} and {b64} or {url} then {url}"
+    _, deep = secret_scan.find(text)
+    assert sorted(text[s:e].rstrip("=") for s, _, e, *_ in deep) == sorted([b64.rstrip("="), b64.rstrip("="), url, url])
+    assert len({s for s, *_ in deep}) == 4
+    for fill in ("line of text\n", "many words : = ", "x.y,"):
+        big = base64.b64encode(gzip.compress((fill * 2000 + f" {inner} " + fill * 2000 + f" {b64} ").encode())).decode()
+        _, deep = secret_scan.find(f"see {big} end", 5000)
+        assert {(s, e, x) for s, _, e, _, _, x in deep} == {(4, 4 + len(big), inner)}, fill
+        assert {p for _, _, _, _, p, _ in deep} == {"base64+compressed", "base64+compressed/base64"}
+        assert secret_scan.find(f"see {big[: len(big) // 8 * 4]} end", 5000) == ([], [])
+
+
 def test_license_scan(spark, docs, rows, empty):
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(0, "Copyright (c) 2020 Some One. All rights reserved. Licensed under the Apache License, Version 2.0; CC BY-NC 4.0; GNU General Public License version 3"), (1, None), (2, "the mit licenses"), (3, "MIT License mit license")], "doc_id long, text string")).collect()}
     assert {m.label for m in got[0].matched} == {"all-rights-reserved", "apache-2.0", "cc-by-nc", "gpl-3.0"}
