@@ -3,8 +3,11 @@
 The words of the mix are cut into equal blocks. Each source has, in each of the
 hashed shards, a cell of documents; the blocks go to the cells with the highest
 quotients weight / (2 k + 1), so that every cell has an integer quota of blocks.
-Within a cell documents are taken in the order of a seeded hash until its quota
-is full, whole passes first. Everything is DataFrame functions.
+A source so small that half a block in each of its cells is over ``COARSE`` of
+its target has its target shared among its cells by words instead, within one
+word of each cell's share. Within a cell documents are taken in the order of a
+seeded hash until its quota is full, whole passes first. Everything is DataFrame
+functions.
 
 No task holds a source: running totals are taken within hashed buckets of a
 cell, and the totals of buckets before it are added from a table of buckets.
@@ -24,6 +27,7 @@ from pyspark.sql.window import Window
 from . import common as C
 
 WEIGHTS, SHARE, MOST, BLOCKS, SHARDS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 16384, 8, "mix"
+COARSE = 0.02
 
 
 def n_words(text: Column) -> Column:
@@ -58,13 +62,20 @@ def quotas(cells: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     total = F.sum(F.col("target") * F.col("cell_size") / F.col("source_size"))
     whole = cells.where("source_size > 0").agg(total.alias("total"))
     cells = cells.crossJoin(F.broadcast(whole))  # one row
-    cells = cells.withColumn("cell_weight", F.col("target") * F.col("cell_size") / F.col("source_size"))
+    cells = cells.withColumn("cell_weight", F.try_divide(F.col("target") * F.col("cell_size"), "source_size"))
     seats = cells.where("cell_weight > 0").select("source", "shard", "cell_weight", F.explode(F.sequence(F.lit(0), F.ceil(2 * blocks * F.col("cell_weight") / F.col("total")).cast("int") + 1)).alias("k"))
     won = seats.orderBy(F.desc(F.col("cell_weight") / (2 * F.col("k") + 1)), F.col("source").asc_nulls_last(), "shard", "k").limit(blocks)
     won = won.groupBy(F.col("source").alias("w_source"), F.col("shard").alias("w_shard")).agg(F.count("*").alias("quota"))
     same = F.col("source").eqNullSafe(F.col("w_source")) & (F.col("shard") == F.col("w_shard"))
-    take = F.least(F.round(F.coalesce("quota", F.lit(0)) * F.col("total") / blocks), F.lit(MOST) * F.col("cell_size"))
-    return cells.join(won, same, "left").select("source", "shard", "cell_size", "source_size", "target", F.coalesce(take, F.lit(0.0)).cast("long").alias("take"), F.coalesce("quota", F.lit(0)).alias("quota"))
+    cells = cells.join(won, same, "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
+    # words of a source's cells up to and with each one; a source has as many rows here as there are shards
+    upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    of_source = Window.partitionBy("source")
+    share = F.try_divide("target", "source_size")
+    words = F.round(share * F.sum("cell_size").over(upto)) - F.round(share * (F.sum("cell_size").over(upto) - F.col("cell_size")))
+    coarse = F.count_if(F.col("cell_weight") > 0).over(of_source) * F.col("total") / blocks / 2 > COARSE * F.col("target")
+    take = F.least(F.when(coarse, words).otherwise(F.round(F.col("quota") * F.col("total") / blocks)), F.lit(MOST) * F.col("cell_size"))
+    return cells.select("source", "shard", "cell_size", "source_size", "target", F.coalesce(take, F.lit(0.0)).cast("long").alias("take"), "quota")
 
 
 def mix(docs: DataFrame, *keep: str, seed: str = SEED, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:

@@ -350,6 +350,20 @@ def test_mixing(spark, docs, rows, empty):
     assert Counter((r.doc_id, r.size, r.taken) for r in got) == Counter((r.doc_id, r.size, r.taken) for r in again)
 
 
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, "w " * 4000, "hot") for i in range(400)] + [(1000 + i, "w " * 30, f"small{i % 40:02}") for i in range(400)]
+    rows += [(5000, "one two three", "one"), (5001, "w " * 10, None), (5002, None, "blank")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mix(d, "source").collect():
+        taken[r._row.source] += r.taken
+        target[r._row.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(target) == 44 and all(abs(taken[s] - t) <= 1 for s, t in target.items() if s != "hot")
+    assert abs(taken["hot"] - target["hot"]) < 0.01 * target["hot"]
+    assert {r.doc_id for r in mixing.mixed(d).where("source = 'one' OR source IS NULL").collect()} == {5000, 5001}
+
+
 def test_targets_fill_and_stop(spark):
     t = mixing.targets(spark.createDataFrame([("a", 100), ("b", 300), (None, 200)], "source string, source_size long"))
     r = {x.source: x.target for x in t.collect()}
