@@ -6,6 +6,8 @@ are kept per task before they meet (a grouped top-k, not a sort of all pairs).
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,12 +21,23 @@ MOST_QUERIES = 10_000
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, distance: str = "euclidean") -> DataFrame:
-    """The k nearest vectors of each query (query_id, qvec), ties by uid; rank from 1. At most MOST_QUERIES are broadcast at once."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError("split the queries into blocks")
+    """The k nearest vectors of each query (query_id, qvec), ties by uid; rank from 1.
+
+    More than MOST_QUERIES queries go in blocks by hashed id of about half as many, each broadcast for itself.
+    """
+    n = queries.count()
     d = DISTANCES[distance](F.col("vec"), F.col("qvec"))
-    pairs = vectors.select("uid", "vec").join(F.broadcast(queries.select("query_id", "qvec"))).select("query_id", "uid", d.alias("distance"))
-    return ranked(pairs, "query_id", k)
+    queries, vectors = queries.select("query_id", "qvec"), vectors.select("uid", "vec")
+
+    def nearest(some: DataFrame) -> DataFrame:
+        return ranked(vectors.join(F.broadcast(some)).select("query_id", "uid", d.alias("distance")), "query_id", k)
+
+    if n <= MOST_QUERIES:
+        return nearest(queries)
+    blocks = -(-2 * n // MOST_QUERIES)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = [nearest(queries.where(block == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
