@@ -123,30 +123,43 @@ def with_row_id(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that all executors share, as the session names it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return at.rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: a lineage cut that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path, None
+    return out
 
 
 def saved_by(df: DataFrame, key: str, name: str) -> DataFrame:
     """Like saved(), in buckets of a key: later joins on it move only the other side."""
     spark = df.sparkSession
     table = f"boxkit_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{table}"
+    path = f"{shared_dir(spark)}/{name}-{table}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out.saved_at = path, table
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes what saved() or saved_by() wrote, once nothing reads it any more."""
+    for df in tables:
+        spark, (path, table) = df.sparkSession, df.saved_at
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def squeezed(rows: DataFrame) -> DataFrame:

@@ -26,6 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = C.saved(low, "labels")
         jump = low.selectExpr("node AS at", "root AS there")
         new = C.saved(low.join(jump, low["root"] == jump["at"]).selectExpr("node", "least(root, there) AS root", "was"), "labels")
+        C.drop(labels, low)
         if not new.where("root < was").limit(1).count():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+            C.drop(e)
+            return _with_place(new.select("node", "root"), new)
+        labels = _with_place(new.select("node", "root"), new)
+
+
+def _with_place(df: DataFrame, of: DataFrame) -> DataFrame:
+    df.saved_at = of.saved_at
+    return df

@@ -116,24 +116,30 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
     every = C.saved_by(joined.mapInArrow(sets, "_rid long, doc_id long, n long, tokens array<long>, marks array<long>, prints array<long>, known double"), "_rid", "shingle-sets")
     left = every.where("tokens IS NOT NULL")
     same = ["n", F.col("prints")[0].alias("p0"), F.col("prints")[1].alias("p1")]
-    reps = left.select("_rid", "marks", "known", *same).groupBy("n", "p0", "p1").agg(F.min("_rid").alias("rep"), F.min_by("marks", "_rid").alias("marks"), F.min("known").alias("known"))
+    reps = left.select("_rid", "doc_id", "marks", "known", *same).groupBy("n", "p0", "p1").agg(F.min("_rid").alias("rep"), F.min("doc_id").alias("doc_id"), F.min_by("marks", "_rid").alias("marks"), F.min("known").alias("known"))
     reps = C.saved(reps, "distinct-sets")
     tokens = left.select(F.col("_rid").alias("rep"), F.col("n").alias("size"), "tokens")
 
     star = C.saved(_verified(tokens, _stars(reps, percent), percent), "star-links")
+    classes = components(star)
     # each set goes to one leader, the one that shares most; a leader that goes to another one leads no more
     joins = star.groupBy("b").agg(F.max(F.struct(F.col("common") / F.col("na"), "a", "common")).alias("m")).select("b", F.col("m.a").alias("a"), F.col("m.common").alias("common"))
-    joins = C.saved(joins.join(star.select(F.col("a").alias("b")).distinct(), "b", "left_anti"), "members")
-    grouped = reps.join(joins, F.col("rep") == F.col("b"), "left").select("rep", "n", F.coalesce("a", "rep").alias("grp"), F.coalesce("common", "n").alias("with_lead"))
+    joins = joins.join(star.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+    grouped = reps.join(joins, F.col("rep") == F.col("b"), "left").join(classes, F.col("rep") == F.col("node"), "left")
+    grouped = grouped.select("rep", "n", "doc_id", F.coalesce("a", "rep").alias("grp"), F.coalesce("common", "n").alias("with_lead"), F.coalesce("root", "rep").alias("class"))
     grouped = C.saved(grouped, "token-groups")
-    across = _across(grouped, tokens, percent, buckets)
-    roots = components(star.select("a", "b").unionByName(across))
-    named = left.select("_rid", *same).join(reps.select("rep", "n", "p0", "p1"), ["n", "p0", "p1"]).join(roots, F.col("rep") == F.col("node"), "left")
-    named = C.saved(named.select("_rid", F.coalesce("root", "rep").alias("root")), "set-roots")
-    out = every.select("_rid", "doc_id", F.col("n").alias("n_shingles")).join(named, "_rid", "left").withColumn("root", F.coalesce("root", -1 - F.col("_rid")))
+    merged = _across(grouped.drop("doc_id"), tokens, percent, buckets)
+    # a class may hold a third of all rows: names are joined where Spark can split them
+    named = C.saved(grouped.join(merged, F.col("class") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("root", "class").alias("root")), "named-sets")
+    names = C.saved(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "class-names")
+    named = C.saved(named.drop("doc_id").join(names, "root"), "named-sets")
+    of_key = C.saved(reps.select("rep", "n", "p0", "p1").join(named, "rep").drop("rep"), "set-names")
+    # documents without a set that could link are their own class
+    rows = every.select("_rid", "doc_id", "n", *(F.col("prints")[k].alias(f"p{k}") for k in (0, 1)))
+    out = rows.join(of_key, ["n", "p0", "p1"], "left").select("_rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", -1 - F.col("_rid")).alias("root"))
     out = C.saved(out, "linked-documents")
-    names = out.where("root >= 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return out.join(names, "root", "left").select("_rid", "doc_id", "n_shingles", F.when(F.col("root") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+    C.drop(every, reps, star, classes, grouped, merged, named, names, of_key)
+    return out
 
 
 def _stars(reps: DataFrame, percent: int) -> DataFrame:
@@ -151,27 +157,30 @@ def _stars(reps: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", F.col("rep").alias("b")).distinct()
 
 
-def _verified(tokens: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold. A set may be a of very many pairs, so b's tokens go to where a's are and not the reverse."""
+def _common(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with na, nb and common. A set may be a of very many pairs, so b's tokens go to where a's are and not the reverse."""
     pairs = C.saved(pairs, "pairs")
     with_b = pairs.join(tokens.selectExpr("rep AS b", "size AS nb", "tokens AS tb"), "b")
     with_a = pairs.select("a").distinct().join(tokens.selectExpr("rep AS a", "size AS na", "tokens AS ta"), "a")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return with_b.join(with_a, "a").withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "na", "common")
+    return with_b.join(with_a, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
+
+
+def _verified(tokens: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
+    return _common(tokens, pairs).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
 
 
-def _shared_groups(grouped: DataFrame, tokens: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Groups that could hold a set with enough tokens in the unions of other groups: the matrix' rows, bound all at once."""
+def _shared_classes(grouped: DataFrame, tokens: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Classes that could hold a set with enough tokens in the unions of other classes: the matrix' rows, bound all at once."""
 
     def send(batches):
         sender = Sender(buckets, False, "groups")
 
         def out():
             for b in batches:
-                grp = b.column("grp").to_numpy()
+                of = b.column("class").to_numpy()
                 t = b.column("tokens")
-                many = pa.compute.list_value_length(t).to_numpy()
-                of = np.repeat(grp, many)
+                of = np.repeat(of, pa.compute.list_value_length(t).to_numpy())
                 one = np.ones(len(of), np.int64)
                 sender.add(t.flatten().to_numpy().view(np.uint64), of.astype(np.uint64), of, one, one, one)
                 yield from sender.rows()
@@ -179,50 +188,68 @@ def _shared_groups(grouped: DataFrame, tokens: DataFrame, percent: int, buckets:
 
         return batches_of(out(), NAMES, EX_TYPES)
 
-    rows = tokens.join(grouped.select("rep", "grp"), "rep").select("grp", "tokens")
+    rows = tokens.join(grouped.select("rep", "class"), "rep").select("class", "tokens")
     met = rows.mapInArrow(send, EXCHANGE).groupBy("part").applyInArrow(meet(buckets, False, "groups"), TO_DOCS)
     mixed = to_documents(met).select("srid", F.octet_length("state").alias("mixed"))
-    small = grouped.groupBy("grp").agg(F.min("n").alias("smallest"))
-    return mixed.join(small, F.col("srid") == F.col("grp")).where(100 * F.col("mixed") >= percent * F.col("smallest")).select("grp")
+    small = grouped.groupBy("class").agg(F.min("n").alias("smallest"))
+    return mixed.join(small, F.col("srid") == F.col("class")).where(100 * F.col("mixed") >= percent * F.col("smallest")).select("class")
 
 
 def _across(grouped: DataFrame, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Links between sets of different groups, at least one for each set and group that have any."""
-    some = C.saved(_shared_groups(grouped, sets, percent, buckets), "shared-groups")
-    grouped = C.saved(grouped.join(some, "grp"), "open-groups")
+    """node and root of the classes that links between their groups unite."""
+    some = C.saved(_shared_classes(grouped, sets, percent, buckets), "shared-classes")
+    grouped = C.saved(grouped.join(some, "class"), "open-groups")
     least = F.ceil(F.col("n") * percent / 100)
-    tokens = C.saved(sets.join(grouped, "rep").select("rep", "grp", "n", F.explode("tokens").alias("t")), "open-tokens")
-    # the matrix without the tokens of a single group, which bound nothing
-    matrix = tokens.groupBy("t", "grp").agg(F.max(F.col("rep") == F.col("grp")).alias("lead"))
-    shared = matrix.groupBy("t").agg(F.count("*").alias("groups")).where("groups > 1")
-    sizes = grouped.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("sets"))
+    tokens = C.saved(sets.join(grouped, "rep").select("rep", "grp", "class", "n", F.explode("tokens").alias("t")), "open-tokens")
+    # the matrix without the tokens of a single class, which bound nothing
+    matrix = tokens.groupBy("t", "grp", "class").agg(F.max(F.col("rep") == F.col("grp")).alias("lead"))
+    shared = matrix.groupBy("t").agg(F.count("*").alias("groups"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("t", "groups")
+    sizes = grouped.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("sets"), F.max(F.col("n") - F.col("with_lead")).alias("extra"))
     matrix = C.saved(matrix.join(shared, "t").join(sizes, "grp"), "token-group-matrix")
-    cells = C.saved(tokens.join(matrix.drop("lo", "hi"), ["t", "grp"]), "shared-tokens")
+    cells = C.saved(tokens.join(matrix.select("t", "grp", "lead", "groups", "sets"), ["t", "grp"]), "shared-tokens")
     bound = cells.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("rep", "c")
     query = C.saved(cells.join(bound, "rep"), "bounded-sets")
-    # of the tokens a linked group may lack, one more than it can: the rarest first; those of no other group come before all
+    # of the tokens a linked group may lack, one more than it can: the rarest first
     rarest = Window.partitionBy("rep").orderBy("groups", "t")
     probe = query.withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= F.col("c") - least + 1)
-    rows = matrix.select("t", F.col("grp").alias("other"), F.col("lead").alias("in_lead"), "lo", "hi", F.col("sets").alias("more"))
+    rows = matrix.select("t", F.col("grp").alias("other"), F.col("class").alias("other_class"), F.col("lead").alias("in_lead"), "lo", "hi", "extra", F.col("sets").alias("more"))
     # a link is found from either side: the sets of the smaller group are asked for
     turn = (F.col("more") > F.col("sets")) | ((F.col("more") == F.col("sets")) & (F.col("other") < F.col("grp")))
     sized = (percent * F.col("lo") <= 100 * F.col("n")) & (percent * F.col("n") <= 100 * F.col("hi"))
     # the tokens from this one on must suffice for the group's smallest set
     enough = (100 + percent) * (F.col("c") - F.col("nth") + 1) >= percent * (F.col("n") + F.col("lo"))
-    pairs = probe.select("rep", "grp", "n", "t", "c", "nth", "sets").join(rows, "t").where(turn & sized & enough).select("rep", "other").distinct()
-    full = query.select("rep", "n", "t").join(pairs, "rep").join(rows.select("t", "other", "in_lead"), ["t", "other"])
-    fit = full.groupBy("rep", "n", "other").agg(F.count("*").alias("c"), F.count_if("in_lead").alias("x")).where(F.col("c") >= least)
-    leads = grouped.where("rep = grp").selectExpr("grp AS other", "n AS lead_n")
-    fit = C.saved(fit.join(leads, "other").withColumn("linked", 100 * F.col("x") >= percent * (F.col("n") + F.col("lead_n") - F.col("x"))), "qualified-groups")
-    # tokens of a member that its leader lacks but another group has
+    pairs = probe.select("rep", "grp", "class", "n", "t", "c", "nth", "sets").join(rows, "t").where((F.col("class") != F.col("other_class")) & turn & sized & enough).select("rep", "n", "class", "other", "other_class", "lo", "extra").distinct()
+    pairs = C.saved(pairs, "candidate-groups")
+    # the leader itself first: what links to it unites the classes, and what shares too little with it can't link to its group
+    x = _common(sets, pairs.select(F.col("other").alias("a"), F.col("rep").alias("b")))
+    led = pairs.join(x.select(F.col("a").alias("other"), F.col("b").alias("rep"), F.col("na").alias("lead_n"), F.col("common").alias("x")), ["rep", "other"])
+    led = C.saved(led.withColumn("linked", 100 * F.col("x") >= percent * (F.col("n") + F.col("lead_n") - F.col("x"))), "leader-overlaps")
+    direct = led.where("linked").selectExpr("class AS a", "other_class AS b").distinct()
+    united = components(direct)
+    most = F.col("x") + F.least(F.col("n") - F.col("x"), F.col("extra"))
+    rest = C.saved(_apart(led.where("NOT linked").where((100 + percent) * most >= percent * (F.col("n") + F.col("lo"))), united), "unlinked-groups")
+    full = query.select("rep", "t").join(rest.drop("lo", "extra", "linked", "lead_n"), "rep").join(rows.select("t", "other"), ["t", "other"])
+    fit = C.saved(full.groupBy("rep", "n", "class", "other", "other_class", "x").agg(F.count("*").alias("c")).where(F.col("c") >= least), "qualified-groups")
+    # tokens of a member that its leader lacks but another class has
     own = cells.where("NOT lead").groupBy("rep").agg(F.count("*").alias("own"))
     members = grouped.where("rep <> grp").join(own, "rep", "left").select(F.col("rep").alias("member"), F.col("n").alias("m"), F.col("grp").alias("other"), "with_lead", F.coalesce("own", F.lit(0)).alias("own"))
     most = F.least("x", "with_lead") + F.least(F.col("c") - F.col("x"), F.col("own"))
     can = 100 * most >= percent * (F.col("n") + F.col("m") - most)
-    opened = fit.where("NOT linked").join(members, "other").where(can & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    opened = opened.select(F.least("rep", "member").alias("a"), F.greatest("rep", "member").alias("b")).distinct()
-    direct = fit.where("linked").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-    return C.saved(_verified(sets, opened, percent).select("a", "b").unionByName(direct), "cross-links")
+    opened = fit.join(members, "other").where(can & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    opened = C.saved(opened.select("rep", "member", "class", "other_class").distinct(), "opened-groups")
+    # a member may be asked for by very many sets
+    both = _verified(sets, opened.select(F.col("member").alias("a"), F.col("rep").alias("b")).distinct(), percent).selectExpr("a AS member", "b AS rep")
+    out = components(direct.unionByName(opened.join(both, ["rep", "member"]).selectExpr("class AS a", "other_class AS b")))
+    C.drop(some, grouped, tokens, matrix, cells, query, pairs, led, united, rest, fit, opened)
+    return out
+
+
+def _apart(pairs: DataFrame, united: DataFrame) -> DataFrame:
+    """The pairs whose classes are still two."""
+    root = lambda c: F.coalesce("root", c)
+    out = pairs.join(united, F.col("class") == F.col("node"), "left").withColumn("class", root("class")).drop("node", "root")
+    out = out.join(united, F.col("other_class") == F.col("node"), "left").withColumn("other_class", root("other_class")).drop("node", "root")
+    return out.where("class <> other_class")
 
 
 def keep_first(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
