@@ -1,8 +1,11 @@
 """Windows of fixed length that stand in more than one place, found without listing all windows.
 
-Every window picks a head inside itself by its content alone, so equal windows
-pick equal heads. Consecutive windows with the same head form a run; a run has
-a bucket (what its head is) and a context (all that its windows cover).
+First rounds of naming (rounds.py) rule windows out: the symbols that a window
+holds by its content alone, and the longer ones that join neighbours of them,
+must all stand in another place too. Then every window left picks a head inside
+itself by its content alone, so equal windows pick equal heads. Consecutive
+windows with the same head form a run; a run has a bucket (what its head is)
+and a context (all that its windows cover).
 
 1. Heads: runs meet by bucket. Runs with equal contexts settle each other as
    a whole. A bucket without a second context has no further repeats.
@@ -29,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import rounds
+from .packing import _batch, batches_of, flush_size, home, pack, rows_to_table, split, unpack
 
-FLUSH = 250_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -39,13 +43,27 @@ class Finder:
 
     window: int
     earlier_only: bool  # settled only by a smaller doc_id, else by any other place
+    rounds: int = 0  # of naming
+    every_window: bool = False  # whether each window holds a symbol of the first round
+
+    def symbols(self, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(name, first unit, length) of the symbols of the first round."""
+        raise NotImplementedError
+
+    def joined(self, level: int):
+        """The function of (at, n, name) of one document that gives the symbols (name, at, n) of a later round."""
+        raise NotImplementedError
+
+    def alive(self, chunk, doc: int, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which windows of a document hold no symbol that stands in one place only; found: (at, n) of the others, by round."""
+        raise NotImplementedError
 
     def prepare(self, buf: np.ndarray, offsets: np.ndarray):
         """An object with .first (first unit of each document, one more at the end)."""
         raise NotImplementedError
 
-    def heads(self, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, context, first window, windows) of all runs; windows by their first unit."""
+    def heads(self, chunk, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, context, first window, windows) of all runs of windows left; windows by their first unit."""
         raise NotImplementedError
 
     def names(self, chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,22 +75,6 @@ class Finder:
         raise NotImplementedError
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Whole numbers as a base and the smallest unsigned offsets."""
-    if not len(a):
-        return b""
-    base = int(a.min())
-    off = (a.astype(np.int64) - base).astype(np.uint64)
-    kind = np.min_scalar_type(int(off.max()))
-    return np.int64(base).tobytes() + bytes([kind.itemsize]) + off.astype(kind).tobytes()
-
-
-def unpack(b: bytes | None) -> np.ndarray:
-    if not b:  # nothing, or no row at all
-        return np.empty(0, np.int64)
-    return np.frombuffer(b, np.dtype(f"u{b[8]}"), offset=9).astype(np.int64) + np.frombuffer(b, np.int64, 1)[0]
-
-
 def settle(k1, k2, doc, many, earlier_only: bool):
     """Which entries are settled by another one, which of them must stand for their key, and the key's number.
 
@@ -112,7 +114,7 @@ class Sender:
 
     def __init__(self, buckets: int, earlier_only: bool, kind: str):
         self.buckets, self.earlier_only, self.held, self.size = buckets, earlier_only, [], 0
-        self.kind, self.kinds = kind, KINDS[kind]
+        self.kind, self.kinds, self.flush = kind, KINDS[kind], flush_size(buckets)
 
     def add(self, *columns):
         if len(columns[0]):
@@ -121,51 +123,21 @@ class Sender:
 
     def rows(self, last: bool = False):
         """k1, k2, rid, doc, at, n of what is held, as tuples in the order of NAMES."""
-        if not self.held or (self.size < FLUSH and not last):
+        if not self.held or (self.size < self.flush and not last):
             return
         k1, k2, rid, doc, at, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.size = [], 0
         done, stands, number, _ = settle(k1, k2, doc, np.zeros(len(k1), np.int64), self.earlier_only)
         many = np.zeros(len(k1), np.uint8) if self.earlier_only else (np.bincount(number)[number] > 1).astype(np.uint8)
         part = (k1 >> np.uint64(32)) % np.uint64(self.buckets)
-        for p, pick in _split(part, stands):
+        for p, pick in split(part, stands):
             yield p, k1[pick].astype(self.kinds[0]).tobytes(), k2[pick].astype(self.kinds[1]).tobytes(), pack(rid[pick]), pack(doc[pick] - rid[pick]) if self.earlier_only else b"", pack(at[pick]), pack(n[pick]), many[pick].tobytes()
-        back = _home(rid, self.buckets)
+        back = home(rid, self.buckets)
         # those that stand for their key are told by the reducer
-        for p, pick in _split(back, done & ~stands) if self.kind != "groups" else ():
+        for p, pick in split(back, done & ~stands) if self.kind != "groups" else ():
             yield -1 - p, b"", b"", pack(rid[pick]), b"", pack(at[pick]), pack(n[pick]), b""
 
 
-def _home(rid: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a document's states: half as many as for keys, as each of those sends to each of these."""
-    return (C.mix(rid.astype(np.uint64)) % np.uint64(max(1, buckets // 2))).astype(np.int64)
-
-
-def _split(part: np.ndarray, keep: np.ndarray):
-    at = np.flatnonzero(keep)
-    order = at[np.argsort(part[at], kind="stable")]
-    cut = np.flatnonzero(np.diff(part[order])) + 1
-    for pick in np.split(order, cut) if len(order) else ():
-        yield int(part[pick[0]]), pick
-
-
-def batches_of(rows, names, types):
-    """Record batches of at most about 8 MB."""
-    held, size = [], 0
-    for r in rows:
-        held.append(r)
-        size += sum(len(x) for x in r if isinstance(x, bytes))
-        if size > 8_000_000:
-            yield _batch(held, names, types)
-            held, size = [], 0
-    if held:
-        yield _batch(held, names, types)
-
-
-def _batch(rows, names, types):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-
 EX_TYPES = [pa.int32()] + [pa.binary()] * 7
 _DOC_TYPES = [pa.int32()] + [pa.binary()] * 4
 
@@ -191,11 +163,11 @@ def meet(buckets: int, earlier_only: bool, kind: str):
                 state[mixed & stands & done] = WITNESS
             keep = state >= (OPEN if kind == "groups" else DONE)
             rid, at, n, state = rid[keep], at[keep], n[keep], state[keep]
-        back = _home(rid, buckets)
+        back = home(rid, buckets)
         order = np.lexsort((at, rid, back))
         rid, at, n, state, back = rid[order], at[order], n[order], state[order], back[order]
-        rows = [(p, pack(rid[x]), pack(at[x]), pack(n[x]), state[x].tobytes()) for p, x in _split(back, np.ones(len(back), bool))]
-        return pa.Table.from_batches([_batch(rows, _TO_DOCS, _DOC_TYPES)]) if rows else pa.table({k: pa.array([], t) for k, t in zip(_TO_DOCS, _DOC_TYPES, strict=True)})
+        rows = [(p, pack(rid[x]), pack(at[x]), pack(n[x]), state[x].tobytes()) for p, x in split(back, np.ones(len(back), bool))]
+        return rows_to_table(rows, _TO_DOCS, _DOC_TYPES)
 
     return run
 
@@ -236,17 +208,36 @@ def remove_repeats(docs: DataFrame, finder: Finder, texts: bool = False) -> Data
         doc = b.column("doc_id")
         return b.column("_rid").to_numpy(), pa.compute.fill_null(doc, NO_ID).to_numpy()
 
+    def send_symbols(batches):
+        def symbols():
+            for b in batches:
+                rid, _ = ids(b)
+                for lo, hi, buf, offs in C.chunks(b.column("text")):
+                    chunk = finder.prepare(buf, offs)
+                    name, at, n = finder.symbols(chunk)
+                    d = np.searchsorted(chunk.first, at, "right") - 1
+                    yield name, rid[lo:hi][d], at - chunk.first[d], n
+
+        return rounds.asked(symbols(), buckets)
+
     def send_heads(batches):
         sender = Sender(buckets, finder.earlier_only, "heads")
 
         def rows():
             for b in batches:
                 rid, doc = ids(b)
-                for lo, hi, buf, offs in C.chunks(b.column("text")):
+                info = [(b.column(f"at_{k}").to_pylist(), b.column(f"n_{k}").to_pylist()) for k in range(finder.rounds)]
+                listed = np.arange(b.num_rows) if not (finder.rounds and finder.every_window) else np.flatnonzero(b.column("at_0").is_valid().to_numpy(zero_copy_only=False))
+                for lo, hi, buf, offs in C.chunks(b.column("text").take(pa.array(listed, pa.int64()))):
                     chunk = finder.prepare(buf, offs)
-                    bucket, context, at, n = finder.heads(chunk)
+                    of, alive = listed[lo:hi], None
+                    if finder.rounds:
+                        alive = np.concatenate([finder.alive(chunk, k, [(unpack(at[r]), unpack(n[r])) for at, n in info]) for k, r in enumerate(of.tolist())])
+                        if not alive.any():
+                            continue
+                    bucket, context, at, n = finder.heads(chunk, alive)
                     d = np.searchsorted(chunk.first, at, "right") - 1
-                    sender.add(bucket, context, rid[lo:hi][d], doc[lo:hi][d], at - chunk.first[d], n)
+                    sender.add(bucket, context, rid[of][d], doc[of][d], at - chunk.first[d], n)
                     yield from sender.rows()
             yield from sender.rows(last=True)
 
@@ -304,7 +295,15 @@ def remove_repeats(docs: DataFrame, finder: Finder, texts: bool = False) -> Data
 
         return batches_of(out(), final_names, final_types)
 
-    met = rows.mapInArrow(send_heads, EXCHANGE).groupBy("part").applyInArrow(meet(buckets, finder.earlier_only, "heads"), TO_DOCS)
+    told = rows
+    if finder.rounds:
+        found = rounds.shared(rows.mapInArrow(send_symbols, rounds.ASKED), buckets, finder.rounds > 1)
+        infos = [C.saved(found, "named-symbols")]
+        for k in range(1, finder.rounds):
+            infos.append(C.saved(rounds.join_neighbours(infos[-1], buckets, finder.joined(k), k + 1 < finder.rounds), "named-symbols"))
+        for k, info in enumerate(infos):
+            told = told.join(info.select(F.col("srid").alias(f"s_{k}"), F.col("at").alias(f"at_{k}"), F.col("n").alias(f"n_{k}")).hint("shuffle_hash"), F.col("_rid") == F.col(f"s_{k}"), "left").drop(f"s_{k}")
+    met = told.mapInArrow(send_heads, EXCHANGE).groupBy("part").applyInArrow(meet(buckets, finder.earlier_only, "heads"), TO_DOCS)
     info = to_documents(met)
     # both uses of this share one exchange of the texts, and the second join needs no further one
     joined = rows.join(info.hint("shuffle_hash"), rows["_rid"] == info["srid"], "left").drop("srid")

@@ -68,7 +68,8 @@ def test_words():
                 assert got == re.findall(pattern, ts[k])
 
 
-def test_suffix_dedup(docs, rows, empty):
+@pytest.mark.parametrize("rounds", [3, 2, 1])
+def test_suffix_dedup(docs, rows, empty, rounds):
     count, want = Counter(), []
     for _, t in rows:
         b = (t or "").encode()
@@ -82,14 +83,14 @@ def test_suffix_dedup(docs, rows, empty):
         kept = bytes(x for x, c in zip(b, cover) if not c)
         spans = sum(c and (not i or not cover[i - 1]) for i, c in enumerate(cover))
         want.append((d, len(b), sum(cover), spans, kept))
-    got = [(r.doc_id, r.n_units, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(docs).collect()]
+    got = [(r.doc_id, r.n_units, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(docs, rounds=rounds).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert any(w[2] for w in want)
     assert suffix_dedup.remove_repeated_bytes(empty).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_recompression_dedup(docs, rows, empty, rounds):
+@pytest.mark.parametrize(("pair_rounds", "rounds"), [(2, 2), (1, 1), (3, 2), (2, 0)])
+def test_recompression_dedup(docs, rows, empty, pair_rounds, rounds):
     first, want = {}, []
     for d, t in rows:
         w = re.findall(BLANK, t or "")
@@ -100,12 +101,42 @@ def test_recompression_dedup(docs, rows, empty, rounds):
         w = re.findall(BLANK, t or "")
         gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < (1 << 62 if d is None else d) for j in range(i, i + 13)}
         want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    got = [(r.doc_id, r.n_units, r.n_removed, bytes(r.kept).decode()) for r in recompression_dedup.remove_repeated_windows(docs, rounds=rounds).collect()]
+    got = [(r.doc_id, r.n_units, r.n_removed, bytes(r.kept).decode()) for r in recompression_dedup.remove_repeated_windows(docs, pair_rounds=pair_rounds, rounds=rounds).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert any(w[2] for w in want)
     assert recompression_dedup.remove_repeated_windows(empty).count() == 0
 
 
+def random_texts(n, words, seed):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("finder", [suffix_dedup.ByteFinder(), recompression_dedup.WordFinder()])
+def test_rounds_carry_the_result(spark, tmp_path, monkeypatch, finder):
+    """Windows are settled by what the rounds name: none is left of texts without repeats, and nothing is found without the rounds."""
+    from boxkit.llm import common, repeats, rounds
+
+    own = random_texts(40, 120, 1)
+    twice = own[:10] + [own[10] + " x", own[11] + " y"]
+    listed = []
+    saved = common.saved
+    monkeypatch.setattr(common, "saved", lambda df, name: listed.append(saved(df, name)) or listed[-1])
+
+    def removed(texts, name):
+        at = str(tmp_path / name)
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(at)
+        listed.clear()
+        out = repeats.remove_repeats(spark.read.parquet(at), finder)
+        return out.agg({"n_removed": "sum"}).first()[0], [x.count() for x in listed]
+
+    assert removed(own, "own") == (0, [0] * finder.rounds)
+    n, left = removed(own + twice, "twice")
+    assert n > 0 and all(left)
+    monkeypatch.setattr(rounds, "shared", lambda symbols, buckets, named: spark.createDataFrame([], "srid long, at binary, n binary, name binary"))
+    assert removed(own + twice, "skipped")[0] < 0.7 * n
+
+
 def shingles(t):
     w = re.findall(BLANK, lower(t))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
