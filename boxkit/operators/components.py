@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (its smallest reachable node) of edges (a, b); lineage is cut by checkpoint() each round."""
-    spark = edges.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at or "/tmp/checkpoints")
+    """node and root (its smallest reachable node) of edges (a, b); lineage is cut each round."""
     e = edges.where("a <> b").select("a", "b")
-    e = e.unionByName(e.selectExpr("b AS a", "a AS b")).distinct().checkpoint()
-    labels = e.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS root").checkpoint()
+    e = stored(e.unionByName(e.selectExpr("b AS a", "a AS b")).distinct())
+    labels = stored(e.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS root"))
     while True:
         heard = e.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("root").alias("heard"))
-        low = labels.join(heard, F.col("node") == F.col("b")).selectExpr("node", "least(root, heard) AS root", "root AS was").checkpoint()
+        low = stored(labels.join(heard, F.col("node") == F.col("b")).selectExpr("node", "least(root, heard) AS root", "root AS was"))
         jump = low.selectExpr("node AS at", "root AS there")
-        new = low.join(jump, F.col("root") == F.col("at")).selectExpr("node", "least(root, there) AS root", "was").checkpoint()
+        new = stored(low.join(jump, F.col("root") == F.col("at")).selectExpr("node", "least(root, there) AS root", "was"))
         if not new.where("root < was").limit(1).count():
             return new.select("node", "root")
         labels = new.select("node", "root")

@@ -7,12 +7,15 @@ matching is a fold over the sorted candidate pairs of a frame, inside the JVM.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import box
+from ..shared import stored
 
 FRAME = ["seq_id", "frame_id"]
 TAKEN = "CAST(array() AS ARRAY<STRUCT<k: DOUBLE, c_id: BIGINT, t_id: BIGINT, iou: DOUBLE>>)"
@@ -49,6 +52,24 @@ def one_to_one(pairs: DataFrame, rank: Column, keys: list[str]) -> DataFrame:
     return cand.selectExpr(*keys, fold).drop("k")
 
 
+def one_to_one_by_rounds(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The same choice by falling iou (then ids) for groups of any size: each round takes the pairs that come first for both sides.
+
+    No pair before such a one shares a side with it, so the fold would take it too; what it rules out leaves before the next round.
+    """
+    order = [F.desc("iou"), "c_id", "t_id"]
+    left, taken = stored(pairs.select(*keys, F.col("c_det_id").alias("c_id"), F.col("t_det_id").alias("t_id"), "iou")), []
+    while True:
+        first = lambda side: F.row_number().over(Window.partitionBy(*keys, side).orderBy(*order)) == 1  # noqa: E731, B023
+        seen = stored(left.withColumn("first_c", first("c_id")).withColumn("best", F.col("first_c") & first("t_id")).drop("first_c"))
+        best = seen.where("best").select(*keys, "c_id", "t_id", "iou")
+        taken.append(best)
+        left = seen.where("NOT best").drop("best").join(best.select(*keys, "c_id"), [*keys, "c_id"], "left_anti").join(best.select(*keys, "t_id"), [*keys, "t_id"], "left_anti").select(*keys, "c_id", "t_id", "iou")
+        left = stored(left)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+
+
 def match_greedy(computed: DataFrame, truth: DataFrame, least: float = 0.5, keys: list[str] | None = None) -> DataFrame:
     """One-to-one matches by falling overlap."""
     keys = keys or FRAME
@@ -165,17 +186,21 @@ def coverage_reinforce(boxes: DataFrame, evidence: DataFrame, alpha: float = 0.5
     return raised.unionByName(free.select(*raised.columns))
 
 
-def suppress_prior(boxes: DataFrame, prior: DataFrame, mark: bool = False) -> DataFrame:
+def suppress_prior(boxes: DataFrame, prior: DataFrame, mark: bool = False, cell: float = 64.0) -> DataFrame:
     """Boxes whose centre lies in an earlier footprint of the sequence (frame < own frame) are dropped, or marked.
 
-    prior: seq_id, frame_id and the footprint as x1..y2.
+    prior: seq_id, frame_id and the footprint as x1..y2. Only the first frame of equal footprints counts, and
+    boxes meet footprints by grid cells, so the frames of a sequence aren't compared with each other.
     """
     cx, cy = box.centre()
-    b = boxes.withColumn("_cx", cx).withColumn("_cy", cy)
-    p = prior.select("seq_id", F.col("frame_id").alias("p_frame"), *(F.col(k).alias(f"p_{k}") for k in box.names()))
-    cond = (b["seq_id"] == p["seq_id"]) & (F.col("p_frame") < b["frame_id"]) & F.col("_cx").between(F.col("p_x1"), F.col("p_x2")) & F.col("_cy").between(F.col("p_y1"), F.col("p_y2"))
+    b = boxes.withColumn("_cx", cx).withColumn("_cy", cy).withColumn("_gx", F.floor(F.col("_cx") / cell)).withColumn("_gy", F.floor(F.col("_cy") / cell))
+    p = prior.groupBy("seq_id", *box.names()).agg(F.min("frame_id").alias("p_frame"))
+    p = p.select("seq_id", "p_frame", *(F.col(k).alias(f"p_{k}") for k in box.names()))
+    cells = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(z) / cell)))
+    p = p.withColumn("p_gx", cells("p_x1", "p_x2")).withColumn("p_gy", cells("p_y1", "p_y2"))
+    cond = (b["seq_id"] == p["seq_id"]) & (F.col("_gx") == F.col("p_gx")) & (F.col("_gy") == F.col("p_gy")) & (F.col("p_frame") < b["frame_id"]) & F.col("_cx").between(F.col("p_x1"), F.col("p_x2")) & F.col("_cy").between(F.col("p_y1"), F.col("p_y2"))
     if not mark:
-        return b.join(p, cond, "left_anti").drop("_cx", "_cy")
+        return b.join(p, cond, "left_anti").drop("_cx", "_cy", "_gx", "_gy")
     seen = b.join(p, cond, "left_semi").select("det_id").distinct().withColumn("seen", F.lit(True))
     return boxes.join(seen, "det_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 

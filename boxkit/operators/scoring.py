@@ -95,7 +95,7 @@ def track_pairs(matches: DataFrame) -> DataFrame:
 def idf1(computed: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
     """ID precision, recall and F1 from a greedy assignment of tracks by common matches, per sequence."""
     pairs = track_pairs(matches).select("seq_id", F.col("c_track_id").alias("c_det_id"), F.col("t_track_id").alias("t_det_id"), F.col("n").cast("double").alias("iou"))
-    idtp = m.one_to_one(pairs, -F.col("iou"), ["seq_id"]).groupBy("seq_id").agg(F.sum("iou").alias("idtp"))
+    idtp = m.one_to_one_by_rounds(pairs, ["seq_id"]).groupBy("seq_id").agg(F.sum("iou").alias("idtp"))
     c = counts(computed, truth, matches, ["seq_id"]).join(idtp, "seq_id", "left").fillna(0.0, ["idtp"])
     return c.select("seq_id", "idtp", ratio(F.col("idtp"), F.col("n_computed")).alias("idp"), ratio(F.col("idtp"), F.col("n_truth")).alias("idr"), ratio(2 * F.col("idtp"), F.col("n_computed") + F.col("n_truth")).alias("idf1"))
 
@@ -114,20 +114,19 @@ def track_coverage(truth: DataFrame, matches: DataFrame, computed: DataFrame) ->
 def hota(computed: DataFrame, truth: DataFrame) -> DataFrame:
     """DetA, AssA, LocA and HOTA of a sequence, averaged over the 19 overlap thresholds 0.05, 0.10, ..., 0.95.
 
-    The pairs are joined once at the lowest threshold and matched for all of them in one fold per threshold and frame.
+    Pairs are taken by falling overlap, so the matches of a threshold are those of the lowest one that reach it:
+    one matching serves them all.
     """
     spark = computed.sparkSession
     alphas = F.broadcast(spark.range(19).selectExpr("id AS a", "0.05D + 0.05D * id AS alpha"))  # 19 rows
-    pairs = m.iou_join(computed, truth, 0.05).select(*FRAME, "c_det_id", "t_det_id", "iou", "c_track_id", "t_track_id")
-    at = pairs.join(alphas, F.col("iou") >= F.col("alpha"))
-    hit = m.one_to_one(at, -F.col("iou"), ["a", *FRAME])
-    hit = hit.join(pairs.select(*FRAME, F.col("c_det_id").alias("c_id"), F.col("t_det_id").alias("t_id"), "c_track_id", "t_track_id"), [*FRAME, "c_id", "t_id"])
-    per = hit.groupBy("a", "seq_id", "c_track_id", "t_track_id").agg(F.count("*").alias("tpa"), F.sum("iou").alias("iou"))
+    track = lambda df, p: df.select(*FRAME, F.col("det_id").alias(f"{p}_id"), F.col("track_id").alias(f"{p}_track_id"))
+    hit = m.match_greedy(computed, truth, 0.05).join(track(computed, "c"), [*FRAME, "c_id"]).join(track(truth, "t"), [*FRAME, "t_id"])
+    per = hit.join(alphas, F.col("iou") >= F.col("alpha")).groupBy("a", "seq_id", "c_track_id", "t_track_id").agg(F.count("*").alias("tpa"), F.sum("iou").alias("iou"))
     size = lambda df, p: df.groupBy("seq_id", F.col("track_id").alias(f"{p}_track_id")).agg(F.count("*").alias(f"{p}_n"))
     per = per.join(size(computed, "c"), ["seq_id", "c_track_id"]).join(size(truth, "t"), ["seq_id", "t_track_id"])
     per = per.withColumn("ass", F.col("tpa") * F.col("tpa") / (F.col("c_n") + F.col("t_n") - F.col("tpa")))
     s = per.groupBy("a", "seq_id").agg(F.sum("tpa").alias("tp"), F.sum("ass").alias("ass"), F.sum("iou").alias("iou"))
-    n = counts(computed, truth, pairs.limit(0), ["seq_id"]).select("seq_id", "n_computed", "n_truth")
+    n = counts(computed, truth, truth.limit(0), ["seq_id"]).select("seq_id", "n_computed", "n_truth")
     full = n.crossJoin(alphas).join(s, ["a", "seq_id"], "left").fillna(0, ["tp", "ass", "iou"])  # 19 rows per sequence
     full = full.withColumn("det_a", ratio(F.col("tp"), F.col("n_computed") + F.col("n_truth") - F.col("tp"))).withColumn("ass_a", ratio(F.col("ass"), F.col("tp"))).withColumn("loc_a", ratio(F.col("iou"), F.col("tp")))
     return full.groupBy("seq_id").agg(F.avg("det_a").alias("det_a"), F.avg("ass_a").alias("ass_a"), F.avg("loc_a").alias("loc_a"), F.avg(F.sqrt(F.col("det_a") * F.col("ass_a"))).alias("hota"))

@@ -10,13 +10,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vec as V
+from ..shared import stored
 
-DISTANCES = {"euclidean": V.euclidean, "cosine": V.cosine_distance, "intersection": V.intersection_distance}
+#: "farthest": what is least alike by histogram intersection comes first.
+DISTANCES = {"euclidean": V.euclidean, "cosine": V.cosine_distance, "intersection": V.intersection_distance, "farthest": lambda a, b: -V.intersection_distance(a, b)}
 MOST_QUERIES = 10_000
 
 
@@ -52,7 +54,8 @@ def knn_sampled(vectors: DataFrame, queries: DataFrame, k: int, above: int, frac
     if n <= above:
         return knn(vectors, queries, k)
     share = max(fraction, 2 * k / n)
-    return knn(vectors.where(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)), queries, k)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "uid").cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return knn(vectors.where(h < share), queries, k)
 
 
 class Itq:
@@ -156,18 +159,27 @@ def working_set(exemplars: DataFrame, neighbours: DataFrame) -> DataFrame:
 def auto_negatives(vectors: DataFrame, positives: DataFrame, r: int) -> DataFrame:
     """For each positive in order of uid the r farthest vectors by histogram intersection that none before took.
 
-    Each of p positives needs its r x p farthest at most, so those are ranked and the exclusion runs over them.
+    All positives ask at once for their best r; a vector stays with the first positive that asks for it, and the
+    others ask for their next ones, until nobody is turned down. That gives what taking turns gives, as every
+    vector goes to the first in the order that comes to want it. Who has run out of candidates gets a longer list.
     """
-    p = positives.count()
-    d = V.intersection_distance(F.col("vec"), F.col("qvec"))
-    pairs = vectors.join(positives.select("uid"), "uid", "left_anti").join(F.broadcast(positives.selectExpr("uid AS pos", "vec AS qvec")))
-    w = Window.partitionBy("pos").orderBy(F.desc("d"), "uid")
-    far = pairs.select("pos", "uid", d.alias("d")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= r * p)
-    rows = far.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("rank", "uid"))).alias("c"))
-    every = rows.groupBy(F.lit(1).alias("one")).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("a"))  # p lists of r x p rows
-    pick = f"slice(filter(transform(x.c, c -> c.uid), u -> NOT exists(acc, t -> t.uid = u)), 1, {r})"
-    fold = f"aggregate(a, CAST(array() AS ARRAY<STRUCT<pos: STRING, uid: STRING>>), (acc, x) -> concat(acc, transform({pick}, u -> struct(x.pos AS pos, u AS uid))))"
-    return every.selectExpr(f"inline({fold})")
+    free = vectors.join(positives.select("uid"), "uid", "left_anti")
+    n, k = free.count(), 4 * r
+    while True:
+        far = stored(knn(free, positives.selectExpr("uid AS query_id", "vec AS qvec"), k, "farthest").select(F.col("query_id").alias("pos"), "uid", "rank"), "farthest")
+        left = far
+        while True:
+            nth = F.row_number().over(Window.partitionBy("pos").orderBy("rank"))
+            asked = left.withColumn("nth", nth).where(F.col("nth") <= r).withColumn("first", F.min("pos").over(Window.partitionBy("uid")))
+            asked = stored(asked, "asked")
+            lost = asked.where("pos <> first").select("pos", "uid")
+            if lost.isEmpty():
+                break
+            left = stored(left.join(lost, ["pos", "uid"], "left_anti"), "candidates")
+        short = asked.groupBy("pos").agg(F.count("*").alias("n")).where(F.col("n") < r)
+        if k >= n or (short.isEmpty() and asked.select("pos").distinct().count() == positives.count()):
+            return asked.select("pos", "uid")
+        k *= 4
 
 
 def rank_by_similarity(vectors: DataFrame, positives: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
@@ -205,30 +217,47 @@ def feedback_scores(ordered: DataFrame, most: int) -> DataFrame:
     return ordered.where(F.col("rank") <= most).withColumn("relevancy", F.when(n > 1, 1 - (F.col("rank") - 1) / (n - 1)).otherwise(1.0))
 
 
-def category_models(vectors: DataFrame, labels: list[str], most_pos: int = 75, most_neg: int = 750) -> DataFrame:
-    """Linear one-against-rest weights per label, fitted to hashed samples; then again with the hardest negatives. A model per label."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
+def category_models(vectors: DataFrame, labels: list[str] | None = None, most_pos: int = 75, most_neg: int = 750) -> DataFrame:
+    """Linear one-against-rest weights per label, fitted to hashed samples; then again with the hardest negatives. A model per label.
 
-    spark = vectors.sparkSession
-    x = vectors.select("label", "uid", array_to_vector(F.transform("vec", lambda v: v.cast("double"))).alias("features"))
-    out = []
-    for lab in labels:
-        h = F.xxhash64("uid")
-        pos = x.where(F.col("label") == lab).orderBy(h).limit(most_pos).withColumn("y", F.lit(1.0))
-        neg = x.where(F.col("label") != lab).orderBy(h).limit(most_neg).withColumn("y", F.lit(0.0))
-        svc = LinearSVC(labelCol="y", maxIter=10, regParam=0.05)
-        first = svc.fit(pos.unionByName(neg))
-        hard = first.transform(neg).orderBy(F.desc(F.element_at(_raw("rawPrediction"), 2)), "uid").limit(most_neg // 4).select(*neg.columns)
-        fit = svc.fit(pos.unionByName(neg).unionByName(hard))
-        out.append((str(lab), float(fit.intercept), [float(v) for v in fit.coefficients]))
-    return spark.createDataFrame(out, "model string, bias double, weights array<double>")
-
-
-def _raw(name: str) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(name)
+    A label's sample is at most most_pos rows of its own and most_neg of others, those of the smallest hashes, so
+    each model is fitted in one group of bounded size; all labels in one job.
+    """
+    h = F.xxhash64("uid")
+    nearest = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "uid"))
+    own = vectors.select("label", "uid", "vec", h.alias("h")).withColumn("nth", nearest("label")).where(F.col("nth") <= max(most_pos, most_neg))
+    own = stored(own if labels is None else own.where(F.col("label").isin(labels)), "label-samples")
+    names = own.select(F.col("label").alias("model")).distinct()  # one row per label
+    others = own.where(F.col("nth") <= most_neg).join(names, F.col("label") != F.col("model")).withColumn("nth", nearest("model")).where(F.col("nth") <= most_neg)
+    sample = own.where(F.col("nth") <= most_pos).select(F.col("label").alias("model"), "uid", "vec", F.lit(1.0).alias("y")).unionByName(others.select("model", "uid", "vec", F.lit(-1.0).alias("y")))
+
+    def fit(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("uid")
+        x, y = np.c_[np.stack(pdf.vec.to_numpy()).astype(float), np.ones(len(pdf))], pdf.y.to_numpy()
+        w = _squared_hinge(x, y)
+        neg = np.flatnonzero(y < 0)
+        hard = neg[np.argsort(-(x[neg] @ w), kind="stable")][: most_neg // 4]
+        again = np.concatenate([np.arange(len(y)), hard])
+        w = _squared_hinge(x[again], y[again])
+        return pd.DataFrame({"model": [str(pdf.model.iloc[0])], "bias": [float(w[-1])], "weights": [w[:-1].tolist()]})
+
+    return sample.groupBy("model").applyInPandas(fit, "model string, bias double, weights array<double>")
+
+
+def _squared_hinge(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int = 30) -> np.ndarray:
+    """Weights of a linear classifier (the last one the bias, unpenalised) by Newton steps on the rows inside the margin."""
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([penalty * len(y)] * (x.shape[1] - 1) + [1e-6])
+    for _ in range(steps):
+        inside = y * (x @ w) < 1
+        a = x[inside]
+        new = np.linalg.solve(a.T @ a + ridge, a.T @ y[inside])
+        if np.abs(new - w).max() < 1e-9:
+            break
+        w = new
+    return w
 
 
 def apply_models(vectors: DataFrame, models: DataFrame) -> DataFrame:

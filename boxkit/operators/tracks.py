@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import box
+from ..shared import stored
 from . import matching as m
 from .components import components
 
@@ -91,20 +92,21 @@ def resample(df: DataFrame, rate_in: float, rate_out: float, max_gap: int, linea
 
 def rolling_mean(df: DataFrame, n: int, vec: str = "vec") -> DataFrame:
     """The mean of the last n vectors of each track, per element."""
-    w = Window.partitionBy(*TRACK, "pos").orderBy("frame_id", "det_id").rowsBetween(-(n - 1), 0)
-    e = df.select(*TRACK, "frame_id", "det_id", F.posexplode(vec).alias("pos", "v")).withColumn("v", F.avg(F.col("v").cast("double")).over(w))
-    g = e.groupBy(*TRACK, "frame_id", "det_id").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("a"))
-    return g.withColumn("vec", F.transform("a", lambda x: x["v"])).drop("a")
+    w = _along("det_id").rowsBetween(-(n - 1), 0)
+    return df.select(*TRACK, "frame_id", "det_id", _mean_vector(F.collect_list(vec).over(w)).alias("vec"))
+
+
+def _mean_vector(vectors: Column) -> Column:
+    """The mean of a few vectors, per element."""
+    return F.transform(F.sequence(F.lit(0), F.size(vectors[0]) - 1), lambda i: F.aggregate(vectors, F.lit(0.0), lambda s, v: s + F.get(v, i).cast("double")) / F.size(vectors))
 
 
 def block_mean(df: DataFrame, n: int, vec: str = "vec") -> DataFrame:
     """The first vector of each track, then the mean of every n after it (the first belongs to no block)."""
     d = df.withColumn("rn", F.row_number().over(_along("det_id")))
     d = d.withColumn("block", F.when(F.col("rn") == 1, -1).otherwise(F.floor((F.col("rn") - 2) / n)))
-    full = d.groupBy(*TRACK, "block").agg(F.count("*").alias("c"), F.max("frame_id").alias("frame_id")).where((F.col("block") == -1) | (F.col("c") == n)).drop("c")
-    e = d.select(*TRACK, "block", F.posexplode(vec).alias("pos", "v")).groupBy(*TRACK, "block", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    g = e.groupBy(*TRACK, "block").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("a"))
-    return full.join(g, [*TRACK, "block"]).withColumn("vec", F.transform("a", lambda x: x["v"])).drop("a", "block")
+    full = d.groupBy(*TRACK, "block").agg(F.count("*").alias("c"), F.max("frame_id").alias("frame_id"), F.collect_list(F.struct("rn", vec)).alias("v")).where((F.col("block") == -1) | (F.col("c") == n))
+    return full.select(*TRACK, "frame_id", _mean_vector(F.transform(F.array_sort("v"), lambda x: x[vec])).alias("vec"))
 
 
 def segments(df: DataFrame, key: str, order: str, score: str, above: float, least: int, most: int) -> DataFrame:
@@ -180,18 +182,34 @@ def negative_ratio(frames: DataFrame, most: float, seed: str = "0") -> DataFrame
     """Frames without truth thinned to ``most`` times those with truth, by a seeded hash, if there are more and over ten."""
     n = frames.agg(F.count_if("has_truth").alias("pos"), F.count_if(~F.col("has_truth")).alias("neg"))
     keep = F.col("pos") * most / F.col("neg")
-    h = F.pmod(F.xxhash64(F.lit(seed), "seq_id", "frame_id"), F.lit(1_000_000)) / 1_000_000
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "seq_id", "frame_id").cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     over = (F.col("neg") > F.col("pos") * most) & (F.col("neg") > 10)
     return frames.crossJoin(F.broadcast(n)).where(F.col("has_truth") | ~over | (h < keep)).select(*frames.columns)  # one row
 
 
-def compose_homographies(df: DataFrame) -> DataFrame:
-    """Frame-to-frame homographies h (nine values) composed into the first frame of each sequence; a fold of 3 x 3 products."""
-    rows = df.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "h"))).alias("a"))
-    prod = "transform(sequence(0, 8), i -> aggregate(sequence(0, 2), 0D, (s, k) -> s + element_at(acc, -1)[(i DIV 3) * 3 + k] * x.h[k * 3 + i % 3]))"
-    fold = f"aggregate(a, array(array(1D,0D,0D,0D,1D,0D,0D,0D,1D)), (acc, x) -> concat(acc, array({prod})))"
-    z = rows.select("seq_id", F.posexplode(F.expr(f"arrays_zip(transform(a, x -> x.frame_id), slice({fold}, 2, size(a)))")).alias("i", "z"))
-    return z.select("seq_id", F.col("z.0").alias("frame_id"), F.col("z.1").alias("h"))
+def compose_homographies(df: DataFrame, block: int = 256) -> DataFrame:
+    """Frame-to-frame homographies h (nine values) composed into the first frame of each sequence.
+
+    Products run within blocks of frames first; the blocks' products, a table with one row for each, are composed
+    next, and each frame's product is that of the blocks before it times its own.
+    """
+    w = Window.partitionBy("seq_id").orderBy("frame_id")
+    rows = df.select("seq_id", "frame_id", "h").withColumn("block", F.floor((F.row_number().over(w) - 1) / block))
+
+    def running(pdf: pd.DataFrame, order: str) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        now, out = np.eye(3), []
+        for h in pdf.h:
+            now = now @ np.asarray(h, float).reshape(3, 3)
+            out.append(now.ravel().tolist())
+        return pdf.assign(h=out)
+
+    inner = stored(rows.groupBy("seq_id", "block").applyInPandas(lambda g: running(g, "frame_id"), "seq_id long, frame_id long, h array<double>, block long"))
+    last = inner.groupBy("seq_id", "block").agg(F.max_by("h", "frame_id").alias("h")).withColumn("block", F.col("block") + 1)
+    before = last.groupBy("seq_id").applyInPandas(lambda g: running(g, "block"), "seq_id long, block long, h array<double>").withColumnRenamed("h", "b")
+    b = F.coalesce("b", F.array(*(F.lit(float(i % 4 == 0)) for i in range(9))))
+    product = [sum((b[r * 3 + k] * F.col("h")[k * 3 + c] for k in range(3)), F.lit(0.0)) for r in range(3) for c in range(3)]
+    return inner.join(before, ["seq_id", "block"], "left").select("seq_id", "frame_id", F.array(*product).alias("h"))
 
 
 def landmarks(df: DataFrame, note: Column) -> DataFrame:
@@ -358,21 +376,12 @@ def stereo_most_likely(pairs: DataFrame, least: int = 1) -> DataFrame:
 def stereo_split(pairs: DataFrame, least: int) -> DataFrame:
     """Parts of each left track by partner; a change of partner counts once it has lasted ``least`` frames."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for left, g in pdf.sort_values(["left_id", "frame_id"]).groupby("left_id"):
-            r, f = g.right_id.to_numpy(), g.frame_id.to_numpy()
-            part, now, i = 0, r[0], 0
-            parts = np.zeros(len(r), int)
-            while i < len(r):
-                j = i
-                while j < len(r) and r[j] == r[i]:
-                    j += 1
-                if r[i] != now and j - i >= least:
-                    part, now = part + 1, r[i]
-                parts[i:j] = part
-                i = j
-            out.append(pd.DataFrame({"seq_id": g.seq_id.to_numpy(), "left_id": left, "frame_id": f, "part": parts}))
-        return pd.concat(out)
-
-    return pairs.groupBy("seq_id").applyInPandas(run, "seq_id long, left_id long, frame_id long, part int")
+    w = Window.partitionBy("seq_id", "left_id").orderBy("frame_id", "right_id")
+    p = pairs.withColumn("new", F.coalesce((F.lag("right_id").over(w) != F.col("right_id")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
+    along = Window.partitionBy("seq_id", "left_id").orderBy("run")
+    runs = p.groupBy("seq_id", "left_id", "run").agg(F.first("right_id").alias("right_id"), F.count("*").alias("n"))
+    counts = (F.col("n") >= least) | (F.col("run") == 1)
+    before = F.last(F.when(counts, F.col("right_id")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("turn", F.coalesce((counts & (before != F.col("right_id"))).cast("int"), F.lit(0)))
+    runs = runs.select("seq_id", "left_id", "run", F.sum("turn").over(along).cast("int").alias("part"))
+    return p.join(runs, ["seq_id", "left_id", "run"]).select("seq_id", "left_id", "frame_id", "part")

@@ -2,5 +2,6 @@
 
 from ..registry import ORACLES, QUERIES
 from . import filters, fusion, joins, scoring, search, sources, stats, streams, survey, tracks, udfs
+from . import folds  # the SQL of what the others have registered
 
-__all__ = ["ORACLES", "QUERIES", "filters", "fusion", "joins", "scoring", "search", "sources", "stats", "streams", "survey", "tracks", "udfs"]
+__all__ = ["ORACLES", "QUERIES", "filters", "folds", "fusion", "joins", "scoring", "search", "sources", "stats", "streams", "survey", "tracks", "udfs"]

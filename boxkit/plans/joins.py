@@ -94,12 +94,12 @@ def coverage_reinforce(spark, sf):
     return op.coverage_reinforce(c.where("det_id % 3 <> 0"), e).select("det_id", F.round("conf", 9).alias("conf"))
 
 
-_PRIOR = "EXISTS (SELECT 1 FROM regions p WHERE p.seq_id = c.seq_id AND p.frame_id < c.frame_id AND p.frame_id % 40 = 0 AND (c.x1 + c.x2) / 2 BETWEEN p.x1 AND p.x2 AND (c.y1 + c.y2) / 2 BETWEEN p.y1 AND p.y2)"
+_PRIOR = "EXISTS (SELECT 1 FROM (SELECT seq_id, x1, y1, x2, y2, min(frame_id) AS frame_id FROM regions GROUP BY ALL) p WHERE p.seq_id = c.seq_id AND p.frame_id < c.frame_id AND (c.x1 + c.x2) / 2 BETWEEN p.x1 AND p.x2 AND (c.y1 + c.y2) / 2 BETWEEN p.y1 AND p.y2)"
 
 
 @query("suppress_prior_frame", with_views(f"SELECT det_id FROM computed c WHERE NOT {_PRIOR}"))
 def suppress_prior_frame(spark, sf):
-    return op.suppress_prior(view(spark, sf, "computed"), view(spark, sf, "regions").where("frame_id % 40 = 0")).select("det_id")
+    return op.suppress_prior(view(spark, sf, "computed"), view(spark, sf, "regions")).select("det_id")
 
 
 @query("boundary_cutoff", with_views(f"SELECT DISTINCT c.det_id FROM computed c JOIN regions t ON c.seq_id = t.seq_id AND c.frame_id = t.frame_id WHERE (c.x1 <= 40 OR c.y1 <= 40 OR c.x2 >= 1880 OR c.y2 >= 1040) AND {INTER} > 0"))
@@ -143,7 +143,7 @@ def tube_volume_iou(spark, sf):
 
 @query("tile_boundary_merge")
 def tile_boundary_merge(spark, sf):
-    c = view(spark, sf, "computed").where("x2 < 400").withColumn("tile", (F.col("det_id") % 2).cast("int"))
+    c = view(spark, sf, "computed").withColumn("tile", (F.col("det_id") % 2).cast("int"))
     strip = spark.createDataFrame([(0, 1, 60.0, 0.0, 260.0, 400.0)], "tile_a int, tile_b int, x1 double, y1 double, x2 double, y2 double")
     return op.tile_boundary_merge(c, strip, 0.5)
 

@@ -1,4 +1,4 @@
-"""Queries of the scores. Matching is a fold, so most have no SQL; tests check them against a plain evaluator."""
+"""Queries of the scores; the SQL of those that match boxes is in folds.py."""
 
 from __future__ import annotations
 
@@ -139,12 +139,11 @@ def threshold_sweep(spark, sf):
     return op.best_of_sweep(op.threshold_sweep(*_both(spark, sf)))
 
 
-@query("filter_from_sweep", """WITH b AS (SELECT r_regionkey AS k, (r_regionkey * 3 % 10) / 10.0::DOUBLE AS mota_at, (r_regionkey * 7 % 10) / 10.0::DOUBLE AS idf1_at FROM region),
-r AS (SELECT k::VARCHAR AS k, least(mota_at, idf1_at) AS min, (mota_at + idf1_at) / 2 AS mean, idf1_at AS idf1, mota_at AS mota FROM b)
-SELECT * FROM r UNION ALL SELECT 'default', min(min), min(mean), min(idf1), min(mota) FROM r""")
+@query("filter_from_sweep")
 def filter_from_sweep(spark, sf):
-    b = view(spark, sf, "region").selectExpr("r_regionkey AS k", "(r_regionkey * 3 % 10) / 10.0D AS mota_at", "(r_regionkey * 7 % 10) / 10.0D AS idf1_at")
-    return op.filter_thresholds(b, "k")
+    """Thresholds per sequence from a sweep, and the default."""
+    best = op.best_of_sweep(op.threshold_sweep(*_both(spark, sf)))
+    return op.filter_thresholds(best.withColumnRenamed("seq_id", "k"), "k")
 
 
 @query("frame_universe", with_views("SELECT seq_id, frame_id FROM computed UNION SELECT seq_id, frame_id FROM truth"))

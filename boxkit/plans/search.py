@@ -97,7 +97,7 @@ _SIM = "list_sum(list_transform(list_zip(h.vec, p.vec), lambda z: least(z[1], z[
 @query("auto_negatives")
 def auto_negatives(spark, sf):
     h = _hist(spark, sf)
-    return op.auto_negatives(h, h.where("CAST(uid AS LONG) % 100 = 0").limit(20), 3)
+    return op.auto_negatives(h, h.where("CAST(uid AS LONG) % 100 = 0"), 3)
 
 
 @query("rank_similarity", with_views(f"SELECT h.uid, round(CASE WHEN h.uid::BIGINT % 100 = 0 THEN 1.0 ELSE avg({_SIM}) END, 6) AS score FROM {_HIST} h, (SELECT * FROM {_HIST} WHERE uid::BIGINT % 100 = 0) p GROUP BY h.uid"))
@@ -132,7 +132,7 @@ def feedback_scores(spark, sf):
 @query("category_models")
 def category_models(spark, sf):
     v = _v(spark, sf).withColumn("label", F.col("label").cast("string"))
-    return op.category_models(v, ["0", "1", "2"]).select("model", "bias", F.posexplode("weights").alias("dim", "weight"))
+    return op.category_models(v).select("model", "bias", F.posexplode("weights").alias("dim", "weight"))
 
 
 @query("apply_category_models", with_views("WITH s AS (SELECT uid, m, vec[m + 1]::DOUBLE * 2 - vec[m + 2]::DOUBLE + 0.01 * m AS score FROM descriptors, range(3) r(m)) SELECT uid, 'c' || arg_max(m, score) AS model, round(max(score), 6) AS score FROM s GROUP BY uid"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..shared import shared_path
 from ..sources import boxes as B
 from ..sources import documents as D
 from .views import view, with_views
 
 
 def _dir(spark, name):
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def _c(spark, sf):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..shared import shared_path
 from ..streaming import streams as op
 from .views import view, with_views
 
@@ -14,8 +13,7 @@ LATE = "10 minutes"
 
 
 def _dir(spark, name):
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def _stream(spark, df, order, name, parts=4, per=2):
@@ -81,8 +79,11 @@ def stream_accumulate(spark, sf):
 
 @query("stream_rolling_desc")
 def stream_rolling_desc(spark, sf):
-    d = view(spark, sf, "descriptors").select(F.col("label").cast("long").alias("track"), F.col("uid").cast("long").alias("frame_id"), F.slice("vec", 1, 4).alias("vec"))
-    return _done(spark, op.rolling(_stream(spark, d, "frame_id", "vectors"), 5), "rolled")
+    """The mean vectors, told by their ends, sums and squares."""
+    d = view(spark, sf, "descriptors").select(F.col("label").cast("long").alias("track"), F.col("uid").cast("long").alias("frame_id"), "vec")
+    out = _done(spark, op.rolling(_stream(spark, d, "frame_id", "vectors"), 5), "rolled")
+    told = {"first": F.col("vec")[0], "last": F.col("vec")[63], "total": F.expr("aggregate(vec, 0D, (s, x) -> s + x)"), "square": F.expr("aggregate(vec, 0D, (s, x) -> s + x * x)")}
+    return out.select("track", "frame_id", *(F.round(e, 6).alias(k) for k, e in told.items()))
 
 
 @query("stream_link")

@@ -66,21 +66,22 @@ def track_resample(spark, sf):
 
 def _vectors(spark, sf):
     c = _c(spark, sf).withColumn("uid", (F.col("det_id") % 400).cast("string"))
-    return c.join(view(spark, sf, "descriptors").select("uid", F.slice("vec", 1, 4).alias("vec")), "uid")
+    return c.join(view(spark, sf, "descriptors").select("uid", "vec"), "uid")
 
 
+_TOTAL = "aggregate(vec, 0D, (s, x) -> s + x)"
 _VEC = "(SELECT c.*, d.vec FROM computed c JOIN descriptors d ON d.uid = CAST(det_id % 400 AS VARCHAR))"
 
 
-@query("desc_rolling_avg", with_views(f"SELECT seq_id, track_id, frame_id, det_id, round(avg(vec[1]::DOUBLE) OVER (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS v0, round(avg(vec[4]::DOUBLE) OVER (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS v3 FROM {_VEC}"))
+@query("desc_rolling_avg", with_views(f"SELECT seq_id, track_id, frame_id, det_id, round(avg(vec[1]::DOUBLE) OVER (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS v0, round(avg(vec[64]::DOUBLE) OVER (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS v63, round(avg(list_sum(vec::DOUBLE[])) OVER (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS total FROM {_VEC}"))
 def desc_rolling_avg(spark, sf):
     out = op.rolling_mean(_vectors(spark, sf), 5)
-    return out.select("seq_id", "track_id", "frame_id", "det_id", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[3], 6).alias("v3"))
+    return out.select("seq_id", "track_id", "frame_id", "det_id", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[63], 6).alias("v63"), F.expr(f"round({_TOTAL}, 6) AS total"))
 
 
-@query("desc_block_avg", with_views(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id) AS rn FROM {_VEC}), b AS (SELECT *, CASE WHEN rn = 1 THEN -1 ELSE floor((rn - 2) / 3.0) END AS block FROM r) SELECT seq_id, track_id, max(frame_id) AS frame_id, round(avg(vec[1]::DOUBLE), 6) AS v0 FROM b GROUP BY seq_id, track_id, block HAVING block = -1 OR count(*) = 3"))
+@query("desc_block_avg", with_views(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id) AS rn FROM {_VEC}), b AS (SELECT *, CASE WHEN rn = 1 THEN -1 ELSE floor((rn - 2) / 3.0) END AS block FROM r) SELECT seq_id, track_id, max(frame_id) AS frame_id, round(avg(vec[1]::DOUBLE), 6) AS v0, round(avg(list_sum(vec::DOUBLE[])), 6) AS total FROM b GROUP BY seq_id, track_id, block HAVING block = -1 OR count(*) = 3"))
 def desc_block_avg(spark, sf):
-    return op.block_mean(_vectors(spark, sf), 3).select("seq_id", "track_id", "frame_id", F.round(F.col("vec")[0], 6).alias("v0"))
+    return op.block_mean(_vectors(spark, sf), 3).select("seq_id", "track_id", "frame_id", F.round(F.col("vec")[0], 6).alias("v0"), F.expr(f"round({_TOTAL}, 6) AS total"))
 
 
 @query("shot_segments")
@@ -151,10 +152,10 @@ def neg_ratio(spark, sf):
     return op.negative_ratio(_frames(spark, sf), 0.25)
 
 
-@query("homog_chain", with_views("SELECT seq_id, frame_id, round(sum((frame_id % 5)::DOUBLE) OVER (PARTITION BY seq_id ORDER BY frame_id), 6) AS tx, round(sum((frame_id % 3)::DOUBLE) OVER (PARTITION BY seq_id ORDER BY frame_id), 6) AS ty FROM (SELECT DISTINCT seq_id, frame_id FROM truth WHERE frame_id < 300)"))
+@query("homog_chain", with_views("SELECT seq_id, frame_id, round(sum((frame_id % 5)::DOUBLE) OVER (PARTITION BY seq_id ORDER BY frame_id), 6) AS tx, round(sum((frame_id % 3)::DOUBLE) OVER (PARTITION BY seq_id ORDER BY frame_id), 6) AS ty FROM (SELECT DISTINCT seq_id, frame_id FROM truth)"))
 def homog_chain(spark, sf):
     d = lambda x: F.lit(float(x))
-    h = _c(spark, sf, "truth").where("frame_id < 300").select("seq_id", "frame_id").distinct()
+    h = _c(spark, sf, "truth").select("seq_id", "frame_id").distinct()
     h = h.withColumn("h", F.array(d(1), d(0), (F.col("frame_id") % 5).cast("double"), d(0), d(1), (F.col("frame_id") % 3).cast("double"), d(0), d(0), d(1)))
     return op.compose_homographies(h).select("seq_id", "frame_id", F.round(F.col("h")[2], 6).alias("tx"), F.round(F.col("h")[5], 6).alias("ty"))
 

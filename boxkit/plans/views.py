@@ -24,17 +24,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
       FROM lineitem) q
 WHERE rn = 1""",
     "computed": """
-SELECT seq_id, frame_id, det_id,
-       CASE WHEN l_partkey % 97 = 0 THEN track_id + 100000 ELSE track_id END AS track_id,
-       x1 + 100.0 * l_discount AS x1, y1 + 100.0 * l_tax AS y1,
-       x2 + 100.0 * l_discount AS x2, y2 + 100.0 * l_tax AS y2,
-       CAST(0.5 + ((l_suppkey * 37 + l_partkey * 11 + l_linenumber * 7) % 500) / 1000.0 AS DOUBLE) AS conf,
-       CASE WHEN l_suppkey % 17 = 0 THEN 'X' ELSE cls END AS cls
-FROM truth WHERE l_partkey % 10 <> 0
-UNION ALL
-SELECT seq_id, frame_id, det_id + 1000000000, track_id + 200000, x1 + 2000.0, y1, x2 + 2000.0, y2,
-       CAST(0.3 + ((l_partkey * 13 + l_linenumber) % 400) / 1000.0 AS DOUBLE), cls
-FROM truth WHERE l_partkey % 13 = 0""",
+SELECT seq_id, frame_id, det_id + 1000000000 * v AS det_id,
+       CASE WHEN v = 1 THEN track_id + 200000 WHEN l_partkey % 97 = 0 THEN track_id + 100000 ELSE track_id END AS track_id,
+       x1 + CASE WHEN v = 1 THEN CAST(2000 AS DOUBLE) ELSE 100.0 * l_discount END AS x1,
+       CASE WHEN v = 1 THEN y1 ELSE y1 + 100.0 * l_tax END AS y1,
+       x2 + CASE WHEN v = 1 THEN CAST(2000 AS DOUBLE) ELSE 100.0 * l_discount END AS x2,
+       CASE WHEN v = 1 THEN y2 ELSE y2 + 100.0 * l_tax END AS y2,
+       CAST(CASE WHEN v = 1 THEN 300 + (l_partkey * 13 + l_linenumber) % 400
+            ELSE 500 + (l_suppkey * 37 + l_partkey * 11 + l_linenumber * 7) % 500 END AS DOUBLE) / CAST(1000 AS DOUBLE) AS conf,
+       CASE WHEN v = 0 AND l_suppkey % 17 = 0 THEN 'X' ELSE cls END AS cls
+FROM truth CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 AS v) k
+WHERE (v = 0 AND l_partkey % 10 <> 0) OR (v = 1 AND l_partkey % 13 = 0)""",
     "regions": """
 SELECT DISTINCT seq_id, frame_id, CAST(30 AS DOUBLE) AS x1, CAST(40 AS DOUBLE) AS y1,
        CAST(90 AS DOUBLE) AS x2, CAST(160 AS DOUBLE) AS y2,
@@ -75,9 +75,12 @@ def with_views(sql: str) -> str:
     needed = _needs(sql)
     if not needed:
         return sql
-    head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    head = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed)
     body = sql.strip()
-    return f"WITH {head}, {body[4:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(word):
+            return f"{word}{head}, {body[len(word):]}"
+    return f"WITH {head} {body}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
