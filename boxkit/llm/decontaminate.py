@@ -1,34 +1,39 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
-A shard is a chunk of whole documents. Its suffix array holds, in the order of
-their words, the suffixes that can begin a match: those whose first words are
-all known from the test items. Each test suffix is looked up by binary search,
-which gives the range of training suffixes that share its window; matches that
-continue each other are joined to the longest verbatim ones. Nothing is
-shuffled: each task answers for its own documents.
+A shard is a batch of whole documents of about ``SHARD`` bytes. Its suffix array
+holds, in the order of their words, the suffixes that can begin a match: those
+whose first words are all known from the test items. Every test suffix, equal
+ones once, is looked up by binary search, which gives the range of training
+suffixes that begin like it; matches that run on in a document are joined to the
+longest ones. What a document loses and which items it holds is told from those
+matches and their places. Nothing is shuffled: each task answers for its own
+documents.
 
 Test items go to the tasks in blocks of at most ``block_chars`` characters, so
 what is broadcast has a fixed bound; more items mean more passes.
 
 Defined cases: a null or wordless text has no words, hits nothing and is kept;
-null or wordless items match nothing; equal items each count; a row whose
-doc_id repeats is judged by itself; further columns of either table are ignored.
+null or wordless items match nothing; equal items each count, a null item_id as
+an item without name; ids of any type; a row whose doc_id repeats is judged by
+itself; further columns of either table are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 
 WINDOW = 13
-BLOCK_CHARS = 8_000_000
-MATCHES = "_rid long, doc_id long, n_words int, item_id long, doc_start int, item_start int, n_matched int"
+BLOCK_CHARS, SHARD = 8_000_000, 4 << 20
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
@@ -64,10 +69,17 @@ class TestSuffixes:
             if n:
                 by_length.setdefault(n, []).extend((k, p - lo, codes[p : p + n]) for p in range(lo, hi - n + 1))
         self.ids = [i for i, _ in items]
-        self.windows = {n: (np.array([x[0] for x in w]), np.array([x[1] for x in w]), _keys(np.stack([x[2] for x in w]))) for n, w in by_length.items()}
-
-    def search(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """(positions, items, item starts, words) of all matches in a shard."""
+        #: Per length: the distinct windows in order, and the places (item, first word) of each, one list after the other.
+        self.windows = {}
+        for n, w in by_length.items():
+            keys = _keys(np.stack([x[2] for x in w]))
+            distinct, of = np.unique(keys, return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            first = np.searchsorted(of[order], np.arange(len(distinct) + 1))
+            self.windows[n] = distinct, first, np.array([x[0] for x in w])[order], np.array([x[1] for x in w])[order]
+
+    def search(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(positions in order, windows, words) of all places of a shard where a window stands; one for each place and length."""
         found = []
         if not len(self.vocabulary) or not len(hashes):
             return found
@@ -75,7 +87,7 @@ class TestSuffixes:
         codes = np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.uint32)
         known = np.concatenate(([0], np.cumsum(codes > 0)))
         doc_end = np.repeat(first[1:], np.diff(first))
-        for n, (item, start, keys) in self.windows.items():
+        for n, (keys, *_) in self.windows.items():
             p = np.arange(len(codes) - n + 1)
             if not len(p):
                 continue
@@ -89,11 +101,44 @@ class TestSuffixes:
             many = hi - lo
             if not many.any():
                 continue
-            hit = np.repeat(np.arange(len(keys)), many)
+            window = np.repeat(np.arange(len(keys)), many)
             within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.append((p[order[lo[hit] + within]], item[hit], start[hit], n))
+            pos = p[order[lo[window] + within]]
+            back = np.argsort(pos, kind="stable")
+            found.append((pos[back], window[back], n))
         return found
 
+    def places(self, pos: np.ndarray, window: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, items, first words there): each match with all places of its window."""
+        _, first, item, start = self.windows[n]
+        many = first[window + 1] - first[window]
+        at = np.repeat(first[window] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(pos, many), item[at], start[at]
+
+    def items_of(self, found, first: np.ndarray) -> dict[int, set[int]]:
+        """The items of each document of a shard; a window that a document holds many times counts once."""
+        out: dict[int, set[int]] = {}
+        for pos, window, n in found:
+            doc = np.searchsorted(first, pos, "right") - 1
+            pairs = np.unique(np.stack([doc, window]), axis=1)
+            doc, item, _ = self.places(*pairs, n)
+            for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist():
+                out.setdefault(d, set()).add(i)
+        return out
+
+
+def longest(found, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest stretches of a shard that matches cover, documents apart."""
+    n_words = int(first[-1])
+    cover = np.zeros(n_words + 1, np.int32)
+    for pos, _, n in found:
+        np.add.at(cover, pos, 1)
+        np.add.at(cover, pos + n, -1)
+    inside = np.cumsum(cover)[:-1] > 0
+    if not inside.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return C.runs(inside, first)
+
 
 def _keys(codes: np.ndarray) -> np.ndarray:
     """Rows of codes as byte strings that sort as the rows do."""
@@ -101,7 +146,7 @@ def _keys(codes: np.ndarray) -> np.ndarray:
     return big.view(f"S{4 * codes.shape[1]}").ravel()
 
 
-def _longest(pos, item, start, n):
+def _joined(pos, item, start, n):
     """Joins matches that run on in document and item alike."""
     order = np.lexsort((pos, pos - start, item))
     pos, item, start = pos[order], item[order], start[order]
@@ -112,7 +157,7 @@ def _longest(pos, item, start, n):
     return pos[at], item[at], start[at], pos[last] - pos[at] + n
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int, body, schema: str) -> list[DataFrame]:
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int, body, schema: T.StructType) -> list[DataFrame]:
     spark: SparkSession = docs.sparkSession
     out = []
     rows = C.with_row_id(docs, "doc_id", "text")
@@ -122,7 +167,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int
         def run(batches, sent=sent):
             tests = TestSuffixes(sent.value, window)
             for b in batches:
-                for lo, hi, buf, offs in C.chunks(b.column("text")):
+                for lo, hi, buf, offs in C.chunks(b.column("text"), SHARD):
                     low = C.lower(buf)
                     s, e, first = C.words(low, offs, blank=False)
                     yield from body(b.slice(lo, hi - lo), first, tests, tests.search(C.word_hashes(low, s, e), first))
@@ -139,50 +184,56 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_c
 
     def body(rows, first, tests, found):
         sizes = np.diff(first)
-        for f in found:
-            pos, item, start, n = _longest(*f)
+        for pos, window, n in found:
+            pos, item, start, n = _joined(*tests.places(pos, window, n), n)
             doc = np.searchsorted(first, pos, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [rows.column("_rid").take(pa.array(doc)), rows.column("doc_id").take(pa.array(doc)), pa.array(sizes[doc], pa.int32()), pa.array([tests.ids[i] for i in item], pa.int64()), pa.array(pos - first[doc], pa.int32()), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
-                names=["_rid", "doc_id", "n_words", "item_id", "doc_start", "item_start", "n_matched"],
+                [rows.column("doc_id").take(pa.array(doc)), pa.array(sizes[doc], pa.int64()), _ids(tests, item.tolist(), item_type), pa.array(pos - first[doc], pa.int32()), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
+                names=["doc_id", "n_words", "item_id", "doc_start", "item_start", "n_matched"],
             )
 
-    parts = _passes(docs, benchmark, window, block_chars, body, MATCHES)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_rid")
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("n_words", T.LongType()), ("item_id", benchmark.schema["item_id"].dataType), ("doc_start", T.IntegerType()), ("item_start", T.IntegerType()), ("n_matched", T.IntegerType())]
+    return reduce(DataFrame.unionByName, _passes(docs, benchmark, window, block_chars, body, T.StructType([T.StructField(*k) for k in kinds])))
+
+
+def _ids(tests: TestSuffixes, items: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.array([tests.ids[i] for i in items], kind)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, the items, contaminated (share * n_hit >= n_words > 0 hits)."""
-    schema = "_rid long, doc_id long, n_words long, hits array<int>, items array<long>"
+    """One row per document: n_words, n_hit, n_items, the items and contaminated (share * n_hit >= n_words > 0 hits).
+
+    stretches: first word and end of the longest matches.
+    """
+    stretch = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def body(rows, first, tests, found):
-        covered = np.zeros(int(first[-1]) + 1, np.int32)
-        items: dict[int, set] = {}
-        for pos, item, _, n in found:
-            np.add.at(covered, pos, 1)
-            np.add.at(covered, pos + n, -1)
-            for d, i in set(zip((np.searchsorted(first, pos, "right") - 1).tolist(), item.tolist(), strict=True)):
-                items.setdefault(d, set()).add(tests.ids[i])
-        hit = np.flatnonzero(np.cumsum(covered)[:-1] > 0)
-        doc = np.searchsorted(first, hit, "right") - 1
-        cut = np.searchsorted(doc, np.arange(len(first)))
+        start, end = longest(found, first)
+        doc = np.searchsorted(first, start, "right") - 1
+        items = tests.items_of(found, first)
+        cut = pa.array(np.searchsorted(doc, np.arange(len(first))), pa.int32())
+        spans = pa.StructArray.from_arrays([pa.array(start - first[doc], pa.int32()), pa.array(end - first[doc], pa.int32())], fields=list(stretch))
+        held = [sorted(items.get(d, ())) for d in range(rows.num_rows)]
+        ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [rows.column("_rid"), rows.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hit - first[doc], pa.int32())), pa.array([sorted(items.get(d, ()), key=str) for d in range(rows.num_rows)], pa.list_(pa.int64()))],
-            names=["_rid", "doc_id", "n_words", "hits", "items"],
+            [rows.column("_rid"), rows.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(cut, spans), pa.ListArray.from_arrays(ends, _ids(tests, [i for x in held for i in x], item_type))],
+            names=["_rid", "doc_id", "n_words", "stretches", "items"],
         )
 
+    kinds = [("_rid", T.LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("n_words", T.LongType()), ("stretches", "array<struct<start: int, end: int>>"), ("items", T.ArrayType(benchmark.schema["item_id"].dataType))]
+    schema = T.StructType([T.StructField(k, T._parse_datatype_string(t) if isinstance(t, str) else t) for k, t in kinds])
     parts = _passes(docs, benchmark, window, block_chars, body, schema)
-    if len(parts) == 1:
-        out = parts[0].select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "_rid")
-    else:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("_rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out.withColumn("items", F.array_sort(F.col("items").cast("array<string>"))).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).withColumn("n_items", F.size("items").cast("long"))
+    out = parts[0].drop("_rid")
+    if len(parts) > 1:
+        every = reduce(DataFrame.unionByName, parts)
+        out = every.groupBy("_rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("stretches")).alias("stretches"), F.flatten(F.collect_list("items")).alias("items")).drop("_rid")
+    # words in stretches of several passes count once
+    hit = "cast(size(array_distinct(flatten(transform(stretches, s -> sequence(s.start, s.end - 1))))) as long)" if len(parts) > 1 else "cast(aggregate(stretches, 0, (n, s) -> n + s.end - s.start) as long)"
+    out = out.withColumn("n_hit", F.expr(hit)).withColumn("items", F.array_sort(F.array_distinct(F.transform("items", lambda i: F.coalesce(i.cast("string"), F.lit(""))))))
+    out = out.withColumn("n_items", F.size("items").cast("long"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
@@ -201,15 +252,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         tests = TestSuffixes(sent.value, window)
         for b in batches:
             keep = []
-            for _, _, buf, offs in C.chunks(b.column(place)):
+            for _, _, buf, offs in C.chunks(b.column(place), SHARD):
                 low = C.lower(buf)
                 s, e, at = C.words(low, offs, blank=False)
-                covered = np.zeros(len(s) + 1, np.int32)
-                for pos, _, _, n in tests.search(C.word_hashes(low, s, e), at):
-                    np.add.at(covered, pos, 1)
-                    np.add.at(covered, pos + n, -1)
-                hits = np.concatenate(([0], np.cumsum(np.cumsum(covered)[:-1] > 0)))
-                n_hit = hits[at[1:]] - hits[at[:-1]]
+                start, end = longest(tests.search(C.word_hashes(low, s, e), at), at)
+                n_hit = np.bincount(np.searchsorted(at, start, "right") - 1, end - start, len(at) - 1) if len(start) else np.zeros(len(at) - 1)
                 keep.append((n_hit == 0) | (share * n_hit < np.diff(at)))
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, bool)))
 

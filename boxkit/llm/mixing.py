@@ -13,8 +13,9 @@ No task holds a source: running totals are taken within hashed buckets of a
 cell, and the totals of buckets before it are added from a table of buckets.
 
 Defined cases: null texts have 0 words and are taken 0; a null source is one
-source, ordered last; null doc_ids are hashed as the empty text; equal rows are
-shared out alike on every run; no documents or no words give no blocks and 0
+source, ordered last; null doc_ids are hashed as the empty text, and the text is
+hashed with the id, so that many rows of one id or of none spread over buckets;
+equal rows are shared out alike on every run; no documents or no words give no blocks and 0
 taken; columns named like inner ones don't clash, as only the needed ones are read.
 """
 
@@ -80,7 +81,8 @@ def quotas(cells: DataFrame, blocks: int = BLOCKS) -> DataFrame:
 
 def mix(docs: DataFrame, *keep: str, seed: str = SEED, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """The kept columns (as struct _row), doc_id, size, source_size, target, taken, shard and quota."""
-    code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
     rows = docs.select(F.struct(*keep).alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), code.alias("code"))
     rows = rows.withColumn("shard", (F.conv(F.substring("code", 1, 2), 16, 10).cast("int") % shards)).withColumn("bucket", F.substring("code", 3, 3))
     rows = C.saved(rows, "mixing")
@@ -117,7 +119,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS code FROM documents),
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS code FROM documents),
 placed AS (SELECT *, (('0x' || substr(code, 1, 2))::INT) % {SHARDS} AS shard FROM rows),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM placed GROUP BY source),
@@ -134,9 +136,11 @@ total AS (SELECT sum(cw) AS total FROM cell),
 seats AS (SELECT source, shard, cw, unnest(range(0, ceil(2 * {BLOCKS} * cw / total)::INT + 2)) AS k FROM cell, total WHERE cw > 0),
 won AS (
   SELECT source, shard, count(*) AS quota FROM (SELECT * FROM seats ORDER BY cw / (2 * k + 1) DESC, source NULLS LAST, shard, k LIMIT {BLOCKS}) GROUP BY source, shard),
+shared AS (
+  SELECT *, count(*) FILTER (cw > 0) OVER (PARTITION BY source) AS cells, sum(cell_size) OVER (PARTITION BY source ORDER BY shard) AS upto, CASE WHEN source_size > 0 THEN target / source_size END AS share FROM cell),
 take AS (
-  SELECT c.*, least(round(coalesce(quota, 0) * total / {BLOCKS}), 2.0 * cell_size)::BIGINT AS take
-  FROM cell c CROSS JOIN total LEFT JOIN won ON c.source IS NOT DISTINCT FROM won.source AND c.shard = won.shard),
+  SELECT c.*, coalesce(least(CASE WHEN cells * total / {BLOCKS} / 2 > {COARSE}::DOUBLE * target THEN round(share * upto) - round(share * (upto - cell_size)) ELSE round(coalesce(quota, 0) * total / {BLOCKS}) END, 2.0 * cell_size), 0)::BIGINT AS take
+  FROM shared c CROSS JOIN total LEFT JOIN won ON c.source IS NOT DISTINCT FROM won.source AND c.shard = won.shard),
 run AS (
   SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY substr(code, 3, 3), code, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto FROM placed p)
 SELECT doc_id, size, t.source_size, t.target,

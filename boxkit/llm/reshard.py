@@ -1,17 +1,23 @@
 """Resharding by minimum-cost flow.
 
-Documents lie in old shards by the hash of their text. Each old shard is cut
-into blocks; the driver gets one row per block (a number fixed by parameters,
-whatever the input), solves the flow from old shard sizes to new capacities
-that moves the fewest bytes, and fills each flow with whole blocks. Documents
-then find their new shard and the slot offset of their block by a join with
-that table; slots within a block are numbered block by block, so no task ever
-sees a whole shard. Equal texts share a block, unless one block grows far over
-the mean: such hot blocks are split by doc_id first.
+Documents lie in old shards: those of a column, or by the hash of their text.
+Each old shard is cut into blocks by the hash of the text; the driver gets one
+row per block (a number bound by parameters, whatever the input), solves the
+flow from old shard sizes to new capacities that moves the fewest bytes, and
+fills each flow with whole blocks. Documents then find their new shard and the
+slot offset of their block by a join with that table; slots within a block are
+numbered block by block, so no task ever sees a whole shard.
+
+Equal texts of an old shard share a block and so stay together. Blocks far over
+the mean are split by another hash of the text. Only a text whose copies alone
+hold more than ``GROUP`` of a new shard, of bytes or rows, is dealt over blocks by
+doc_id: no law could be kept with it in one piece.
 
 Defined cases: a null text has 0 bytes of text and crc32 0; equal rows get
-different slots; a null doc_id is hashed like any value; an empty table gives
-an empty result; further columns are ignored by assign() and kept by rewrite().
+different slots; a null doc_id is hashed like any value, and rows are told apart
+by their place, so rewrite() keeps rows with null or repeated ids; an empty table
+gives an empty result; further columns are ignored by assign() and kept by
+rewrite(). A null old shard counts as shard 0.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-SHARDS, BLOCKS, HOT = 8, 512, 4
+SHARDS, BLOCKS, HOT, GROUP = 8, 512, 4, 1 / 8
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda i, j: int(i != j)) -> dict[tuple[int, int], int]:
@@ -127,29 +133,41 @@ def choose(blocks: list[tuple[int, int, int, int]], old: list[int], shards: int)
     return to, flow
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot of every document."""
+def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS, blocks: int = BLOCKS, old: str | None = None) -> DataFrame:
+    """_rid, doc_id, size, text_crc32, old_shard, shard and slot of every document; old: the column with its old shard (0 and up)."""
     spark = docs.sparkSession
     n = old_shards * blocks
-    slim = C.saved(
-        docs.select(
-            "doc_id",
-            (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-            F.pmod(F.xxhash64("text"), F.lit(n)).cast("int").alias("block"),
-            F.xxhash64("doc_id", F.lit("part")).alias("order"),
-        ),
-        "reshard",
+    of_text = F.pmod("h", F.lit(n))
+    place = of_text if old is None else F.col("old_shard") + old_shards * F.pmod("h", F.lit(blocks))
+    rows = C.with_row_id(docs, "doc_id", "text", (F.lit(None) if old is None else F.col(old)).cast("int").alias("old_shard"))
+    slim = rows.select(
+        "_rid",
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.coalesce("old_shard", F.lit(0)).alias("old_shard"),
+        F.xxhash64("text").alias("h"),
+        F.xxhash64("doc_id", F.lit("part")).alias("order"),
     )
-    first = slim.groupBy("block").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-    bytes_mean, rows_mean = (sum(r[k] for r in first) / n if first else 1 for k in ("size", "rows"))
-    over = lambda r: max(r["size"] / bytes_mean / HOT, r["rows"] / rows_mean / HOT)
-    parts = [(r["block"], int(over(r)) + 1) for r in first if over(r) > 1 and r["rows"] > 1]
-    if parts:  # fewer than n / HOT rows
-        split = F.broadcast(spark.createDataFrame(parts, "block int, parts int"))
-        slim = slim.join(split, "block", "left").withColumn("part", F.coalesce(F.pmod("order", F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    else:
-        slim = slim.withColumn("part", F.lit(0))
+    slim = C.saved(slim.withColumn("block", place.cast("int")), "reshard")
+    first = slim.groupBy("block").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()  # n rows at most
+    total = {k: sum(r[k] for r in first) for k in ("size", "rows")}
+    over = lambda r: max(r[k] * n / total[k] / HOT for k in total)
+    slim = slim.withColumn("part", F.lit(0))
+    many = [(r["block"], int(over(r)) + 1) for r in first if over(r) > 1 and r["rows"] > 1]  # fewer than n / HOT rows
+    if many:
+        split = F.broadcast(spark.createDataFrame(many, "block int, parts int"))
+        slim = slim.join(split, "block", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("h", F.lit("text")), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    # copies of one text beyond the limit; no more texts can reach it than there are shards / GROUP, by bytes or rows
+    most = {k: v * GROUP / shards for k, v in total.items()}
+    large = [r["block"] for r in first if any(r[k] > most[k] for k in total) and r["rows"] > 1]
+    if large:
+        copies = slim.where(F.col("block").isin(large)).groupBy("block", "h").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+        copies = copies.where(F.col("rows") > 1).where((F.col("size") > most["size"]) | (F.col("rows") > most["rows"])).collect()
+        if copies:
+            hot = F.broadcast(spark.createDataFrame([(r["block"], r["h"], (i + 1) * 2 * n, int(over(r)) + 1) for i, r in enumerate(copies)], "block int, h long, start int, parts int"))
+            dealt = F.when(F.col("start").isNull(), F.col("part")).otherwise(F.col("start") + F.pmod("order", F.col("parts")))
+            slim = slim.join(hot, ["block", "h"], "left").withColumn("part", dealt.cast("int")).drop("start", "parts")
     units = sorted(tuple(r) for r in slim.groupBy("block", "part").agg(F.sum("size"), F.count("*")).collect())
     to, _ = choose([((b, p), b % old_shards, s, c) for b, p, s, c in units], list(range(old_shards)), shards)
     at, table = [0] * shards, []
@@ -157,11 +175,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS, bloc
         table.append((b, p, to[b, p], at[to[b, p]]))
         at[to[b, p]] += c
     placed = F.broadcast(spark.createDataFrame(table, "block int, part int, shard int, offset long"))
-    within = Window.partitionBy("block", "part").orderBy("order", "doc_id", "text_crc32", "size")
+    within = Window.partitionBy("block", "part").orderBy("order", "doc_id", "text_crc32", "size", "_rid")
     return (
         slim.withColumn("nth", F.row_number().over(within))
         .join(placed, ["block", "part"])
-        .select("doc_id", "size", "text_crc32", (F.col("block") % old_shards).alias("old_shard"), "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"))
+        .select("_rid", "doc_id", "size", "text_crc32", (F.col("block") % old_shards).alias("old_shard"), "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"))
     )
 
 
@@ -170,12 +188,18 @@ def transfers(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
-def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes the files of the shards that a transfer touches, of documents with unique ids."""
-    moved = [r for r in transfers(assigned).where("old_shard <> shard").collect()]  # at most old x new shards
+def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> list[int]:
+    """Writes the files of the shards that a transfer touches, with all columns and the slot, below path; gives those shards.
+
+    Files are partitioned by new_shard; shards that nothing enters or leaves keep the files that they have there.
+    """
+    moved = transfers(assigned).where("old_shard <> shard").collect()  # at most old x new shards
     touched = sorted({r["old_shard"] for r in moved} | {r["shard"] for r in moved})
-    rows = docs.join(assigned.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot"), "doc_id")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
+    place = assigned.where(F.col("shard").isin(touched)).select("_rid", F.col("shard").alias("new_shard"), F.col("slot").alias("new_slot"))
+    rows = rows.join(place, "_rid").select("_row.*", "new_slot", "new_shard")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").parquet(path)
+    return touched
 
 
 def digest(assigned: DataFrame) -> DataFrame:

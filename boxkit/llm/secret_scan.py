@@ -2,8 +2,9 @@
 
 Each text is layer 0 of a worklist. A layer is scanned by the three base
 patterns; then its encoded stretches (URL escapes, Unicode escapes, base64,
-and base64 of gzip or zlib data) are decoded, each to a further layer, until
-none is left. A layer that has the same content from the same places as one
+over lines too, and base64 of gzip or zlib data) are decoded, each to a further
+layer, until none is left. Bytes are read as UTF-8 or UTF-16, else byte by byte,
+so that stray bytes hide nothing beside them. A layer that has the same content from the same places as one
 before is not taken up again, so encodings that lead back to themselves end
 (they contain a compressed stretch, all of whose content has one place), while
 the same content in another place is scanned there too. Every character of a layer knows
@@ -33,6 +34,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 _UNICODE = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of one encoded text, as mail wraps them.
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+#: No pattern, plain or encoded, stands in fewer bytes.
+LEAST = 12
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _HEX_BYTE = np.array([b in b"0123456789abcdef" for b in range(256)])
 _B64_BYTE = np.array([b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" for b in range(256)])
@@ -64,14 +70,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _readable(data: bytes) -> str | None:
-    """The text that bytes hold, if they look like one."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    plain = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return text if text and plain >= 0.95 * len(text) else None
+def _text(data: bytes) -> tuple[str, list[int]]:
+    """What bytes say, and the first byte of each character (one more at the end).
+
+    UTF-8, else UTF-16 where its zero bytes or its mark show, else a character for each byte: what is text in part is
+    scanned in part.
+    """
+    kind = ""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        kind = "utf-16-le" if data[:1] == b"\xff" else "utf-16-be"
+    elif len(data) >= 4 and (data[1::2].count(0) >= 0.4 * len(data) or data[0::2].count(0) >= 0.4 * len(data)):
+        kind = "utf-16-le" if data[1::2].count(0) > data[0::2].count(0) else "utf-16-be"
+    if kind:
+        text = data.decode(kind, "replace")
+        width = [2 * (1 + (ord(c) > 0xFFFF)) for c in text]
+    else:
+        try:
+            text = data.decode("utf-8")
+            width = [1] * len(text) if text.isascii() else [len(c.encode("utf-8")) for c in text]
+        except UnicodeDecodeError:
+            text, width = data.decode("latin-1"), [1] * len(data)
+    return text, [0, *accumulate(width)]
 
 
 def _unpacked(data: bytes, bits: int, most: int) -> Iterator[bytes]:
@@ -94,24 +113,21 @@ def _inflate(data: bytes, most: int) -> Iterator[str] | None:
     bits = 31 if data.startswith(b"\x1f\x8b") else 15 if data.startswith(b"\x78") else 0
     if not bits:
         return None
-    # a first pass tells whether it is whole and looks like a text
-    read, n, plain, small = codecs.getincrementaldecoder("utf-8")(), 0, 0, []
+    # a first pass tells whether it is whole
+    n, small = 0, []
     try:
         for k, block in enumerate(_unpacked(data, bits, most)):
-            text = read.decode(block)
-            n += len(text)
-            plain += sum(c.isprintable() or c in "\n\r\t" for c in text)
-            small = [text] if not k else []
-        read.decode(b"", final=True)
+            n += len(block)
+            small = [block] if not k else []
     except ValueError:
         return None
-    if not n or plain < 0.95 * n:
+    if not n:
         return iter(())
-    return iter(small) if small else _pieces(_unpacked(data, bits, most), most)
+    return iter([_text(small[0])[0]]) if small else _pieces(_unpacked(data, bits, most), most)
 
 
 def _pieces(blocks: Iterator[bytes], most: int) -> Iterator[str]:
-    read, held = codecs.getincrementaldecoder("utf-8")(), ""
+    read, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
     for block in blocks:
         held += read.decode(block)
         while len(held) > most:
@@ -173,25 +189,25 @@ def _layers(text: str, max_layer: int):
             out, first, last = _unescape(m[0], url)
             if out != m[0]:
                 yield out, [m.start() + x for x in first], [m.start() + x for x in last], "url" if url else "unicode"
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        packed = _inflate(data, max_layer)
-        if packed is not None:
-            for out in packed:
-                yield out, [m.start()] * len(out), [m.end()] * len(out), "base64+compressed"
-        elif (out := _readable(data)) is not None:
-            first, last, k = [], [], 0
-            for c in out:
-                n = len(c.encode("utf-8"))
-                first.append(m.start() + k * 8 // 6)
-                last.append(m.start() + -(-(k + n) * 8 // 6))
-                k += n
-            yield out, first, last, "base64"
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(text):
+            # places of the letters without blanks between lines
+            at = range(m.start(), m.end()) if pattern is _BASE64 else [i for i, c in enumerate(m[0], m.start()) if not c.isspace()]
+            body = "".join(m[0].split()).rstrip("=").replace("-", "+").replace("_", "/")
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            try:
+                data = base64.b64decode(body + "=" * (-len(body) % 4))
+            except (binascii.Error, ValueError):
+                continue
+            if len(data) < LEAST:
+                continue
+            packed = _inflate(data, max_layer)
+            if packed is not None:
+                for out in packed:
+                    yield out, [m.start()] * len(out), [m.end()] * len(out), "base64+compressed"
+                continue
+            out, places = _text(data)
+            yield out, [at[k * 8 // 6] for k in places[:-1]], [at[min(len(at), -(-k * 8 // 6)) - 1] + 1 for k in places[1:]], "base64"
 
 
 def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list]:

@@ -38,6 +38,7 @@ ADDRESS = set("you your youre du dich tu toi vous usted eres".split())
 SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON_SIZE = 4_000, 8_000, 400
 STEMS = (4, 5, 6, 7)
 WINDOW = 12
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PRIOR = np.array([-4.0, 2.5, 0.5, 1.0, -1.0, 0.5, 0.5])
 
@@ -61,7 +62,7 @@ def learn_lexicon(train: DataFrame, size: int = LEXICON_SIZE) -> list[tuple[str,
     toxic, clean = int(n[0] or 0), int(n[1] or 0)
     if not toxic or not clean:
         return [(w, False, 3.0) for w in SEEDS]
-    words = one.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w"))
+    words = one.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, UPPER.lower()), F.lit(WORD), F.lit(0)))).alias("w"))
     stems = words.select("toxic", "w", F.explode(F.filter(F.array(*(F.lit(k) for k in STEMS)), lambda k: k < F.length("w"))).alias("k"))
     base = toxic / (toxic + clean)
     # a stem counts once for each word that it begins: words of many endings still add up
