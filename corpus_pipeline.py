@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 it kept, and returns a DataFrame, which is written as Parquet and read again as
 the next one's docs. All but the last return the columns of documents.
+
+Defined cases: an empty table, and one without any words, give an empty result;
+documents without words are clean, link with nothing and aren't contaminated, but
+the mix takes no words of them, so they end there; rows are told apart by their
+place, so null and repeated ids are safe; of equal and near-equal rows the first
+stays; further columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
