@@ -31,13 +31,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from .repeats import Finder, remove_repeats
+from .repeats import Finder, among, remove_repeats
 
 WINDOW, PAIR_ROUNDS, ROUNDS, REACH, NAMED_WORDS = 13, 2, 2, 5, 3
 
 
 class _Chunk:
-    __slots__ = ("buf", "first", "starts", "ends", "words", "sums", "doc", "at", "top")
+    __slots__ = ("buf", "first", "starts", "ends", "words", "sums", "doc", "at", "top", "levels")
 
 
 class WordFinder(Finder):
@@ -56,7 +56,7 @@ class WordFinder(Finder):
         c.doc = np.repeat(np.arange(len(size)), size)
         at = np.arange(max(0, len(c.words) - self.window + 1))
         c.at = at[at + self.window <= c.first[c.doc[at] + 1]] if len(at) else at  # first words of windows
-        c.top = None
+        c.top = c.levels = None
         return c
 
     def _levels(self, c):
@@ -91,7 +91,8 @@ class WordFinder(Finder):
     def _top(self, c):
         """names, first words, words, lo and hi on the highest level that is parsed where the text is."""
         if c.top is None:
-            *_, (names, begin, _, lo, hi) = self._levels(c)
+            c.levels = list(self._levels(c))
+            names, begin, _, lo, hi = c.levels[-1]
             c.top = names, begin, np.diff(np.append(begin, len(c.words))), lo, np.maximum(lo, hi)
         return c.top
 
@@ -109,30 +110,25 @@ class WordFinder(Finder):
 
         return run
 
-    def alive(self, c, doc: int, found):
-        a, z = int(c.first[doc]), int(c.first[doc + 1])
-        out = np.zeros(z - a, bool)
-        if z - a < self.window or not len(c.at):
+    def alive(self, c, found):
+        out = np.zeros(len(c.words), bool)
+        if not len(c.at):
             return out
         names, begin, n, lo, hi = self._top(c)
-        s, e = np.searchsorted(begin, (a, z))
-        w0, w1 = np.searchsorted(c.at, (a, z))
-        at, n, name, lo, hi = begin[s:e] - a, n[s:e], names[s:e], lo[w0:w1] - s, hi[w0:w1] - s
-        named = np.isin(at, found[0][0], assume_unique=True)
-        gone = np.zeros(e - s + 1, np.int64)
-        gone[1:] = np.cumsum((n >= NAMED_WORDS) & ~named)
         live = lo < hi
-        ok = np.ones(len(lo), bool)
-        ok[live] = gone[hi[live]] == gone[lo[live]]
+        named = among(begin, found[0][0])
+        gone = np.concatenate(([0], np.cumsum((n >= NAMED_WORDS) & ~named)))
+        ok = ~live | (gone[hi] == gone[lo])
         if self.rounds > 1:
             places = np.flatnonzero(named)
-            left = _pairs(at[places], n[places], name[places])
-            single = left[~np.isin(at[places][left], found[1][0])]
-            gone = np.zeros(e - s + 1, np.int64)
+            left = _pairs(begin[places], n[places], names[places])
+            left = left[c.doc[begin[places[left]]] == c.doc[begin[places[left + 1]]]]
+            single = left[~among(begin[places][left], found[1][0])]
+            gone = np.zeros(len(begin) + 1, np.int64)
             gone[places[single] + 1] = 1
             gone = np.cumsum(gone)
-            ok[live] &= gone[np.maximum(hi[live] - 1, lo[live])] == gone[lo[live]]  # both of a pair are interior
-        out[c.at[w0:w1][ok] - a] = True
+            ok &= ~live | (gone[np.maximum(hi - 1, lo)] == gone[lo])  # both of a pair are interior
+        out[c.at[ok]] = True
         return out
 
     def heads(self, c, alive=None):
@@ -145,7 +141,7 @@ class WordFinder(Finder):
         # windows without an interior symbol that reaches far enough fall back on their words
         level, head = np.zeros(len(at), np.int64), self._smallest(c.words, at, last + 1)
         symbol = c.words[head]
-        for k, (names, begin, of_word, lo, hi) in enumerate(self._levels(c)):
+        for k, (names, begin, of_word, lo, hi) in enumerate(c.levels or self._levels(c)):
             far = np.minimum(hi, of_word[last] + 1)
             live = np.flatnonzero(lo < far)
             level[live] = k + 1

@@ -54,8 +54,8 @@ class Finder:
         """The function of (at, n, name) of one document that gives the symbols (name, at, n) of a later round."""
         raise NotImplementedError
 
-    def alive(self, chunk, doc: int, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Which windows of a document hold no symbol that stands in one place only; found: (at, n) of the others, by round."""
+    def alive(self, chunk, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which windows hold no symbol that stands in one place only; found: (first unit, length) of the others, by round, in order."""
         raise NotImplementedError
 
     def prepare(self, buf: np.ndarray, offsets: np.ndarray):
@@ -75,6 +75,11 @@ class Finder:
         raise NotImplementedError
 
 
+def among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted values."""
+    return np.searchsorted(of, x, "right") > np.searchsorted(of, x)
+
+
 def settle(k1, k2, doc, many, earlier_only: bool):
     """Which entries are settled by another one, which of them must stand for their key, and the key's number.
 
@@ -232,7 +237,10 @@ def remove_repeats(docs: DataFrame, finder: Finder, texts: bool = False) -> Data
                     chunk = finder.prepare(buf, offs)
                     of, alive = listed[lo:hi], None
                     if finder.rounds:
-                        alive = np.concatenate([finder.alive(chunk, k, [(unpack(at[r]), unpack(n[r])) for at, n in info]) for k, r in enumerate(of.tolist())])
+                        first = chunk.first.tolist()
+                        none = [np.empty(0, np.int64)]
+                        found = [(np.concatenate([unpack(at[r]) + first[k] for k, r in enumerate(of.tolist()) if at[r]] or none), np.concatenate([unpack(n[r]) for r in of.tolist() if n[r]] or none)) for at, n in info]
+                        alive = finder.alive(chunk, found)
                         if not alive.any():
                             continue
                     bucket, context, at, n = finder.heads(chunk, alive)

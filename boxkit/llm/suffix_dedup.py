@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .repeats import Finder, remove_repeats
+from .repeats import Finder, among, remove_repeats
 
 WINDOW, Q, INNER, INNER_Q, ROUNDS = 200, 100, 131, 32, 3
 
 
 class _Chunk:
-    __slots__ = ("buf", "first", "sums", "grams", "runs")
+    __slots__ = ("buf", "first", "sums", "grams")
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -67,7 +67,7 @@ class ByteFinder(Finder):
 
     def prepare(self, buf, offsets):
         c = _Chunk()
-        c.buf, c.first, c.sums, c.grams, c.runs = buf, offsets, None, None, None
+        c.buf, c.first, c.sums, c.grams = buf, offsets, None, None
         return c
 
     def _grams(self, c):
@@ -114,37 +114,29 @@ class ByteFinder(Finder):
 
         return run
 
-    def alive(self, c, doc: int, found):
+    def alive(self, c, found):
         """Windows from p hold the stretches p to p + room: one of a single suffix, or both ends of one that was refined, rule them out."""
-        a, z = int(c.first[doc]), int(c.first[doc + 1])
-        out = np.zeros(z - a, bool)
-        if z - a < self.window:
-            return out
-        if c.runs is None:
-            c.runs = self.symbols(c)[1:]
         room = self.window - self.inner
-        lo, hi = np.searchsorted(c.runs[0], (a, z))
-        dead = np.zeros(z - a + 1, np.int32)
+        at, n = self.symbols(c)[1:]
+        dead = np.zeros(len(c.buf) + 1, np.int32)
 
         def kill(first, last):
-            """The windows from first to last of each symbol."""
-            first, last = np.maximum(first, 0), np.minimum(last, z - a - 1)
+            """The windows from first to last of each symbol, within its document."""
+            first = np.maximum(first, c.first[np.searchsorted(c.first, last, "right") - 1])
             some = first <= last
             np.add.at(dead, first[some], 1)
             np.add.at(dead, last[some] + 1, -1)
 
-        at, n = c.runs[0][lo:hi] - a, c.runs[1][lo:hi]
-        there = np.isin(at, found[0][0], assume_unique=True)
-        kill(at[~there] - room, (at + n - 1)[~there])
+        gone = ~among(at, found[0][0])
+        kill(at[gone] - room, (at + n - 1)[gone])
         for k in range(1, len(found)):
             at, n = found[k - 1]
             next_ = np.flatnonzero(at[1:] == at[:-1] + n[:-1])
             first = (at + n - 1)[next_] if k == 1 else at[next_]
             last = first + 1 if k == 1 else at[next_ + 1] + 1
-            gone = ~np.isin(first, found[k][0])
+            gone = ~among(first, found[k][0])
             kill(last[gone] - room, first[gone])
-        out[: z - a - self.window + 1] = np.cumsum(dead)[: z - a - self.window + 1] == 0
-        return out
+        return np.cumsum(dead)[:-1] == 0
 
     def heads(self, c, alive=None):
         w = self.window

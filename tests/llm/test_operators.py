@@ -33,6 +33,7 @@ def texts():
     near[60] = "changed"
     out = [base, base, " ".join(near), make(80) + "\n" + passage, passage + " " + make(70), make(3), make(3), "", None, "  \t ", "x", "Ab aB", make(3000), passage * 1 + " tail words here", base.upper(), "a " * 400, None, "the the the the the the the the the the the the the the the"]
     out += [make(rng.randint(5, 90)) for _ in range(30)]
+    out.append(make(40_000))  # more than a chunk
     return out
 
 
