@@ -70,27 +70,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _text(data: bytes) -> tuple[str, list[int]]:
+def _texts(data: bytes) -> Iterator[tuple[str, list[int]]]:
     """What bytes say, and the first byte of each character (one more at the end).
 
-    UTF-8, else UTF-16 where its zero bytes or its mark show, else a character for each byte: what is text in part is
+    UTF-16 where its zero bytes or its mark show; UTF-8, else a character for each byte: what is text in part is
     scanned in part.
     """
-    kind = ""
-    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        kind = "utf-16-le" if data[:1] == b"\xff" else "utf-16-be"
-    elif len(data) >= 4 and (data[1::2].count(0) >= 0.4 * len(data) or data[0::2].count(0) >= 0.4 * len(data)):
-        kind = "utf-16-le" if data[1::2].count(0) > data[0::2].count(0) else "utf-16-be"
-    if kind:
-        text = data.decode(kind, "replace")
-        width = [2 * (1 + (ord(c) > 0xFFFF)) for c in text]
-    else:
-        try:
-            text = data.decode("utf-8")
-            width = [1] * len(text) if text.isascii() else [len(c.encode("utf-8")) for c in text]
-        except UnicodeDecodeError:
-            text, width = data.decode("latin-1"), [1] * len(data)
-    return text, [0, *accumulate(width)]
+    little, big = data[1::2].count(0), data[0::2].count(0)
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff") or max(little, big) >= 0.4 * len(data):
+        text = data.decode("utf-16-le" if little >= big else "utf-16-be", "replace")
+        yield text, [0, *accumulate(2 * (1 + (ord(c) > 0xFFFF)) for c in text)]
+    try:
+        text = data.decode("utf-8")
+        yield text, list(range(len(text) + 1)) if text.isascii() else [0, *accumulate(len(c.encode("utf-8")) for c in text)]
+    except UnicodeDecodeError:
+        yield data.decode("latin-1"), list(range(len(data) + 1))
 
 
 def _unpacked(data: bytes, bits: int, most: int) -> Iterator[bytes]:
@@ -123,7 +117,7 @@ def _inflate(data: bytes, most: int) -> Iterator[str] | None:
         return None
     if not n:
         return iter(())
-    return iter([_text(small[0])[0]]) if small else _pieces(_unpacked(data, bits, most), most)
+    return (text for text, _ in _texts(small[0])) if small else _pieces(_unpacked(data, bits, most), most)
 
 
 def _pieces(blocks: Iterator[bytes], most: int) -> Iterator[str]:
@@ -206,8 +200,8 @@ def _layers(text: str, max_layer: int):
                 for out in packed:
                     yield out, [m.start()] * len(out), [m.end()] * len(out), "base64+compressed"
                 continue
-            out, places = _text(data)
-            yield out, [at[k * 8 // 6] for k in places[:-1]], [at[min(len(at), -(-k * 8 // 6)) - 1] + 1 for k in places[1:]], "base64"
+            for out, places in _texts(data):
+                yield out, [at[min(len(at) - 1, k * 8 // 6)] for k in places[:-1]], [at[min(len(at), -(-k * 8 // 6)) - 1] + 1 for k in places[1:]], "base64"
 
 
 def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list]:

@@ -77,3 +77,35 @@ def prior_points(points: DataFrame) -> DataFrame:
     """Per image the number of its points that an earlier image (smaller ord) sees."""
     first = points.groupBy("point_id").agg(F.min("ord").alias("first"))
     return points.join(first, "point_id").groupBy("image_id").agg(F.count_if(F.col("first") < F.col("ord")).alias("prior"), F.count("*").alias("points"))
+
+
+def link_imagelog(images: DataFrame, log: DataFrame, key: str, window: int = 60, most_m: float = 25.0) -> DataFrame:
+    """Images (key, frame, lat, lon) with log records (the same columns) of their site, in order of frames.
+
+    Each image takes the nearest of the next ``window`` records, if one is within ``most_m`` metres; the search goes on
+    after it and never back. An image without a position, or without a record near enough, takes the next record in order.
+    by: 'position' or 'order'. The choice of an image rests on all before it, so the positions of a site are one group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    e = images.select(key, "frame", "lat", "lon", F.lit(0).alias("_log")).unionByName(log.select(key, "frame", "lat", "lon", F.lit(1).alias("_log")))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        img, rec = (pdf[pdf._log == k].sort_values("frame") for k in (0, 1))
+        lat, lon, frames, at, out = rec.lat.to_numpy(), rec.lon.to_numpy(), rec.frame.to_numpy(), 0, []
+        for f, y, x in zip(img.frame, img.lat, img.lon, strict=True):
+            if at >= len(frames):
+                break
+            k, d, by = at, None, "order"
+            if y == y and y is not None:
+                far = np.hypot((y - lat[at : at + window]) * 111320.0, (x - lon[at : at + window]) * 111320.0 * np.cos(np.radians(y)))
+                far = np.where(np.isnan(far), np.inf, far)
+                if far.min() <= most_m:
+                    k, d, by = at + int(far.argmin()), float(far.min()), "position"
+            out.append((pdf[key].iloc[0], f, frames[k], d, by))
+            at = k + 1
+        return pd.DataFrame(out, columns=[key, "frame", "log_frame", "distance", "by"])
+
+    kind = images.schema[key].dataType.simpleString()
+    return e.groupBy(key).applyInPandas(link, f"{key} {kind}, frame long, log_frame long, distance double, by string")

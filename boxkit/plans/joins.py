@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching as op
+from ..operators import survey
 from ..operators.components import components
 from ..registry import query
 from .views import view, with_views
@@ -244,21 +245,7 @@ def link_flightlog(spark, sf):
 
 @query("link_imagelog")
 def link_imagelog(spark, sf):
-    """Per site, each image takes the nearest later log position within a window of 60 rows and 60 m, never going back."""
-    import numpy as np
-    import pandas as pd
-
-    e = view(spark, sf, "images").selectExpr("site", "frame", "(lat - 55) * 111320 AS n", "(lon + 160) * 63850 AS e", "pass_no")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        img, log = (pdf[pdf.pass_no == k].sort_values("frame") for k in (1, 2))
-        ln, le, lf, at, out = log.n.to_numpy(), log.e.to_numpy(), log.frame.to_numpy(), 0, []
-        for f, n, x in zip(img.frame, img.n, img.e, strict=True):
-            d = np.hypot(ln[at : at + 60] - n, le[at : at + 60] - x)
-            if len(d) and d.min() <= 60:
-                k = at + int(d.argmin())
-                out.append((img.site.iloc[0], f, lf[k], float(d.min())))
-                at = k + 1
-        return pd.DataFrame(out, columns=["site", "frame", "log_frame", "distance"])
-
-    return e.groupBy("site").applyInPandas(link, "site long, frame long, log_frame long, distance double")
+    """Images of the first pass with the log of the second, per site; images without a position go by order."""
+    e = view(spark, sf, "images").select("site", "frame", F.when(F.col("frame") % 11 != 0, F.col("lat")).alias("lat"), "lon", "pass_no")
+    log = view(spark, sf, "images").where("pass_no = 2").select("site", "frame", "lat", "lon")
+    return survey.link_imagelog(e.where("pass_no = 1").drop("pass_no"), log, "site")

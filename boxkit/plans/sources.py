@@ -72,17 +72,46 @@ def io_coco_write(spark, sf):
     return D.coco_files(_c(spark, sf)).select("seq", j.alias("j")).select("seq", F.size("j.annotations").alias("annotations"), F.size("j.images").alias("images"), F.size("j.categories").alias("categories"))
 
 
-@query("io_dive_read", with_views("SELECT track_id, frame_id, round(x1, 6) AS x1, max(cls) OVER (PARTITION BY track_id) AS cls FROM truth WHERE seq_id = 3"))
+_POLY = "array(x1, y1, x2, y1, x2, y2)"
+
+
+@query("io_csv_round_trip", with_views("SELECT det_id AS track_id, 'stream_1' AS frame_name, 'seen ' || det_id || ', twice' AS note, round(x1 + y1 + x2 + y1 + x2 + y2, 6) AS points, round(x1, 6) AS head_x, round(y2, 6) AS tail_y, cls FROM computed"))
+def io_csv_round_trip(spark, sf):
+    """Notes, polygons, keypoints and a fixed stream name, written and read again."""
+    c, path = _c(spark, sf), _dir(spark, "csv-full")
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    c = c.withColumn("notes", F.array(F.concat(F.lit("seen "), F.col("det_id").cast("string"), F.lit(", twice")))).withColumn("polygons", F.array(F.expr(_POLY))).withColumn("keypoints", F.create_map(F.lit("head"), point("x1", "y1"), F.lit("tail"), point("x2", "y2")))
+    B.write_boxes(c, path, fps=5.0, stream="stream_1", model="m", version="2", frames_per_file=500)
+    b = B.read_boxes(spark, path)
+    return b.select("track_id", "frame_name", F.col("notes")[0].alias("note"), F.round(F.aggregate(F.col("polygons")[0], F.lit(0.0), lambda s, x: s + x), 6).alias("points"), F.round(F.col("keypoints")["head"]["x"], 6).alias("head_x"), F.round(F.col("keypoints")["tail"]["y"], 6).alias("tail_y"), "cls")
+
+
+@query("io_coco_round_trip", with_views("SELECT det_id, 'clip' || seq_id AS video, 'track_' || det_id AS track, round(x1 + y1 + x2 + y1 + x2 + y2, 6) AS points, round(x1, 6) AS head_x, cls FROM computed"))
+def io_coco_round_trip(spark, sf):
+    """Videos, tracks, polygons and keypoints of image tables, written and read again."""
+    c, path = _c(spark, sf), _dir(spark, "coco-full")
+    c = c.withColumn("polygons", F.array(F.expr(_POLY))).withColumn("keypoints", F.create_map(F.lit("head"), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))))
+    D.write_coco(c, path)
+    return D.read_coco(spark, path).select("det_id", "video", "track", F.round(F.aggregate(F.col("polygons")[0], F.lit(0.0), lambda s, x: s + x), 6).alias("points"), F.round(F.col("keypoints")["head"]["x"], 6).alias("head_x"), "cls")
+
+
+def _dive(spark, sf, path):
+    """A file per sequence, as the format has it: a map of its tracks."""
+    t = view(spark, sf, "truth")
+    ring = F.expr("array(array(array(x1, y1), array(x2, y1), array(x2, y2)))")
+    shape = F.struct(F.array(F.struct(F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"))).alias("features"))
+    feature = F.struct(F.col("frame_id").alias("frame"), F.array("x1", "y1", "x2", "y2").alias("bounds"), F.create_map(F.lit("own"), F.col("cls")).alias("attributes"), shape.alias("geometry"))
+    tracks = t.groupBy("seq_id", "track_id").agg(F.max("cls").alias("cls"), F.collect_list(feature).alias("features"))
+    one = F.struct(F.col("track_id").alias("id"), F.array(F.array("cls", F.lit("0.9")), F.array(F.lit("zz"), F.lit("0.1"))).alias("confidencePairs"), F.create_map(F.lit("own"), F.lit("no"), F.lit("of"), F.lit("track")).alias("attributes"), "features")
+    files = tracks.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("track_id").cast("string"), one))).alias("tracks"))
+    files.select("tracks").write.option("maxRecordsPerFile", 1).json(path)
+    return path
+
+
+@query("io_dive_read", with_views("SELECT track_id, frame_id, round(x1, 6) AS x1, max(cls) OVER (PARTITION BY seq_id, track_id) AS cls, cls AS own, 'track' AS of, round(x1 + y1 + x2 + y1 + x2 + y2, 6) AS points FROM truth"))
 def io_dive_read(spark, sf):
-    t = view(spark, sf, "truth").where("seq_id = 3")
-    tracks = t.groupBy("track_id").agg(F.max("cls").alias("cls"), F.array_sort(F.collect_list(F.struct(F.col("frame_id").alias("frame"), F.array("x1", "y1", "x2", "y2").alias("bounds")))).alias("features"))
-    one = F.struct(F.col("track_id").alias("id"), F.array(F.array("cls", F.lit("0.9")), F.array(F.lit("zz"), F.lit("0.1"))).alias("confidencePairs"), "features")
-    file = tracks.groupBy(F.pmod("track_id", F.lit(16)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("track_id").cast("string"), one))).alias("tracks"))
-    path = _text(file.repartition(16, "part").select(F.to_json(F.struct("tracks")).alias("value")).withColumn("value", F.col("value")), _dir(spark, "dive"))
-    d = spark.read.text(path).select(F.explode(F.from_json("value", D.DIVE)["tracks"]).alias("k", "t"))  # several files' maps may share a task's file
-    best = F.expr("array_max(transform(t.confidencePairs, p -> named_struct('s', CAST(p[1] AS DOUBLE), 'c', p[0])))")
-    d = d.select(F.col("t.id").alias("track_id"), best["c"].alias("cls"), F.explode("t.features").alias("f"))
-    return d.select("track_id", F.col("f.frame").alias("frame_id"), F.round(F.col("f.bounds")[0], 6).alias("x1"), "cls")
+    d = D.read_dive(spark, _dive(spark, sf, _dir(spark, "dive")))
+    return d.select("track_id", "frame_id", F.round("x1", 6).alias("x1"), "cls", F.col("attrs")["own"].alias("own"), F.col("attrs")["of"].alias("of"), F.round(F.aggregate(F.col("polygons")[0], F.lit(0.0), lambda s, x: s + x), 6).alias("points"))
 
 
 @query("io_kw18_read", with_views("SELECT track_id, frame_id, round(x1, 6) AS x1, round(y2, 6) AS y2 FROM truth"))
@@ -131,27 +160,33 @@ def io_oceaneyes_read(spark, sf):
     return B.read_oceaneyes(spark, _text(t.select(line.alias("value")), _dir(spark, "oceaneyes"))).drop("seq")
 
 
-@query("io_cvat_read", with_views("SELECT frame_id * 8 + seq_id AS frame_id, cls, x1, y1, x2, y2 FROM truth"))
-def io_cvat_read(spark, sf):
+def _cvat(spark, sf, path):
+    """Boxes of even ids as boxes, those of odd ids as polygons."""
     t = view(spark, sf, "truth")
-    box = F.struct(F.col("cls").alias("_label"), F.col("x1").alias("_xtl"), F.col("y1").alias("_ytl"), F.col("x2").alias("_xbr"), F.col("y2").alias("_ybr"))
-    img = t.groupBy((F.col("frame_id") * 8 + F.col("seq_id")).alias("_id")).agg(F.collect_list(box).alias("box")).withColumn("_name", F.concat(F.lit("img"), "_id"))
-    path = _dir(spark, "cvat")
+    even = F.col("det_id") % 2 == 0
+    box = F.when(even, F.struct(F.col("cls").alias("_label"), F.col("x1").alias("_xtl"), F.col("y1").alias("_ytl"), F.col("x2").alias("_xbr"), F.col("y2").alias("_ybr")))
+    point = lambda x, y: F.concat_ws(",", F.col(x).cast("string"), F.col(y).cast("string"))
+    polygon = F.when(~even, F.struct(F.col("cls").alias("_label"), F.concat_ws(";", point("x1", "y1"), point("x2", "y1"), point("x2", "y2")).alias("_points")))
+    img = t.groupBy((F.col("frame_id") * 8 + F.col("seq_id")).alias("_id")).agg(F.collect_list(box).alias("box"), F.collect_list(polygon).alias("polygon")).withColumn("_name", F.concat(F.lit("img"), "_id"))
     img.write.format("xml").option("rootTag", "annotations").option("rowTag", "image").save(path)
-    return D.read_cvat(spark, path).select("frame_id", "cls", "x1", "y1", "x2", "y2")
+    return path
+
+
+@query("io_cvat_read", with_views("SELECT frame_id * 8 + seq_id AS frame_id, cls, x1, y1, x2, y2, CASE WHEN det_id % 2 = 0 THEN 0 ELSE 6 END::INT AS numbers FROM truth"))
+def io_cvat_read(spark, sf):
+    return D.read_cvat(spark, _cvat(spark, sf, _dir(spark, "cvat"))).select("frame_id", "cls", "x1", "y1", "x2", "y2", F.coalesce(F.size("polygon"), F.lit(0)).alias("numbers"))
 
 
-@query("io_auto_read", with_views("SELECT 'csv' AS format, count(*) AS n FROM computed UNION ALL SELECT 'coco', count(*) FROM computed"))
+@query("io_auto_read", with_views("SELECT 'csv' AS format, count(*) AS n FROM computed UNION ALL SELECT 'coco', count(*) FROM computed UNION ALL SELECT 'dive', count(*) FROM truth UNION ALL SELECT 'cvat', count(*) FROM truth"))
 def io_auto_read(spark, sf):
-    """Files of two formats below one folder; the parts that Spark writes are named by task, so those without extension are copied to names by format."""
+    """Files of four formats below one folder, each read by what it is."""
     path = _dir(spark, "auto")
     c = _c(spark, sf)
-    B.box_lines(c).select("value").write.option("compression", "none").text(f"{path}/a.csv")
-    one = D.coco_files(c).select("value")
-    one.repartition(64, "value").write.text(f"{path}/b")  # one text per file, mostly
-    csv = B.read_boxes(spark, f"{path}/a.csv").select(F.lit("csv").alias("format"))
-    coco = spark.read.text(f"{path}/b").select(F.explode(F.from_json("value", D.COCO)["annotations"])).select(F.lit("coco").alias("format"))
-    return csv.unionByName(coco).groupBy("format").agg(F.count("*").alias("n"))
+    B.write_boxes(c, f"{path}/a")
+    D.coco_files(c).select(F.from_json("value", D.COCO).alias("j")).select("j.*").write.option("maxRecordsPerFile", 1).json(f"{path}/b")
+    _dive(spark, sf, f"{path}/c")
+    _cvat(spark, sf, f"{path}/d")
+    return D.read_auto(spark, path).groupBy("format").agg(F.count("*").alias("n"))
 
 
 @query("io_flightlog_read", with_views("SELECT event_id AS frame, round(55 + (event_id % 60) / 60.0, 6) AS lat, 1 + event_id % 2 AS pass_no FROM events"))

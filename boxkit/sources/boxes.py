@@ -52,10 +52,10 @@ def _well_formed() -> Column:
 
 def _fields(d: DataFrame, strict: bool) -> DataFrame:
     tail = F.expr("slice(f, 10, size(f))")
-    d = d.withColumn("tail", tail).withColumn("stop", F.expr("coalesce(array_min(filter(transform(tail, (x, i) -> IF(trim(x) = '' OR trim(x) LIKE '(%', i, NULL)), x -> x IS NOT NULL)), size(tail))"))
+    d = d.withColumn("tail", tail).withColumn("stop", F.expr("coalesce(array_min(filter(transform(tail, (x, i) -> IF(trim(x) = '' OR trim(BOTH ' \"' FROM x) LIKE '(%', i, NULL)), x -> x IS NOT NULL)), size(tail))"))
     pairs = F.expr("transform(sequence(0, greatest(stop DIV 2 - 1, 0)), i -> named_struct('name', trim(get(tail, i * 2)), 'score', try_cast(get(tail, i * 2 + 1) AS DOUBLE)))")
     d = d.withColumn("scores", F.when(F.col("stop") >= 2, F.filter(pairs, lambda p: p["score"].isNotNull())).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<name: STRING, score: DOUBLE>>)")))
-    tags = F.expr("transform(filter(tail, x -> trim(x) LIKE '(%'), x -> trim(BOTH '\"' FROM trim(x)))")
+    tags = F.expr("filter(transform(tail, x -> trim(BOTH ' \"' FROM x)), x -> x LIKE '(%')")
     attrs = F.expr("map_from_entries(array_distinct(transform(filter(tags, x -> x LIKE '(atr) %'), x -> named_struct('k', split(x, ' ')[1], 'v', substring(x, length(split(x, ' ')[1]) + 8)))))")
     d = d.withColumn("tags", tags)
     conf = number(F.get("f", F.lit(7)))
@@ -79,22 +79,38 @@ def _fields(d: DataFrame, strict: bool) -> DataFrame:
     )
 
 
-def box_lines(df: DataFrame, top: int = 0) -> DataFrame:
-    """seq and the line of each row; df: seq, track_id, frame_name, frame_id, x1..y2, conf, length, scores, attrs."""
+def box_lines(df: DataFrame, top: int = 0, stream: str | None = None) -> DataFrame:
+    """seq and the line of each row; df: seq, track_id, frame_name, frame_id, x1..y2, conf, length, scores, attrs,
+    and, where it has them, notes, polygons and keypoints as read_boxes() gives them. stream: written in place of the frame name.
+    """
+    tagged = lambda c, f: F.array_join(F.transform(c, f), ",")
+    numbers = lambda v: F.array_join(F.transform(v, lambda x: x.cast("string")), " ")
+    more = {
+        "notes": lambda c: tagged(c, lambda x: F.concat(F.lit('"(note) '), F.regexp_replace(x, '"', ""), F.lit('"'))),
+        "polygons": lambda c: tagged(c, lambda v: F.concat(F.lit("(poly) "), numbers(v))),
+        "keypoints": lambda c: tagged(F.map_entries(c), lambda e: F.concat(F.lit("(kp) "), e["key"], F.lit(" "), e["value"]["x"].cast("string"), F.lit(" "), e["value"]["y"].cast("string"))),
+    }
+    more = [f(F.col(k)) for k, f in more.items() if k in df.columns]
+    df = df if stream is None else df.withColumn("frame_name", F.lit(stream))
     scores = F.array_sort("scores", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0))
     scores = F.slice(scores, 1, top) if top else scores
     pairs = F.array_join(F.transform(scores, lambda p: F.concat(p["name"], F.lit(","), p["score"].cast("string"))), ",")
     attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit("(atr) "), e["key"], F.lit(" "), e["value"])), ",")
     base = F.concat_ws(",", *(F.col(k).cast("string") for k in ("track_id", "frame_name", "frame_id", "x1", "y1", "x2", "y2", "conf", "length")))
     some = lambda c: F.when(F.length(c) > 0, c)
-    return df.select("seq", "frame_id", F.concat_ws(",", base, some(pairs), some(attrs)).alias("value"))
+    return df.select("seq", "frame_id", F.concat_ws(",", base, some(pairs), some(attrs), *(some(x) for x in more)).alias("value"))
+
 
+def write_boxes(df: DataFrame, path: str, fps: float | None = None, top: int = 0, stream: str | None = None, model: str | None = None, version: str | None = None, frames_per_file: int = 100_000) -> None:
+    """Files of lines below path/seq_name=..., in order of frames, each with a header of comments.
 
-def write_boxes(df: DataFrame, path: str, fps: float | None = None, top: int = 0) -> None:
-    """Files of lines below path/seq_name=..., each task's file in order of frames, with a header of comments."""
-    out = box_lines(df, top)
-    head = df.select("seq").distinct().select("seq", F.lit(-1).cast("long").alias("frame_id"), F.lit("# 1: Detection or Track-id, 2: Video or Image Identifier, 3: Unique Frame Identifier" + (f", fps: {fps}" if fps else "")).alias("value"))
-    out = out.unionByName(head).repartition("seq").sortWithinPartitions("seq", "frame_id", "value")
+    A sequence is one file as long as it has no more than frames_per_file frames; a longer one is a file for each so many.
+    """
+    part = lambda c: F.floor(c / frames_per_file)
+    out = box_lines(df, top, stream).withColumn("part", part(F.col("frame_id")))
+    meta = "".join(f", {k}: {v}" for k, v in (("fps", fps), ("model", model), ("version", version)) if v)
+    head = df.select("seq", part(F.col("frame_id")).alias("part")).distinct().select("seq", F.lit(-1).cast("long").alias("frame_id"), F.lit("# 1: Detection or Track-id, 2: Video or Image Identifier, 3: Unique Frame Identifier" + meta).alias("value"), "part")
+    out = out.unionByName(head).repartition("seq", "part").sortWithinPartitions("seq", "part", "frame_id", "value")
     out.select(F.col("seq").alias("seq_name"), "value").write.mode("overwrite").partitionBy("seq_name").text(path)
 
 
