@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import box
+from ..shared import stored
 from . import matching as m
 
 FRAME = ["seq_id", "frame_id"]
@@ -62,19 +63,80 @@ def fuse_soft_nms(df: DataFrame, sigma: float = 0.5, least: float = 0.05, weight
     """Per class: the best box left is taken, the scores of the rest fall by exp(-iou^2 / sigma), as often as there are boxes."""
     keys = [*FRAME, "cls"]
     r = _ranked(_weighted(df, weights), keys)
+    return _decayed(r, f"{sigma}D").where(F.col("conf") >= least)
+
+
+def _decayed(r: DataFrame, sigma: str) -> DataFrame:
+    """The boxes of ranked groups with their scores when they are taken; sigma: a SQL number or the name of a key."""
     # acc.left: boxes left, as (score now, id, box); acc.out: those taken
     item = "named_struct('s', x.conf, 'id', x.id, 'x1', x.x1, 'y1', x.y1, 'x2', x.x2, 'y2', x.y2)"
     best = "array_sort(acc.left, (l, r) -> CASE WHEN l.s > r.s THEN -1 WHEN l.s < r.s THEN 1 WHEN l.id < r.id THEN -1 WHEN l.id > r.id THEN 1 ELSE 0 END)"
-    decay = f"transform(slice(o, 2, size(o)), x -> named_struct('s', x.s * exp(-power({_sql(IOU, 'x', 'o[0]')}, 2) / {sigma}D), 'id', x.id, 'x1', x.x1, 'y1', x.y1, 'x2', x.x2, 'y2', x.y2))"
+    decay = f"transform(slice(o, 2, size(o)), x -> named_struct('s', x.s * exp(-power({_sql(IOU, 'x', 'o[0]')}, 2) / {sigma}), 'id', x.id, 'x1', x.x1, 'y1', x.y1, 'x2', x.x2, 'y2', x.y2))"
     step = f"element_at(transform(array({best}), o -> named_struct('left', {decay}, 'out', concat(acc.out, slice(o, 1, 1)))), 1)"
-    fold = f"aggregate(b, named_struct('left', transform(b, x -> {item}), 'out', slice(transform(b, x -> {item}), 1, 0)), (acc, i) -> {step}, acc -> filter(acc.out, x -> x.s >= {least}D))"
-    return r.selectExpr("seq_id", "frame_id", "cls", f"inline({fold})").withColumnsRenamed({"s": "conf", "id": "det_id"})
+    fold = f"aggregate(b, named_struct('left', transform(b, x -> {item}), 'out', slice(transform(b, x -> {item}), 1, 0)), (acc, i) -> {step}, acc -> acc.out)"
+    return r.selectExpr(*(k for k in r.columns if k != "b"), f"inline({fold})").withColumnsRenamed({"s": "conf", "id": "det_id"})
 
 
-def _clusters(df: DataFrame, iou: float, keys: list[str], *extra: str) -> DataFrame:
-    """keys, cluster number and member: boxes by falling confidence join the cluster whose first box they overlap most, above iou."""
+def sweep(df: DataFrame, truth: DataFrame, models: list[str], ious=(0.3, 0.4, 0.5, 0.6, 0.7), sigmas=(0.1, 0.3, 0.5, 0.9), draws: int = 6, rounds: int = 2, seed: int = 0) -> DataFrame:
+    """stage, method, iou, sigma, weights, ap and best: average precision of weighted and of soft fusion over parameters.
+
+    First a grid over the overlap and sigma with equal weights, then seeded random weights of the models at the best point,
+    then rounds of single steps of each weight and of the overlap or sigma from the best so far. The candidates of a stage
+    are a table of a few rows and a key of one job, of which the driver sees one number per candidate.
+    """
+    import random
+
+    rng, one = random.Random(seed), [1.0] * len(models)
+    tried: list[tuple] = []
+
+    def run(stage: int, candidates: list[tuple[str, float, float, list[float]]]) -> None:
+        new = [c for c in candidates if not any(c == t[1:5] for t in tried)]
+        if new:
+            tried.extend((stage, *c, ap) for c, ap in zip(new, _tried(df, truth, models, new), strict=True))
+
+    def best() -> tuple:
+        return max(tried, key=lambda t: (t[5], t[1] == "weighted", -tried.index(t)))
+
+    run(1, [("weighted", x, 0.0, one) for x in ious] + [("soft", 0.0, x, one) for x in sigmas])
+    _, how, iou, sigma, *_ = best()
+    run(2, [(how, iou, sigma, [round(rng.uniform(0.2, 1.0), 2) for _ in models]) for _ in range(draws)])
+    for k in range(rounds):
+        _, how, iou, sigma, weights, _ = best()
+        step = 0.5**k
+        steps = [(how, iou, sigma, [round(min(1.0, max(0.05, w + d * step)), 3) if i == j else w for j, w in enumerate(weights)]) for i in range(len(models)) for d in (-0.2, 0.2)]
+        steps += [(how, round(iou + d * step, 3), 0.0, weights) if how == "weighted" else (how, 0.0, round(max(0.02, sigma + d * step), 3), weights) for d in (-0.05, 0.05)]
+        run(3 + k, steps)
+    top = best()
+    rows = [(s, how, iou, sigma, w, ap, (s, how, iou, sigma, w, ap) == top) for s, how, iou, sigma, w, ap in tried]
+    return df.sparkSession.createDataFrame(rows, "stage int, method string, iou double, sigma double, weights array<double>, ap double, best boolean")
+
+
+def _tried(df: DataFrame, truth: DataFrame, models: list[str], candidates: list[tuple[str, float, float, list[float]]]) -> list[float]:
+    from . import scoring
+
+    spark = df.sparkSession
+    table = F.broadcast(spark.createDataFrame([(i, *c) for i, c in enumerate(candidates)], "p int, method string, p_iou double, p_sigma double, weights array<double>"))
+    w = F.get("weights", F.array_position(F.array(*(F.lit(x) for x in models)), F.col("model")).cast("int") - 1) / F.array_max("weights")
+    d = df.join(table).withColumn("conf", F.col("conf") * F.coalesce(w, F.lit(1.0)))  # a row for each candidate
+    keys = [*FRAME, "cls", "p", "p_iou"]
+    keep = ["p", *FRAME, "det_id", *box.names(), "conf", "cls"]
+    weighted = _averaged(_clusters(d.where("method = 'weighted'"), "p_iou", keys, "model"), len(models), keys).select(*keep)
+    soft = _decayed(_ranked(d.where("method = 'soft'"), [*FRAME, "cls", "p", "p_sigma"]), "p_sigma").where("conf >= 0.05").select(*keep)
+    fused = stored(weighted.unionByName(soft), "fused")
+    match = m.confident(m.iou_join(fused, truth, 0.5, FRAME).withColumnRenamed("c_p", "p"), ["p", *FRAME])
+    d = fused.join(match.select("p", *FRAME, F.col("c_id").alias("det_id"), F.lit(1).alias("tp")), ["p", *FRAME, "det_id"], "left").fillna(0, ["tp"])
+    n = truth.agg(F.count("*").alias("n_truth")).crossJoin(table.select("p"))
+    got = {r.p: r.ap for r in scoring.area_under(d, n, ["p"]).collect()}
+    return [got[i] for i in range(len(candidates))]
+
+
+def _clusters(df: DataFrame, iou: float | str, keys: list[str], *extra: str) -> DataFrame:
+    """keys, cluster number and member: boxes by falling confidence join the cluster whose first box they overlap most, above iou.
+
+    iou: a number, or the name of a key that holds it.
+    """
     over = _sql(IOU, "c.m[0]", "x")
-    best = f"aggregate(sequence(0, size(acc) - 1), named_struct('i', -1, 'v', {iou}D), (r, i) -> element_at(transform(slice(acc, i + 1, 1), c -> IF({over} > r.v, named_struct('i', i, 'v', {over}), r)), 1))"
+    best = f"aggregate(sequence(0, size(acc) - 1), named_struct('i', -1, 'v', {iou if isinstance(iou, str) else f'{iou}D'}), (r, i) -> element_at(transform(slice(acc, i + 1, 1), c -> IF({over} > r.v, named_struct('i', i, 'v', {over}), r)), 1))"
     put = "transform(acc, (c, i) -> IF(i = hit.i, named_struct('m', concat(c.m, array(x))), c))"
     step = f"element_at(transform(array({best}), hit -> IF(hit.i < 0, concat(acc, array(named_struct('m', array(x)))), {put})), 1)"
     fold = f"aggregate(slice(b, 2, size(b)), array(named_struct('m', slice(b, 1, 1))), (acc, x) -> {step})"
@@ -83,10 +145,13 @@ def _clusters(df: DataFrame, iou: float, keys: list[str], *extra: str) -> DataFr
 
 def fuse_wbf(df: DataFrame, iou: float, models: int, weights: dict[str, float] | None = None, skip: float = 0.0) -> DataFrame:
     """Weighted boxes: clusters by first box, geometry averaged by score, the mean score scaled by how many models agree."""
-    c = _clusters(_weighted(df, weights).where(F.col("conf") >= skip), iou, [*FRAME, "cls"], "model")
+    return _averaged(_clusters(_weighted(df, weights).where(F.col("conf") >= skip), iou, [*FRAME, "cls"], "model"), models, [*FRAME, "cls"])
+
+
+def _averaged(c: DataFrame, models: int, keys: list[str]) -> DataFrame:
     w = F.sum("conf")
     mean = [(F.sum(F.col(k) * F.col("conf")) / w).alias(k) for k in box.names()]
-    g = c.groupBy(*FRAME, "cls", "cluster").agg(F.min("id").alias("det_id"), *mean, F.avg("conf").alias("avg"), F.count("*").alias("n"), F.countDistinct("model").alias("agree"))
+    g = c.groupBy(*keys, "cluster").agg(F.min("id").alias("det_id"), *mean, F.avg("conf").alias("avg"), F.count("*").alias("n"), F.countDistinct("model").alias("agree"))
     return g.withColumn("conf", F.col("avg") * F.least(F.col("n"), F.lit(models)) / models).drop("avg", "cluster", "n")
 
 

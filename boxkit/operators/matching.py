@@ -83,7 +83,11 @@ def match_by_confidence(computed: DataFrame, truth: DataFrame, least: float = 0.
     equal confidences are ordered by id, as a box takes all its candidates in a row.
     """
     keys = keys or FRAME
-    pairs = iou_join(computed, truth, least, keys).where(F.col("iou") >= least)
+    return confident(iou_join(computed, truth, least, keys).where(F.col("iou") >= least), keys)
+
+
+def confident(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The choice of match_by_confidence() among given pairs (iou, c_conf and ids)."""
     cand = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("c_conf")).alias("k"), F.col("c_det_id").alias("c_id"), (-F.col("iou")).alias("niou"), F.col("t_det_id").alias("t_id")))).alias("cand"))
     fold = f"""inline(aggregate(cand, {TAKEN}, (acc, x) -> CASE WHEN exists(acc, m -> m.c_id = x.c_id OR m.t_id = x.t_id)
              THEN acc ELSE concat(acc, array(struct(x.k AS k, x.c_id AS c_id, x.t_id AS t_id, -x.niou AS iou))) END))"""

@@ -8,8 +8,6 @@ task sorts all detections.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -185,24 +183,31 @@ def average_precision(computed: DataFrame, truth: DataFrame, least: float = 0.5,
     match = m.match_by_confidence(computed, truth, least, [*FRAME, *keys])
     d = computed.select(*FRAME, "det_id", "conf", *keys).join(match.select(*FRAME, F.col("c_id").alias("det_id"), F.lit(1).alias("tp")), [*FRAME, "det_id"], "left").fillna(0, ["tp"])
     if not by_class:
-        d, keys = d.withColumn("cls", F.lit("all")), ["cls"]
-        truth = truth.withColumn("cls", F.lit("all"))
-    r = running(d, keys).withColumn("p", F.col("hits") / F.col("n"))
+        d, truth = d.withColumn("cls", F.lit("all")), truth.withColumn("cls", F.lit("all"))
+    return area_under(d, truth.groupBy("cls").agg(F.count("*").alias("n_truth")), ["cls"])
+
+
+def area_under(d: DataFrame, n: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_truth and ap of detections (keys, conf, det_id, tp) and numbers of truth boxes (keys, n_truth)."""
+    r = running(d, keys).withColumn("_p", F.col("hits") / F.col("n"))
     # the best precision at or below each row: within its band, and of the bands below
-    peak = r.groupBy(*keys, "band").agg(F.max("p").alias("peak"))
+    peak = r.groupBy(*keys, "band").agg(F.max("_p").alias("peak"))
     below = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     peak = peak.withColumn("rest", F.coalesce(F.max("peak").over(below), F.lit(0.0))).drop("peak")
     w = Window.partitionBy(*keys, "band").orderBy("conf", F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("env", F.max("p").over(w)).join(peak, [*keys, "band"]).withColumn("env", F.greatest("env", "rest"))
-    gt = truth.groupBy(*keys).agg(F.count("*").alias("n_truth"))
+    r = r.withColumn("env", F.max("_p").over(w)).join(peak, [*keys, "band"]).withColumn("env", F.greatest("env", "rest"))
     s = r.where("tp = 1").groupBy(*keys).agg(F.sum("env").alias("s"))
-    return gt.join(s, keys, "left").select(*keys, "n_truth", (F.coalesce("s", F.lit(0.0)) / F.col("n_truth")).alias("ap"))
+    return n.join(s, keys, "left").select(*keys, "n_truth", (F.coalesce("s", F.lit(0.0)) / F.col("n_truth")).alias("ap"))
 
 
 def ap_over_thresholds(computed: DataFrame, truth: DataFrame) -> DataFrame:
-    """ap50, ap75 and the mean over 0.50, 0.55, ..., 0.95."""
-    parts = [average_precision(computed, truth, 0.5 + 0.05 * i).select(F.lit(i).alias("i"), "ap") for i in range(10)]
-    every = reduce(DataFrame.unionByName, parts)
+    """ap50, ap75 and the mean over 0.50, 0.55, ..., 0.95; pairs are joined once, and the threshold is a key of one job."""
+    ths = F.broadcast(computed.sparkSession.createDataFrame([(i, 0.5 + 0.05 * i) for i in range(10)], "i int, least double"))  # 10 rows
+    pairs = m.iou_join(computed, truth, 0.5).join(ths, F.col("iou") >= F.col("least"))
+    match = m.confident(pairs, ["i", *FRAME]).select("i", *FRAME, F.col("c_id").alias("det_id"), F.lit(1).alias("tp"))
+    d = computed.select(*FRAME, "det_id", "conf").crossJoin(ths.select("i")).join(match, ["i", *FRAME, "det_id"], "left").fillna(0, ["tp"])
+    n = truth.agg(F.count("*").alias("n_truth")).crossJoin(ths.select("i"))  # ten rows
+    every = area_under(d, n, ["i"])
     return every.agg(F.max(F.when(F.col("i") == 0, F.col("ap"))).alias("ap50"), F.max(F.when(F.col("i") == 5, F.col("ap"))).alias("ap75"), F.avg("ap").alias("ap50_95"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion as op
 from ..operators import matching as m
-from ..operators import scoring
 from ..registry import query
 from .joins import INTER, IOU
 from .views import view, with_views
@@ -133,13 +132,10 @@ def rescore_apply(spark, sf):
 
 @query("fusion_sweep")
 def fusion_sweep(spark, sf):
-    """Average precision of weighted fusion over a grid of overlaps; the best is refined by half steps around it."""
-    b, t = _m(spark, sf), view(spark, sf, "truth").select("seq_id", "frame_id", "det_id", "x1", "y1", "x2", "y2", "conf", "cls")
-    ap = lambda iou: scoring.average_precision(op.fuse_wbf(b, iou, 3, W), t).select(F.lit(iou).alias("iou"), "ap")
-    grid = [(r.iou, r.ap) for iou in (0.4, 0.6) for r in ap(iou).collect()]  # one number per job
-    best = max(grid, key=lambda x: x[1])[0]
-    grid += [(r.iou, r.ap) for iou in (round(best - 0.1, 3), round(best + 0.1, 3)) for r in ap(iou).collect()]
-    return spark.createDataFrame(grid, "iou double, ap double").withColumn("best", F.col("ap") == max(x[1] for x in grid))
+    """Parameters of fusion by average precision: a grid, seeded weights, and refinement."""
+    t = view(spark, sf, "truth").select("seq_id", "frame_id", "det_id", "x1", "y1", "x2", "y2", "conf", "cls")
+    out = op.sweep(_m(spark, sf), t, MODELS)
+    return out.withColumn("weights", F.array_join(F.transform("weights", lambda w: w.cast("string")), ",")).withColumn("ap", F.round("ap", 9))
 
 
 @query("fuse_tracks")
