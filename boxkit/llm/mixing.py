@@ -137,9 +137,9 @@ seats AS (SELECT source, shard, cw, unnest(range(0, ceil(2 * {BLOCKS} * cw / tot
 won AS (
   SELECT source, shard, count(*) AS quota FROM (SELECT * FROM seats ORDER BY cw / (2 * k + 1) DESC, source NULLS LAST, shard, k LIMIT {BLOCKS}) GROUP BY source, shard),
 shared AS (
-  SELECT *, count(*) FILTER (cw > 0) OVER (PARTITION BY source) AS cells, sum(cell_size) OVER (PARTITION BY source ORDER BY shard) AS upto, CASE WHEN source_size > 0 THEN target / source_size END AS share FROM cell),
+  SELECT *, count(*) FILTER (cw > 0) OVER (PARTITION BY source) AS cells, sum(cell_size) OVER (PARTITION BY source ORDER BY shard) AS shard_upto, CASE WHEN source_size > 0 THEN target / source_size END AS share FROM cell),
 take AS (
-  SELECT c.*, coalesce(least(CASE WHEN cells * total / {BLOCKS} / 2 > {COARSE}::DOUBLE * target THEN round(share * upto) - round(share * (upto - cell_size)) ELSE round(coalesce(quota, 0) * total / {BLOCKS}) END, 2.0 * cell_size), 0)::BIGINT AS take
+  SELECT c.*, coalesce(least(CASE WHEN cells * total / {BLOCKS} / 2 > {COARSE}::DOUBLE * target THEN round(share * shard_upto) - round(share * (shard_upto - cell_size)) ELSE round(coalesce(quota, 0) * total / {BLOCKS}) END, 2.0 * cell_size), 0)::BIGINT AS take
   FROM shared c CROSS JOIN total LEFT JOIN won ON c.source IS NOT DISTINCT FROM won.source AND c.shard = won.shard),
 run AS (
   SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY substr(code, 3, 3), code, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto FROM placed p)
