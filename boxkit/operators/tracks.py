@@ -235,10 +235,23 @@ def thin_frames(frames: DataFrame, factor: float) -> DataFrame:
     return d.where((F.col("i") == 0) | (F.floor(F.col("i") / factor) != F.floor((F.col("i") - 1) / factor))).select(*frames.columns)
 
 
-def link_greedy(df: DataFrame, least: float = 0.2) -> DataFrame:
-    """Track ids from overlaps with the frame before only: frame pairs match in parallel, links become components."""
+def link_greedy(df: DataFrame, least: float = 0.2, homographies: DataFrame | None = None, reference: str | None = None) -> DataFrame:
+    """Track ids from overlaps with the frame before only: frame pairs match in parallel, links become components.
+
+    homographies: seq_id, frame_id and h, nine values that take the frame before into this one; its boxes are moved by
+    them (frames without one keep theirs). reference: a column; where it changes between two frames tracks end.
+    """
     prev = df.withColumn("frame_id", F.col("frame_id") + 1)
-    links = m.match_greedy(df, prev, least)
+    if homographies is not None:
+        h = homographies.select(*FRAME, "h")
+        prev = prev.join(h, FRAME, "left")
+        at = lambda x, y, r: F.col("h")[3 * r] * F.col(x) + F.col("h")[3 * r + 1] * F.col(y) + F.col("h")[3 * r + 2]
+        corners = [(x, y) for x in ("x1", "x2") for y in ("y1", "y2")]
+        xs, ys = ([at(x, y, r) / at(x, y, 2) for x, y in corners] for r in (0, 1))
+        moved = {"x1": F.least(*xs), "y1": F.least(*ys), "x2": F.greatest(*xs), "y2": F.greatest(*ys)}
+        prev = prev.withColumns({k: F.when(F.col("h").isNull(), F.col(k)).otherwise(v) for k, v in moved.items()}).drop("h")
+    keys = FRAME if reference is None else [*FRAME, reference]
+    links = m.match_greedy(df, prev, least, keys)
     roots = components(links.selectExpr("c_id AS a", "t_id AS b"))
     return df.join(roots, df["det_id"] == roots["node"], "left").withColumn("linked_track", F.coalesce("root", "det_id")).drop("node", "root")
 
@@ -274,86 +287,147 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, inter / np.where(union > 0, union, 1), 0)
 
 
+def _blocks(ok: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of the connected blocks of a matrix of allowed pairs."""
+    out, free = [], ok.any(1)
+    while free.any():
+        rows = np.zeros(len(ok), bool)
+        rows[np.argmax(free)] = True
+        while True:
+            cols = ok[rows].any(0)
+            more = ok[:, cols].any(1)
+            if (more == rows).all():
+                break
+            rows = more
+        free &= ~rows
+        out.append((np.flatnonzero(rows), np.flatnonzero(cols)))
+    return out
+
+
 class Tracker:
     """Two-stage association of boxes to tracks, one frame at a time; the state of one sequence.
 
-    Strong boxes match predicted tracks first, weak ones the tracks left over. With ``direction``
-    the cost also counts how far a box lies off a track's way, and lost tracks are tried again
-    by their last observed box.
+    Strong boxes match predicted tracks first, weak ones the tracks left over. A track that has been seen in one frame
+    only is not confirmed (but for those that begin where no track was left): it takes part after the others, and ends if nothing
+    matches it. With ``direction`` the cost also counts how far a box lies off the way between a track's observed
+    boxes, and lost tracks are tried again by their last observed box; with ``appearance`` how far its vector is from
+    the track's mean.
     """
 
-    def __init__(self, high=0.6, low=0.1, new=0.7, gate=0.2, buffer=30, direction=0.0):
-        self.high, self.low, self.new, self.gate, self.buffer, self.direction = high, low, new, gate, buffer, direction
+    def __init__(self, high=0.6, low=0.1, new=0.7, gate=0.2, buffer=30, direction=0.0, appearance=0.0, steps=3):
+        self.high, self.low, self.new, self.gate, self.buffer, self.direction, self.appearance, self.steps = high, low, new, gate, buffer, direction, appearance, steps
         self.tracks: list[dict] = []
         self.next = 1
 
-    def _match(self, tracks, boxes, use_last=False):
+    def _match(self, tracks, boxes, vecs=None, use_last=False):
+        """Pairs of the least cost among those that overlap enough, solved block by block."""
         if not tracks or not len(boxes):
             return [], list(range(len(tracks))), list(range(len(boxes)))
-        seen = np.array([t["last"] if use_last else t["kf"].box() for t in tracks])
+        seen = np.array([t["boxes"][-1] if use_last else t["kf"].box() for t in tracks])
         over = _iou(seen, boxes)
-        cost = 1 - over
+        cost, ok = 1 - over, over >= self.gate
         if self.direction:
             c = (boxes[:, :2] + boxes[:, 2:]) / 2
             for i, t in enumerate(tracks):
-                v = t["kf"].x[4:6]
-                if np.hypot(*v) > 1e-6:
-                    d = c - (t["last"][:2] + t["last"][2:]) / 2
+                first, last = ((b[:2] + b[2:]) / 2 for b in (t["boxes"][0], t["boxes"][-1]))
+                v = last - first
+                if np.hypot(*v) > 1e-6 and ok[i].any():
+                    d = c - last
                     cos = d @ v / (np.hypot(*d.T) * np.hypot(*v) + 1e-9)
                     cost[i] += self.direction * (np.arccos(np.clip(cos, -1, 1)) / np.pi - 0.5)
-        pairs = [(i, j) for i, j in m.assignment(cost) if over[i, j] >= self.gate]
+        if self.appearance and vecs is not None:
+            cost += self.appearance * (1 - np.array([t["vec"] for t in tracks]) @ vecs.T)
+        pairs = []
+        for rows, cols in _blocks(ok):
+            if len(rows) == 1 or len(cols) == 1:
+                i, j = np.unravel_index(np.where(ok[np.ix_(rows, cols)], cost[np.ix_(rows, cols)], np.inf).argmin(), (len(rows), len(cols)))
+                pairs.append((int(rows[i]), int(cols[j])))
+            else:
+                block = np.where(ok, cost, 1e3)[np.ix_(rows, cols)]
+                pairs += [(int(rows[i]), int(cols[j])) for i, j in m.assignment(block) if ok[rows[i], cols[j]]]
         ti, bj = {i for i, _ in pairs}, {j for _, j in pairs}
         return pairs, [i for i in range(len(tracks)) if i not in ti], [j for j in range(len(boxes)) if j not in bj]
 
-    def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
-        """The track of each box, 0 for none."""
+    def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray, vecs: np.ndarray | None = None) -> np.ndarray:
+        """The track of each box, 0 for none; vecs: unit vectors of the boxes."""
         out = np.zeros(len(boxes), np.int64)
         gap = frame - getattr(self, "frame", frame - 1)
         self.frame = frame
         self.tracks = [t for t in self.tracks if frame - t["seen"] <= self.buffer]
+        fresh = not self.tracks
         for t in self.tracks:
             for _ in range(min(gap, self.buffer)):
                 t["kf"].predict()
         z = np.c_[(boxes[:, :2] + boxes[:, 2:]) / 2, (boxes[:, 2] - boxes[:, 0]) / np.maximum(boxes[:, 3] - boxes[:, 1], 1e-6), boxes[:, 3] - boxes[:, 1]] if len(boxes) else np.empty((0, 4))
+        pick = lambda at: None if vecs is None else vecs[at]
 
         def take(tracks, at, pairs):
             for i, j in pairs:
                 t, k = tracks[i], at[j]
                 t["kf"].update(z[k])
-                t["seen"], t["last"] = frame, boxes[k]
+                t["seen"], t["sure"], t["boxes"] = frame, True, [*t["boxes"], boxes[k]][-self.steps - 1 :]
+                if vecs is not None:
+                    v = 0.9 * t["vec"] + 0.1 * vecs[k]
+                    t["vec"] = v / max(np.linalg.norm(v), 1e-12)
                 out[k] = t["id"]
 
+        sure, unsure = [t for t in self.tracks if t["sure"]], [t for t in self.tracks if not t["sure"]]
         strong, weak = np.flatnonzero(conf >= self.high), np.flatnonzero((conf >= self.low) & (conf < self.high))
-        pairs, left, free = self._match(self.tracks, boxes[strong])
-        take(self.tracks, strong, pairs)
-        rest = [self.tracks[i] for i in left if frame - self.tracks[i]["seen"] <= max(1, gap)]
-        pairs2, _, _ = self._match(rest, boxes[weak])
-        take(rest, weak, pairs2)
+        pairs, left, free = self._match(sure, boxes[strong], pick(strong))
+        take(sure, strong, pairs)
+        rest = [sure[i] for i in left if frame - sure[i]["seen"] <= max(1, gap)]
+        pairs, _, _ = self._match(rest, boxes[weak])
+        take(rest, weak, pairs)
         if self.direction:
-            again = [t for t in self.tracks if t["seen"] != frame]
-            pairs3, _, free3 = self._match(again, boxes[strong[free]], use_last=True)
-            take(again, strong[free], pairs3)
-            free = [free[j] for j in free3]
-        for j in free:
-            k = strong[j]
+            again = [t for t in sure if t["seen"] != frame]
+            pairs, _, rest = self._match(again, boxes[strong[free]], pick(strong[free]), use_last=True)
+            take(again, strong[free], pairs)
+            free = [free[j] for j in rest]
+        pairs, gone, rest = self._match(unsure, boxes[strong[free]], pick(strong[free]))
+        take(unsure, strong[free], pairs)
+        dropped = {unsure[i]["id"] for i in gone}
+        self.tracks = [t for t in self.tracks if t["id"] not in dropped]
+        for j in rest:
+            k = strong[free[j]]
             if conf[k] >= self.new:
-                self.tracks.append({"id": self.next, "kf": Kalman(z[k]), "seen": frame, "last": boxes[k]})
+                self.tracks.append({"id": self.next, "kf": Kalman(z[k]), "seen": frame, "boxes": [boxes[k]], "sure": fresh, "vec": None if vecs is None else vecs[k]})
                 out[k] = self.next
                 self.next += 1
         return out
 
 
-def link_two_stage(df: DataFrame, **how) -> DataFrame:
-    """det_id and linked_track (0: none) by the two-stage tracker; a sequence is one group, as each frame needs the state before."""
+def link_two_stage(df: DataFrame, vec: str | None = None, **how) -> DataFrame:
+    """det_id and linked_track (0: none) by the two-stage tracker; vec: the column of the boxes' vectors for ``appearance``.
+
+    Each frame needs the state before, but no state lives longer than the buffer: where a sequence has no box for more
+    frames than that, the rest of it is a group of its own, whose tracks are numbered by the place where it begins.
+    """
+    buffer = how.get("buffer", 30)
+    w = Window.partitionBy("seq_id").orderBy("frame_id", "det_id")
+    cut = F.coalesce((F.col("frame_id") - F.lag("frame_id").over(w) > buffer).cast("int"), F.lit(0))
+    df = df.withColumn("piece", F.sum(cut).over(w))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tracker, out = Tracker(**how), []
-        for frame, g in pdf.sort_values(["frame_id", "det_id"]).groupby("frame_id", sort=True):
-            ids = tracker.step(int(frame), g[BOX].to_numpy(float), g.conf.to_numpy(float))
-            out.append(pd.DataFrame({"seq_id": g.seq_id.to_numpy(), "frame_id": frame, "det_id": g.det_id.to_numpy(), "linked_track": ids}))
-        return pd.concat(out)
-
-    return df.select(*FRAME, "det_id", *BOX, "conf").groupBy("seq_id").applyInPandas(run, "seq_id long, frame_id long, det_id long, linked_track long")
+        pdf = pdf.sort_values(["frame_id", "det_id"])
+        boxes, conf, frames = pdf[BOX].to_numpy(float), pdf.conf.to_numpy(float), pdf.frame_id.to_numpy()
+        vecs = None
+        if vec:
+            vecs = np.stack(pdf[vec].to_numpy()).astype(float)
+            vecs /= np.maximum(np.linalg.norm(vecs, axis=1), 1e-12)[:, None]
+        ends = np.append(np.flatnonzero(np.diff(frames)) + 1, len(frames))
+        for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            out.append(tracker.step(int(frames[lo]), boxes[lo:hi], conf[lo:hi], None if vecs is None else vecs[lo:hi]))
+        ids = np.concatenate(out)
+        return pd.DataFrame({"seq_id": pdf.seq_id.to_numpy(), "frame_id": frames, "det_id": pdf.det_id.to_numpy(), "piece": pdf.piece.to_numpy(), "linked_track": ids})
+
+    columns = [*FRAME, "det_id", *BOX, "conf", "piece", *([vec] if vec else [])]
+    linked = stored(df.select(*columns).groupBy("seq_id", "piece").applyInPandas(run, "seq_id long, frame_id long, det_id long, piece long, linked_track long"), "linked")
+    # numbers of the pieces before are added
+    tops = linked.groupBy("seq_id", "piece").agg(F.max("linked_track").alias("top"))
+    tops = tops.withColumn("before", F.coalesce(F.sum("top").over(Window.partitionBy("seq_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("top")
+    track = F.when(F.col("linked_track") > 0, F.col("linked_track") + F.col("before")).otherwise(0)
+    return linked.join(tops, ["seq_id", "piece"]).select(*FRAME, "det_id", track.cast("long").alias("linked_track"))
 
 
 def stereo_components(pairs: DataFrame) -> DataFrame:

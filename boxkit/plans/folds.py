@@ -243,6 +243,9 @@ _register("knn_sampled", f"""WITH n AS (SELECT count(*) AS n FROM descriptors),
 d AS (SELECT query_id, uid, list_distance(vec::DOUBLE[], qvec::DOUBLE[]) AS distance FROM v, q)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, uid) AS rank FROM d) WHERE rank <= 5""")
 _register("link_iou_greedy", _r(f"""prev AS (SELECT * REPLACE (frame_id + 1 AS frame_id) FROM computed), {_pairs('pairs', 0.2, t='prev')}, {_greedy('mm', 'pairs')},
+ch AS (SELECT det_id AS head, det_id AS node FROM computed WHERE det_id NOT IN (SELECT c_id FROM mm) UNION ALL SELECT head, c_id FROM ch JOIN mm ON t_id = node), top AS (SELECT head, min(node) AS root FROM ch GROUP BY head)""",
+    "SELECT seq_id, frame_id, det_id, root AS linked_track FROM ch JOIN top USING (head) JOIN computed ON det_id = node"))
+_register("link_iou_homography", _r(f"""prev AS (SELECT * REPLACE (frame_id + 1 AS frame_id, x1 + dx AS x1, x2 + dx AS x2, y1 + dy AS y1, y2 + dy AS y2) FROM (SELECT *, CASE WHEN (frame_id + 1) % 7 <> 0 THEN (frame_id + 1) % 3 ELSE 0 END AS dx, CASE WHEN (frame_id + 1) % 7 <> 0 THEN (frame_id + 1) % 2 ELSE 0 END AS dy FROM computed)), {_pairs('pairs', 0.2, ' AND c.frame_id // 100 = (t.frame_id - 1) // 100', t='prev')}, {_greedy('mm', 'pairs')},
 ch AS (SELECT det_id AS head, det_id AS node FROM computed WHERE det_id NOT IN (SELECT c_id FROM mm) UNION ALL SELECT head, c_id FROM ch JOIN mm ON t_id = node), top AS (SELECT head, min(node) AS root FROM ch GROUP BY head)""",
     "SELECT seq_id, frame_id, det_id, root AS linked_track FROM ch JOIN top USING (head) JOIN computed ON det_id = node"))
 _LR = f"{_MB}, lr AS MATERIALIZED (SELECT seq_id, frame_id, t_track * 8 + seq_id AS left_id, c_track * 8 + seq_id AS right_id FROM mb)"

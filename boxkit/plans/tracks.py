@@ -188,7 +188,17 @@ def link_bytetrack(spark, sf):
 
 @query("link_ocsort")
 def link_ocsort(spark, sf):
-    return op.link_two_stage(_c(spark, sf), direction=0.2)
+    return op.link_two_stage(_vectors(spark, sf), vec="vec", direction=0.2, appearance=0.3)
+
+
+@query("link_iou_homography")
+def link_iou_homography(spark, sf):
+    """Greedy links of boxes that move with the camera, ended where the reference frame changes."""
+    d = lambda x: F.lit(float(x))
+    c = _c(spark, sf).withColumn("ref", F.expr("frame_id DIV 100"))
+    h = c.select("seq_id", "frame_id").distinct().where("frame_id % 7 <> 0")
+    h = h.withColumn("h", F.array(d(1), d(0), (F.col("frame_id") % 3).cast("double"), d(0), d(1), (F.col("frame_id") % 2).cast("double"), d(0), d(0), d(1)))
+    return op.link_greedy(c, 0.2, h, "ref").select("seq_id", "frame_id", "det_id", "linked_track")
 
 
 def _pairs(spark, sf):
