@@ -84,10 +84,21 @@ def filter_frames(frames: DataFrame, boxes: DataFrame, least: float, inverted: b
 
 
 def sample_frames(frames: DataFrame, step: int, order: str = "frame_id", key: str = "seq_id") -> DataFrame:
-    """The first frame, then each one that is at least step after the last kept; a fold over one sequence's ids."""
-    folded = frames.groupBy(key).agg(F.array_sort(F.collect_set(order)).alias("ids"))
-    kept = F.aggregate("ids", F.expr(f"CAST(array() AS ARRAY<{frames.schema[order].dataType.simpleString()}>)"), lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.element_at(acc, -1) + step), F.concat(acc, F.array(x))).otherwise(acc))
-    return frames.join(folded.select(key, F.explode(kept).alias(order)), [key, order], "left_semi")
+    """The first frame, then each one that is at least step after the last kept; the ids of one sequence are a group."""
+    import numpy as np
+    import pandas as pd
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(pdf[order].to_numpy())
+        kept, at = [], 0
+        while at < len(ids):
+            kept.append(ids[at])
+            at = int(np.searchsorted(ids, ids[at] + step))
+        return pd.DataFrame({key: pdf[key].iloc[0], order: kept})
+
+    ids = frames.select(key, order).distinct()
+    kept = ids.groupBy(key).applyInPandas(thin, ids.schema)
+    return frames.join(kept, [key, order], "left_semi")
 
 
 def suppress_small(df: DataFrame, least: float) -> DataFrame:

@@ -192,7 +192,7 @@ def contributors(fused: DataFrame, inputs: DataFrame, same_class: bool = True) -
 
 def pseudonyms(df: DataFrame, allowed: DataFrame, iou: float) -> DataFrame:
     """Boxes of a generic class take the specific class (generic, specific) of the best overlapping box of another model."""
-    a = box.prefixed(df, "c_", FRAME).join(F.broadcast(allowed), F.col("c_cls") == F.col("generic"))  # a table of classes
+    a = box.prefixed(df, "c_", FRAME).join(allowed, F.col("c_cls") == F.col("generic"))  # a table of classes
     p = a.join(box.prefixed(df, "t_", FRAME), FRAME).where("t_cls = specific AND c_model <> t_model").withColumn("iou", box.iou("c_", "t_")).where(F.col("iou") > iou)
     new = p.groupBy(*FRAME, F.col("c_det_id").alias("det_id")).agg(F.max_by("t_cls", F.struct("iou", -F.col("t_det_id"))).alias("new"))
     return df.join(new, [*FRAME, "det_id"], "left").withColumn("cls", F.coalesce("new", "cls")).drop("new")
@@ -252,7 +252,7 @@ def calibrate_apply(df: DataFrame, maps: DataFrame) -> DataFrame:
     """conf through the piecewise linear map (model, cls, x, y) of its model and class, else the model's '*', else as it is."""
     t = maps.groupBy("model", "cls").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))
     own, any_ = t.withColumnRenamed("k", "k1"), t.where("cls = '*'").select("model", F.col("k").alias("k2"))
-    j = df.join(F.broadcast(own), ["model", "cls"], "left").join(F.broadcast(any_), "model", "left").withColumn("k", F.coalesce("k1", "k2"))  # at most 32 knots per model and class
+    j = df.join(own, ["model", "cls"], "left").join(any_, "model", "left").withColumn("k", F.coalesce("k1", "k2"))  # at most 32 knots per model and class
     lo = F.element_at(F.filter("k", lambda p: p["x"] <= F.col("conf")), -1)
     hi = F.get(F.filter("k", lambda p: p["x"] > F.col("conf")), 0)
     lin = F.when(lo.isNull(), hi["y"]).when(hi.isNull(), lo["y"]).otherwise(lo["y"] + (F.col("conf") - lo["x"]) / (hi["x"] - lo["x"]) * (hi["y"] - lo["y"]))

@@ -244,7 +244,7 @@ def tile_boundary_merge(boxes: DataFrame, strips: DataFrame, least: float) -> Da
     a = box.prefixed(boxes, "c_", FRAME).withColumnRenamed("c_tile", "tile_a")
     b = box.prefixed(boxes, "t_", FRAME).withColumnRenamed("t_tile", "tile_b")
     s = strips.select("tile_a", "tile_b", *(F.col(k).alias(f"s_{k}") for k in box.names()))
-    pairs = a.join(F.broadcast(s), "tile_a").join(b, [*FRAME, "tile_b"]).where("c_cls = t_cls")  # strips: one row per pair of tiles
+    pairs = a.join(s, "tile_a").join(b, [*FRAME, "tile_b"]).where("c_cls = t_cls")  # strips: one row per pair of tiles
     pairs = pairs.where((box.intersection("c_", "s_") >= least * box.area("c_")) & (box.intersection("t_", "s_") >= least * box.area("t_"))).withColumn("iou", box.iou("c_", "t_")).where("iou > 0")
     m = one_to_one(pairs, -F.col("iou"), FRAME)
     j = m.join(box.prefixed(boxes, "c_", FRAME).withColumnRenamed("c_det_id", "c_id"), [*FRAME, "c_id"]).join(box.prefixed(boxes, "t_", FRAME).withColumnRenamed("t_det_id", "t_id"), [*FRAME, "t_id"])

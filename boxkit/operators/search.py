@@ -22,24 +22,21 @@ DISTANCES = {"euclidean": V.euclidean, "cosine": V.cosine_distance, "intersectio
 MOST_QUERIES = 10_000
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, distance: str = "euclidean") -> DataFrame:
-    """The k nearest vectors of each query (query_id, qvec), ties by uid; rank from 1.
-
-    More than MOST_QUERIES queries go in blocks by hashed id of about half as many, each broadcast for itself.
-    """
+def _in_blocks(queries: DataFrame, f, key: str = "query_id") -> DataFrame:
+    """f of a broadcast query table; more than MOST_QUERIES queries go in blocks by hashed key of about half as many, each broadcast for itself."""
     n = queries.count()
-    d = DISTANCES[distance](F.col("vec"), F.col("qvec"))
-    queries, vectors = queries.select("query_id", "qvec"), vectors.select("uid", "vec")
-
-    def nearest(some: DataFrame) -> DataFrame:
-        return ranked(vectors.join(F.broadcast(some)).select("query_id", "uid", d.alias("distance")), "query_id", k)
-
     if n <= MOST_QUERIES:
-        return nearest(queries)
+        return f(F.broadcast(queries))
     blocks = -(-2 * n // MOST_QUERIES)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    out = [nearest(queries.where(block == i)) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, out)
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [f(F.broadcast(queries.where(block == i))) for i in range(blocks)])
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, distance: str = "euclidean") -> DataFrame:
+    """The k nearest vectors of each query (query_id, qvec), ties by uid; rank from 1. Many queries go in blocks."""
+    d = DISTANCES[distance](F.col("vec"), F.col("qvec"))
+    vectors = vectors.select("uid", "vec")
+    return _in_blocks(queries.select("query_id", "qvec"), lambda some: ranked(vectors.join(some).select("query_id", "uid", d.alias("distance")), "query_id", k))
 
 
 def ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
@@ -139,16 +136,19 @@ def hamming_topn(codes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """All uids of the n nearest distinct codes of each query (query_id, qcode), equal distances by code."""
     distinct = codes.select("code").distinct()
     d = F.bit_count(F.col("code").bitwiseXOR(F.col("qcode")))
-    pairs = distinct.join(F.broadcast(queries)).select("query_id", "code", d.alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "code")
-    near = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return near.join(codes, "code").select("query_id", "uid", "code", "distance", "rank")
+
+    def nearest(some: DataFrame) -> DataFrame:
+        pairs = distinct.join(some).select("query_id", "code", d.alias("distance"))
+        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+    return _in_blocks(queries, nearest).join(codes, "code").select("query_id", "uid", "code", "distance", "rank")
 
 
 def knn_lsh(vectors: DataFrame, codes: DataFrame, queries: DataFrame, query_codes: DataFrame, k: int, multiplier: int = 10) -> DataFrame:
     """Candidates by code (k x multiplier codes), ranked by exact distance."""
     cand = hamming_topn(codes, query_codes, k * multiplier).select("query_id", "uid")
-    j = cand.join(vectors.select("uid", "vec"), "uid").join(F.broadcast(queries.select("query_id", "qvec")), "query_id")
+    j = cand.join(vectors.select("uid", "vec"), "uid").join(queries.select("query_id", "qvec"), "query_id")
     return ranked(j.select("query_id", "uid", V.euclidean(F.col("vec"), F.col("qvec")).alias("distance")), "query_id", k)
 
 
@@ -182,16 +182,36 @@ def auto_negatives(vectors: DataFrame, positives: DataFrame, r: int) -> DataFram
         k *= 4
 
 
-def rank_by_similarity(vectors: DataFrame, positives: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
-    """Mean similarity (1 - histogram intersection distance) to the positives; exemplars are forced to 1 and 0."""
-    pairs = vectors.join(F.broadcast(positives.selectExpr("uid AS pos", "vec AS qvec")))
-    s = pairs.groupBy("uid").agg(F.avg(1 - V.intersection_distance(F.col("vec"), F.col("qvec"))).alias("score"))
-    s = s.join(F.broadcast(positives.select("uid", F.lit(1.0).alias("p"))), "uid", "left")
+#: Similarity by distance, as a share.
+SIMILARITIES = {"euclidean": lambda d: 1 / (1 + d), "cosine": lambda d: 1 - d, "intersection": lambda d: 1 - d}
+
+
+def rank_by_similarity(vectors: DataFrame, positives: DataFrame, negatives: DataFrame | None = None, distance: str = "intersection") -> DataFrame:
+    """Mean similarity to the positives; exemplars are forced to 1 and 0."""
+    d = DISTANCES[distance](F.col("vec"), F.col("qvec"))
+
+    def sums(some: DataFrame) -> DataFrame:
+        return vectors.join(some).groupBy("uid").agg(F.sum(SIMILARITIES[distance](d)).alias("s"), F.count("*").alias("n"))
+
+    s = _in_blocks(positives.selectExpr("uid AS pos", "vec AS qvec"), sums, "pos").groupBy("uid").agg((F.sum("s") / F.sum("n")).alias("score"))
+    return forced(s, positives, negatives)
+
+
+def forced(scores: DataFrame, positives: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
+    """Scores with those of the exemplars set to 1 and 0."""
+    s = scores.join(positives.select("uid", F.lit(1.0).alias("p")), "uid", "left")
     if negatives is not None:
-        s = s.join(F.broadcast(negatives.select("uid", F.lit(0.0).alias("q"))), "uid", "left").withColumn("p", F.coalesce("p", "q")).drop("q")
+        s = s.join(negatives.select("uid", F.lit(0.0).alias("q")), "uid", "left").withColumn("p", F.coalesce("p", "q")).drop("q")
     return s.select("uid", F.coalesce("p", "score").alias("score"))
 
 
+def turned(scores: DataFrame, positives: DataFrame) -> DataFrame:
+    """Scores between 0 and 1, turned round (1 - score) where the positives' mean is below that of all: a model may have its labels the other way."""
+    s = scores.join(positives.select("uid", F.lit(True).alias("p")), "uid", "left")
+    means = s.agg(F.avg("score").alias("all"), F.avg(F.when(F.col("p"), F.col("score"))).alias("pos"))  # one row
+    return s.crossJoin(F.broadcast(means)).select("uid", F.when(F.col("pos") < F.col("all"), 1 - F.col("score")).otherwise(F.col("score")).alias("score"))
+
+
 def rank_by_classifier(vectors: DataFrame, positives: list[str], negatives: list[str], kind: str = "svm") -> DataFrame:
     """Scores of a linear classifier, or of boosted trees, fitted to the exemplars."""
     from pyspark.ml.classification import GBTClassifier, LinearSVC

@@ -17,7 +17,7 @@ def footprints(images: DataFrame, wide: float, long: float) -> DataFrame:
     """
     first = images.groupBy("site").agg(F.min_by(F.struct("lat", "lon"), F.struct("time_utc", "frame")).alias("o"))
     e, n = geo.east_north(F.col("lat"), F.col("lon"), F.col("o.lat"), F.col("o.lon"))
-    p = images.join(F.broadcast(first), "site").withColumn("e", e).withColumn("n", n)  # one row per site
+    p = images.join(first, "site").withColumn("e", e).withColumn("n", n)  # one row per site
     p = headings(p, ["site", "camera", "pass_no"], "frame")
     quad = geo.footprint(F.col("e"), F.col("n"), F.col("heading"), F.col("alt_agl") * wide, F.col("alt_agl") * long)
     return p.drop("o").withColumn("quad", F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in quad)))

@@ -112,15 +112,24 @@ def block_mean(df: DataFrame, n: int, vec: str = "vec") -> DataFrame:
 def segments(df: DataFrame, key: str, order: str, score: str, above: float, least: int, most: int) -> DataFrame:
     """Shot numbers: a new one where the score passes the threshold after at least ``least`` frames, or after ``most``.
 
-    A fold over the ordered scores of one key.
+    Where a shot begins rests on where the one before did, so the scores of one key are a group; a step goes from
+    one beginning to the next.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(score).alias("s")))).alias("a"))
-    start = "named_struct('out', CAST(array() AS ARRAY<INT>), 'seg', 0, 'len', 0)"
-    cut = f"(acc.len >= {most} OR (x.s > {above} AND acc.len >= {least}))"
-    fold = f"""aggregate(a, {start}, (acc, x) -> IF({cut}, named_struct('out', concat(acc.out, array(acc.seg + 1)), 'seg', acc.seg + 1, 'len', 1),
-               named_struct('out', concat(acc.out, array(acc.seg)), 'seg', acc.seg, 'len', acc.len + 1)), acc -> acc.out)"""
-    z = rows.select(key, F.explode(F.arrays_zip("a", F.expr(fold).alias("seg"))).alias("z"))
-    return z.select(key, F.col("z.a.o").alias(order), F.col("z.seg").alias("segment"))
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        hits, n, at = np.flatnonzero(pdf[score].to_numpy(float) > above), len(pdf), 0
+        begins = np.zeros(n, np.int32)
+        while True:
+            k = np.searchsorted(hits, at + least)
+            at = min(int(hits[k]) if k < len(hits) else n, at + most)
+            if at >= n:
+                break
+            begins[at] = 1
+        return pd.DataFrame({key: pdf[key].to_numpy(), order: pdf[order].to_numpy(), "segment": np.cumsum(begins).astype(np.int32)})
+
+    kinds = {k: df.schema[k].dataType.simpleString() for k in (key, order)}
+    return df.select(key, order, score).groupBy(key).applyInPandas(number, f"{key} {kinds[key]}, {order} {kinds[order]}, segment int")
 
 
 def change(df: DataFrame, key: str, order: str, distance, vec: str = "vec") -> DataFrame:

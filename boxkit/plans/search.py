@@ -106,6 +106,19 @@ def rank_similarity(spark, sf):
     return op.rank_by_similarity(h, h.where("CAST(uid AS LONG) % 100 = 0")).withColumn("score", F.round("score", 6))
 
 
+_TURN = "(1 / (1 + exp(vec[1]::DOUBLE * 4)))"
+
+
+@query("rank_turned", with_views(f"WITH s AS (SELECT uid, {_TURN} AS score, uid::BIGINT % 100 = 0 AS p FROM descriptors), b AS (SELECT uid FROM (SELECT uid, row_number() OVER (ORDER BY vec[1]::DOUBLE DESC, uid) AS rank FROM descriptors) WHERE rank <= 20), m AS (SELECT avg(score) AS every, avg(score) FILTER (uid IN (SELECT uid FROM b)) AS pos FROM s) SELECT uid, round(CASE WHEN uid IN (SELECT uid FROM b) THEN 1.0 WHEN p THEN 0.0 WHEN pos < every THEN 1 - score ELSE score END, 9) AS score FROM s, m"))
+def rank_turned(spark, sf):
+    """Scores of a model that has its labels the other way, turned round; exemplars are forced."""
+    v = _v(spark, sf).withColumn("first", F.col("vec")[0].cast("double"))
+    pos = v.orderBy(F.desc("first"), "uid").limit(20)
+    neg = v.where("CAST(uid AS LONG) % 100 = 0").join(pos.select("uid"), "uid", "left_anti")
+    s = v.select("uid", (1 / (1 + F.exp(F.col("first") * 4))).alias("score"))
+    return op.forced(op.turned(s, pos), pos, neg).withColumn("score", F.round("score", 9))
+
+
 @query("rank_svm")
 def rank_svm(spark, sf):
     pos, neg = [str(i * 10) for i in range(20)], [str(i * 10 + 5) for i in range(40)]

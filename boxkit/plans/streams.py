@@ -98,6 +98,12 @@ def stream_gsd(spark, sf):
     return _done(spark, op.carry(_stream(spark, f, "frame_id", "measured")), "carried")
 
 
+@query("stream_gsd_history", with_views("WITH f AS (SELECT stream_id, frame_id, change_score AS value, change_score > 20 AS ok FROM frames), g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY stream_id ORDER BY frame_id) AS k FROM f), o AS (SELECT stream_id, k, avg(value) OVER (PARTITION BY stream_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS v FROM g WHERE ok) SELECT g.stream_id, frame_id, round(o.v, 9) AS value FROM g LEFT JOIN o ON o.stream_id = g.stream_id AND o.k = g.k"))
+def stream_gsd_history(spark, sf):
+    f = _frames(spark, sf).select("stream_id", "frame_id", F.col("change_score").alias("value"), (F.col("change_score") > 20).alias("ok"))
+    return _done(spark, op.carry(_stream(spark, f, "frame_id", "measured"), history=4), "carried").withColumn("value", F.round("value", 9))
+
+
 @query("stream_merge_tracks", with_views("SELECT det_id, track_id, 0 AS tracker FROM computed WHERE conf >= 0.6 UNION ALL SELECT det_id, track_id + 1000000, 1 FROM truth"))
 def stream_merge_tracks(spark, sf):
     keep = ["frame_id", "det_id", "track_id"]

@@ -160,7 +160,7 @@ def read_habcam(spark: SparkSession, path: str, species: DataFrame) -> DataFrame
     c, e = (F.when(point, F.get("n", F.lit(i))).otherwise(F.get("n", F.lit(i + 2))) for i in (0, 1))
     pad = F.when(point, 1.0).otherwise(0.0)
     d = d.where(F.col("kind").isin("boundingBox", "line", "point") & c.isNotNull() & e.isNotNull())
-    return d.join(F.broadcast(species), "species_id", "left").select("seq", "frame_name", F.coalesce("species", F.lit("unknown")).alias("cls"), (F.least(a, c) - pad).alias("x1"), (F.least(b, e) - pad).alias("y1"), (F.greatest(a, c) + pad).alias("x2"), (F.greatest(b, e) + pad).alias("y2"))
+    return d.join(species, "species_id", "left").select("seq", "frame_name", F.coalesce("species", F.lit("unknown")).alias("cls"), (F.least(a, c) - pad).alias("x1"), (F.least(b, e) - pad).alias("y1"), (F.greatest(a, c) + pad).alias("x2"), (F.greatest(b, e) + pad).alias("y2"))
 
 
 #: Places of image name, species, head x, head y, tail x, tail y in the three versions of the header, by their number of columns.

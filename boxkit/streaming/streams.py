@@ -24,14 +24,16 @@ def source(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def staged(df: DataFrame, order: str, path: str, parts: int = 4) -> None:
-    """Writes a table as files that arrive in order: one range of the order after the other."""
+def staged(df: DataFrame, order: str, path: str, parts: int = 4, rows: int = 1_000_000) -> None:
+    """Writes a table as files that arrive in order: one range of the order after the other, each in files of at most so many rows."""
     key = F.col(order).cast("double")
     cuts = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)])).first()[0] or []
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         part = df if lo is None else df.where(key > lo)
         part = part if hi is None else part.where(key <= hi)
-        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+        n = max(1, -(-part.count() // rows))
+        part = part.coalesce(1) if n == 1 else part.repartitionByRange(n, order)
+        part.sortWithinPartitions(order).write.mode("append").parquet(path)
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append"):
@@ -79,11 +81,14 @@ def sessions(frames: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def align(left: DataFrame, right: DataFrame, seconds: int, late: str) -> DataFrame:
-    """Each left frame with the nearest right frame of its stream within an offset, the earlier of equally near ones."""
+    """Each left frame with the nearest right frame of its stream within an offset, the earlier of equally near ones.
+
+    A left frame without one comes out with nulls once the watermark has passed all that could be near it.
+    """
     a = left.withWatermark("ts", late).select(F.col("stream_id").alias("s"), F.col("frame_id").alias("id"), F.col("ts").alias("t"))
     b = right.withWatermark("ts", late).select(F.col("stream_id").alias("rs"), F.col("frame_id").alias("r_id"), F.col("ts").alias("rt"))
     near = F.expr(f"s = rs AND rt >= t - INTERVAL {seconds} SECONDS AND rt <= t + INTERVAL {seconds} SECONDS")
-    j = a.join(b, near).withColumn("off", F.abs(F.unix_micros("t") - F.unix_micros("rt")))
+    j = a.join(b, near, "leftOuter").withColumn("off", F.abs(F.unix_micros("t") - F.unix_micros("rt")))
     g = j.groupBy("s", "id", F.window("t", "1 second").alias("w")).agg(F.min(F.struct("off", "rt", "r_id")).alias("m"))
     return g.select(F.col("s").alias("stream_id"), "id", F.col("m.r_id").alias("r_id"), F.col("m.off").alias("off"))
 
@@ -130,18 +135,21 @@ def accumulate(counted: DataFrame) -> DataFrame:
     return steps(counted, "seq_id", "frame_id", step, 0, "seq_id long, frame_id long, n long")
 
 
-def carry(measured: DataFrame, weight: float = 0.5) -> DataFrame:
-    """The last good value (ok) carried forward, averaged exponentially with the ones before it."""
+def carry(measured: DataFrame, weight: float = 0.5, history: int = 0) -> DataFrame:
+    """The last good value (ok) carried forward: averaged exponentially with the ones before it, or the mean of the last ``history`` ones."""
 
-    def step(last, rows):
-        out = []
+    def step(state, rows):
+        last, held, out = *state, []
         for v, ok in zip(rows.value, rows.ok, strict=True):
-            if ok:
+            if ok and history:
+                held = [*held, v][-history:]
+                last = sum(held) / len(held)
+            elif ok:
                 last = v if last is None else weight * v + (1 - weight) * last
             out.append(last)
-        return last, pd.DataFrame({"stream_id": rows.stream_id, "frame_id": rows.frame_id, "value": pd.Series(out, dtype=float).to_numpy()})
+        return (last, held), pd.DataFrame({"stream_id": rows.stream_id, "frame_id": rows.frame_id, "value": pd.Series(out, dtype=float).to_numpy()})
 
-    return steps(measured, "stream_id", "frame_id", step, None, "stream_id long, frame_id long, value double")
+    return steps(measured, "stream_id", "frame_id", step, (None, []), "stream_id long, frame_id long, value double")
 
 
 def rolling(vectors: DataFrame, n: int) -> DataFrame:
@@ -181,14 +189,22 @@ def merge_trackers(*tracks: DataFrame, offset: int = 10_000) -> DataFrame:
     return out
 
 
-def ingest(stream: DataFrame, path: str) -> None:
-    """Appends batches to a table; a batch that is run again replaces what it had written."""
+def ingest(stream: DataFrame, path: str, every: str | None = None) -> None:
+    """Appends batches to a table; a batch that is run again replaces what it had written.
+
+    every: the interval at which what has arrived is committed ("10 seconds"), until the stream is stopped; without it
+    all that is there is committed and the call returns. How much a batch holds is set at the source (files per batch).
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
+    if every:
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q.awaitTermination()
 
 
 def dropped_late(query) -> int:
