@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
 from .decontaminate import op2_decontaminate
 from .embedding_dedup import op1_embedding_dedup
 from .jaccard_join import op5_jaccard_join
 from .license_scan import op10_license_scan
 from .mixing import op8_mix
+from .oracles import ORACLES
 from .recompression_dedup import op9_recompression_dedup
 from .reshard import op6_reshard
 from .secret_scan import op4_secret_scan
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op8_mix": mixing.ORACLE}
+__all__ = ["ORACLES", "QUERIES"]
