@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where nothing is set and driver and executors are one process.
+ALONE = "/tmp/checkpoints"
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; an error where it is unset and executors are processes of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = ALONE
+    return at.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
