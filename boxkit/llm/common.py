@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 CHUNK = 1 << 18
 _BLANK = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 _LETTER = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A for b in range(256)])
@@ -122,14 +124,6 @@ def with_row_id(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.monotonically_increasing_id().alias("_rid"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return at.rstrip("/")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: a lineage cut that survives lost executors."""
     spark = df.sparkSession
