@@ -226,21 +226,22 @@ def stack_features(fused: DataFrame, inputs: DataFrame, models: list[str]) -> Da
 def calibrate_fit(samples: DataFrame, least: int = 20, knots: int = 32) -> DataFrame:
     """Isotonic maps from conf to hit rate (hit 0 or 1) per model and class, and '*' per model for classes with few samples.
 
-    Samples are summed by score first, so a group has at most as many rows as distinct scores (rounded to 1e-3).
+    Samples are summed by score first (in steps of a thousandth), so a group has at most as many rows as distinct scores.
     """
-    s = samples.withColumn("x", F.round("conf", 3))
-    every = s.groupBy("model", "cls", "x").agg(F.avg("hit").alias("y"), F.count("*").alias("w")).unionByName(s.groupBy("model", F.lit("*").alias("cls"), "x").agg(F.avg("hit").alias("y"), F.count("*").alias("w")))
+    s = samples.select("model", "cls", (F.floor(F.col("conf") * 1000 + 0.5) / 1000).alias("x"), F.col("hit").cast("long").alias("hit"))
+    sums = [F.sum("hit").alias("h"), F.count("*").alias("w")]
+    every = s.groupBy("model", "cls", "x").agg(*sums).unionByName(s.groupBy("model", F.lit("*").alias("cls"), "x").agg(*sums))
 
     def pav(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.w.sum() < least:
             return pd.DataFrame({"model": [], "cls": [], "x": [], "y": []})
-        blocks: list[list[float]] = []
-        for x, y, w in pdf.sort_values("x")[["x", "y", "w"]].itertuples(index=False):
-            blocks.append([y, w, x, x])
-            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+        blocks: list[list] = []  # hits, samples, first and last score; whole numbers, so that equal rates are equal
+        for x, h, w in pdf.sort_values("x")[["x", "h", "w"]].itertuples(index=False):
+            blocks.append([int(h), int(w), x, x])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 b, a = blocks.pop(), blocks.pop()
-                blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2], b[3]])
-        pts = [(p, b[0]) for b in blocks for p in sorted({b[2], b[3]})]
+                blocks.append([a[0] + b[0], a[1] + b[1], a[2], b[3]])
+        pts = [(p, b[0] / b[1]) for b in blocks for p in sorted({b[2], b[3]})]
         step = max(1, -(-len(pts) // knots))
         pts = pts[::step] + ([pts[-1]] if (len(pts) - 1) % step else [])
         return pd.DataFrame({"model": pdf.model.iloc[0], "cls": pdf.cls.iloc[0], "x": [p[0] for p in pts], "y": [p[1] for p in pts]})

@@ -289,6 +289,21 @@ SELECT pos, unnest(mine) AS uid FROM s WHERE i > 0""")
 _register("filter_frame_index", """WITH RECURSIVE f AS MATERIALIZED (SELECT DISTINCT seq_id, frame_id FROM computed WHERE frame_id BETWEEN 10 AND 5000), n AS MATERIALIZED (SELECT a.seq_id, a.frame_id, b.frame_id AS nxt FROM f a ASOF JOIN f b ON a.seq_id = b.seq_id AND a.frame_id + 7 <= b.frame_id),
 s AS (SELECT seq_id, min(frame_id) AS frame_id FROM f GROUP BY seq_id UNION ALL SELECT n.seq_id, nxt FROM s JOIN n USING (seq_id, frame_id)) SELECT * FROM s""")
 
+_register("link_imagelog", """WITH RECURSIVE img AS MATERIALIZED (SELECT site, frame, CASE WHEN frame % 11 <> 0 THEN lat END AS lat, lon, row_number() OVER (PARTITION BY site ORDER BY frame) AS i FROM images WHERE pass_no = 1),
+lg AS MATERIALIZED (SELECT site, frame, lat, lon, row_number() OVER (PARTITION BY site ORDER BY frame) AS k FROM images WHERE pass_no = 2),
+s AS (SELECT site, 0::BIGINT AS i, 0::BIGINT AS k, NULL::BIGINT AS frame, NULL::DOUBLE AS d FROM (SELECT DISTINCT site FROM img)
+UNION ALL SELECT site, i, CASE WHEN d <= 25 THEN k ELSE before + 1 END, frame, CASE WHEN d <= 25 THEN d END
+  FROM (SELECT s.site, img.i, img.frame, s.k AS before, arg_min(lg.k, (#FAR, lg.k)) AS k, min(#FAR) AS d FROM s JOIN img ON img.site = s.site AND img.i = s.i + 1 JOIN lg ON lg.site = s.site AND lg.k BETWEEN s.k + 1 AND s.k + 60 GROUP BY s.site, img.i, img.frame, s.k))
+SELECT s.site, s.frame, lg.frame AS log_frame, d AS distance, CASE WHEN d IS NULL THEN 'order' ELSE 'position' END AS "by" FROM s JOIN lg ON lg.site = s.site AND lg.k = s.k WHERE s.i > 0""".replace("#FAR", "CASE WHEN img.lat IS NOT NULL THEN sqrt(((img.lat - lg.lat) * 111320) ^ 2 + ((img.lon - lg.lon) * 111320 * cos(radians(img.lat))) ^ 2) END"))
+_register("calibrate_fit", f"""WITH hit AS (SELECT DISTINCT c.det_id FROM {_SQL_M} c JOIN truth t ON c.seq_id = t.seq_id AND c.frame_id = t.frame_id AND c.cls = t.cls WHERE {IOU} >= 0.5),
+b AS (SELECT model, cls, floor(conf * 1000 + 0.5) / 1000 AS x, CASE WHEN h.det_id IS NULL THEN 0 ELSE 1 END AS hit FROM {_SQL_M} m LEFT JOIN hit h USING (det_id)),
+s AS (SELECT model, cls, x, sum(hit) AS h, count(*) AS w FROM b GROUP BY ALL UNION ALL SELECT model, '*', x, sum(hit), count(*) FROM b GROUP BY ALL),
+p AS MATERIALIZED (SELECT model, cls, x, h, w, row_number() OVER k AS i, sum(h) OVER k AS ch, sum(w) OVER k AS cw FROM s WINDOW k AS (PARTITION BY model, cls ORDER BY x)),
+m AS (SELECT a.model, a.cls, a.i AS a, b.i, min((b.ch - a.ch + a.h)::DOUBLE / (b.cw - a.cw + a.w)::DOUBLE) OVER (PARTITION BY a.model, a.cls, a.i ORDER BY b.i DESC) AS low FROM p a JOIN p b ON a.model = b.model AND a.cls = b.cls AND b.i >= a.i),
+y AS (SELECT model, cls, i, max(low) AS y FROM m GROUP BY ALL), z AS (SELECT model, cls, y, min(x) AS lo, max(x) AS hi, sum(sum(w)) OVER (PARTITION BY model, cls) AS total FROM y JOIN p USING (model, cls, i) GROUP BY model, cls, y),
+q AS (SELECT DISTINCT model, cls, y, unnest([lo, hi]) AS x FROM z WHERE total >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY model, cls ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY model, cls) AS n FROM q)
+SELECT model, cls, x, y FROM r WHERE k % greatest(1, ceil(n / 32)::INT) = 0 OR k = n - 1""")
+
 #: Sums and means whose last bits depend on the order of rows, given to nine places by both.
 ROUNDED = {
     "fuse_soft_nms": ["conf"], "fuse_wbf": [*BOX, "conf"], "fuse_nmw": [*BOX, "conf"], "fuse_proben": [*BOX, "conf"], "cross_class_merge": [*BOX, "conf"],
