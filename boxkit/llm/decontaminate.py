@@ -222,8 +222,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
             names=["_rid", "doc_id", "n_words", "stretches", "items"],
         )
 
-    kinds = [("_rid", T.LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("n_words", T.LongType()), ("stretches", "array<struct<start: int, end: int>>"), ("items", T.ArrayType(benchmark.schema["item_id"].dataType))]
-    schema = T.StructType([T.StructField(k, T._parse_datatype_string(t) if isinstance(t, str) else t) for k, t in kinds])
+    kinds = [("_rid", T.LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("n_words", T.LongType()), ("stretches", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), ("items", T.ArrayType(benchmark.schema["item_id"].dataType))]
+    schema = T.StructType([T.StructField(*k) for k in kinds])
     parts = _passes(docs, benchmark, window, block_chars, body, schema)
     out = parts[0].drop("_rid")
     if len(parts) > 1:
