@@ -355,15 +355,25 @@ def figures(lexicon: Lexicon, low: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Logistic weights by Newton steps, drawn to the prior ones."""
+    """Logistic weights by Newton steps, drawn to the prior ones; a step is halved until it lowers the loss."""
     w = PRIOR.copy()
     if not len(y) or y.min() == y.max():
         return w
-    for _ in range(50):
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + penalty / 2 * ((w - PRIOR) ** 2).sum()
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (p - y) + penalty * (w - PRIOR))
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        share = 1.0
+        while share > 1e-6 and loss(w - share * step) > now:
+            share /= 2
+        w = w - share * step
+        now = loss(w)
+        if np.abs(share * step).max() < 1e-8 or share <= 1e-6:
             break
     return w
 

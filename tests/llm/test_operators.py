@@ -414,6 +414,17 @@ def test_figures_against_plain_ones():
     assert np.allclose(got, [plain_figures(lex, t) for t in ts])
 
 
+def test_fit_does_not_run_away():
+    """Few, nearly separable rows of large figures: full Newton steps would leave the range."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(20, 400))
+        y = (rng.random(n) < 0.2).astype(float)
+        x = np.c_[np.ones(n), (3 + rng.random((n, 6))) * (y + 0.01 * rng.random(n))[:, None] * rng.integers(0, 2, 6)]
+        w = toxicity.fit(x, y)
+        assert np.abs(w).max() < 30 and np.mean(((x @ w) >= 0) == (y == 1)) >= max(y.mean(), 1 - y.mean())
+
+
 def test_toxicity_query(spark):
     """The fold, the range and held-out accuracy on whole texts of given tables."""
     at = "/root/testdata/sf0.01"
