@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import conversation_repair, mixing, spelling_groups
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD, _BLANK = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
@@ -68,4 +68,6 @@ ORACLES: dict[str, str] = {
     "op7_suffix_dedup": SUFFIXES,
     "op8_mix": mixing.ORACLE,
     "op9_recompression_dedup": RECOMPRESSION,
+    "op11_spelling_groups": spelling_groups.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
 }

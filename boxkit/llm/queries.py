@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_repair import op12_conversation_repair
 from .decontaminate import op2_decontaminate
 from .embedding_dedup import op1_embedding_dedup
 from .jaccard_join import op5_jaccard_join
@@ -11,8 +12,10 @@ from .oracles import ORACLES
 from .recompression_dedup import op9_recompression_dedup
 from .reshard import op6_reshard
 from .secret_scan import op4_secret_scan
+from .spelling_groups import op11_spelling_groups
 from .suffix_dedup import op7_suffix_dedup
 from .toxicity import op3_toxicity
+from .vector_search import op13_vector_search
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_search": op13_vector_search,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
