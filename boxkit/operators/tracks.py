@@ -265,29 +265,6 @@ def link_greedy(df: DataFrame, least: float = 0.2, homographies: DataFrame | Non
     return df.join(roots, df["det_id"] == roots["node"], "left").withColumn("linked_track", F.coalesce("root", "det_id")).drop("node", "root")
 
 
-class Kalman:
-    """Constant-velocity filter of (centre x, centre y, aspect, height) for one track."""
-
-    def __init__(self, z: np.ndarray):
-        self.x, s = np.r_[z, np.zeros(4)], z[3]
-        self.p = np.diag(np.square([2 * s / 20, 2 * s / 20, 1e-2, 2 * s / 20, 10 * s / 160, 10 * s / 160, 1e-5, 10 * s / 160]))
-
-    def predict(self):
-        s, f = max(self.x[3], 1e-6), np.eye(8) + np.eye(8, k=4)
-        self.x = f @ self.x
-        self.p = f @ self.p @ f.T + np.diag(np.square([s / 20, s / 20, 1e-2, s / 20, s / 160, s / 160, 1e-5, s / 160]))
-
-    def update(self, z: np.ndarray):
-        s, h = max(self.x[3], 1e-6), np.eye(4, 8)
-        r = np.diag(np.square([s / 20, s / 20, 1e-1, s / 20]))
-        k = self.p @ h.T @ np.linalg.inv(h @ self.p @ h.T + r)
-        self.x, self.p = self.x + k @ (z - h @ self.x), self.p - k @ h @ self.p
-
-    def box(self) -> np.ndarray:
-        cx, cy, a, h = self.x[:4]
-        return np.array([cx - a * h / 2, cy - h / 2, cx + a * h / 2, cy + h / 2])
-
-
 def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     inter = np.prod(np.clip(hi - lo, 0, None), axis=2)
@@ -321,32 +298,75 @@ class Tracker:
     matches it. With ``direction`` the cost also counts how far a box lies off the way between a track's observed
     boxes, and lost tracks are tried again by their last observed box; with ``appearance`` how far its vector is from
     the track's mean.
+
+    The tracks of a sequence are rows of arrays, predicted and updated all at once. The filter has constant velocities of
+    centre, aspect and height; as its noise couples none of the four with another, each is a filter of a value and its
+    velocity, with two variances and a covariance.
     """
 
     def __init__(self, high=0.6, low=0.1, new=0.7, gate=0.2, buffer=30, direction=0.0, appearance=0.0, steps=3):
         self.high, self.low, self.new, self.gate, self.buffer, self.direction, self.appearance, self.steps = high, low, new, gate, buffer, direction, appearance, steps
-        self.tracks: list[dict] = []
-        self.next = 1
-
-    def _match(self, tracks, boxes, vecs=None, use_last=False):
-        """Pairs of the least cost among those that overlap enough, solved block by block."""
-        if not tracks or not len(boxes):
-            return [], list(range(len(tracks))), list(range(len(boxes)))
-        seen = np.array([t["boxes"][-1] if use_last else t["kf"].box() for t in tracks])
-        over = _iou(seen, boxes)
+        self.next, self.frame, self.vec = 1, None, None
+        self.ids, self.seen, self.sure = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.mean, self.variance, self.boxes = np.empty((0, 2, 4)), np.empty((0, 3, 4)), np.empty((0, steps + 1, 4))
+
+    def copy(self) -> Tracker:
+        """A tracker of the same settings without tracks."""
+        return Tracker(self.high, self.low, self.new, self.gate, self.buffer, self.direction, self.appearance, self.steps)
+
+    def rows(self) -> tuple[tuple, list[tuple]]:
+        """The counters, and each track as plain values: id, mean, variance, seen, sure, boxes."""
+        flat = (x.reshape(len(self.ids), -1).tolist() for x in (self.mean, self.variance, self.boxes))
+        mean, variance, boxes = flat
+        return (self.next, self.frame), list(zip(self.ids.tolist(), mean, variance, self.seen.tolist(), self.sure.tolist(), boxes, strict=True))
+
+    def restore(self, counters: tuple, rows: list[tuple]) -> None:
+        self.next, self.frame = counters
+        ids, mean, variance, seen, sure, boxes = zip(*sorted(rows), strict=True) if rows else [[]] * 6
+        self.ids, self.seen, self.sure = np.array(ids, np.int64), np.array(seen, np.int64), np.array(sure, bool)
+        self.mean, self.variance = np.array(mean, float).reshape(-1, 2, 4), np.array(variance, float).reshape(-1, 3, 4)
+        self.boxes = np.array(boxes, float).reshape(-1, self.steps + 1, 4)
+
+    def _predict(self) -> None:
+        s = np.maximum(self.mean[:, 0, 3], 1e-6)[:, None]
+        value, speed = s / 20 * np.array([1, 1, 0, 1]) + np.array([0, 0, 1e-2, 0]), s / 160 * np.array([1, 1, 0, 1]) + np.array([0, 0, 1e-5, 0])
+        v = self.variance
+        self.mean[:, 0] += self.mean[:, 1]
+        self.variance = np.stack([v[:, 0] + 2 * v[:, 1] + v[:, 2] + value**2, v[:, 1] + v[:, 2], v[:, 2] + speed**2], axis=1)
+
+    def _update(self, at: np.ndarray, z: np.ndarray) -> None:
+        s = np.maximum(self.mean[at, 0, 3], 1e-6)[:, None]
+        noise = (s / 20 * np.array([1, 1, 0, 1]) + np.array([0, 0, 1e-1, 0])) ** 2
+        v = self.variance[at]
+        gain, gain_speed = v[:, 0] / (v[:, 0] + noise), v[:, 1] / (v[:, 0] + noise)
+        off = z - self.mean[at, 0]
+        self.mean[at] += np.stack([gain * off, gain_speed * off], axis=1)
+        self.variance[at] = np.stack([v[:, 0] - gain * v[:, 0], v[:, 1] - gain * v[:, 1], v[:, 2] - gain_speed * v[:, 1]], axis=1)
+
+    def _where(self, at: np.ndarray) -> np.ndarray:
+        cx, cy, a, h = self.mean[at, 0].T
+        return np.stack([cx - a * h / 2, cy - h / 2, cx + a * h / 2, cy + h / 2], axis=1)
+
+    def _match(self, at: np.ndarray, boxes: np.ndarray, vecs=None, use_last=False):
+        """Pairs (track, box) of the least cost among those that overlap enough, solved block by block; the tracks and boxes left."""
+        none = np.empty(0, np.int64)
+        if not len(at) or not len(boxes):
+            return none, none, at, np.arange(len(boxes))
+        over = _iou(self.boxes[at, -1] if use_last else self._where(at), boxes)
         cost, ok = 1 - over, over >= self.gate
         if self.direction:
             c = (boxes[:, :2] + boxes[:, 2:]) / 2
-            for i, t in enumerate(tracks):
-                first, last = ((b[:2] + b[2:]) / 2 for b in (t["boxes"][0], t["boxes"][-1]))
-                v = last - first
-                if np.hypot(*v) > 1e-6 and ok[i].any():
-                    d = c - last
-                    cos = d @ v / (np.hypot(*d.T) * np.hypot(*v) + 1e-9)
-                    cost[i] += self.direction * (np.arccos(np.clip(cos, -1, 1)) / np.pi - 0.5)
+            first, last = ((b[:, :2] + b[:, 2:]) / 2 for b in (self.boxes[at, 0], self.boxes[at, -1]))
+            v, d = last - first, c[None] - last[:, None]
+            length = np.hypot(*v.T)
+            cos = np.einsum("ijk,ik->ij", d, v) / (np.hypot(d[..., 0], d[..., 1]) * length[:, None] + 1e-9)
+            cost += np.where((length > 1e-6)[:, None], self.direction * (np.arccos(np.clip(cos, -1, 1)) / np.pi - 0.5), 0)
         if self.appearance and vecs is not None:
-            cost += self.appearance * (1 - np.array([t["vec"] for t in tracks]) @ vecs.T)
-        pairs = []
+            cost += self.appearance * (1 - self.vec[at] @ vecs.T)
+        alone = ok & (ok.sum(1, keepdims=True) == 1) & (ok.sum(0, keepdims=True) == 1)
+        i, j = np.nonzero(alone)
+        pairs = list(zip(i.tolist(), j.tolist(), strict=True))
+        ok[i] = False
         for rows, cols in _blocks(ok):
             if len(rows) == 1 or len(cols) == 1:
                 i, j = np.unravel_index(np.where(ok[np.ix_(rows, cols)], cost[np.ix_(rows, cols)], np.inf).argmin(), (len(rows), len(cols)))
@@ -354,54 +374,67 @@ class Tracker:
             else:
                 block = np.where(ok, cost, 1e3)[np.ix_(rows, cols)]
                 pairs += [(int(rows[i]), int(cols[j])) for i, j in m.assignment(block) if ok[rows[i], cols[j]]]
-        ti, bj = {i for i, _ in pairs}, {j for _, j in pairs}
-        return pairs, [i for i in range(len(tracks)) if i not in ti], [j for j in range(len(boxes)) if j not in bj]
+        i, j = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (none, none)
+        return at[i], j, np.delete(at, i), np.delete(np.arange(len(boxes)), j)
+
+    def _keep(self, which: np.ndarray) -> None:
+        for k in ("ids", "seen", "sure", "mean", "variance", "boxes", *([] if self.vec is None else ["vec"])):
+            setattr(self, k, getattr(self, k)[which])
 
     def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray, vecs: np.ndarray | None = None) -> np.ndarray:
         """The track of each box, 0 for none; vecs: unit vectors of the boxes."""
         out = np.zeros(len(boxes), np.int64)
-        gap = frame - getattr(self, "frame", frame - 1)
+        gap = frame - (frame - 1 if self.frame is None else self.frame)
         self.frame = frame
-        self.tracks = [t for t in self.tracks if frame - t["seen"] <= self.buffer]
-        fresh = not self.tracks
-        for t in self.tracks:
-            for _ in range(min(gap, self.buffer)):
-                t["kf"].predict()
-        z = np.c_[(boxes[:, :2] + boxes[:, 2:]) / 2, (boxes[:, 2] - boxes[:, 0]) / np.maximum(boxes[:, 3] - boxes[:, 1], 1e-6), boxes[:, 3] - boxes[:, 1]] if len(boxes) else np.empty((0, 4))
+        if (frame - self.seen > self.buffer).any():
+            self._keep(frame - self.seen <= self.buffer)
+        fresh = not len(self.ids)
+        for _ in range(min(gap, self.buffer) if len(self.ids) else 0):
+            self._predict()
+        size = boxes[:, 2:] - boxes[:, :2]
+        z = np.c_[(boxes[:, :2] + boxes[:, 2:]) / 2, size[:, 0] / np.maximum(size[:, 1], 1e-6), size[:, 1]]
         pick = lambda at: None if vecs is None else vecs[at]
 
-        def take(tracks, at, pairs):
-            for i, j in pairs:
-                t, k = tracks[i], at[j]
-                t["kf"].update(z[k])
-                t["seen"], t["sure"], t["boxes"] = frame, True, [*t["boxes"], boxes[k]][-self.steps - 1 :]
-                if vecs is not None:
-                    v = 0.9 * t["vec"] + 0.1 * vecs[k]
-                    t["vec"] = v / max(np.linalg.norm(v), 1e-12)
-                out[k] = t["id"]
-
-        sure, unsure = [t for t in self.tracks if t["sure"]], [t for t in self.tracks if not t["sure"]]
+        def take(tracks, at):
+            if not len(at):
+                return
+            self._update(tracks, z[at])
+            self.seen[tracks], self.sure[tracks] = frame, True
+            self.boxes[tracks] = np.concatenate([self.boxes[tracks, 1:], boxes[at][:, None]], axis=1)
+            if vecs is not None:
+                v = 0.9 * self.vec[tracks] + 0.1 * vecs[at]
+                self.vec[tracks] = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+            out[at] = self.ids[tracks]
+
+        sure, unsure = np.flatnonzero(self.sure), np.flatnonzero(~self.sure)
         strong, weak = np.flatnonzero(conf >= self.high), np.flatnonzero((conf >= self.low) & (conf < self.high))
-        pairs, left, free = self._match(sure, boxes[strong], pick(strong))
-        take(sure, strong, pairs)
-        rest = [sure[i] for i in left if frame - sure[i]["seen"] <= max(1, gap)]
-        pairs, _, _ = self._match(rest, boxes[weak])
-        take(rest, weak, pairs)
+        tracks, at, left, free = self._match(sure, boxes[strong], pick(strong))
+        take(tracks, strong[at])
+        strong = strong[free]
+        tracks, at, _, _ = self._match(left[frame - self.seen[left] <= max(1, gap)], boxes[weak])
+        take(tracks, weak[at])
         if self.direction:
-            again = [t for t in sure if t["seen"] != frame]
-            pairs, _, rest = self._match(again, boxes[strong[free]], pick(strong[free]), use_last=True)
-            take(again, strong[free], pairs)
-            free = [free[j] for j in rest]
-        pairs, gone, rest = self._match(unsure, boxes[strong[free]], pick(strong[free]))
-        take(unsure, strong[free], pairs)
-        dropped = {unsure[i]["id"] for i in gone}
-        self.tracks = [t for t in self.tracks if t["id"] not in dropped]
-        for j in rest:
-            k = strong[free[j]]
-            if conf[k] >= self.new:
-                self.tracks.append({"id": self.next, "kf": Kalman(z[k]), "seen": frame, "boxes": [boxes[k]], "sure": fresh, "vec": None if vecs is None else vecs[k]})
-                out[k] = self.next
-                self.next += 1
+            tracks, at, _, free = self._match(sure[self.seen[sure] != frame], boxes[strong], pick(strong), use_last=True)
+            take(tracks, strong[at])
+            strong = strong[free]
+        tracks, at, gone, free = self._match(unsure, boxes[strong], pick(strong))
+        take(tracks, strong[at])
+        strong = strong[free]
+        if len(gone):
+            self._keep(~np.isin(np.arange(len(self.ids)), gone))
+        born = strong[conf[strong] >= self.new]
+        if len(born):
+            n, s = len(born), z[born, 3][:, None]
+            flat = np.array([1, 1, 0, 1])
+            value, speed = (2 * s / 20 * flat + np.array([0, 0, 1e-2, 0])) ** 2, (10 * s / 160 * flat + np.array([0, 0, 1e-5, 0])) ** 2
+            add = lambda a, b: np.concatenate([a, b])
+            out[born] = new = np.arange(self.next, self.next + n)
+            self.ids, self.seen, self.sure = add(self.ids, new), add(self.seen, np.full(n, frame)), add(self.sure, np.full(n, fresh))
+            self.mean, self.variance = add(self.mean, np.stack([z[born], np.zeros((n, 4))], axis=1)), add(self.variance, np.stack([value, np.zeros((n, 4)), speed], axis=1))
+            self.boxes = add(self.boxes, np.repeat(boxes[born][:, None], self.steps + 1, axis=1))
+            if vecs is not None:
+                self.vec = vecs[born] if self.vec is None else add(self.vec, vecs[born])
+            self.next += n
         return out
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..registry import ORACLES, QUERIES
 from .fusion import _SQL_M, W
 from .joins import AREA, INTER, IOU
+from .streams import before_mark
 from .views import with_views
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -267,13 +268,13 @@ h AS (SELECT *, min(CASE WHEN change_score > 90 THEN i END) OVER (PARTITION BY s
 s AS (SELECT stream_id, 0 AS segment, i, nxt FROM n WHERE i = 1 UNION ALL SELECT n.stream_id, segment + 1, n.i, n.nxt FROM s JOIN n ON n.stream_id = s.stream_id AND n.i = s.nxt)
 SELECT f.stream_id, f.frame_id, s.segment FROM f ASOF JOIN s ON f.stream_id = s.stream_id AND f.i >= s.i"""
 _register("shot_segments", _SHOTS)
-_register("stream_shots", _SHOTS)
-_register("stream_gsd", """WITH f AS (SELECT stream_id, frame_id, change_score AS value, change_score > 20 AS ok FROM frames), g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY stream_id ORDER BY frame_id) AS k FROM f), o AS (SELECT stream_id, k, value FROM g WHERE ok),
+_register("stream_shots", before_mark(_SHOTS.replace("FROM frames", "FROM due")))
+_register("stream_gsd", before_mark("""WITH f AS (SELECT stream_id, frame_id, change_score AS value, change_score > 20 AS ok FROM due), g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY stream_id ORDER BY frame_id) AS k FROM f), o AS (SELECT stream_id, k, value FROM g WHERE ok),
 e AS (SELECT a.stream_id, a.k, sum(b.value * power(0.5::DOUBLE, a.k - b.k + CASE WHEN b.k = 1 THEN 0 ELSE 1 END)) AS v FROM o a JOIN o b ON a.stream_id = b.stream_id AND b.k BETWEEN a.k - 80 AND a.k GROUP BY ALL)
-SELECT g.stream_id, frame_id, e.v AS value FROM g LEFT JOIN e ON e.stream_id = g.stream_id AND e.k = g.k""")
-_register("stream_rolling_desc", """WITH d AS (SELECT label::BIGINT AS track, uid::BIGINT AS frame_id, vec FROM descriptors), e AS (SELECT track, frame_id, unnest(range(len(vec))) AS pos, unnest(vec)::DOUBLE AS v FROM d),
+SELECT g.stream_id, frame_id, e.v AS value FROM g LEFT JOIN e ON e.stream_id = g.stream_id AND e.k = g.k"""))
+_register("stream_rolling_desc", before_mark("""WITH d AS (SELECT label::BIGINT AS track, uid::BIGINT AS frame_id, vec FROM due), e AS (SELECT track, frame_id, unnest(range(len(vec))) AS pos, unnest(vec)::DOUBLE AS v FROM d),
 m AS (SELECT track, frame_id, pos, avg(v) OVER (PARTITION BY track, pos ORDER BY frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v FROM e)
-SELECT track, frame_id, round(max(v) FILTER (pos = 0), 6) AS first, round(max(v) FILTER (pos = 63), 6) AS last, round(sum(v), 6) AS total, round(sum(v * v), 6) AS square FROM m GROUP BY ALL""")
+SELECT track, frame_id, round(max(v) FILTER (pos = 0), 6) AS first, round(max(v) FILTER (pos = 63), 6) AS last, round(sum(v), 6) AS total, round(sum(v * v), 6) AS square FROM m GROUP BY ALL""", "descriptors", "uid::BIGINT", 60, 1))
 
 # frames, centres, negatives
 _register("kmedians", """WITH v AS MATERIALIZED (SELECT uid, vec::DOUBLE[] AS vec FROM descriptors), k0 AS (SELECT row_number() OVER (ORDER BY md5('0' || uid)) - 1 AS c, vec AS centre FROM v QUALIFY c < 4),

@@ -1,22 +1,22 @@
 """Operators on moving frames and boxes, with Structured Streaming.
 
-Windows and joins use watermarks and Spark's own state. Where the next row
-depends on all rows before it (segments, tracks, carried values), a step
-function runs over the ordered rows of one key; its state is a value that
-Spark keeps between batches. The same step function over a whole table is the
-batch twin that tests compare with.
+Windows use watermarks and Spark's own state. Where the next row depends on all
+rows before it (segments, tracks, carried values, nearest frames), a step runs
+over the rows of a key in order of their time (ordered.py): rows wait until the
+watermark has passed them, so frames may arrive in any batch that isn't too late.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Step = Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]
+from .ordered import Ordered, in_order
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def source(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -36,32 +36,27 @@ def staged(df: DataFrame, order: str, path: str, parts: int = 4, rows: int = 1_0
         part.sortWithinPartitions(order).write.mode("append").parquet(path)
 
 
+@contextmanager
+def _state_store(stream: DataFrame):
+    """Lists, maps and timers need the store that keeps state on disk."""
+    spark = stream.sparkSession
+    was = spark.conf.get(_STORE)
+    if "TransformWithState" in stream._jdf.queryExecution().analyzed().toString():
+        spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, was)
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append"):
     """Runs a stream over what is there and writes it as Parquet; gives the finished query."""
-    q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
-    q.awaitTermination()
+    with _state_store(stream):
+        q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+        q.awaitTermination()
     return q
 
 
-def steps(df: DataFrame, key: str, order: str, step: Step, start: object, schema: str) -> DataFrame:
-    """step(state, ordered rows of a key) -> (state, rows out), over batches of a stream or the whole of a table."""
-    if not df.isStreaming:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return step(pickle.loads(pickle.dumps(start)), pdf.sort_values(order))[1]
-
-        return df.groupBy(key).applyInPandas(whole, schema)
-
-    def some(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = pickle.loads(state.get[0]) if state.exists else pickle.loads(pickle.dumps(start))
-        rows = pd.concat(list(pdfs))
-        now, out = step(now, rows.sort_values(order))
-        state.update((pickle.dumps(now),))
-        yield out
-
-    return df.groupBy(key).applyInPandasWithState(some, schema, "state binary", "append", "NoTimeout")
-
-
 def downsample(frames: DataFrame, seconds: int, late: str) -> DataFrame:
     """The first frame of every interval of each stream."""
     w = frames.withWatermark("ts", late).groupBy("stream_id", F.window("ts", f"{seconds} seconds").alias("w"))
@@ -83,17 +78,32 @@ def sessions(frames: DataFrame, gap: str, late: str) -> DataFrame:
 def align(left: DataFrame, right: DataFrame, seconds: int, late: str) -> DataFrame:
     """Each left frame with the nearest right frame of its stream within an offset, the earlier of equally near ones.
 
-    A left frame without one comes out with nulls once the watermark has passed all that could be near it.
+    A left frame waits until the watermark has passed all that could be near it; without a partner it comes out with
+    nulls. The state of a stream is the right frames of the last two offsets, and ends with them.
     """
-    a = left.withWatermark("ts", late).select(F.col("stream_id").alias("s"), F.col("frame_id").alias("id"), F.col("ts").alias("t"))
-    b = right.withWatermark("ts", late).select(F.col("stream_id").alias("rs"), F.col("frame_id").alias("r_id"), F.col("ts").alias("rt"))
-    near = F.expr(f"s = rs AND rt >= t - INTERVAL {seconds} SECONDS AND rt <= t + INTERVAL {seconds} SECONDS")
-    j = a.join(b, near, "leftOuter").withColumn("off", F.abs(F.unix_micros("t") - F.unix_micros("rt")))
-    g = j.groupBy("s", "id", F.window("t", "1 second").alias("w")).agg(F.min(F.struct("off", "rt", "r_id")).alias("m"))
-    return g.select(F.col("s").alias("stream_id"), "id", F.col("m.r_id").alias("r_id"), F.col("m.off").alias("off"))
-
+    near, keep = seconds * 1_000_000, 2 * seconds * 1_000_000 + 1000
+    side = lambda d, n: d.select("stream_id", "frame_id", "ts", F.unix_micros("ts").alias("us"), F.lit(n).alias("side"), F.lit(n * seconds * 1000).alias("wait"))
 
-def shots(frames: DataFrame, above: float, least: int, most: int) -> DataFrame:
+    def step(state, rows):
+        ids, at = map(list, state)
+        out = []
+        for stream, frame, us, left in zip(rows.stream_id, rows.frame_id, rows.us, rows.side, strict=True):
+            if not left:
+                ids.append(int(frame))
+                at.append(int(us))
+                continue
+            first = next((k for k, t in enumerate(at) if t >= us - near), len(at))
+            del ids[:first], at[:first]  # no later frame on the left can reach them
+            best = min(((abs(t - us), t, i) for t, i in zip(at, ids, strict=True) if abs(t - us) <= near), default=None)
+            out.append((stream, frame, None, None) if best is None else (stream, frame, best[2], best[0]))
+        fresh = [k for k, t in enumerate(at) if t >= at[-1] - keep]
+        return ([ids[k] for k in fresh], [at[k] for k in fresh]), pd.DataFrame(out, columns=["stream_id", "id", "r_id", "off"]).astype({"r_id": "Int64", "off": "Int64"})
+
+    both = side(left, 1).unionByName(side(right, 0))
+    return in_order(both, "stream_id", "ts", ["side", "us", "frame_id"], step, ([], []), "ids array<long>, at array<long>", "stream_id long, id long, r_id long, off long", late, 2 * seconds * 1000, "wait")
+
+
+def shots(frames: DataFrame, above: float, least: int, most: int, late: str = "10 minutes") -> DataFrame:
     """Segments by change of score: a new one past the threshold after ``least`` frames, or after ``most``."""
 
     def step(state, rows):
@@ -106,41 +116,42 @@ def shots(frames: DataFrame, above: float, least: int, most: int) -> DataFrame:
             out.append(seg)
         return (seg, n), pd.DataFrame({"stream_id": rows.stream_id, "frame_id": rows.frame_id, "segment": out})
 
-    return steps(frames, "stream_id", "frame_id", step, (0, 0), "stream_id long, frame_id long, segment int")
+    return in_order(frames, "stream_id", "ts", ["frame_id"], step, (0, 0), "segment int, n int", "stream_id long, frame_id long, segment int", late)
 
 
-def fixed_windows(frames: DataFrame, n: int) -> DataFrame:
+def fixed_windows(frames: DataFrame, n: int, late: str = "10 minutes") -> DataFrame:
     """Tracks of exactly n frames one after the other; a last, shorter one stays in the state."""
 
-    def step(held, rows):
-        held = held + rows.frame_id.tolist()
+    def step(state, rows):
+        held = [*state[0], *rows.frame_id.tolist()]
         full = len(held) // n
         out = [(rows.stream_id.iloc[0], held[i * n], held[i * n + n - 1]) for i in range(full)]
-        return held[full * n :], pd.DataFrame(out, columns=["stream_id", "first", "last"])
+        return (held[full * n :],), pd.DataFrame(out, columns=["stream_id", "first", "last"])
 
-    return steps(frames, "stream_id", "frame_id", step, [], "stream_id long, first long, last long")
+    return in_order(frames, "stream_id", "ts", ["frame_id"], step, ([],), "held array<long>", "stream_id long, first long, last long", late)
 
 
-def accumulate(counted: DataFrame) -> DataFrame:
+def accumulate(counted: DataFrame, late: str = "1 minute") -> DataFrame:
     """Frames whose number of boxes (n) equals the highest so far: the running form of index-by-index tracks."""
 
-    def step(top, rows):
-        out = []
-        for f, n in zip(rows.frame_id, rows.n, strict=True):
+    def step(state, rows):
+        (top,), out = state, []
+        for f, n in zip(rows.frame_id.tolist(), rows.n.tolist(), strict=True):
             top = max(top, n)
             if n == top:
                 out.append((rows.seq_id.iloc[0], f, n))
-        return top, pd.DataFrame(out, columns=["seq_id", "frame_id", "n"])
+        return (top,), pd.DataFrame(out, columns=["seq_id", "frame_id", "n"])
 
-    return steps(counted, "seq_id", "frame_id", step, 0, "seq_id long, frame_id long, n long")
+    return in_order(counted, "seq_id", "ts", ["frame_id"], step, (0,), "top long", "seq_id long, frame_id long, n long", late)
 
 
-def carry(measured: DataFrame, weight: float = 0.5, history: int = 0) -> DataFrame:
+def carry(measured: DataFrame, weight: float = 0.5, history: int = 0, late: str = "10 minutes") -> DataFrame:
     """The last good value (ok) carried forward: averaged exponentially with the ones before it, or the mean of the last ``history`` ones."""
 
     def step(state, rows):
-        last, held, out = *state, []
-        for v, ok in zip(rows.value, rows.ok, strict=True):
+        last, held = state[0], list(state[1])
+        out = []
+        for v, ok in zip(rows.value.tolist(), rows.ok.tolist(), strict=True):
             if ok and history:
                 held = [*held, v][-history:]
                 last = sum(held) / len(held)
@@ -149,35 +160,69 @@ def carry(measured: DataFrame, weight: float = 0.5, history: int = 0) -> DataFra
             out.append(last)
         return (last, held), pd.DataFrame({"stream_id": rows.stream_id, "frame_id": rows.frame_id, "value": pd.Series(out, dtype=float).to_numpy()})
 
-    return steps(measured, "stream_id", "frame_id", step, (None, []), "stream_id long, frame_id long, value double")
+    return in_order(measured, "stream_id", "ts", ["frame_id"], step, (None, []), "last double, held array<double>", "stream_id long, frame_id long, value double", late)
 
 
-def rolling(vectors: DataFrame, n: int) -> DataFrame:
+def rolling(vectors: DataFrame, n: int, late: str = "1 minute") -> DataFrame:
     """The mean of the last n vectors of each track."""
     import numpy as np
 
-    def step(held, rows):
-        out = []
+    def step(state, rows):
+        held, out = [np.asarray(v, float) for v in state[0]], []
         for v in rows.vec:
             held = [*held, np.asarray(v, float)][-n:]
             out.append(np.mean(held, axis=0).tolist())
-        return held, pd.DataFrame({"track": rows.track, "frame_id": rows.frame_id, "vec": out})
+        return ([v.tolist() for v in held],), pd.DataFrame({"track": rows.track, "frame_id": rows.frame_id, "vec": out})
+
+    return in_order(vectors, "track", "ts", ["frame_id"], step, ([],), "held array<array<double>>", "track long, frame_id long, vec array<double>", late)
+
 
-    return steps(vectors, "track", "frame_id", step, [], "track long, frame_id long, vec array<double>")
+class Linked(Ordered):
+    """The state of a tracker: its counters as a value, its tracks as entries of a map by id."""
 
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.tracks = handle.getMapState("tracks", "id long", "mean array<double>, variance array<double>, seen long, sure boolean, boxes array<double>")
 
-def link(boxes: DataFrame, **how) -> DataFrame:
-    """Two-stage tracking; the tracker of a sequence is the state. A frame must arrive in one batch."""
+    def load(self):
+        tracker = self.start.copy()
+        if self.now.exists():
+            tracker.restore(tuple(self.now.get()), [(k[0], *v) for k, v in self.tracks.iterator()])
+        self.held = {int(k): s for k, s in zip(tracker.ids.tolist(), tracker.seen.tolist(), strict=True)}
+        return tracker
+
+    def store(self, was, now) -> None:
+        counters, rows = now.rows()
+        self.now.update(counters)
+        alive = set()
+        for id_, *row in rows:
+            alive.add(id_)
+            self.tracks.updateValue((id_,), tuple(row))
+        for gone in set(self.held) - alive:
+            self.tracks.removeKey((gone,))
+
+    def ended(self) -> None:
+        """The tracks have all been lost for longer than the buffer; the number of the next one stays."""
+        self.tracks.clear()
+        self.due.clear()
+
+
+def link(boxes: DataFrame, late: str = "1 minute", frame_ms: int = 1000, **how) -> DataFrame:
+    """Two-stage tracking of boxes with the time of their frame (ts), ``frame_ms`` apart.
+
+    A sequence whose newest frame is older than the tracker's buffer has no tracks in the state any more.
+    """
     from ..operators.tracks import BOX, Tracker
 
     def step(tracker, rows):
         out = []
         for frame, g in rows.groupby("frame_id", sort=True):
-            g = g.sort_values("det_id")
             out.append(pd.DataFrame({"seq_id": g.seq_id, "frame_id": frame, "det_id": g.det_id, "linked_track": tracker.step(int(frame), g[BOX].to_numpy(float), g.conf.to_numpy(float))}))
         return tracker, pd.concat(out)
 
-    return steps(boxes, "seq_id", "frame_id", step, Tracker(**how), "seq_id long, frame_id long, det_id long, linked_track long")
+    start = Tracker(**how)
+    keep = (start.buffer + 1) * frame_ms
+    return in_order(boxes, "seq_id", "ts", ["frame_id", "det_id"], step, start, "next long, frame long", "seq_id long, frame_id long, det_id long, linked_track long", late, keep, using=Linked)
 
 
 def merge_trackers(*tracks: DataFrame, offset: int = 10_000) -> DataFrame:

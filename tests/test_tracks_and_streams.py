@@ -1,6 +1,8 @@
 """Fusion, tracks and streams on small tables."""
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boxkit.operators import fusion, search, tracks
@@ -79,20 +81,93 @@ def test_search_finds_itself(spark, sf):
     assert all(r.uid == r.query_id for r in hits.collect())
 
 
-@pytest.mark.parametrize("what", ["shots", "fixed", "carry", "link"])
+def disordered(spark, table, path, parts=4):
+    """Files of rows whose neighbours in time lie in different ones: row k in file k * 7 mod parts of its block of 8 rows."""
+    d = table.withColumn("k", F.row_number().over(Window.orderBy("ts", *[c for c in table.columns if c != "ts"])) - 1).withColumn("file", F.floor(F.col("k") / 16) + F.pmod(F.col("k") * 7, F.lit(2)))
+    for n in sorted(r.file for r in d.select("file").distinct().collect()):
+        d.where(F.col("file") == n).drop("k", "file").coalesce(1).write.mode("append").parquet(path)
+
+
+CARRIED = "stream_id long, frame_id long, change_score double"
+
+
+@pytest.mark.parametrize("what", ["shots", "fixed", "carry", "history", "accumulate", "link", "align"])
 def test_stream_equals_batch(spark, tmp_path, what):
-    f = spark.createDataFrame([(i % 2, i, float((i * 37) % 100)) for i in range(60)], "stream_id long, frame_id long, change_score double")
-    b = spark.createDataFrame([(0, f // 2, f, 0.0 + f, 0.0, 10.0 + f, 10.0, 0.9) for f in range(40)], "seq_id long, frame_id long, det_id long, x1 double, y1 double, x2 double, y2 double, conf double")
+    """Frames dealt over batches out of order give the rows of the whole table, up to the watermark."""
+    at = F.expr("timestamp_seconds(1700000000 + frame_id)")
+    f = spark.createDataFrame([(i % 2, i, float((i * 37) % 100)) for i in range(80)], CARRIED).withColumn("ts", at)
+    b = spark.createDataFrame([(s, f // 2, 1000 * s + f, 0.0 + f, 0.0, 10.0 + f, 10.0, 0.9 - 0.5 * (f % 7 == 0)) for f in range(80) for s in (0, 1)], "seq_id long, frame_id long, det_id long, x1 double, y1 double, x2 double, y2 double, conf double").withColumn("ts", at)
+    good = f.selectExpr("stream_id", "frame_id", "ts", "change_score AS value", "change_score > 30 AS ok")
+    side = lambda d, n: d.where(f"frame_id % 5 {n}")
+    late = "30 seconds"
     run = {
-        "shots": (f, lambda d: streams.shots(d, 80.0, 3, 9)),
-        "fixed": (f, lambda d: streams.fixed_windows(d, 7)),
-        "carry": (f.selectExpr("stream_id", "frame_id", "change_score AS value", "change_score > 30 AS ok"), streams.carry),
-        "link": (b, streams.link),
+        "shots": (f, lambda d: streams.shots(d, 80.0, 3, 9, late)),
+        "fixed": (f, lambda d: streams.fixed_windows(d, 7, late)),
+        "carry": (good, lambda d: streams.carry(d, late=late)),
+        "history": (good, lambda d: streams.carry(d, history=3, late=late)),
+        "accumulate": (f.selectExpr("stream_id AS seq_id", "frame_id", "cast(change_score / 10 AS long) AS n", "ts"), lambda d: streams.accumulate(d, late)),
+        "link": (b, lambda d: streams.link(d, late)),
+        "align": (f, lambda d: streams.align(side(d, "= 0"), side(d, "> 2"), 2, late)),
     }
     table, op = run[what]
-    at = str(tmp_path / "in")
-    streams.staged(table, "frame_id", at, 3)
-    stream = op(streams.source(spark, at, table.schema))
-    streams.drain(stream, str(tmp_path / "out"))
+    path = str(tmp_path / "in")
+    disordered(spark, table, path)
+    stream = op(streams.source(spark, path, table.schema))
+    q = streams.drain(stream, str(tmp_path / "out"))
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    top = table.agg(F.max("frame_id")).first()[0]
+    key = {"fixed": "last", "align": "id + 2"}.get(what, "frame_id")
+    if what == "align":
+        top = 78
+    want = sorted(map(str, op(table).where(f"{key} <= {top} - 30").collect()))
+    assert sorted(map(str, got.collect())) == want and want
+    assert not streams.dropped_late(q)
+
+
+def test_steps_drop_late_rows_and_end_their_state(spark, tmp_path):
+    """Rows behind the watermark are counted and change nothing; tracks lost for longer than the buffer leave the state."""
+    at = F.expr("timestamp_seconds(1700000000 + frame_id)")
+    rows = lambda seqs, frames: spark.createDataFrame([(s, f, 100 * f + k, 20.0 * k, 0.0, 20.0 * k + 10, 10.0, 0.9) for s in seqs for f in frames for k in range(5)], "seq_id long, frame_id long, det_id long, x1 double, y1 double, x2 double, y2 double, conf double").withColumn("ts", at)
+    path = str(tmp_path / "in")
+    parts = [rows([0, 1], range(0, 20)), rows([1], range(20, 40)), rows([1], range(100, 120)), rows([1], range(120, 140)), rows([0], range(5, 6)), rows([1], range(140, 160))]
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(path)
+    stream = streams.link(streams.source(spark, path, parts[0].schema), "5 seconds", buffer=10)
+    q = streams.drain(stream, str(tmp_path / "out"))
     got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
-    assert sorted(map(str, got.collect())) == sorted(map(str, op(table).collect()))
+    assert streams.dropped_late(q) == 5
+    assert got.where("seq_id = 0").count() == 100 and got.where("seq_id = 1 AND frame_id <= 154").count() == got.where("seq_id = 1").count() == 5 * (40 + 55)
+    assert {r.linked_track for r in got.where("seq_id = 1 AND frame_id >= 100").collect()} == {6, 7, 8, 9, 10}  # new tracks, numbered on
+    totals = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert totals[-1] < max(totals)  # of the sequence that ended nothing but its counters is left
+
+
+def plain_filter(z, frames):
+    """The eight-dimensional filter, written out."""
+    def noise(h, a):
+        return np.diag(np.square([h / 20, h / 20, 1e-2, h / 20, h / 160, h / 160, 1e-5, h / 160])) if a else np.diag(np.square([h / 20, h / 20, 1e-1, h / 20]))
+
+    s = z[0][3]
+    x, p = np.r_[z[0], np.zeros(4)], np.diag(np.square([2 * s / 20, 2 * s / 20, 1e-2, 2 * s / 20, 10 * s / 160, 10 * s / 160, 1e-5, 10 * s / 160]))
+    f, h = np.eye(8) + np.eye(8, k=4), np.eye(4, 8)
+    for n in range(1, frames):
+        q = noise(x[3], True)
+        x, p = f @ x, f @ p @ f.T + q
+        if n < len(z):
+            k = p @ h.T @ np.linalg.inv(h @ p @ h.T + noise(x[3], False))
+            x, p = x + k @ (z[n] - h @ x), p - k @ h @ p
+    return x
+
+
+def test_tracker_is_the_filter_written_out():
+    boxes = np.array([[10.0 + 3 * t, 20 + t, 30 + 3 * t + t % 2, 60 + 2 * t] for t in range(8)])
+    tr = tracks.Tracker()
+    for t in range(12):
+        b = boxes[t : t + 1] if t < 8 else np.empty((0, 4))
+        tr.step(t, b, np.full(len(b), 0.9))
+        if t == 5:  # through plain values and back
+            counters, rows = tr.rows()
+            tr = tr.copy()
+            tr.restore(counters, rows)
+    z = np.c_[(boxes[:, :2] + boxes[:, 2:]) / 2, (boxes[:, 2] - boxes[:, 0]) / (boxes[:, 3] - boxes[:, 1]), boxes[:, 3] - boxes[:, 1]]
+    assert np.allclose(tr.mean[0].ravel(), plain_filter(z, 12)) and tr.ids.tolist() == [1]
