@@ -195,7 +195,8 @@ _register("detector_quality", _r(f"{_MB}, {_TR}", """SELECT e.*, unmatched_conf,
 FROM (SELECT *, (c_x1 + c_x2 - t_x1 - t_x2) / 2 AS dx, (c_y1 + c_y2 - t_y1 - t_y2) / 2 AS dy FROM mb) GROUP BY seq_id) e
 LEFT JOIN (SELECT seq_id, avg(conf) AS unmatched_conf FROM computed WHERE det_id NOT IN (SELECT c_id FROM mm) GROUP BY seq_id) USING (seq_id) LEFT JOIN (SELECT seq_id, avg(states) AS miss_run FROM tr WHERE matched = 0 GROUP BY seq_id) USING (seq_id)"""))
 _register("score_cls_accuracy", _r(_MB, "SELECT seq_id, avg(CASE WHEN c_cls = t_cls THEN 1.0 ELSE 0.0 END) AS accuracy FROM mb GROUP BY seq_id"))
-_CURVE = f"""{_MATCH}, h AS (SELECT c.seq_id, c.conf, count(m.c_id) AS t, count(*) AS c FROM computed c LEFT JOIN mm m ON m.c_id = c.det_id GROUP BY ALL),
+_BY_CONF = f"{_pairs('pairs', 0.5, '', ', c.conf AS conf')},\n{_greedy('mm', 'pairs', order='-conf, c_id, -iou, t_id')}"
+_CURVE = f"""{_BY_CONF}, h AS (SELECT c.seq_id, c.conf, count(m.c_id) AS t, count(*) AS c FROM computed c LEFT JOIN mm m ON m.c_id = c.det_id GROUP BY ALL),
 k AS (SELECT seq_id, conf, (sum(t) OVER w)::BIGINT AS tp, (sum(c) OVER w - sum(t) OVER w)::BIGINT AS fp FROM h WINDOW w AS (PARTITION BY seq_id ORDER BY conf DESC ROWS UNBOUNDED PRECEDING)),
 curve AS MATERIALIZED (SELECT seq_id, conf, tp, fp, fn, precision, recall, f1 FROM ({_rates('SELECT k.*, n - tp AS fn FROM k JOIN (SELECT seq_id, count(*) AS n FROM truth GROUP BY 1) USING (seq_id)')}))"""
 _register("pr_curve", _r(_CURVE, "SELECT * FROM curve"))

@@ -89,7 +89,7 @@ def score_cls_accuracy(spark, sf):
 
 def _curve(spark, sf):
     c, t = _both(spark, sf)
-    return op.pr_curve(c, t, m.match_greedy(c, t), SEQ), c, t
+    return op.pr_curve(c, t, m.match_by_confidence(c, t), SEQ), c, t
 
 
 @query("pr_curve")

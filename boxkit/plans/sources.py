@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..shared import shared_path
 from ..sources import boxes as B
+from ..sources import databases as DB
 from ..sources import documents as D
+from ..sources import logs as L
 from .views import view, with_views
 
 
@@ -139,25 +141,46 @@ def io_fishnet_read(spark, sf):
     return B.read_fishnet(spark, path)
 
 
-@query("io_habcam_read", with_views("SELECT 'f' || det_id AS frame_name, CASE l_linenumber WHEN 1 THEN 'fish' WHEN 2 THEN 'scallop' ELSE 'unknown' END AS cls, CASE WHEN det_id % 3 = 2 THEN x1 - 1 ELSE x1 END AS x1, CASE WHEN det_id % 3 = 2 THEN y1 + 1 ELSE y2 END AS y2 FROM truth"))
+@query("io_habcam_read", with_views("""SELECT 'f' || det_id || '.png' AS frame_name, det_id % 600 AS species_id, CASE WHEN det_id % 5 = 0 THEN 'live_' || lower(cls) ELSE lower(cls) END AS cls,
+CASE det_id % 4 WHEN 0 THEN x1 WHEN 3 THEN x1 - 50 ELSE (x1 + x2) / 2 - r END AS x1, CASE det_id % 4 WHEN 0 THEN y2 WHEN 3 THEN y1 + 50 ELSE (y1 + y2) / 2 + r END AS y2 FROM (SELECT *, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) / 2 AS r FROM truth)"""))
 def io_habcam_read(spark, sf):
+    """Lines of even frames with blanks, those of odd ones with commas and brackets."""
     t = view(spark, sf, "truth")
-    kind = F.when(F.col("det_id") % 3 == 0, "boundingBox").when(F.col("det_id") % 3 == 1, "line").otherwise("point")
-    line = F.concat_ws(",", F.concat(F.lit("f"), "det_id"), F.col("l_linenumber").cast("string"), kind, F.col("x1").cast("string"), F.col("y1").cast("string"), F.when(F.col("det_id") % 3 != 2, F.concat_ws(",", F.col("x2").cast("string"), F.col("y2").cast("string"))))
-    path = _text(t.select(line.alias("value")), _dir(spark, "habcam"))
-    species = spark.createDataFrame([(1, "fish"), (2, "scallop")], "species_id long, species string")
-    return B.read_habcam(spark, path, species).select("frame_name", "cls", "x1", "y2")
-
-
-@query("io_oceaneyes_read", with_views("SELECT 'f' || det_id AS frame_name, lower(cls) AS cls, x1, y1, x2, y2 FROM truth WHERE det_id % 4 <> 0"))
+    kind = F.element_at(F.array(*map(F.lit, ("boundingBox", "line", "circle", "point"))), (F.col("det_id") % 4 + 1).cast("int"))
+    n = [F.col(k).cast("string") for k in ("x1", "y1", "x2", "y2")]
+    name, species = F.concat(F.lit("f"), "det_id", F.lit(".png")), (F.col("det_id") % 600).cast("string")
+    label = lambda gap: F.when(F.col("det_id") % 5 == 0, F.concat(F.lit(f"live{gap}("), F.lower("cls"), F.lit(")"))).otherwise(F.lower("cls"))
+    point = kind == "point"
+    blanks = F.concat_ws(" ", name, species, label("_"), kind, *n[:2], F.when(~point, F.concat_ws(" ", *n[2:])))
+    pair = lambda x, y: F.concat(F.lit("["), x, F.lit(", "), y, F.lit("]"))
+    commas = F.concat_ws(",", name, species, label(" "), F.concat(F.lit('"""'), kind, F.lit('"": ['), pair(*n[:2]), F.when(~point, F.concat(F.lit(", "), pair(*n[2:]))).otherwise(""), F.lit(']"')))
+    path = _dir(spark, "habcam")
+    _text(t.where("frame_id % 2 = 0").select(blanks.alias("value")), f"{path}/blanks")
+    _text(t.where("frame_id % 2 = 1").select(F.explode(F.array(F.lit("Image,Species,Label,Place"), commas)).alias("value")), f"{path}/commas")
+    return L.read_habcam(spark, path).select("frame_name", "species_id", "cls", "x1", "y2")
+
+
+@query("io_oceaneyes_read", with_views("""WITH t AS (SELECT *, l_linenumber % 3 + 1 AS v, (x2 - x1) * 1.3::DOUBLE AS w0, (y2 - y1) * 1.3::DOUBLE AS h0 FROM truth WHERE det_id % 4 <> 0),
+a AS (SELECT *, CASE WHEN h0 / w0 > 2.25 THEN h0 / 2.25 ELSE w0 END AS w FROM t), b AS (SELECT *, CASE WHEN w / h0 > 2.25 THEN w / 2.25 ELSE h0 END AS h FROM a)
+SELECT 'f' || det_id AS frame_name, CASE WHEN det_id % 11 = 0 THEN 'other' ELSE lower(cls) END AS cls, CASE v WHEN 1 THEN greatest(l_discount, l_tax) WHEN 2 THEN 1 ELSE CASE WHEN l_discount = 0 THEN 0.1 ELSE l_discount END END::DOUBLE AS conf_raw,
+round((x1 + x2) / 2 - w / 2, 6) AS x1, round((y1 + y2) / 2 + h / 2, 6) AS y2, CASE WHEN v = 2 OR det_id % 3 = 0 THEN x1 END AS head_x FROM b""").replace("AS conf_raw,", "AS conf,").replace("greatest(l_discount, l_tax) WHEN 2", "CASE WHEN greatest(l_discount, l_tax) = 0 THEN 0.1 ELSE greatest(l_discount, l_tax) END WHEN 2"))
 def io_oceaneyes_read(spark, sf):
+    """A file of each of the three headers."""
     t = view(spark, sf, "truth")
-    name, cls = F.concat(F.lit("f"), "det_id"), F.when(F.col("det_id") % 4 == 0, "No fish").otherwise(F.col("cls"))
-    pts = [F.col(k).cast("string") for k in ("x1", "y2", "x2", "y1")]
-    z = F.lit("0")
-    rows = {0: [name, cls, z, *pts, z, z], 1: [z, name, z, cls, z, *pts, z, z], 2: [z, z, name, z, cls, z, z, *pts, z, z]}
-    line = F.coalesce(*(F.when(F.col("det_id") % 3 == k, F.concat_ws(",", *r)) for k, r in rows.items()))
-    return B.read_oceaneyes(spark, _text(t.select(line.alias("value")), _dir(spark, "oceaneyes"))).drop("seq")
+    name, path = F.concat(F.lit("f"), "det_id", F.lit(".jpg")), _dir(spark, "oceaneyes")
+    cls = F.when(F.col("det_id") % 4 == 0, "no fish").when(F.col("det_id") % 11 == 0, "").otherwise(F.lower("cls"))
+    spec, fish, z = F.col("l_discount").cast("string"), F.col("l_tax").cast("string"), F.lit("z")
+    ends = [F.concat(F.lit('"('), "x1", F.lit(", "), "y2", F.lit(')"')), F.concat(F.lit('"('), "x2", F.lit(", "), "y1", F.lit(')"'))]
+    valid = F.when(F.col("det_id") % 3 == 0, "yes").otherwise("no")
+    rows = {
+        1: ("filename,a,b,c,species", [name, z, z, z, cls, z, fish, spec, z, z, valid, *ends]),
+        2: ('filename,"photo location",b,c,species,head', [name, z, z, z, cls, *ends]),
+        3: ("photo location,filename,b,c,d,species", [z, name, z, z, z, cls, z, z, spec, z, z, valid, *ends]),
+    }
+    for v, (head, row) in rows.items():  # a header in each file that Spark writes
+        lines = t.where(F.col("l_linenumber") % 3 + 1 == v).select(F.concat_ws(",", *row).alias("value")).coalesce(1)
+        _text(spark.createDataFrame([(head,)], "value string").coalesce(1).unionByName(lines).coalesce(1), f"{path}/v{v}")
+    return L.read_oceaneyes(spark, path).select("frame_name", "cls", "conf", F.round("x1", 6).alias("x1"), F.round("y2", 6).alias("y2"), F.col("keypoints")["head"]["x"].alias("head_x"))
 
 
 def _cvat(spark, sf, path):
@@ -189,18 +212,32 @@ def io_auto_read(spark, sf):
     return D.read_auto(spark, path).groupBy("format").agg(F.count("*").alias("n"))
 
 
-@query("io_flightlog_read", with_views("SELECT event_id AS frame, round(55 + (event_id % 60) / 60.0, 6) AS lat, 1 + event_id % 2 AS pass_no FROM events"))
+@query("io_flightlog_read", """SELECT event_id AS frame, (CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) * round(55 + (event_id % 60) / 60.0, 6)::DOUBLE AS lat, round(-160 - (event_id % 50) / 60.0, 6)::DOUBLE AS lon, date_trunc('second', ts) AS time_utc,
+100.5::DOUBLE AS alt_agl, (event_id % 360)::DOUBLE AS yaw, CASE WHEN event_id % 4 <> 0 THEN 'Site ' || event_id % 4 END AS site, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS pass_no FROM events WHERE event_id > 0 AND event_id % 7 <> 0""")
 def io_flightlog_read(spark, sf):
+    """Logs with their columns in two orders, repeated frames of which the last counts, rows without a position."""
     path = _dir(spark, "flightlog")
-    view(spark, sf, "events").selectExpr("event_id AS frame", "5500D + event_id % 60 AS lat", "-16000D AS lon", "date_format(ts, 'yyyyMMdd HHmmss') AS utc", "CASE WHEN event_id % 2 = 1 THEN 2 END AS pass_no").write.option("header", True).csv(path)
-    return B.read_flightlog(spark, path).select("frame", F.round("lat", 6).alias("lat"), F.col("pass_no").cast("long").alias("pass_no"))
-
-
-@query("io_imagelog_read", "SELECT event_id AS trigger, round(degrees(event_id / 10000.0), 6) AS lat, round((degrees(-(event_id % 7) / 2.0) % 360 + 360) % 360, 6) AS yaw FROM events")
+    e = view(spark, sf, "events").where("event_id >= 0").selectExpr(
+        "event_id", "CAST(event_id AS STRING) AS frame_count", "CASE WHEN event_id % 7 = 0 THEN '' ELSE CAST(5500D + event_id % 60 AS STRING) END AS lat", "CASE WHEN event_id % 2 = 0 THEN 'N' ELSE 'S' END AS lat_ns", "CAST(16000D + event_id % 50 AS STRING) AS lon", "'W' AS lon_ew",
+        "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), CASE WHEN event_id % 2 = 0 THEN ' +0000' ELSE '' END) AS utc_time", "'100.5' AS elevation_m", "CAST(event_id % 360 AS STRING) AS yaw", "CASE WHEN event_id % 4 <> 0 THEN concat('Site ', event_id % 4) END AS site_name", "CASE WHEN event_id % 3 = 0 THEN '2' END AS pass",
+    )
+    names = e.columns[1:]
+    # a first row of every frame that the second one of the same task replaces
+    twice = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("elevation_m", F.when(F.col("k") == 0, "1").otherwise(F.col("elevation_m")))
+    for part, order in ((0, names), (1, names[::-1])):
+        twice.where(F.col("event_id") % 2 == part).sortWithinPartitions("event_id", "k").select(*order).write.option("header", True).csv(f"{path}/{part}")
+    d = L.read_flightlog(spark, path)
+    return d.select("frame", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.col("time_utc").cast("timestamp_ntz").alias("time_utc"), "alt_agl", "yaw", "site", F.col("pass_no").cast("long").alias("pass_no"))
+
+
+@query("io_imagelog_read", "SELECT event_id AS trigger, event_id / 10000.0::DOUBLE AS lat, 250.0::DOUBLE AS alt_agl, CASE WHEN event_id % 5 <> 0 THEN round(((degrees(-(event_id % 7) / 2.0) % 360) + 360) % 360, 6) END AS yaw, round(degrees(0.25), 6) AS pitch FROM events WHERE event_id % 9 <> 0")
 def io_imagelog_read(spark, sf):
+    """Logs of one object each, as the format has it, with records without a position or an angle."""
     path = _dir(spark, "imagelog")
-    view(spark, sf, "events").selectExpr("event_id AS trigger", "event_id / 10000.0D AS lat", "0D AS lon", "0D AS roll", "0D AS pitch", "-(event_id % 7) / 2.0D AS yaw", "250D AS alt").write.json(path)
-    return B.read_imagelog(spark, path).select("trigger", F.round("lat", 6).alias("lat"), F.round("yaw", 6).alias("yaw"))
+    e = view(spark, sf, "events").selectExpr("event_id % 5 AS part", "event_id AS trigger_index", "CASE WHEN event_id % 9 <> 0 THEN event_id / 10000.0D END AS lat", "-160D AS lon", "250D AS alt", "0D AS roll", "0.25D AS pitch", "CASE WHEN event_id % 5 <> 0 THEN -(event_id % 7) / 2.0D END AS yaw")
+    logs = e.groupBy("part", F.floor(F.col("trigger_index") / 5000)).agg(F.collect_list(F.struct(*e.columns[1:])).alias("ImageLog"))
+    logs.select("ImageLog").write.option("maxRecordsPerFile", 1).json(path)
+    return L.read_imagelog(spark, path, "*.json").select("trigger", "lat", "alt_agl", F.round("yaw", 6).alias("yaw"), F.round("pitch", 6).alias("pitch"))
 
 
 @query("io_descriptor_read", with_views("SELECT uid, len(vec)::INT AS n, round(vec[1]::DOUBLE, 5) AS v0 FROM descriptors"))
@@ -210,16 +247,32 @@ def io_descriptor_read(spark, sf):
     return B.read_descriptors(spark, path).select("uid", F.size("vec").alias("n"), F.round(F.col("vec")[0].cast("double"), 5).alias("v0"))
 
 
-@query("io_jdbc_tracks", with_views("SELECT 'v' || seq_id AS video_name, count(*) + CASE WHEN seq_id = 1 THEN -count(*) + count(*) FILTER (conf >= 0.8) ELSE 0 END AS n FROM computed GROUP BY seq_id"))
-def io_jdbc_tracks(spark, sf):
-    """Rows of a video replace those that the table had of it."""
+@query("io_table_tracks", with_views("SELECT 'v' || seq_id AS video_name, count(*) + CASE WHEN seq_id = 1 THEN -count(*) + count(*) FILTER (conf >= 0.8) ELSE 0 END AS n FROM computed GROUP BY seq_id"))
+def io_table_tracks(spark, sf):
+    """Rows of a video replace those that a table of files had of it."""
     path = _dir(spark, "tracks")
     c = view(spark, sf, "computed").withColumn("video_name", F.concat(F.lit("v"), "seq_id"))
-    D.replace_videos(c, path)
-    D.replace_videos(c.where("seq_id = 1 AND conf >= 0.8"), path)
+    DB.replace_videos(c, path)
+    DB.replace_videos(c.where("seq_id = 1 AND conf >= 0.8"), path)
     return spark.read.parquet(path).groupBy("video_name").agg(F.count("*").alias("n"))
 
 
+@query("io_jdbc_tracks", with_views("SELECT 'v' || seq_id || chr(39) || 's' AS video_name, track_id, frame_id, frame_id * 1000000 AS time_us, x1, y2, conf FROM computed WHERE seq_id <> 1 OR conf >= 0.8"))
+def io_jdbc_tracks(spark, sf):
+    """Tracks written to a database and read by video; a second write of one video replaces its rows only.
+
+    The database is embedded in the driver and lives as long as the session, which serves where tasks run in the driver
+    too; with a server's url the same calls serve a cluster.
+    """
+    url = f"jdbc:derby:memory:{_dir(spark, 'tracks').rsplit('/', 1)[-1]};create=true"
+    c = view(spark, sf, "computed").withColumn("video_name", F.concat(F.lit("v"), "seq_id", F.lit("'s"))).withColumn("time_us", F.col("frame_id") * 1_000_000)
+    DB.create_tracks(spark, url)
+    DB.replace_tracks(c, url)
+    DB.replace_tracks(c.where("seq_id = 1 AND conf >= 0.8"), url)
+    videos = [f"v{k}'s" for k in range(8)]
+    return DB.read_tracks(spark, url, videos).select("video_name", "track_id", "frame_id", "time_us", "x1", "y2", "conf")
+
+
 @query("io_image_list", with_views("SELECT count(DISTINCT seq_id) AS folders, count(DISTINCT seq_id) AS images FROM truth"))
 def io_image_list(spark, sf):
     path = _dir(spark, "images")
@@ -228,12 +281,17 @@ def io_image_list(spark, sf):
     return B.image_list(spark, path).agg(F.countDistinct("folder").alias("folders"), F.count("*").alias("images"))
 
 
-@query("io_homographies", with_views("SELECT DISTINCT frame_id AS from_id, frame_id + 1 AS to_id, CASE WHEN frame_id % 9 = 0 THEN NULL ELSE (frame_id % 5)::DOUBLE END AS tx FROM truth"))
+@query("io_homographies", with_views("SELECT 'img' || frame_id || '.png' AS from_name, CASE WHEN frame_id % 13 <> 0 THEN 'img' || (frame_id + 1) || '.png' END AS to_name, CASE WHEN frame_id % 9 <> 0 THEN (frame_id % 5)::DOUBLE END AS tx, CASE WHEN frame_id % 9 <> 0 THEN 10.0::DOUBLE * seq_id - 1 END AS ty FROM (SELECT DISTINCT seq_id, frame_id FROM truth)"))
 def io_homographies(spark, sf):
-    f = view(spark, sf, "truth").select("frame_id").distinct()
-    h = F.concat_ws(" ", F.lit("1 0"), (F.col("frame_id") % 5).cast("string"), F.lit("0 1 0 0 0 1"))
-    line = F.concat_ws(" ", F.col("frame_id").cast("string"), (F.col("frame_id") + 1).cast("string"), F.when(F.col("frame_id") % 9 == 0, "[no-match]").otherwise(h))
-    return B.read_homographies(spark, _text(f.select(line.alias("value")), _dir(spark, "homographies"))).select("from_id", "to_id", F.col("h")[2].alias("tx"))
+    """Records of two names, three rows of a matrix or the word for none, and a blank line, written and read again."""
+    path = _dir(spark, "homographies")
+    f = view(spark, sf, "truth").select(F.concat(F.lit("clip"), "seq_id").alias("seq"), "seq_id", "frame_id").distinct()
+    one = lambda c: c.cast("double")
+    h = F.array(*(one(x) for x in (F.lit(1), F.lit(0), F.col("frame_id") % 5, F.lit(0), F.lit(1), 10 * F.col("seq_id") - 1, F.lit(0), F.lit(0), F.lit(1))))
+    name = lambda c: F.concat(F.lit("img"), c, F.lit(".png"))
+    f = f.select("seq", F.col("frame_id").alias("place"), name(F.col("frame_id")).alias("from_name"), F.when(F.col("frame_id") % 13 != 0, name(F.col("frame_id") + 1)).alias("to_name"), F.when(F.col("frame_id") % 9 != 0, h).alias("h"))
+    L.write_homographies(f, path)
+    return L.read_homographies(spark, path).select("from_name", "to_name", F.col("h")[2].alias("tx"), F.col("h")[5].alias("ty"))
 
 
 @query("io_metrics_write")

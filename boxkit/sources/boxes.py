@@ -150,52 +150,11 @@ def read_fishnet(spark: SparkSession, path: str) -> DataFrame:
     return d.select("img_id", F.col("label_l1").alias("cls"), F.col("x_min").alias("x1"), F.col("y_min").alias("y1"), F.col("x_max").alias("x2"), F.col("y_max").alias("y2"))
 
 
-def read_habcam(spark: SparkSession, path: str, species: DataFrame) -> DataFrame:
-    """Lines: image, species id, kind and its numbers: 'boundingBox' (corners), 'line' (two ends), 'point' (a box of side 2)."""
-    d = lines(spark, path).select("seq", F.split(F.regexp_replace("value", r"[,\s]+", ","), ",").alias("f")).where(F.size("f") >= 5)
-    n = F.transform(F.slice("f", 4, 4), lambda x: number(x))
-    d = d.select("seq", F.col("f")[0].alias("frame_name"), F.col("f")[1].try_cast("long").alias("species_id"), F.col("f")[2].alias("kind"), n.alias("n"))
-    point = F.col("kind") == "point"
-    a, b = (F.get("n", F.lit(i)) for i in (0, 1))
-    c, e = (F.when(point, F.get("n", F.lit(i))).otherwise(F.get("n", F.lit(i + 2))) for i in (0, 1))
-    pad = F.when(point, 1.0).otherwise(0.0)
-    d = d.where(F.col("kind").isin("boundingBox", "line", "point") & c.isNotNull() & e.isNotNull())
-    return d.join(species, "species_id", "left").select("seq", "frame_name", F.coalesce("species", F.lit("unknown")).alias("cls"), (F.least(a, c) - pad).alias("x1"), (F.least(b, e) - pad).alias("y1"), (F.greatest(a, c) + pad).alias("x2"), (F.greatest(b, e) + pad).alias("y2"))
-
-
-#: Places of image name, species, head x, head y, tail x, tail y in the three versions of the header, by their number of columns.
-OCEANEYES = {9: (0, 1, 3, 4, 5, 6), 11: (1, 3, 5, 6, 7, 8), 13: (2, 4, 7, 8, 9, 10)}
-
-
-def read_oceaneyes(spark: SparkSession, path: str, pad: float = 0.0) -> DataFrame:
-    """Head and tail points become boxes; rows without fish are dropped; the version is told by the number of columns."""
-    d = lines(spark, path).select("seq", F.split("value", COMMA).alias("f"))
-    at = lambda k: F.coalesce(*(F.when(F.size("f") == n, F.get("f", F.lit(p[k]))) for n, p in OCEANEYES.items()))
-    hx, hy, tx, ty = (number(at(k)) for k in (2, 3, 4, 5))
-    d = d.select("seq", at(0).alias("frame_name"), F.lower(F.trim(at(1))).alias("cls"), hx.alias("hx"), hy.alias("hy"), tx.alias("tx"), ty.alias("ty")).where("hx IS NOT NULL AND hy IS NOT NULL AND tx IS NOT NULL AND ty IS NOT NULL AND cls <> 'no fish'")
-    return d.select("seq", "frame_name", "cls", (F.least("hx", "tx") - pad).alias("x1"), (F.least("hy", "ty") - pad).alias("y1"), (F.greatest("hx", "tx") + pad).alias("x2"), (F.greatest("hy", "ty") + pad).alias("y2"))
-
-
 def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
     """uid,v1,v2,... per line."""
     return lines(spark, path).select(F.split("value", ",").alias("f")).select(F.col("f")[0].alias("uid"), F.transform(F.expr("slice(f, 2, size(f))"), lambda x: x.cast("float")).alias("vec"))
 
 
-def read_flightlog(spark: SparkSession, path: str) -> DataFrame:
-    """Log rows: frame, ddmm positions to degrees, UTC time, pass (1 if absent); the last row of a frame counts."""
-    from ..functions.geo import nmea_degrees
-
-    d = spark.read.csv(path, header=True, schema="frame long, lat double, lon double, utc string, pass_no int")
-    d = d.select("frame", nmea_degrees(F.col("lat")).alias("lat"), nmea_degrees(F.col("lon")).alias("lon"), F.to_timestamp("utc", "yyyyMMdd HHmmss").alias("time_utc"), F.coalesce("pass_no", F.lit(1)).alias("pass_no"))
-    return d.groupBy("frame").agg(F.max_by(F.struct("lat", "lon", "time_utc", "pass_no"), "time_utc").alias("r")).select("frame", "r.*")
-
-
-def read_imagelog(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records with angles in radians, in the order of their trigger numbers."""
-    d = spark.read.schema("trigger long, lat double, lon double, roll double, pitch double, yaw double, alt double").json(path)
-    return d.select("trigger", F.degrees("lat").alias("lat"), F.degrees("lon").alias("lon"), F.degrees("roll").alias("roll"), F.degrees("pitch").alias("pitch"), F.pmod(F.degrees("yaw"), F.lit(360.0)).alias("yaw"), "alt")
-
-
 def image_list(spark: SparkSession, path: str) -> DataFrame:
     """Images below a folder in order of name; of several kinds the most common extension (then the first) counts."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
@@ -204,9 +163,3 @@ def image_list(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     return d.join(best, ["folder", "ext"]).withColumn("frame_id", F.row_number().over(Window.partitionBy("folder").orderBy("path")) - 1)
-
-
-def read_homographies(spark: SparkSession, path: str) -> DataFrame:
-    """Lines 'from to h1 ... h9', or 'from to [no-match]' (h is null)."""
-    d = lines(spark, path).select("seq", F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 3)
-    return d.select("seq", F.col("f")[0].cast("long").alias("from_id"), F.col("f")[1].cast("long").alias("to_id"), F.when(F.size("f") >= 11, F.transform(F.slice("f", 3, 9), lambda x: x.cast("double"))).alias("h"))
