@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vec as V
 from ..shared import stored
+from . import hashing
 
 #: "farthest": what is least alike by histogram intersection comes first.
 DISTANCES = {"euclidean": V.euclidean, "cosine": V.cosine_distance, "intersection": V.intersection_distance, "farthest": lambda a, b: -V.intersection_distance(a, b)}
@@ -33,10 +34,78 @@ def _in_blocks(queries: DataFrame, f, key: str = "query_id") -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, distance: str = "euclidean") -> DataFrame:
-    """The k nearest vectors of each query (query_id, qvec), ties by uid; rank from 1. Many queries go in blocks."""
-    d = DISTANCES[distance](F.col("vec"), F.col("qvec"))
-    vectors = vectors.select("uid", "vec")
-    return _in_blocks(queries.select("query_id", "qvec"), lambda some: ranked(vectors.join(some).select("query_id", "uid", d.alias("distance")), "query_id", k))
+    """The k nearest vectors of each query (query_id, qvec), ties by uid; rank from 1. Many queries go in blocks.
+
+    A task compares its batches with the whole block of queries at once and keeps what may be among the k best of each;
+    only those are compared again, one by one, and ranked.
+    """
+    vectors, exact = vectors.select("uid", "vec"), DISTANCES[distance](F.col("vec"), F.col("qvec"))
+
+    def nearest(some: DataFrame) -> DataFrame:
+        block = some.toArrow()  # at most MOST_QUERIES rows
+        ids, groups = block.column("query_id").combine_chunks(), _by_length(block.column("qvec").combine_chunks())
+        id_type, fields = some.schema["query_id"].dataType.simpleString(), vectors.schema
+        out = f"query_id {id_type}, uid {fields['uid'].dataType.simpleString()}, vec {fields['vec'].dataType.simpleString()}"
+
+        def run(batches):
+            best, held = np.full(len(ids), np.inf), []
+            for b in batches:
+                for size, (rows, x) in _by_length(b.column("vec")).items():
+                    mine, q = groups.get(size, (np.empty(0, int), None))
+                    if not len(mine):
+                        continue
+                    d = _block_distances(q, x, distance)
+                    if d.shape[1] > k:
+                        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+                        best[mine] = np.fmin(best[mine], kth + 1e-9 * (1 + np.abs(kth)))
+                    of, at = np.nonzero(d <= best[mine][:, None])
+                    held.append((mine[of], d[of, at], b.take(pa.array(rows[at])).select(["uid", "vec"])))
+                if sum(len(h[0]) for h in held) > 4 * k * len(ids) + 100_000:
+                    held = [_merged(held, k, best)]
+            if held:
+                of, _, rows = _merged(held, k, best)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), rows.column("uid"), rows.column("vec")], names=["query_id", "uid", "vec"])
+
+        found = vectors.mapInArrow(run, out).join(some, "query_id")
+        return ranked(found.select("query_id", "uid", exact.alias("distance")), "query_id", k)
+
+    return _in_blocks(queries.select("query_id", "qvec"), nearest) if k > 0 else queries.limit(0).selectExpr("query_id", "'' AS uid", "0D AS distance", "0 AS rank")
+
+
+def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows by the length of their vector, and the vectors as a matrix; null vectors are left out."""
+    sizes, out = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False), {}
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        out[n] = at, column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), n)
+    return out
+
+
+def _block_distances(q: np.ndarray, x: np.ndarray, distance: str) -> np.ndarray:
+    """Numbers in the order of DISTANCES for all queries and rows, up to rounding."""
+    if distance == "euclidean":
+        return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
+    if distance == "cosine":
+        a, b = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+        zero = (a[:, None] == 0) | (b[None] == 0)
+        return np.where(zero, 1.0, -(q @ x.T) / np.where(zero, 1, a[:, None] * b[None]))
+    same = np.stack([np.minimum(x, row).sum(1) for row in q])
+    return same if distance == "farthest" else -same
+
+
+def _merged(held: list, k: int, best: np.ndarray):
+    """Of kept rows those that can still be among the k best of their query."""
+    of, d = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    rows = pa.Table.from_batches([h[2] for h in held]).combine_chunks()
+    order = np.lexsort((d, of))
+    first = np.searchsorted(of[order], np.arange(len(best)))
+    end = np.searchsorted(of[order], np.arange(len(best)), "right")
+    full = end - first >= k
+    kth = d[order][np.minimum(first[full] + k - 1, len(d) - 1)]
+    best[full] = np.minimum(best[full], kth + 1e-9 * (1 + np.abs(kth)))
+    keep = np.flatnonzero(d <= best[of])
+    rows = rows.take(pa.array(keep))
+    return of[keep], d[keep], rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
 
 
 def ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
@@ -132,17 +201,12 @@ def hash_index(codes: DataFrame, old: DataFrame | None = None) -> DataFrame:
     return codes.groupBy("code").agg(F.array_sort(F.collect_set("uid")).alias("uids"))
 
 
-def hamming_topn(codes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def hamming_topn(codes: DataFrame, queries: DataFrame, n: int, bits: int = hashing.BITS) -> DataFrame:
     """All uids of the n nearest distinct codes of each query (query_id, qcode), equal distances by code."""
-    distinct = codes.select("code").distinct()
-    d = F.bit_count(F.col("code").bitwiseXOR(F.col("qcode")))
-    w = Window.partitionBy("query_id").orderBy("distance", "code")
-
-    def nearest(some: DataFrame) -> DataFrame:
-        pairs = distinct.join(some).select("query_id", "code", d.alias("distance"))
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-    return _in_blocks(queries, nearest).join(codes, "code").select("query_id", "uid", "code", "distance", "rank")
+    codes = stored(codes.select("uid", "code"), "codes")
+    cut = hashing.parts(bits, codes.select("code").distinct().count())
+    index = stored(hashing.sub_codes(codes, cut), "sub-codes")
+    return hashing.nearest_codes(index, cut, queries, n).join(codes, "code").select("query_id", "uid", "code", "distance", "rank")
 
 
 def knn_lsh(vectors: DataFrame, codes: DataFrame, queries: DataFrame, query_codes: DataFrame, k: int, multiplier: int = 10) -> DataFrame:
@@ -237,30 +301,76 @@ def feedback_scores(ordered: DataFrame, most: int) -> DataFrame:
     return ordered.where(F.col("rank") <= most).withColumn("relevancy", F.when(n > 1, 1 - (F.col("rank") - 1) / (n - 1)).otherwise(1.0))
 
 
-def category_models(vectors: DataFrame, labels: list[str] | None = None, most_pos: int = 75, most_neg: int = 750) -> DataFrame:
-    """Linear one-against-rest weights per label, fitted to hashed samples; then again with the hardest negatives. A model per label.
+def top_rows(df: DataFrame, key: str, n: int, score: str) -> DataFrame:
+    """The n rows of each key with the largest scores, ties by uid: each task keeps n per key, what is left of all tasks is merged.
+
+    For few keys and small n: a task holds n rows of each key at most.
+    """
+    import pandas as pd
+
+    schema, columns = df.schema, df.columns
+
+    def cut(d: pd.DataFrame) -> pd.DataFrame:
+        return d.sort_values([score, "uid"], ascending=[False, True], kind="stable").groupby(key, sort=False).head(n)
+
+    def some(batches):
+        held = []
+        for b in batches:
+            held = [cut(pd.concat([*held, b]))]
+        yield from held
+
+    return df.mapInPandas(some, schema).groupBy(key).applyInPandas(lambda d: cut(d)[columns], schema)
+
+
+def category_models(vectors: DataFrame, labels: list[str] | None = None, most_pos: int = 75, most_neg: int = 750, neighbours_only: bool = False, rerank: bool = True, background: str = "background", distance: str = "euclidean") -> DataFrame:
+    """Linear one-against-rest weights of every label of (uid, label, vec), with hard negatives found in the whole table.
+
+    Positives: at most most_pos of a label, by hash. Their nearest neighbours among all vectors (most_neg / most_pos each, at
+    least 2) that have another label are the candidates. Of these the nearest to the positives' mean, half of most_neg,
+    fit a first model; its highest false scores among the candidates, again as many, are the hard negatives. They and as
+    many others by hash fit the model. neighbours_only: no others, and twice as many neighbours and hard negatives.
+    rerank: whether the first model chooses. Vectors count as unit vectors; no model is made for the background.
 
-    A label's sample is at most most_pos rows of its own and most_neg of others, those of the smallest hashes, so
-    each model is fitted in one group of bounded size; all labels in one job.
+    All labels go together: neighbours of all positives in blocks of queries over one scan each, and then a group of
+    bounded size per label.
     """
-    h = F.xxhash64("uid")
-    nearest = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "uid"))
-    own = vectors.select("label", "uid", "vec", h.alias("h")).withColumn("nth", nearest("label")).where(F.col("nth") <= max(most_pos, most_neg))
-    own = stored(own if labels is None else own.where(F.col("label").isin(labels)), "label-samples")
-    names = own.select(F.col("label").alias("model")).distinct()  # one row per label
-    others = own.where(F.col("nth") <= most_neg).join(names, F.col("label") != F.col("model")).withColumn("nth", nearest("model")).where(F.col("nth") <= most_neg)
-    sample = own.where(F.col("nth") <= most_pos).select(F.col("label").alias("model"), "uid", "vec", F.lit(1.0).alias("y")).unionByName(others.select("model", "uid", "vec", F.lit(-1.0).alias("y")))
+    hashed = F.xxhash64("uid").cast("double")
+    unit = F.transform("vec", lambda x: x.cast("double") / F.greatest(V.norm(F.col("vec")), F.lit(1e-300)))
+    rows = vectors.select(F.col("uid").cast("string").alias("uid"), F.col("label").cast("string").alias("label"), unit.alias("vec"), (-hashed).alias("h"))
+    rows = stored(rows.where("uid IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL"), "labelled")
+    mine = rows.where(F.col("label") != background)
+    mine = mine if labels is None else mine.where(F.col("label").isin(labels))
+    positives = stored(top_rows(mine, "label", most_pos, "h"), "positives")
+    seeds = max(2, most_neg // most_pos * (2 if neighbours_only else 1))
+    hard = most_neg if neighbours_only else most_neg // 2
+    near = knn(rows, positives.selectExpr("uid AS query_id", "vec AS qvec"), seeds, distance).select("query_id", "uid")
+    near = near.join(positives.selectExpr("uid AS query_id", "label AS model"), "query_id").select("model", "uid").distinct()
+    candidates = near.join(rows, "uid").where("label <> model").select("model", "uid", "vec", "h", F.lit(0).alias("kind"))
+    sample = positives.select(F.col("label").alias("model"), "uid", "vec", "h", F.lit(1).alias("kind")).unionByName(candidates)
+    if not neighbours_only:
+        # of all labels' rows the first by hash; a label finds most_neg that aren't its own among them, or all there are
+        first = top_rows(rows, "label", most_neg, "h")
+        names = positives.select(F.col("label").alias("model")).distinct()  # one row per label
+        sample = sample.unionByName(top_rows(first.join(names, F.col("label") != F.col("model")).select("model", "uid", "vec", "h", F.lit(2).alias("kind")), "model", most_neg, "h"))
 
     def fit(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("uid")
-        x, y = np.c_[np.stack(pdf.vec.to_numpy()).astype(float), np.ones(len(pdf))], pdf.y.to_numpy()
-        w = _squared_hinge(x, y)
-        neg = np.flatnonzero(y < 0)
-        hard = neg[np.argsort(-(x[neg] @ w), kind="stable")][: most_neg // 4]
-        again = np.concatenate([np.arange(len(y)), hard])
-        w = _squared_hinge(x[again], y[again])
+        pdf = pdf.sort_values("uid", kind="stable")
+        take = lambda d: np.c_[np.stack(d.vec.to_numpy()).astype(float), np.ones(len(d))] if len(d) else np.empty((0, dim))
+        dim = len(pdf.vec.iloc[0]) + 1
+        pos, cand, more = (pdf[pdf.kind == k] for k in (1, 0, 2))
+        x, c = take(pos), take(cand)
+        chosen = np.argsort(-(c @ np.r_[x[:, :-1].mean(0), 0.0]), kind="stable")[:hard] if len(x) else []
+        if rerank and len(chosen):
+            w = _squared_hinge(np.concatenate([x, c[chosen]]), np.r_[np.ones(len(x)), -np.ones(len(chosen))])
+            chosen = np.argsort(-(c @ w), kind="stable")[:hard]
+        taken = set(cand.uid.iloc[chosen])
+        more = more[~more.uid.isin(taken)].sort_values(["h", "uid"], ascending=[False, True], kind="stable").head(most_neg // 2)
+        negatives = np.concatenate([c[chosen], take(more)])
+        if not len(x) or not len(negatives):
+            return pd.DataFrame({"model": [], "bias": [], "weights": []})
+        w = _squared_hinge(np.concatenate([x, negatives]), np.r_[np.ones(len(x)), -np.ones(len(negatives))])
         return pd.DataFrame({"model": [str(pdf.model.iloc[0])], "bias": [float(w[-1])], "weights": [w[:-1].tolist()]})
 
     return sample.groupBy("model").applyInPandas(fit, "model string, bias double, weights array<double>")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import hashing
 from ..operators import search as op
 from ..registry import query
+from ..shared import shared_path
 from .views import view, with_views
 
 
@@ -53,14 +55,14 @@ def itq_hash(spark, sf):
     return _codes(spark, sf)
 
 
-#: Codes by sign of the first 16 components: these need no fit, so SQL can give them.
-_BITS = " + ".join(f"CASE WHEN vec[{i + 1}] > 0 THEN {1 << i} ELSE 0 END" for i in range(16))
+#: Codes by the sign of all 64 components: these need no fit, so SQL can give them.
+_BITS = " + ".join(f"CASE WHEN vec[{i + 1}] > 0 THEN {1 << i if i < 63 else -(1 << 63)} ELSE 0 END" for i in range(64))
 _CODES = f"(SELECT uid, ({_BITS})::BIGINT AS code FROM descriptors)"
 
 
 def _signs(spark, sf):
-    bits = sum((F.when(F.col("vec")[i] > 0, 1 << i).otherwise(0) for i in range(16)), F.lit(0))
-    return _v(spark, sf).select("uid", bits.cast("long").alias("code"))
+    code = F.expr("aggregate(transform(vec, (x, i) -> CASE WHEN x > 0 THEN shiftleft(1L, i) ELSE 0L END), 0L, (s, b) -> s | b)")
+    return _v(spark, sf).select("uid", code.alias("code"))
 
 
 @query("hash_index", with_views(f"SELECT code, string_agg(uid, ',' ORDER BY uid) AS uids FROM {_CODES} GROUP BY code"))
@@ -70,11 +72,27 @@ def hash_index(spark, sf):
     return op.hash_index(c, old).select("code", F.array_join("uids", ",").alias("uids"))
 
 
-@query("hamming_topn", with_views(f"SELECT query_id, uid, code, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, code) AS rank FROM (SELECT q.uid AS query_id, c.code, bit_count(xor(c.code, q.code)) AS distance FROM (SELECT DISTINCT code FROM {_CODES}) c, (SELECT * FROM {_CODES} WHERE uid::BIGINT % 100 = 0) q)) JOIN {_CODES} USING (code) WHERE rank <= 20"))
+_NEAR_CODES = with_views(f"WITH d AS MATERIALIZED {_CODES} SELECT query_id, uid, code, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, code) AS rank FROM (SELECT q.uid AS query_id, c.code, bit_count(xor(c.code, q.code)) AS distance FROM (SELECT DISTINCT code FROM d) c, (SELECT * FROM d WHERE uid::BIGINT % 100 = 0) q)) JOIN d USING (code) WHERE rank <= 20")
+
+
+def _code_queries(c):
+    return c.where("CAST(uid AS LONG) % 100 = 0").selectExpr("uid AS query_id", "code AS qcode")
+
+
+@query("hamming_topn", _NEAR_CODES)
 def hamming_topn(spark, sf):
     c = _signs(spark, sf)
-    q = c.where("CAST(uid AS LONG) % 100 = 0").selectExpr("uid AS query_id", "code AS qcode")
-    return op.hamming_topn(c, q, 20).select("query_id", "uid", "code", F.col("distance").cast("int").alias("distance"))
+    return op.hamming_topn(c, _code_queries(c), 20).select("query_id", "uid", "code", "distance")
+
+
+@query("hash_index_stored", _NEAR_CODES)
+def hash_index_stored(spark, sf):
+    """The same from a stored index, to which a half of the codes was added later, twice."""
+    c, path = _signs(spark, sf), shared_path(spark, "hash-index")
+    hashing.write_index(c.where("CAST(uid AS LONG) % 2 = 0"), path)
+    for _ in range(2):
+        hashing.add_to_index(c, path)
+    return hashing.search_index(spark, path, _code_queries(c), 20).select("query_id", "uid", "code", "distance")
 
 
 @query("knn_lsh")
