@@ -286,33 +286,104 @@ def mean_distribution(df: DataFrame, ignored: list[str] | None = None) -> DataFr
     return g.select("seq_id", "track_id", "cls", (0.1 + 0.9 * F.col("s") / F.col("w")).alias("score"))
 
 
-def fuse_tracks(df: DataFrame, least: float = 0.3, min_trackers: int = 2) -> DataFrame:
-    """Tracks of several trackers (model) with tube overlap become one: pairs and their overlap are joins; a sequence's pairs
-    are clustered greedily, at most one track of a tracker per frame; boxes are averaged by confidence frame by frame."""
-    key = df.withColumn("track_id", F.col("track_id") * 16 + F.col("model_no"))
-    pairs = m.tube_iou(key, key, 3).where("c_track_id < t_track_id AND c_track_id % 16 <> t_track_id % 16").where(F.col("mean_iou") >= least)
-    span = key.groupBy("seq_id", "track_id").agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"))
-    p = pairs.join(span.selectExpr("seq_id", "track_id AS c_track_id", "lo AS c_lo", "hi AS c_hi"), ["seq_id", "c_track_id"]).join(span.selectExpr("seq_id", "track_id AS t_track_id", "lo AS t_lo", "hi AS t_hi"), ["seq_id", "t_track_id"])
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        of, members = {}, {}
-        for r in pdf.sort_values(["mean_iou", "c_track_id", "t_track_id"], ascending=[False, True, True]).itertuples():
-            for t, lo, hi in ((r.c_track_id, r.c_lo, r.c_hi), (r.t_track_id, r.t_lo, r.t_hi)):
-                if t not in of:
-                    of[t], members[t] = t, [(t, lo, hi)]
-            a, b = of[r.c_track_id], of[r.t_track_id]
-            clash = any(x % 16 == y % 16 and l1 <= h2 and l2 <= h1 for x, l1, h1 in members[a] for y, l2, h2 in members[b])
-            if a != b and not clash:
-                a, b = min(a, b), max(a, b)
-                members[a] += members.pop(b)
-                of.update({t: a for t, _, _ in members[a]})
-        return pd.DataFrame([(pdf.seq_id.iloc[0], t, c) for t, c in of.items()], columns=["seq_id", "track_id", "fused"])
-
-    groups = p.groupBy("seq_id").applyInPandas(cluster, "seq_id long, track_id long, fused long")
-    n = groups.groupBy("seq_id", "fused").agg(F.countDistinct(F.col("track_id") % 16).alias("trackers")).where(F.col("trackers") >= min_trackers)
-    j = key.join(groups.join(n, ["seq_id", "fused"]), ["seq_id", "track_id"])
-    mean = [(F.sum(F.col(k) * F.col("conf")) / F.sum("conf")).alias(k) for k in box.names()]
-    return j.groupBy("seq_id", "frame_id", "fused").agg(*mean, F.avg("conf").alias("conf"), F.max("trackers").alias("trackers"))
+def cluster_tracks(df: DataFrame, least: float = 0.3, volume: bool = False, least_frames: int = 1) -> DataFrame:
+    """seq_id, model, track_id and cluster: tracks of several trackers that follow the same thing.
+
+    Trackers come one after the other, by name. The tracks of the first are clusters. Those of the next are compared with
+    the clusters' mean boxes by tube overlap; an assignment of least total cost gives each cluster at most one of them.
+    What is left, in order of its id, may join the cluster that it overlaps most if that has no track of its tracker in
+    the same frames, told by the frames themselves; else it is a cluster of its own. A cluster's boxes are means of its
+    boxes before and the boxes that join, frame by frame.
+
+    Each tracker is a round of joins over all sequences. Only the overlaps of one sequence's tracks meet in a task, as a
+    list of pairs without boxes, and the frames of those that have to be told apart.
+    """
+    rows = stored(df.select("seq_id", "model", "track_id", "frame_id", *box.names()), "tracks")
+    models = [r["model"] for r in rows.select("model").distinct().orderBy("model").collect()]  # one row per tracker
+    held, members = None, None
+    for model in models:
+        new = rows.where(F.col("model") == model).drop("model")
+        own = F.concat_ws(":", F.lit(str(model)), F.col("track_id").cast("string"))
+        if held is None:
+            held = stored(new.withColumn("cluster", own).drop("track_id"), "clusters")
+            members = new.select("seq_id", F.lit(model).alias("model"), "track_id", own.alias("cluster")).distinct()
+            continue
+        pairs = _tube_pairs(held, new, volume, least_frames).where("overlap > 0").withColumn("least", F.lit(least))
+        frames = new.groupBy("seq_id", "track_id").agg(F.sort_array(F.collect_set("frame_id")).alias("frames"))
+        pairs = pairs.join(frames, ["seq_id", "track_id"])
+        joined = stored(pairs.groupBy("seq_id").applyInPandas(_join_clusters, "seq_id long, track_id long, cluster string"), "joined")
+        now = stored(new.select("seq_id", "track_id").distinct().join(joined, ["seq_id", "track_id"], "left").withColumn("cluster", F.coalesce("cluster", own)), "members")
+        members = members.unionByName(now.withColumn("model", F.lit(model)))
+        # a cluster gets one box a frame at most, so the mean is that of what is there and what comes
+        come = new.join(now, ["seq_id", "track_id"]).drop("track_id")
+        merged = held.unionByName(come).groupBy("seq_id", "cluster", "frame_id").agg(*(F.avg(k).alias(k) for k in box.names()))
+        held = stored(merged, "clusters")
+    return members
+
+
+def _tube_pairs(held: DataFrame, new: DataFrame, volume: bool, least_frames: int) -> DataFrame:
+    """seq_id, cluster, track_id and overlap of clusters and tracks with common frames."""
+    named = lambda d, p: d.select("seq_id", "frame_id", *([c for c in ("cluster", "track_id") if c in d.columns]), *(F.col(k).alias(p + k) for k in box.names()))
+    j = named(held, "c_").join(named(new, "t_"), ["seq_id", "frame_id"]).withColumn("common", box.intersection("c_", "t_"))
+    g = j.groupBy("seq_id", "cluster", "track_id").agg(F.count("*").alias("n"), F.avg(box.iou("c_", "t_")).alias("overlap"), F.sum("common").alias("common")).where(F.col("n") >= least_frames)
+    if not volume:
+        return g.select("seq_id", "cluster", "track_id", "overlap")
+    size = lambda d, k: d.groupBy("seq_id", k).agg(F.sum(box.area()).alias(f"{k}_size"))
+    g = g.join(size(held, "cluster"), ["seq_id", "cluster"]).join(size(new, "track_id"), ["seq_id", "track_id"])
+    return g.select("seq_id", "cluster", "track_id", (F.col("common") / (F.col("cluster_size") + F.col("track_id_size") - F.col("common"))).alias("overlap"))
+
+
+def _join_clusters(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which tracks of one tracker join which clusters of a sequence."""
+    least = pdf.least.iloc[0]
+    pdf = pdf.sort_values(["track_id", "cluster"])
+    clusters, tracks = sorted(pdf.cluster.unique()), sorted(pdf.track_id.unique())
+    row, col = {c: i for i, c in enumerate(clusters)}, {t: i for i, t in enumerate(tracks)}
+    edges: dict[int, list] = {}
+    for c, t, o in zip(pdf.cluster.map(row), pdf.track_id.map(col), pdf.overlap, strict=True):
+        edges.setdefault(t, []).append((o, c))
+    over = {(c, t): o for t, es in edges.items() for o, c in es}
+    of = [(c, t) for c, t in m.assign_sparse([(c, t, 1 - o) for (c, t), o in over.items()]) if over[c, t] >= least]
+    mine: dict[int, list] = {}
+    frames = {col[t]: set(f) for t, f in zip(pdf.track_id, pdf.frames, strict=True)}
+    to = {}
+    for c, t in of:
+        to[t] = c
+        mine.setdefault(c, []).append(frames[t])
+    for t in range(len(tracks)):
+        if t in to:
+            continue
+        best = None
+        for o, c in edges[t]:
+            if o >= (best[0] if best else least) and not any(frames[t] & f for f in mine.get(c, [])):
+                best = (o, c)
+        if best is not None:
+            to[t] = best[1]
+            mine.setdefault(best[1], []).append(frames[t])
+    return pd.DataFrame([(pdf.seq_id.iloc[0], tracks[t], clusters[c]) for t, c in to.items()], columns=["seq_id", "track_id", "cluster"])
+
+
+def fuse_tracks(df: DataFrame, least: float = 0.3, min_trackers: int = 2, weights: dict[str, float] | None = None, volume: bool = False, least_frames: int = 1) -> DataFrame:
+    """Tracks of several trackers (model) that follow the same thing become one: seq_id, fused, frame_id, box, conf, scores and trackers.
+
+    Boxes are means weighted by the tracker's weight (1 if not given) and confidence, the confidence is the mean by
+    tracker's weight, and classes are mixed in the same way as boxes and scaled so that the best has the confidence. Classes
+    come from scores, a map, or from cls and conf.
+    """
+    names = cluster_tracks(df, least, volume, least_frames)
+    n = names.groupBy("seq_id", "cluster").agg(F.countDistinct("model").alias("trackers")).where(F.col("trackers") >= min_trackers)
+    weight = F.coalesce(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("model")], F.lit(1.0)) if weights else F.lit(1.0)
+    own = F.col("scores") if "scores" in df.columns else F.create_map(F.col("cls"), F.col("conf"))
+    j = df.withColumn("own", own).join(names.join(n, ["seq_id", "cluster"]), ["seq_id", "model", "track_id"]).withColumn("w", weight.cast("double"))
+    j = j.withColumn("wc", F.col("w") * F.greatest("conf", F.lit(1e-6)))
+    key = ["seq_id", "cluster", "frame_id"]
+    mean = [(F.sum(F.col(k) * F.col("wc")) / F.sum("wc")).alias(k) for k in box.names()]
+    fused = j.groupBy(*key).agg(*mean, (F.sum(F.col("w") * F.col("conf")) / F.sum("w")).alias("conf"), F.max("trackers").alias("trackers"))
+    mixed = j.select(*key, "wc", F.explode("own").alias("name", "p")).groupBy(*key, "name").agg(F.sum(F.col("wc") * F.col("p")).alias("p"))
+    mixed = mixed.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "p")))).alias("mix"), F.max("p").alias("top"))
+    out = fused.join(mixed, key, "left")
+    scores = F.when(F.col("top") > 0, F.transform_values("mix", lambda _, p: p * F.col("conf") / F.col("top")))
+    return out.select("seq_id", F.col("cluster").alias("fused"), "frame_id", *box.names(), "conf", scores.alias("scores"), "trackers")
 
 
 def agreement(expr: Column) -> Column:

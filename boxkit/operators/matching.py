@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,18 +127,69 @@ def assignment(cost) -> list[tuple[int, int]]:
     return [(j, i) for i, j in out] if turned else out
 
 
+def assign_sparse(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """The one-to-one choice of pairs (row, column, cost below 1) of the least total cost, where a row without a pair costs 1.
+
+    Rows come one after the other, each along the shortest path of changes to a free column or to none, with prices that
+    keep costs from being negative. Only the given pairs are held, and a path explores no further than it has to, so a
+    row costs about as much as the block of overlapping pairs around it, and blocks that don't touch never meet.
+    """
+    import heapq
+
+    edges: dict[int, list[tuple[int, float]]] = {}
+    for r, c, cost in pairs:
+        edges.setdefault(r, []).append((c, cost))
+    price: dict = {}  # of columns; a row's own way to stay alone is the column (row,)
+    holder: dict = {}
+    column: dict[int, object] = {}
+    worth: dict[int, float] = {}
+    for r in edges:
+        edges[r].append(((r,), 1.0))
+        worth[r] = min(cost - price.get(c, 0.0) for c, cost in edges[r])
+    for start in edges:
+        far, back, done, heap = {}, {}, {}, []
+        row, at = start, 0.0
+        count = 0
+        while True:
+            for c, cost in edges[row]:
+                if c in done:
+                    continue
+                d = at + cost - price.get(c, 0.0) - worth[row]
+                if d < far.get(c, np.inf):
+                    far[c], back[c] = d, row
+                    count += 1
+                    heapq.heappush(heap, (d, count, c))
+            while True:
+                at, _, c = heapq.heappop(heap)
+                if c not in done and at <= far[c]:
+                    break
+            done[c] = at
+            if c not in holder:
+                break
+            row = holder[c]
+        worth[start] += at
+        for k, d in done.items():
+            if k in holder and k != c:
+                worth[holder[k]] += at - d
+                price[k] = price.get(k, 0.0) - (at - d)
+        while True:
+            row = back[c]
+            before = column.get(row)
+            holder[c], column[row] = row, c
+            if row == start:
+                break
+            c = before
+    return sorted((r, c) for r, c in column.items() if not isinstance(c, tuple))
+
+
 def match_optimal(computed: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """One-to-one matches of the least sum of 1 - overlap; a group is the overlapping pairs of a frame."""
+    """One-to-one matches of the least sum of 1 - overlap. A group is the list of overlapping pairs of a frame, no matrix."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, t = sorted(pdf.c_det_id.unique()), sorted(pdf.t_det_id.unique())
-        import numpy as np
-
-        cost = np.ones((len(c), len(t)))
-        ci, ti = {x: i for i, x in enumerate(c)}, {x: i for i, x in enumerate(t)}
-        for r in pdf.itertuples():
-            cost[ci[r.c_det_id], ti[r.t_det_id]] = 1 - r.iou
-        rows = [(pdf.seq_id.iloc[0], pdf.frame_id.iloc[0], c[i], t[j], 1 - cost[i, j]) for i, j in assignment(cost) if 1 - cost[i, j] >= least]
+        pdf = pdf.sort_values(["c_det_id", "t_det_id"])
+        over = {(c, t): o for c, t, o in zip(pdf.c_det_id.tolist(), pdf.t_det_id.tolist(), pdf.iou.tolist(), strict=True)}
+        chosen = assign_sparse([(c, t, 1 - o) for (c, t), o in over.items()])
+        rows = [(pdf.seq_id.iloc[0], pdf.frame_id.iloc[0], c, t, over[c, t]) for c, t in chosen if over[c, t] >= least]
         return pd.DataFrame(rows, columns=["seq_id", "frame_id", "c_id", "t_id", "iou"])
 
     pairs = iou_join(computed, truth, 0.0).select(*FRAME, "c_det_id", "t_det_id", "iou")

@@ -140,7 +140,7 @@ def fusion_sweep(spark, sf):
 
 @query("fuse_tracks")
 def fuse_tracks(spark, sf):
-    return op.fuse_tracks(_m(spark, sf))
+    return op.fuse_tracks(_m(spark, sf), weights={"m0": 2.0}, least_frames=3).withColumn("scores", F.array_join(F.transform(F.map_entries("scores"), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"], 6).cast("string"))), ","))
 
 
 @query("avg_classification", with_views("WITH e AS (SELECT seq_id, track_id, conf, cls, conf AS s FROM computed UNION ALL SELECT seq_id, track_id, conf, 'other', (1 - conf) / 2 FROM computed), t AS (SELECT seq_id, track_id, sum(conf) AS w FROM computed GROUP BY ALL) SELECT seq_id, track_id, cls, round(0.1 + 0.9 * sum(s * conf) / any_value(w), 6) AS score FROM e JOIN t USING (seq_id, track_id) GROUP BY seq_id, track_id, cls"))

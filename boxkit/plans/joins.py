@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import footprints
 from ..operators import matching as op
 from ..operators import survey
 from ..operators.components import components
@@ -98,16 +99,67 @@ def coverage_reinforce(spark, sf):
 _PRIOR = "EXISTS (SELECT 1 FROM (SELECT seq_id, x1, y1, x2, y2, min(frame_id) AS frame_id FROM regions GROUP BY ALL) p WHERE p.seq_id = c.seq_id AND p.frame_id < c.frame_id AND (c.x1 + c.x2) / 2 BETWEEN p.x1 AND p.x2 AND (c.y1 + c.y2) / 2 BETWEEN p.y1 AND p.y2)"
 
 
-@query("suppress_prior_frame", with_views(f"SELECT det_id FROM computed c WHERE NOT {_PRIOR}"))
-def suppress_prior_frame(spark, sf):
+@query("suppress_prior_boxes", with_views(f"SELECT det_id FROM computed c WHERE NOT {_PRIOR}"))
+def suppress_prior_boxes(spark, sf):
     return op.suppress_prior(view(spark, sf, "computed"), view(spark, sf, "regions")).select("det_id")
 
 
-@query("boundary_cutoff", with_views(f"SELECT DISTINCT c.det_id FROM computed c JOIN regions t ON c.seq_id = t.seq_id AND c.frame_id = t.frame_id WHERE (c.x1 <= 40 OR c.y1 <= 40 OR c.x2 >= 1880 OR c.y2 >= 1040) AND {INTER} > 0"))
-def boundary_cutoff(spark, sf):
+@query("boundary_cutoff_boxes", with_views(f"SELECT DISTINCT c.det_id FROM computed c JOIN regions t ON c.seq_id = t.seq_id AND c.frame_id = t.frame_id WHERE (c.x1 <= 40 OR c.y1 <= 40 OR c.x2 >= 1880 OR c.y2 >= 1040) AND {INTER} > 0"))
+def boundary_cutoff_boxes(spark, sf):
     return op.boundary_cutoff(view(spark, sf, "computed"), view(spark, sf, "regions").withColumn("det_id", F.lit(0)), 1920, 1080, 40).where("cut_off").select("det_id")
 
 
+def _views_of_two(spark, sf, name):
+    """Boxes of two cameras: odd sequences are the second camera of the even ones before them."""
+    return view(spark, sf, name).withColumn("camera", F.col("seq_id") % 2).withColumn("seq_id", F.expr("seq_id DIV 2"))
+
+
+#: Homographies to a reference that changes every ten frames: the cameras move on, with a little perspective.
+_H = {"h0": "1", "h1": "0.02", "h2": "180 * (frame_id % 10)", "h3": "0.01 * (frame_id % 3)", "h4": "1", "h5": "7 * (frame_id % 10) + 60 * camera", "h6": "0.00001 * camera", "h7": "0", "h8": "1"}
+
+
+def _frames_of_two(spark, sf):
+    f = _views_of_two(spark, sf, "truth").select("seq_id", "camera", "frame_id").distinct()
+    h = F.array(*(F.expr(v).cast("double") for v in _H.values()))
+    name = F.concat_ws("_", F.lit("img"), F.col("frame_id"), F.col("camera"))
+    return f.select("*", F.expr("frame_id DIV 10").alias("reference"), h.alias("h"), F.lit(300.0).alias("width"), F.lit(200.0).alias("height"), name.alias("name"))
+
+
+_TWO = f"""WITH fr AS MATERIALIZED (SELECT *, {", ".join(f"({v})::DOUBLE AS {k}" for k, v in _H.items())}, frame_id // 10 AS reference FROM (SELECT DISTINCT seq_id // 2 AS seq_id, seq_id % 2 AS camera, frame_id FROM truth)),
+iv AS MATERIALIZED (SELECT seq_id, camera, frame_id, reference, h4 * h8 - h5 * h7 AS a0, h2 * h7 - h1 * h8 AS a1, h1 * h5 - h2 * h4 AS a2, h5 * h6 - h3 * h8 AS a3, h0 * h8 - h2 * h6 AS a4, h2 * h3 - h0 * h5 AS a5, h3 * h7 - h4 * h6 AS a6, h1 * h6 - h0 * h7 AS a7, h0 * h4 - h1 * h3 AS a8 FROM fr),
+bx AS MATERIALIZED (SELECT c.seq_id // 2 AS seq_id, c.seq_id % 2 AS camera, c.frame_id, det_id, x1, y1, x2, y2 FROM computed c), """
+_REF = lambda x, y: f"(h0 * {x} + h1 * {y} + h2) / (h6 * {x} + h7 * {y} + h8) AS px, (h3 * {x} + h4 * {y} + h5) / (h6 * {x} + h7 * {y} + h8) AS py"
+_BACK = ("(a0 * px + a1 * py + a2) / (a6 * px + a7 * py + a8)", "(a3 * px + a4 * py + a5) / (a6 * px + a7 * py + a8)")
+_IN = f"{_BACK[0]} >= 0 AND {_BACK[0]} < 300 AND {_BACK[1]} >= 0 AND {_BACK[1]} < 200"
+_CENTRE = f"p AS (SELECT bx.*, reference, {_REF('((x1 + x2) / 2)', '((y1 + y2) / 2)')} FROM bx JOIN fr USING (seq_id, camera, frame_id))"
+
+
+def _suppressed(related: str) -> str:
+    return with_views(f"{_TWO}{_CENTRE} SELECT det_id FROM bx WHERE det_id NOT IN (SELECT det_id FROM p JOIN iv o ON o.seq_id = p.seq_id AND o.reference = p.reference WHERE ({related} OR (o.frame_id = p.frame_id AND p.camera = 0 AND o.camera = 1 AND EXISTS (SELECT 1 FROM fr WHERE fr.seq_id = p.seq_id AND fr.frame_id = p.frame_id AND fr.camera = 1))) AND {_IN})")
+
+
+@query("suppress_prior_frame", _suppressed("o.frame_id < p.frame_id"))
+def suppress_prior_frame(spark, sf):
+    """Boxes of two cameras that an earlier frame of either shows already."""
+    return footprints.suppress(_views_of_two(spark, sf, "computed"), _frames_of_two(spark, sf)).select("det_id")
+
+
+@query("suppress_neighbour_frame", _suppressed("o.frame_id = (SELECT max(frame_id) FROM fr WHERE fr.seq_id = p.seq_id AND fr.frame_id < p.frame_id)"))
+def suppress_neighbour_frame(spark, sf):
+    """The same by the frame before only."""
+    return footprints.suppress(_views_of_two(spark, sf, "computed"), _frames_of_two(spark, sf), "neighbours").select("det_id")
+
+
+@query("boundary_cutoff", with_views(f"""{_TWO}k AS (SELECT det_id, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y, seq_id, camera, frame_id FROM bx), p AS (SELECT k.*, reference, {_REF('x', 'y')} FROM k JOIN fr USING (seq_id, camera, frame_id)),
+m AS (SELECT p.*, o.frame_id AS f, o.camera AS c, {_BACK[0]} AS qx, {_BACK[1]} AS qy FROM p JOIN iv o ON o.seq_id = p.seq_id AND o.reference = p.reference AND (o.frame_id < p.frame_id OR (o.frame_id = p.frame_id AND o.camera <> p.camera))),
+g AS (SELECT det_id, f, c, bool_or((x <= 30 OR y <= 30 OR x >= 269 OR y >= 169) AND qx >= 0 AND qx < 300 AND qy >= 0 AND qy < 200) AS hit, bool_or(x <= 30 OR y <= 30 OR x >= 269 OR y >= 169) AS near, least(min(qx), min(qy), 299 - max(qx), 199 - max(qy)) AS depth FROM m GROUP BY ALL)
+SELECT det_id, CASE WHEN max(depth) > 30 THEN 'img_' || arg_max(f, (depth, -f, -c)) || '_' || arg_max(c, (depth, -f, -c)) END AS best_view FROM g WHERE near GROUP BY det_id HAVING bool_or(hit)"""))
+def boundary_cutoff(spark, sf):
+    """Boxes cut by the border of their image where another frame shows it, and the frame that shows them best."""
+    c = _views_of_two(spark, sf, "computed")
+    return footprints.boundary_cutoff(c, _frames_of_two(spark, sf), 30.0).where("cut_off").select("det_id", "best_view")
+
+
 @query("stereo_match_iou")
 def stereo_match_iou(spark, sf):
     return op.match_greedy(*_both(spark, sf), 0.3, ["seq_id", "frame_id", "cls"])
