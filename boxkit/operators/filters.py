@@ -123,16 +123,55 @@ def notes_to_attrs(notes: Column | str) -> Column:
     return F.transform(keep, lambda n: F.concat(F.lit("(atr) "), F.regexp_extract(n, r"^:([^=]+)=(.*)$", 1), F.lit(" "), F.regexp_extract(n, r"^:([^=]+)=(.*)$", 2)))
 
 
-def ts_from_filename(name: Column | str) -> Column:
-    """A timestamp from the usual spellings in file names, by the first that fits."""
-    c = F.col(name) if isinstance(name, str) else name
-    day_time = F.regexp_extract(c, r"(\d{4})(\d{2})(\d{2})[_.\-T](\d{2})(\d{2})(\d{2})", 0)
-    dashed = F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})[ _T](\d{2})[-:.](\d{2})[-:.](\d{2})", 0)
-    day = F.regexp_extract(c, r"(?<!\d)((?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))(?!\d)", 1)
-    one = F.try_to_timestamp(F.regexp_replace(day_time, r"[^0-9]", ""), F.lit("yyyyMMddHHmmss"))
-    two = F.try_to_timestamp(F.regexp_replace(dashed, r"[^0-9]", ""), F.lit("yyyyMMddHHmmss"))
-    three = F.try_to_timestamp(day, F.lit("yyyyMMdd"))
-    return F.coalesce(*(F.when(F.length(t) > 0, x) for t, x in ((day_time, one), (dashed, two), (day, three))))
+#: Spellings of a time in a file's name, tried in order: a pattern with year, month, day, hour, minute, second and fraction. Fixed formats.
+NAME_TIMES = {
+    "flight": r"^CHESS_[^_]*_[^_]*_(\d\d)(\d\d)(\d\d)[^_]*_(\d\d)(\d\d)(\d\d).(\d{3})[^_]*",
+    "zone": r"^CHESS[^_]+(?:_[^_]*){2}_[^_]*_(?:_)?(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).(\d{3})GMT",
+    "fraction": r"^(?=[^_]*_[^_]*_)(?:[^_]*_)*?(2\d{3})(\d\d)(\d\d)_(\d\d)(\d\d)(\d\d)\.([^_]{3,})",
+    "dots": r"^(\d{4})(\d\d)(\d\d)\.(\d\d)(\d\d)(\d\d)\.(\d{1,3})[^.]*\.",
+    "counted": r"^[^.]*\.[^.]*\.(\d{4})(\d\d)(\d\d)\.(\d\d)(\d\d)(\d\d)\.(\d{1,3})[^.]*\.[^.]*\.",
+    "camera": r"^[^.]{6}\.(\d{4})(\d\d)(\d\d)\.(\d\d)(\d\d)(\d\d)(\d{3})[^.]*\.",
+}
+
+
+def ts_from_filename(name: Column | str, discover: bool = True) -> Column:
+    """The time that a file's name tells (its path may stand before it), in UTC; null if there is none.
+
+    discover: where none of the known spellings fits, a number of eight digits is the day, one of six the time of day, and the
+    digits after both the fraction; without a number of eight digits the last nine digits are microseconds.
+    """
+    path = F.col(name) if isinstance(name, str) else name
+    base = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    whole = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+
+    def at(y, mo, d, h, mi, s, micros):
+        t = F.try_make_timestamp(whole(y), whole(mo), whole(d), whole(h), whole(mi), whole(s).cast("decimal(8,6)"), F.lit("UTC"))
+        return F.timestamp_micros(F.unix_micros(t) + micros)
+
+    found = []
+    for kind, pattern in NAME_TIMES.items():
+        g = [F.regexp_extract(base, pattern, i) for i in range(1, 8)]
+        micros = whole(g[6]) * 1000
+        if kind == "flight":
+            g[0] = F.concat(F.lit("20"), g[0])
+        elif kind == "fraction":  # of a longer part six characters are microseconds, as far as they are digits
+            micros = F.when(F.length(g[6]) < 5, whole(F.substring(g[6], 1, 3)) * 1000).otherwise(whole(F.regexp_extract(F.substring(g[6], 1, 6), r"^\d*", 0)))
+        found.append(F.when(base.rlike(pattern), at(*g[:6], micros)))
+    if discover:
+        digits = F.regexp_extract_all(path, F.lit(r"(\d+)"), F.lit(1))
+        size = F.transform(digits, lambda x: F.length(x))
+        day, clock = F.array_position(size, F.lit(8)).cast("int") - 1, F.array_position(size, F.lit(6)).cast("int") - 1
+        rest = F.array_join(F.filter(digits, lambda _, i: (i != day) & (i != clock)), "")
+        after = F.when((day >= 0) & (clock >= 0), F.array_join(F.filter(digits, lambda _, i: i > F.greatest(day, clock)), "")).otherwise("")
+        d, c = F.get(digits, day), F.get(digits, clock)
+        year = whole(F.substring(d, 1, 4)) + F.when(F.substring(d, 1, 1) == "2", 0).otherwise(1900)
+        part = lambda x, i, n=2: F.substring(x, i, n)
+        micros = F.when(F.length(after) >= 3, whole(part(after, 1, 3)) * 1000).otherwise(whole(rest))
+        midnight = F.lit("0")
+        known = F.when(clock >= 0, at(year, part(d, 5), part(d, 7), part(c, 1), part(c, 3), part(c, 5), micros)).otherwise(at(year, part(d, 5), part(d, 7), midnight, midnight, midnight, whole(rest)))
+        every = F.array_join(digits, "")
+        found.append(F.when(day >= 0, known).when(F.length(every) > 0, F.timestamp_micros(F.substring(every, -9, 9).try_cast("long"))))
+    return F.when(F.length(path) > 10, F.coalesce(*found))
 
 
 def head_tail_box(head: tuple[Column, Column], tail: tuple[Column, Column], scale: float = 1.0) -> list[Column]:

@@ -130,13 +130,14 @@ def _tried(df: DataFrame, truth: DataFrame, models: list[str], candidates: list[
     return [got[i] for i in range(len(candidates))]
 
 
-def _clusters(df: DataFrame, iou: float | str, keys: list[str], *extra: str) -> DataFrame:
+def _clusters(df: DataFrame, iou: float | str, keys: list[str], *extra: str, first: bool = False) -> DataFrame:
     """keys, cluster number and member: boxes by falling confidence join the cluster whose first box they overlap most, above iou.
 
-    iou: a number, or the name of a key that holds it.
+    iou: a number, or the name of a key that holds it. first: they join the first such cluster, so the best box takes all
+    that overlap it, then the best of the rest.
     """
     over = _sql(IOU, "c.m[0]", "x")
-    best = f"aggregate(sequence(0, size(acc) - 1), named_struct('i', -1, 'v', {iou if isinstance(iou, str) else f'{iou}D'}), (r, i) -> element_at(transform(slice(acc, i + 1, 1), c -> IF({over} > r.v, named_struct('i', i, 'v', {over}), r)), 1))"
+    best = f"aggregate(sequence(0, size(acc) - 1), named_struct('i', -1, 'v', {iou if isinstance(iou, str) else f'{iou}D'}), (r, i) -> element_at(transform(slice(acc, i + 1, 1), c -> IF({over} > r.v{' AND r.i < 0' if first else ''}, named_struct('i', i, 'v', {over}), r)), 1))"
     put = "transform(acc, (c, i) -> IF(i = hit.i, named_struct('m', concat(c.m, array(x))), c))"
     step = f"element_at(transform(array({best}), hit -> IF(hit.i < 0, concat(acc, array(named_struct('m', array(x)))), {put})), 1)"
     fold = f"aggregate(slice(b, 2, size(b)), array(named_struct('m', slice(b, 1, 1))), (acc, x) -> {step})"
@@ -165,21 +166,48 @@ def fuse_nmw(df: DataFrame, iou: float) -> DataFrame:
     return c.groupBy(*FRAME, "cls", "cluster").agg(F.min_by("id", F.struct(-F.col("conf"), "id")).alias("det_id"), *mean, F.max("conf").alias("conf")).drop("cluster")
 
 
-def fuse_proben(df: DataFrame, iou: float, classes: list[str]) -> DataFrame:
-    """Clusters over classes; their distributions (the class's score, the rest shared by the others and background) multiplied and scaled to one."""
-    c = _clusters(df, iou, FRAME)
-    k = len(classes)
+def _running_clusters(df: DataFrame, iou: float, keys: list[str], *extra: str) -> DataFrame:
+    """keys, cluster number, its box (m_x1 to m_y2) and member: boxes by falling confidence join the cluster whose mean box they overlap most, above iou.
+
+    The mean is that of the members so far, weighted by their column w.
+    """
+    over, names = _sql(IOU, "c", "x"), box.names()
+    best = f"aggregate(sequence(0, size(acc) - 1), named_struct('i', -1, 'v', {iou}D), (r, i) -> element_at(transform(slice(acc, i + 1, 1), c -> IF({over} > r.v, named_struct('i', i, 'v', {over}), r)), 1))"
+    own = lambda x: ", ".join(f"'{k}', {x}.{k}" for k in names)
+    fresh = lambda x: f"named_struct({own(x)}, 'w', {x}.w, 'm', array({x}))"
+    means = ", ".join(f"'{k}', (c.{k} * c.w + x.{k} * x.w) / (c.w + x.w)" for k in names)
+    grown = f"named_struct({means}, 'w', c.w + x.w, 'm', concat(c.m, array(x)))"
+    step = f"element_at(transform(array({best}), hit -> IF(hit.i < 0, concat(acc, array({fresh('x')})), transform(acc, (c, i) -> IF(i = hit.i, {grown}, c)))), 1)"
+    fold = f"aggregate(slice(b, 2, size(b)), array({fresh('b[0]')}), (acc, x) -> {step})"
+    rest = [k for k in keys if k != "cls"]  # members have their class
+    c = _ranked(df, keys, *extra).selectExpr(*keys, f"posexplode({fold}) AS (cluster, c)")
+    return c.selectExpr(*rest, "cluster", *(f"c.{k} AS m_{k}" for k in names), "inline(c.m)").drop("k")
+
+
+def fuse_proben(df: DataFrame, iou: float, classes: list[str], weights: dict[str, float] | None = None, skip: float = 0.0) -> DataFrame:
+    """Clusters of one class around running mean boxes, whose distributions are multiplied, with the models' weights as exponents.
+
+    Distributions come from scores, a map, or from cls and conf; what they leave of 1 is background. A fused box has the
+    mean box by score and weight, the best class but background and its probability, the distribution and how many boxes
+    it comes from. Boxes below skip don't count.
+    """
+    own = F.col("scores") if "scores" in df.columns else F.create_map(F.col("cls"), F.col("conf"))
+    power = F.coalesce(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("model")], F.lit(1.0)) if weights else F.lit(1.0)
+    d = df.withColumn("own", own).withColumn("power", power.cast("double")).where(F.col("conf") >= skip).withColumn("w", F.col("conf") * F.col("power"))
     every = [*classes, "background"]
-    # the background takes half of what the class leaves, the other classes the rest
-    p = lambda name: F.when(F.col("cls") == name, F.col("conf")).otherwise((1 - F.col("conf")) / 2 if name == "background" else (1 - F.col("conf")) / (2 * max(1, k - 1)))
-    logs = [F.sum(F.log(F.greatest(p(x), F.lit(1e-9)))).alias(f"l_{i}") for i, x in enumerate(every)]
-    mean = [(F.sum(F.col(b) * F.col("conf")) / F.sum("conf")).alias(b) for b in box.names()]
-    g = c.groupBy(*FRAME, "cluster").agg(F.min("id").alias("det_id"), *mean, *logs, F.count("*").alias("n"))
-    top = F.greatest(*(F.col(f"l_{i}") for i in range(k + 1)))
-    g = g.withColumn("_t", top).withColumn("_s", sum((F.exp(F.col(f"l_{i}") - F.col("_t")) for i in range(k + 1)), F.lit(0.0)))
-    dist = F.map_from_arrays(F.array(*(F.lit(x) for x in every)), F.array(*(F.exp(F.col(f"l_{i}") - F.col("_t")) / F.col("_s") for i in range(k + 1))))
-    best = F.array_max(F.array(*(F.struct((F.exp(F.col(f"l_{i}") - F.col("_t")) / F.col("_s")).alias("p"), F.lit(x).alias("c")) for i, x in enumerate(classes))))
-    return g.withColumn("scores", dist).withColumn("cls", best["c"]).withColumn("conf", best["p"]).select(*FRAME, "det_id", *box.names(), "cls", "conf", "scores", "n")
+    p = lambda name: F.coalesce(F.col("own")[name], F.lit(0.0))
+    left = F.greatest(F.lit(0.0), 1 - F.aggregate(F.map_values("own"), F.lit(0.0), lambda s, x: s + x))
+    logs = [F.col("power") * F.log(F.least(F.lit(1.0), F.greatest(F.lit(1e-8), p(x) + left if x == "background" else p(x)))) for x in every]
+    names = [f"l_{i}" for i in range(len(every))]
+    d = d.withColumns(dict(zip(names, logs, strict=True)))
+    c = _running_clusters(d, iou, [*FRAME, "cls"], "model", "w", *names)
+    g = c.groupBy(*FRAME, "cls", "cluster", *(f"m_{k}" for k in box.names())).agg(F.min("id").alias("det_id"), *(F.sum(x).alias(x) for x in names), F.count("*").alias("n"))
+    g = g.withColumn("_t", F.greatest(*names)).withColumn("_e", F.array(*(F.exp(F.col(x) - F.col("_t")) for x in names)))
+    g = g.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)).withColumn("_q", F.transform("_e", lambda x: x / F.col("_s")))
+    top = F.array_max(F.slice("_q", 1, len(classes)))
+    labels = F.array(*(F.lit(x) for x in every))
+    g = g.withColumn("conf", top).withColumn("best", F.get(labels, F.array_position("_q", F.col("conf")).cast("int") - 1))
+    return g.select(*FRAME, "det_id", *(F.col(f"m_{k}").alias(k) for k in box.names()), F.col("best").alias("cls"), "conf", F.map_from_arrays(labels, F.col("_q")).alias("scores"), "n")
 
 
 def contributors(fused: DataFrame, inputs: DataFrame, same_class: bool = True) -> DataFrame:
@@ -206,8 +234,8 @@ def box_anchor(fused: DataFrame, inputs: DataFrame, model: str, iou: float) -> D
 
 
 def cross_class(df: DataFrame, iou: float) -> DataFrame:
-    """Clusters whatever the class: weighted box, the best score of each class, whether all agree."""
-    c = _clusters(df, iou, FRAME)
+    """Clusters whatever the class, each the best box left and all that overlap it: weighted box, the best score of each class, whether all agree."""
+    c = _clusters(df, iou, FRAME, first=True)
     mean = [(F.sum(F.col(k) * F.col("conf")) / F.sum("conf")).alias(k) for k in box.names()]
     per = c.groupBy(*FRAME, "cluster", "cls").agg(F.max("conf").alias("s"))
     dist = per.groupBy(*FRAME, "cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cls", "s")))).alias("scores"), F.max_by("cls", F.struct("s", "cls")).alias("cls"), (F.count("*") == 1).alias("agree"))
@@ -277,13 +305,25 @@ def rescore_apply(features: DataFrame, columns: list[str], weights: list[float])
     return features.withColumn("score", 1 / (1 + F.exp(-z)))
 
 
-def mean_distribution(df: DataFrame, ignored: list[str] | None = None) -> DataFrame:
-    """Per track the mean class distribution, weighted by confidence and scaled to 0.1 + 0.9 mean; scores: map."""
-    e = df.select("seq_id", "track_id", "conf", F.explode("scores").alias("cls", "s"))
-    e = e.where(~F.col("cls").isin(ignored)) if ignored else e
-    total = df.groupBy("seq_id", "track_id").agg(F.sum("conf").alias("w"))
-    g = e.groupBy("seq_id", "track_id", "cls").agg(F.sum(F.col("s") * F.col("conf")).alias("s")).join(total, ["seq_id", "track_id"])
-    return g.select("seq_id", "track_id", "cls", (0.1 + 0.9 * F.col("s") / F.col("w")).alias("score"))
+def mean_distribution(df: DataFrame, ignored: str | None = None, weighted: bool = True, scaled: bool = True) -> DataFrame:
+    """Per track the mean class distribution of its boxes (scores: map): weighted by confidence, times 0.1 + 0.9 mean confidence.
+
+    A box of the ignored class alone counts for that class only, and the class has no part in mixed ones. Where a track has
+    others, the means are over these and the class is left out; a track of such boxes only has the class itself. Boxes
+    without scores don't count.
+    """
+    d = df.where("scores IS NOT NULL AND size(scores) > 0").withColumn("w", F.col("conf") if weighted else F.lit(1.0))
+    lone = (F.size("scores") == 1) & F.array_contains(F.map_keys("scores"), ignored) if ignored else F.lit(False)
+    d = d.withColumn("lone", lone)
+    key, none = ["seq_id", "track_id"], F.lit(0.0)
+    t = d.groupBy(*key).agg(F.avg("conf").alias("mean"), F.sum("w").alias("mass"), F.coalesce(F.sum(F.when(F.col("lone"), F.col("w"))), none).alias("lone_mass"), F.coalesce(F.sum(F.when(~F.col("lone"), F.col("w"))), none).alias("rest"))
+    only = (F.col("lone_mass") > 0) & (F.col("rest") <= 0)
+    by = F.when((F.col("lone_mass") == 0) & (F.col("mass") > 0), F.col("mass")).when((F.col("lone_mass") > 0) & (F.col("rest") > 0), F.col("rest")).when(only, F.col("lone_mass")).otherwise(1.0)
+    factor = (0.1 + 0.9 * F.col("mean") if scaled else F.lit(1.0)) / by
+    e = d.select(*key, "w", "lone", F.explode("scores").alias("cls", "s"))
+    e = e.where(F.col("lone") | (F.col("cls") != ignored)) if ignored else e
+    g = e.groupBy(*key, "cls", "lone").agg(F.sum(F.col("s") * F.col("w")).alias("s")).join(t.select(*key, factor.alias("factor"), only.alias("only")), key)
+    return g.where(~F.col("lone") | F.col("only")).select(*key, "cls", (F.col("s") * F.col("factor")).alias("score"))
 
 
 def cluster_tracks(df: DataFrame, least: float = 0.3, volume: bool = False, least_frames: int = 1) -> DataFrame:

@@ -182,18 +182,22 @@ def assign_sparse(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return sorted((r, c) for r, c in column.items() if not isinstance(c, tuple))
 
 
-def match_optimal(computed: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """One-to-one matches of the least sum of 1 - overlap. A group is the list of overlapping pairs of a frame, no matrix."""
+def match_optimal(computed: DataFrame, truth: DataFrame, least: float = 0.5, frames: int = 32) -> DataFrame:
+    """One-to-one matches of the least sum of 1 - overlap, from the list of overlapping pairs of a frame, no matrix.
+
+    So many frames of a sequence go to Python together; each is solved for itself.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["c_det_id", "t_det_id"])
-        over = {(c, t): o for c, t, o in zip(pdf.c_det_id.tolist(), pdf.t_det_id.tolist(), pdf.iou.tolist(), strict=True)}
-        chosen = assign_sparse([(c, t, 1 - o) for (c, t), o in over.items()])
-        rows = [(pdf.seq_id.iloc[0], pdf.frame_id.iloc[0], c, t, over[c, t]) for c, t in chosen if over[c, t] >= least]
+        rows = []
+        for (seq, frame), d in pdf.sort_values(["c_det_id", "t_det_id"]).groupby(FRAME):
+            over = {(c, t): o for c, t, o in zip(d.c_det_id.tolist(), d.t_det_id.tolist(), d.iou.tolist(), strict=True)}
+            chosen = assign_sparse([(c, t, 1 - o) for (c, t), o in over.items()])
+            rows += [(seq, frame, c, t, over[c, t]) for c, t in chosen if over[c, t] >= least]
         return pd.DataFrame(rows, columns=["seq_id", "frame_id", "c_id", "t_id", "iou"])
 
     pairs = iou_join(computed, truth, 0.0).select(*FRAME, "c_det_id", "t_det_id", "iou")
-    return pairs.groupBy(*FRAME).applyInPandas(solve, "seq_id long, frame_id long, c_id long, t_id long, iou double")
+    return pairs.groupBy("seq_id", F.floor(F.col("frame_id") / frames).alias("block")).applyInPandas(solve, "seq_id long, frame_id long, c_id long, t_id long, iou double")
 
 
 def unmatched(boxes: DataFrame, matches: DataFrame, side: str) -> DataFrame:
@@ -229,16 +233,24 @@ def suppress_in_regions(boxes: DataFrame, regions: DataFrame, least: float, supp
     return out.withColumn("conf", F.when(F.coalesce("border", F.lit(False)), F.col("conf") * scale).otherwise(F.col("conf"))).drop("dropped", "border")
 
 
-def coverage_reinforce(boxes: DataFrame, evidence: DataFrame, alpha: float = 0.5, low: float = 0.1) -> DataFrame:
-    """Raises scores by the share of a box that evidence covers; evidence that covers nothing comes out at low ranked scores."""
+def coverage_reinforce(boxes: DataFrame, evidence: DataFrame, alpha: float = 0.5, low: float = 0.1, recover: bool = True, max_evidence_area: float = 0.0) -> DataFrame:
+    """Raises scores by the share of a box that evidence covers; evidence that touches no box comes out at low scores, by its area.
+
+    max_evidence_area: larger evidence doesn't count, if over 0. recover: whether loose evidence comes out at all, at low times
+    its area over the largest loose one of the frame.
+    """
+    if max_evidence_area > 0:
+        evidence = evidence.where(box.area() <= max_evidence_area)
     hit = box.prefixed(boxes, "c_", FRAME).join(box.prefixed(evidence, "t_", FRAME), FRAME).withColumn("common", box.intersection("c_", "t_")).where("common > 0")
     cover = hit.groupBy(*FRAME, F.col("c_det_id").alias("det_id")).agg((F.sum("common") / F.first(box.area("c_"))).alias("cover"))
     raised = boxes.join(cover, [*FRAME, "det_id"], "left").withColumn("cover", F.least(F.lit(1.0), F.coalesce("cover", F.lit(0.0))))
     raised = raised.withColumn("conf", F.col("conf") + alpha * F.col("cover") * (1 - F.col("conf"))).drop("cover")
+    if not recover:
+        return raised
     used = hit.select(*FRAME, F.col("t_det_id").alias("det_id")).distinct()
     free = evidence.join(used, [*FRAME, "det_id"], "left_anti")
-    best = F.max("conf").over(Window.partitionBy(*FRAME))
-    free = free.withColumn("conf", low * F.when(best > 0, F.col("conf") / best).otherwise(0.0))
+    largest = free.groupBy(*FRAME).agg(F.max(box.area()).alias("largest"))
+    free = free.join(largest, FRAME).withColumn("conf", low * F.when(F.col("largest") > 0, box.area() / F.col("largest")).otherwise(0.0)).drop("largest")
     return raised.unionByName(free.select(*raised.columns))
 
 

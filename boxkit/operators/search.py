@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vec as V
 from ..shared import stored
-from . import hashing
+from . import hashing, quantiles
 
 #: "farthest": what is least alike by histogram intersection comes first.
 DISTANCES = {"euclidean": V.euclidean, "cosine": V.cosine_distance, "intersection": V.intersection_distance, "farthest": lambda a, b: -V.intersection_distance(a, b)}
@@ -289,10 +289,25 @@ def rank_by_classifier(vectors: DataFrame, positives: list[str], negatives: list
 
 
 def feedback_order(scores: DataFrame, n: int, boundary: float | None = 0.5) -> DataFrame:
-    """The rows to ask about first: nearest to the boundary, or without a model from the median outward."""
-    mid = F.lit(boundary) if boundary is not None else F.col("m")
-    s = scores if boundary is not None else scores.crossJoin(scores.agg(F.median("score").alias("m")))  # one number
-    return s.select("uid", "score", F.abs(F.col("score") - mid).alias("d")).orderBy("d", "uid").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("d", "uid")))
+    """The rows to ask about first: nearest to the boundary, or without a model from the middle rank outward.
+
+    From the middle, ranks by falling score above and below it take turns, those above first; the middle row itself comes last.
+    Only rows whose scores lie between two exact ranks are sorted.
+    """
+    if boundary is not None:
+        d = scores.select("uid", "score", F.abs(F.col("score") - boundary).alias("d"))
+        return d.orderBy("d", "uid").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("d", "uid")))
+    total = scores.count()
+    mid, reach = total // 2, n // 2 + 1
+    ends = quantiles.at_ranks(scores, -F.col("score"), {"a": lambda c: F.greatest(F.lit(0), F.lit(mid - reach)), "b": lambda c: F.least(F.lit(mid + reach), c - 1)}, []).first() if total else None
+    if ends is None:
+        return scores.select("uid", "score", F.lit(0.0).alias("d"), F.lit(0).alias("rank")).limit(0)
+    band = scores.where((-F.col("score") >= ends["a"]) & (-F.col("score") <= ends["b"])).select("uid", "score")
+    before = scores.where(-F.col("score") < ends["a"]).count()
+    p = F.row_number().over(Window.orderBy(F.desc("score"), "uid")) - 1 + before  # about n rows, and those that equal the ends
+    place = F.when(p < mid, 2 * (mid - p) - 1).when(p > mid, 2 * (p - mid)).otherwise(total)
+    d = band.withColumn("d", place.cast("double"))
+    return d.orderBy("d").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("d")))
 
 
 def feedback_scores(ordered: DataFrame, most: int) -> DataFrame:

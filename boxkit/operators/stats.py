@@ -11,23 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import box
+from .quantiles import by_index
 
 TRACK = ["seq_id", "track_id"]
 FRAME = ["seq_id", "frame_id"]
 
 
-def by_index(df: DataFrame, value: Column, shares: dict[str, float], keys: list[str]) -> DataFrame:
-    """The values at floor(n * share) of each key's sorted values; by rank within value ranges, then one row per share."""
-    d = df.select(*keys, value.cast("double").alias("v"))
-    # equal values are summed first, so ranks are running sums over distinct values
-    g = d.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    g = g.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    at = lambda s: F.least(F.floor(F.col("n") * s), F.col("n") - 1)
-    picks = [F.max(F.when((F.col("upto") > at(s)) & (F.col("upto") - F.col("c") <= at(s)), F.col("v"))).alias(k) for k, s in shares.items()]
-    return g.groupBy(*keys).agg(*picks)
-
-
 def type_list(df: DataFrame, capitals: bool = False) -> DataFrame:
     out = df.select("cls").distinct()
     return out.where(F.col("cls").rlike("[A-Z]")) if capitals else out
@@ -96,17 +85,17 @@ def aspect_stats(df: DataFrame, keys: list[str]) -> DataFrame:
 def density_stats(df: DataFrame, frames: DataFrame, crowded: int = 20, sparse: int = 3) -> DataFrame:
     """Boxes per frame, empty frames included."""
     n = frames.join(df.groupBy(*FRAME).agg(F.count("*").alias("n")), FRAME, "left").fillna(0, ["n"])
-    return n.groupBy("seq_id").agg(F.avg("n").alias("mean"), F.max("n").alias("max"), F.count_if(F.col("n") > crowded).alias("crowded"), F.count_if((F.col("n") > 0) & (F.col("n") < sparse)).alias("sparse"), F.count_if(F.col("n") == 0).alias("empty"))
+    return n.groupBy("seq_id").agg(F.avg("n").alias("mean"), F.max("n").alias("max"), F.count_if(F.col("n") >= crowded).alias("crowded"), F.count_if((F.col("n") > 0) & (F.col("n") <= sparse)).alias("sparse"), F.count_if(F.col("n") == 0).alias("empty"))
 
 
 def scale_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.var_pop(F.sqrt(box.area())).alias("variance"), (F.max(box.area()) / F.min(box.area())).alias("ratio")).withColumn("multi_scale", F.col("ratio") > 100)
 
 
-def class_balance(df: DataFrame, rare: float = 0.05, dominant: float = 0.5) -> DataFrame:
+def class_balance(df: DataFrame, rare: int = 50, dominant: int = 500) -> DataFrame:
+    """The largest class over the smallest one, and how many classes have fewer boxes than rare and more than dominant."""
     c = df.groupBy("cls").agg(F.count("*").alias("n"))
-    t = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row per class
-    return t.agg((F.max("n") / F.min("n")).alias("imbalance"), F.count_if(F.col("share") < rare).alias("rare"), F.count_if(F.col("share") > dominant).alias("dominant"))
+    return c.agg((F.max("n") / F.min("n")).alias("imbalance"), F.count_if(F.col("n") < rare).alias("rare"), F.count_if(F.col("n") > dominant).alias("dominant"))
 
 
 def edge_stats(df: DataFrame, margin: float) -> DataFrame:
@@ -122,13 +111,13 @@ def mask_fraction(df: DataFrame, keys: list[str], mask: str) -> DataFrame:
 
 def track_stats(df: DataFrame, short: int = 10, long: int = 50) -> DataFrame:
     t = df.groupBy(*TRACK).agg(F.count("*").alias("n"))
-    base = t.groupBy("seq_id").agg(F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"), F.count_if(F.col("n") < short).alias("short"), F.count_if(F.col("n").between(short, long)).alias("medium"), F.count_if(F.col("n") > long).alias("long"))
+    base = t.groupBy("seq_id").agg(F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"), F.count_if(F.col("n") < short).alias("short"), F.count_if((F.col("n") >= short) & (F.col("n") < long)).alias("medium"), F.count_if((F.col("n") >= short) & (F.col("n") >= long)).alias("long"))
     return base.join(by_index(t, F.col("n"), {"median": 0.5}, ["seq_id"]), "seq_id")
 
 
 def concurrency_stats(df: DataFrame, crowded: int = 20, sparse: int = 3) -> DataFrame:
     n = df.groupBy(*FRAME).agg(F.countDistinct("track_id").alias("n"))
-    return n.groupBy("seq_id").agg(F.avg("n").alias("mean"), F.max("n").alias("max"), F.count_if(F.col("n") > crowded).alias("crowded"), F.count_if(F.col("n") < sparse).alias("sparse"))
+    return n.groupBy("seq_id").agg(F.avg("n").alias("mean"), F.max("n").alias("max"), F.count_if(F.col("n") >= crowded).alias("crowded"), F.count_if((F.col("n") > 0) & (F.col("n") <= sparse)).alias("sparse"))
 
 
 def size_cv(df: DataFrame, high: float = 0.5) -> DataFrame:
@@ -160,12 +149,21 @@ def gsd(df: DataFrame, w: float, h: float, margin: float) -> DataFrame:
     return by_index(g.join(best, [*FRAME, "grade"]), F.col("ratio"), {"gsd": 0.45}, FRAME)
 
 
+def _clip(e: Column, lo, hi) -> Column:
+    """Within lo and hi; where they cross, hi."""
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.least(as_column(hi), F.greatest(as_column(lo), e))
+
+
 def thresholds(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Score thresholds of a two-stage tracker from matched and unmatched confidences (conf, matched), clamped."""
+    """Score thresholds of a two-stage tracker from matched and unmatched confidences (conf, matched).
+
+    high keeps most of the hits; low lies below it and above most of the misfires; new, for new tracks, above high.
+    """
     m, u = F.when(F.col("matched") == 1, F.col("conf")), F.when(F.col("matched") == 0, F.col("conf"))
-    clamp = lambda e, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), e))
     p = df.groupBy(*keys).agg(F.percentile(m, 0.25).alias("p25"), F.percentile(m, 0.02).alias("p2"), F.percentile(m, 0.4).alias("p40"), F.percentile(u, 0.6).alias("u60"))
-    return p.select(*keys, clamp(F.greatest("p25", F.coalesce("u60", "p25")), 0.3, 0.8).alias("high"), clamp(F.col("p2"), 0.05, 0.3).alias("low"), clamp(F.col("p40"), 0.4, 0.9).alias("new"))
+    p = p.withColumn("high", _clip(F.col("p25"), 0.05, 0.95))
+    return p.select(*keys, "high", _clip(F.greatest("p2", "u60"), 0.01, F.col("high") - 0.05).alias("low"), _clip(F.col("p40"), F.col("high"), 0.95).alias("new"))
 
 
 def links(df: DataFrame) -> DataFrame:
@@ -173,21 +171,35 @@ def links(df: DataFrame) -> DataFrame:
     w = Window.partitionBy(*TRACK).orderBy("frame_id", "det_id")
     d = df.withColumns({f"p_{k}": F.lag(k).over(w) for k in (*box.names(), "frame_id")})
     d = d.withColumn("dt", F.col("frame_id") - F.col("p_frame_id"))
-    return d.where("dt IS NOT NULL").select(*df.columns, *(f"p_{k}" for k in box.names()), "dt", box.iou("", "p_").alias("iou"), box.distance("", "p_").alias("moved"))
+    centre = lambda p, k: (F.col(f"{p}{k}1") + F.col(f"{p}{k}2")) / 2
+    speed = [F.when(F.col("dt") > 0, (centre("", k) - centre("p_", k)) / F.col("dt")).alias(f"v{k}") for k in "xy"]
+    return d.where("dt IS NOT NULL").select(*df.columns, *(f"p_{k}" for k in box.names()), "dt", box.iou("", "p_").alias("iou"), box.distance("", "p_").alias("moved"), *speed)
+
 
+def kalman_fit(df: DataFrame, least: int = 10) -> DataFrame:
+    """Weights of position and velocity noise per sequence: twice the median step, and change of the velocity vector, over box height.
 
-def kalman_fit(df: DataFrame) -> DataFrame:
-    """Weights of position and velocity noise: twice the median step and change of step over box height, clamped."""
+    Steps and changes are those over one frame; a change is that from the link before of the same track. Clipped, and the
+    usual 1/20 and 1/160 where there are too few boxes or none to measure.
+    """
     w = Window.partitionBy(*TRACK).orderBy("frame_id", "det_id")
-    d = links(df).where("dt = 1").withColumn("step", F.col("moved") / box.height())
-    d = d.withColumn("change", F.abs(F.col("step") - F.lag("step").over(w)))
-    clamp = lambda e, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), e))
-    return d.groupBy("seq_id").agg(clamp(2 * F.median("step"), 0.01, 0.5).alias("position"), clamp(2 * F.median("change"), 0.001, 0.1).alias("velocity"))
+    d = links(df).where("dt > 0").withColumn("tall", box.height() > 0)
+    d = d.withColumns({f"a{k}": F.col(f"v{k}") - F.lag(f"v{k}").over(w) for k in "xy"})
+    size = lambda a, b: F.when((F.col("dt") == 1) & F.col("tall"), F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b)) / box.height())
+    fit = d.groupBy("seq_id").agg(F.median(size("vx", "vy")).alias("step"), F.median(size("ax", "ay")).alias("change"))
+    n = df.groupBy("seq_id").agg(F.count("*").alias("n"))
+    enough = lambda c, lo, hi, usual: F.when((F.col("n") >= least) & F.col(c).isNotNull(), _clip(2 * F.col(c), lo, hi)).otherwise(usual)
+    return n.join(fit, "seq_id", "left").select("seq_id", enough("step", 0.01, 0.5, 1 / 20).alias("position"), enough("change", 0.001, 0.5, 1 / 160).alias("velocity"))
 
 
-def match_gate(df: DataFrame, share: float = 0.05, least: int = 100) -> DataFrame:
-    """The overlap that all but a share of links over one frame reach, where there are enough links."""
-    return links(df).where("dt = 1").groupBy("seq_id").agg(F.count("*").alias("links"), F.percentile("iou", share).alias("gate")).where(F.col("links") >= least)
+def match_gate(df: DataFrame, admitted: float = 99.5, least: int = 100, lowest: float = 0.02, highest: float = 0.5, usual: float = 0.8) -> DataFrame:
+    """Per sequence the largest distance (1 - overlap) at which boxes match: links over one frame that are admitted have it or less.
+
+    The overlap that so many percent of the links reach is clipped; with few links the usual value.
+    """
+    g = links(df).where("dt = 1").groupBy("seq_id").agg(F.count("*").alias("links"), F.percentile("iou", (100 - admitted) / 100).alias("gate"))
+    g = df.select("seq_id").distinct().join(g, "seq_id", "left").fillna(0, ["links"])
+    return g.select("seq_id", "links", F.when(F.col("links") >= least, 1 - _clip(F.col("gate"), lowest, highest)).otherwise(usual).alias("distance"))
 
 
 def track_buffer(gaps: DataFrame) -> DataFrame:

@@ -50,13 +50,17 @@ def prior_fraction(covered: DataFrame) -> DataFrame:
 def prior_sources(covered: DataFrame, images: DataFrame, window: int) -> DataFrame:
     """Per image and the image that first saw parts of it: shared cells and the kind of source.
 
-    Kinds: sequential (same camera and pass, within a window of orders), cross_camera (same pass), revisit.
+    Kinds: of the same visit (site, day, pass, and no more than a window of time steps apart) sequential for the same camera
+    and cross_camera for others; else revisit. images: site, ord, camera, pass_no, day and step; cameras that fire together
+    have the same step.
     """
     j = covered.join(first_seen(covered), ["site", "cell_x", "cell_y"]).where("first_ord < ord")
     pairs = j.groupBy("site", "ord", F.col("first_ord").alias("src")).agg(F.count("*").alias("shared"))
-    a = images.select("site", "ord", "camera", "pass_no")
-    b = images.select("site", F.col("ord").alias("src"), F.col("camera").alias("src_camera"), F.col("pass_no").alias("src_pass"))
-    kind = F.when((F.col("camera") == F.col("src_camera")) & (F.col("pass_no") == F.col("src_pass")) & (F.col("ord") - F.col("src") <= window), "sequential").when((F.col("pass_no") == F.col("src_pass")) & (F.col("ord") - F.col("src") <= window), "cross_camera").otherwise("revisit")
+    own = ["camera", "pass_no", "day", "step"]
+    a = images.select("site", "ord", *own)
+    b = images.select("site", F.col("ord").alias("src"), *(F.col(k).alias(f"src_{k}") for k in own))
+    same = F.col("day").eqNullSafe(F.col("src_day")) & F.col("pass_no").eqNullSafe(F.col("src_pass_no")) & (F.abs(F.col("step") - F.col("src_step")) <= window)
+    kind = F.when(same & (F.col("camera") == F.col("src_camera")), "sequential").when(same, "cross_camera").otherwise("revisit")
     return pairs.join(a, ["site", "ord"]).join(b, ["site", "src"]).select("site", "ord", "src", "shared", kind.alias("kind"))
 
 

@@ -181,10 +181,10 @@ def burst_split(frames: DataFrame, burst: int, percent: float) -> DataFrame:
 
 
 def clip_split(clips: DataFrame, share: float) -> DataFrame:
-    """The last share of usable clips (at most half, at least one of two) goes to validation. One row per clip."""
+    """The last share of usable clips (rounded down, at least one, at most half) goes to validation; of a single clip nothing. One row per clip."""
     w = Window.orderBy(F.desc("seq_id"))
     u = clips.where("usable").withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return u.withColumn("validation", F.col("rn") <= F.least(F.floor(F.col("n") / 2), F.greatest(F.lit(1), F.round(F.col("n") * share)))).select("seq_id", "validation")
+    return u.withColumn("validation", F.col("rn") <= F.least(F.floor(F.col("n") / 2), F.greatest(F.lit(1), F.floor(F.col("n") * share)))).select("seq_id", "validation")
 
 
 def negative_ratio(frames: DataFrame, most: float, seed: str = "0") -> DataFrame:

@@ -126,9 +126,17 @@ def notes_to_attrs(spark, sf):
     return p.select("id", F.explode(op.notes_to_attrs("notes")).alias("attr"))
 
 
-@query("ts_from_filename", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
+@query("ts_from_filename", "SELECT event_id, TIMESTAMP '1970-01-01' + to_microseconds(CASE event_id % 8 WHEN 6 THEN us // 1000000 * 1000000 + 107 WHEN 7 THEN event_id % 1000 + 1000000 WHEN 2 THEN us ELSE us // 1000 * 1000 END) AS ts FROM (SELECT event_id, epoch_us(ts) AS us FROM events)")
 def ts_from_filename(spark, sf):
-    e = view(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("cam1_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_07.png"))).otherwise(F.concat(F.lit("img-"), F.date_format("ts", "yyyy-MM-dd_HH-mm-ss"), F.lit(".jpg"))).alias("name"))
+    """Names of each known spelling, and two that have to be found out."""
+    e = view(spark, sf, "events")
+    t = lambda p: F.date_format("ts", p)
+    name = [
+        F.concat(F.lit("CHESS_FL1_C_"), t("yyMMdd_HHmmss.SSS"), F.lit("_COLOR-8-BIT.JPG")), F.concat(F.lit("d/CHESS2016_N94S_FL23_P__"), t("yyyyMMddHHmmss.SSS"), F.lit("GMT_THERM-16BIT.PNG")),
+        F.concat(F.lit("a_b_"), t("yyyyMMdd_HHmmss.SSSSSS"), F.lit("_rgb.tif")), F.concat(t("yyyyMMdd.HHmmss.SSS"), F.lit(".017459.png")), F.concat(F.lit("00231.00232."), t("yyyyMMdd.HHmmss.SSS"), F.lit(".004021.tif")),
+        F.concat(F.lit("201503."), t("yyyyMMdd.HHmmssSSS"), F.lit(".76450.png")), F.concat(F.lit("cam1_"), t("yyyyMMdd_HHmmss"), F.lit("_07.png")), F.concat(F.lit("image-number-"), F.lpad((F.col("event_id") % 1000 + 1000000).cast("string"), 12, "0"), F.lit(".png")),
+    ]
+    e = e.select("event_id", F.element_at(F.array(*name), (F.col("event_id") % 8 + 1).cast("int")).alias("name"))
     return e.select("event_id", op.ts_from_filename("name").cast("timestamp_ntz").alias("ts"))
 
 

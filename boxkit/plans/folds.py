@@ -122,12 +122,27 @@ _KEYS = "seq_id, frame_id, cls"
 _MEAN = ", ".join(f"sum({k} * conf) / sum(conf) AS {k}" for k in BOX)
 _register("fuse_wbf", _r(_clusters(_WEIGHED, _KEYS).replace("LEAST", "0.5"), f"SELECT seq_id, frame_id, cls, min(id) AS det_id, {_MEAN}, count(DISTINCT model) AS agree, avg(conf) * least(count(*), 3) / 3 AS conf FROM m GROUP BY seq_id, frame_id, cls, cluster"))
 _register("fuse_nmw", _r(_clusters(_SQL_M, _KEYS).replace("LEAST", "0.5"), f"SELECT seq_id, frame_id, cls, arg_min(id, (-conf, id)) AS det_id, {', '.join(f'sum({k} * w) / sum(w) AS {k}' for k in BOX)}, max(conf) AS conf FROM (SELECT *, conf * {_iou('m', 'f')} AS w FROM m) GROUP BY seq_id, frame_id, cls, cluster"))
-_register("cross_class_merge", _r(_clusters(_SQL_M, "seq_id, frame_id").replace("LEAST", "0.6") + ", p AS (SELECT seq_id, frame_id, cluster, cls, max(conf) AS s FROM m GROUP BY ALL), d AS (SELECT seq_id, frame_id, cluster, arg_max(cls, (s, cls)) AS cls, count(*) = 1 AS agree FROM p GROUP BY ALL)",
+_register("cross_class_merge", _r(_clusters(_SQL_M, "seq_id, frame_id").replace("list_max(o) > LEAST", "len(list_filter(o, lambda v: v > 0.6)) > 0").replace("list_position(o, list_max(o))", "list_position(list_transform(o, lambda v: v > 0.6), true)") + ", p AS (SELECT seq_id, frame_id, cluster, cls, max(conf) AS s FROM m GROUP BY ALL), d AS (SELECT seq_id, frame_id, cluster, arg_max(cls, (s, cls)) AS cls, count(*) = 1 AS agree FROM p GROUP BY ALL)",
     f"SELECT seq_id, frame_id, det_id, x1, y1, x2, y2, conf, cls, agree FROM (SELECT seq_id, frame_id, cluster, min(id) AS det_id, {_MEAN}, max(conf) AS conf FROM m GROUP BY ALL) JOIN d USING (seq_id, frame_id, cluster)"))
 _CLASSES = ["A", "N", "R", "X", "background"]
-_P = lambda x: f"CASE WHEN cls = '{x}' THEN conf ELSE (1 - conf) / {2 if x == 'background' else 6} END"
-_register("fuse_proben", _r(_clusters(_SQL_M, "seq_id, frame_id").replace("LEAST", "0.5") + f", g AS (SELECT seq_id, frame_id, cluster, min(id) AS det_id, {_MEAN}, count(*) AS n, [{', '.join(f'sum(ln(greatest({_P(x)}, 1e-9)))' for x in _CLASSES)}] AS l FROM m GROUP BY ALL), e AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM g), q AS (SELECT *, list_transform(e, lambda v: v / list_sum(e)) AS q FROM e)",
-    f"SELECT seq_id, frame_id, det_id, x1, y1, x2, y2, n, best.p AS conf, best.c AS cls FROM (SELECT *, list_max([{', '.join(f'''{{'p': q[{i + 1}], 'c': '{x}'}}''' for i, x in enumerate(_CLASSES[:4]))}]) AS best FROM q)"))
+_POWER = f"(CASE model {' '.join(f'WHEN {k!r} THEN {v!r}::DOUBLE' for k, v in W.items())} END)"
+_NEW = "{'x1': b[AT].x1, 'y1': b[AT].y1, 'x2': b[AT].x2, 'y2': b[AT].y2, 'w': b[AT].w, 'ids': [b[AT].id]}"
+_GROWN = "{" + ", ".join(f"'{k}': (k.{k} * k.w + b[i + 1].{k} * b[i + 1].w) / (k.w + b[i + 1].w)" for k in BOX) + ", 'w': k.w + b[i + 1].w, 'ids': list_append(k.ids, b[i + 1].id)}"
+
+
+def _log(x: str) -> str:
+    p = "1 - m.conf" if x == "background" else f"CASE WHEN m.cls = '{x}' THEN m.conf ELSE 0 END"
+    return f"sum({_POWER} * ln(least(1, greatest(1e-8, {p}))))"
+
+
+_register("fuse_proben", _r(f"""src AS MATERIALIZED (SELECT *, conf * {_POWER} AS w FROM {_SQL_M} WHERE conf >= 0.2),
+l AS (SELECT seq_id, frame_id, cls, list({{'id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'w': w}} ORDER BY -conf, det_id) AS b FROM src GROUP BY ALL),
+s AS (SELECT seq_id, frame_id, cls, b, 1 AS i, [{_NEW.replace('AT', '1')}] AS c FROM l
+UNION ALL SELECT seq_id, frame_id, cls, b, i + 1, CASE WHEN list_max(o) > 0.5 THEN list_transform(c, lambda k, j: CASE WHEN j = list_position(o, list_max(o)) THEN {_GROWN} ELSE k END) ELSE list_append(c, {_NEW.replace('AT', 'i + 1')}) END
+  FROM (SELECT *, list_transform(c, lambda h: list_transform([b[i + 1]], lambda x: {_iou('h', 'x')})[1]) AS o FROM s WHERE i < len(b))),
+k AS (SELECT seq_id, frame_id, unnest(c) AS c FROM s WHERE i = len(b)), d AS (SELECT seq_id, frame_id, list_min(c.ids) AS det_id, c.x1 AS x1, c.y1 AS y1, c.x2 AS x2, c.y2 AS y2, len(c.ids) AS n, unnest(c.ids) AS id FROM k),
+g AS (SELECT d.* EXCLUDE (id), [{', '.join(_log(x) for x in _CLASSES)}] AS l FROM d JOIN src m ON m.det_id = d.id GROUP BY ALL), e AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM g), q AS (SELECT *, list_transform(e, lambda v: v / list_sum(e)) AS q FROM e)""",
+    "SELECT seq_id, frame_id, det_id, x1, y1, x2, y2, n, list_max(q[1:4]) AS conf, ['A', 'N', 'R', 'X'][list_position(q[1:4], list_max(q[1:4]))] AS cls FROM q"))
 
 # scores
 _register("score_detection", _r(_BY_CLASS, _rates(_counts("seq_id, cls"))))

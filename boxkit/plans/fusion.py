@@ -63,7 +63,7 @@ def fuse_wbf(spark, sf):
 
 @query("fuse_proben")
 def fuse_proben(spark, sf):
-    return op.fuse_proben(_m(spark, sf), 0.5, ["A", "N", "R", "X"]).drop("scores")
+    return op.fuse_proben(_m(spark, sf), 0.5, ["A", "N", "R", "X"], W, 0.2).drop("scores")
 
 
 @query("contributors", with_views(f"SELECT c_id, model, t_id, round(iou, 6) AS iou FROM (SELECT c.det_id AS c_id, t.model, t.det_id AS t_id, {IOU} AS iou, row_number() OVER (PARTITION BY c.det_id, t.model ORDER BY {IOU} DESC, t.det_id) AS rn FROM truth c JOIN {_SQL_M} t ON c.seq_id = t.seq_id AND c.frame_id = t.frame_id AND c.cls = t.cls WHERE {INTER} > 0) WHERE rn = 1"))
@@ -143,9 +143,12 @@ def fuse_tracks(spark, sf):
     return op.fuse_tracks(_m(spark, sf), weights={"m0": 2.0}, least_frames=3).withColumn("scores", F.array_join(F.transform(F.map_entries("scores"), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"], 6).cast("string"))), ","))
 
 
-@query("avg_classification", with_views("WITH e AS (SELECT seq_id, track_id, conf, cls, conf AS s FROM computed UNION ALL SELECT seq_id, track_id, conf, 'other', (1 - conf) / 2 FROM computed), t AS (SELECT seq_id, track_id, sum(conf) AS w FROM computed GROUP BY ALL) SELECT seq_id, track_id, cls, round(0.1 + 0.9 * sum(s * conf) / any_value(w), 6) AS score FROM e JOIN t USING (seq_id, track_id) GROUP BY seq_id, track_id, cls"))
+@query("avg_classification", with_views("""WITH c AS (SELECT *, det_id % 3 = 0 AS lone FROM computed), e AS (SELECT seq_id, track_id, conf, cls, conf AS s FROM c WHERE NOT lone UNION ALL SELECT seq_id, track_id, conf, 'other', (1 - conf) / 2 FROM c WHERE NOT lone),
+t AS (SELECT seq_id, track_id, avg(conf) AS mean, sum(conf) AS mass, coalesce(sum(conf) FILTER (lone), 0) AS lone_mass, coalesce(sum(conf) FILTER (NOT lone), 0) AS rest FROM c GROUP BY ALL)
+SELECT seq_id, track_id, cls, round((0.1 + 0.9 * any_value(mean)) * sum(s * conf) / any_value(CASE WHEN lone_mass > 0 THEN rest ELSE mass END), 9) AS score FROM e JOIN t USING (seq_id, track_id) GROUP BY seq_id, track_id, cls
+UNION ALL SELECT seq_id, track_id, 'none', round((0.1 + 0.9 * avg(conf)) * sum(0.5 * conf) / sum(conf), 9) FROM c GROUP BY seq_id, track_id HAVING bool_and(lone)"""))
 def avg_classification(spark, sf):
-    c = view(spark, sf, "computed").withColumn("scores", F.create_map(F.col("cls"), F.col("conf"), F.lit("other"), (1 - F.col("conf")) / 2))
-    return op.mean_distribution(c).withColumn("score", F.round("score", 6))
-
-
+    """Every third box is of the ignored class alone."""
+    mixed = F.create_map(F.col("cls"), F.col("conf"), F.lit("other"), (1 - F.col("conf")) / 2)
+    c = view(spark, sf, "computed").withColumn("scores", F.when(F.col("det_id") % 3 == 0, F.create_map(F.lit("none"), F.lit(0.5))).otherwise(mixed))
+    return op.mean_distribution(c, "none").withColumn("score", F.round("score", 9))

@@ -88,7 +88,7 @@ b AS (SELECT * FROM computed WHERE det_id % 3 <> 0),
 hit AS (SELECT c.det_id, t.det_id AS e_id, {INTER} AS common, {AREA.format('c')} AS area FROM b c JOIN e t ON c.seq_id = t.seq_id AND c.frame_id = t.frame_id WHERE {INTER} > 0),
 cover AS (SELECT det_id, least(1.0, sum(common) / any_value(area)) AS cover FROM hit GROUP BY det_id)
 SELECT det_id, round(conf + 0.5 * coalesce(cover, 0.0) * (1 - conf), 9) AS conf FROM b LEFT JOIN cover USING (det_id)
-UNION ALL SELECT det_id, round(0.1 * conf / max(conf) OVER (PARTITION BY seq_id, frame_id), 9) FROM e WHERE det_id NOT IN (SELECT e_id FROM hit)"""),
+UNION ALL SELECT det_id, round(0.1 * (x2 - x1) * (y2 - y1) / max((x2 - x1) * (y2 - y1)) OVER (PARTITION BY seq_id, frame_id), 9) FROM e WHERE det_id NOT IN (SELECT e_id FROM hit)"""),
 )
 def coverage_reinforce(spark, sf):
     c = view(spark, sf, "computed")

@@ -155,6 +155,12 @@ def feedback_order(spark, sf):
     return op.feedback_order(_scores(spark, sf), 50).select("uid", F.round("score", 6).alias("score"), "rank")
 
 
+@query("feedback_order_middle", f"WITH r AS (SELECT *, row_number() OVER (ORDER BY score DESC, uid) - 1 AS p, count(*) OVER () AS n FROM {_SC}), o AS (SELECT *, CASE WHEN p < n // 2 THEN 2 * (n // 2 - p) - 1 WHEN p > n // 2 THEN 2 * (p - n // 2) ELSE n END AS o FROM r) SELECT uid, round(score, 6) AS score, row_number() OVER (ORDER BY o) AS rank FROM o ORDER BY rank LIMIT 50")
+def feedback_order_middle(spark, sf):
+    """Without a model: above and below the middle rank by turns."""
+    return op.feedback_order(_scores(spark, sf), 50, None).select("uid", F.round("score", 6).alias("score"), "rank")
+
+
 @query("feedback_scores", f"SELECT uid, rank, round(1 - (rank - 1) / 39.0, 6) AS relevancy FROM (SELECT uid, row_number() OVER (ORDER BY abs(score - 0.5), uid) AS rank FROM {_SC}) WHERE rank <= 40")
 def feedback_scores(spark, sf):
     return op.feedback_scores(op.feedback_order(_scores(spark, sf), 50), 40).select("uid", "rank", F.round("relevancy", 6).alias("relevancy"))

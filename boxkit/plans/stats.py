@@ -43,24 +43,24 @@ def _pick(e, share):
 _STATS = ", ".join(f"min({e}) AS {k}_min, max({e}) AS {k}_max, round(avg({e}), 6) AS {k}_mean, {_pick(e, 0.1)} AS {k}_p10, {_pick(e, 0.5)} AS {k}_median, {_pick(e, 0.9)} AS {k}_p90" for k, e in (("width", W), ("height", H), ("area", A)))
 _simple("det_stats", f"SELECT cls, count(*) AS n, {_STATS}, count(*) FILTER ({A} < 1024) AS small, count(*) FILTER ({A} >= 1024 AND {A} < 9216) AS medium, count(*) FILTER ({A} >= 9216) AS large FROM computed GROUP BY cls", lambda s, d: _r(op.det_stats(_c(s, d), ["cls"]), "width_mean", "height_mean", "area_mean"))
 _simple("aspect_stats", f"SELECT cls, round(avg({W} / {H}), 6) AS mean, round(stddev_pop({W} / {H}), 6) AS std, count(*) FILTER ({W} / {H} < 0.5) AS tall, count(*) FILTER ({W} / {H} BETWEEN 0.5 AND 2) AS square, count(*) FILTER ({W} / {H} > 2) AS wide FROM computed GROUP BY cls", lambda s, d: _r(op.aspect_stats(_c(s, d), ["cls"]), "mean", "std"))
-_simple("density_stats", "WITH f AS (SELECT DISTINCT seq_id, frame_id FROM truth), n AS (SELECT f.seq_id, count(c.det_id) AS n FROM f LEFT JOIN (SELECT * FROM computed WHERE conf >= 0.9) c ON c.seq_id = f.seq_id AND c.frame_id = f.frame_id GROUP BY f.seq_id, f.frame_id) SELECT seq_id, round(avg(n), 6) AS mean, max(n) AS max, count(*) FILTER (n > 20) AS crowded, count(*) FILTER (n > 0 AND n < 3) AS sparse, count(*) FILTER (n = 0) AS empty FROM n GROUP BY seq_id", lambda s, d: _r(op.density_stats(_c(s, d).where("conf >= 0.9"), view(s, d, "truth").select("seq_id", "frame_id").distinct()), "mean"))
+_simple("density_stats", "WITH f AS (SELECT DISTINCT seq_id, frame_id FROM truth), n AS (SELECT f.seq_id, count(c.det_id) AS n FROM f LEFT JOIN (SELECT * FROM computed WHERE conf >= 0.9) c ON c.seq_id = f.seq_id AND c.frame_id = f.frame_id GROUP BY f.seq_id, f.frame_id) SELECT seq_id, round(avg(n), 6) AS mean, max(n) AS max, count(*) FILTER (n >= 5) AS crowded, count(*) FILTER (n > 0 AND n <= 2) AS sparse, count(*) FILTER (n = 0) AS empty FROM n GROUP BY seq_id", lambda s, d: _r(op.density_stats(_c(s, d).where("conf >= 0.9"), view(s, d, "truth").select("seq_id", "frame_id").distinct(), 5, 2), "mean"))
 _simple("scale_stats", f"SELECT cls, round(var_pop(sqrt({A})), 6) AS variance, round(max({A}) / min({A}), 6) AS ratio, max({A}) / min({A}) > 100 AS multi_scale FROM computed GROUP BY cls", lambda s, d: _r(op.scale_stats(_c(s, d), ["cls"]), "variance", "ratio"))
-_simple("class_balance", "WITH c AS (SELECT cls, count(*) AS n FROM computed GROUP BY cls), t AS (SELECT *, n / sum(n) OVER () AS share FROM c) SELECT round(max(n) / min(n), 6) AS imbalance, count(*) FILTER (share < 0.05) AS rare, count(*) FILTER (share > 0.5) AS dominant FROM t", lambda s, d: _r(op.class_balance(_c(s, d)), "imbalance"))
+_simple("class_balance", "WITH c AS (SELECT cls, count(*) AS n FROM computed GROUP BY cls) SELECT round(max(n) / min(n), 6) AS imbalance, count(*) FILTER (n < 3000) AS rare, count(*) FILTER (n > 12000) AS dominant FROM c", lambda s, d: _r(op.class_balance(_c(s, d), 3000, 12000), "imbalance"))
 _simple("edge_stats", "SELECT seq_id, count(*) FILTER (x1 <= 30 OR y1 <= 30 OR x2 >= w - 30 OR y2 >= h - 30) AS near, count(*) AS n FROM (SELECT *, max(x2) OVER (PARTITION BY seq_id) AS w, max(y2) OVER (PARTITION BY seq_id) AS h FROM computed) GROUP BY seq_id", lambda s, d: op.edge_stats(_c(s, d), 30))
 _simple("mask_fraction", "SELECT cls, round(avg(CASE WHEN det_id % 4 = 0 THEN 0.0 ELSE 1.0 END), 6) AS share FROM computed GROUP BY cls", lambda s, d: _r(op.mask_fraction(_c(s, d).withColumn("polygon", F.when(F.col("det_id") % 4 != 0, F.array("x1", "y1"))), ["cls"], "polygon"), "share"))
-_simple("track_stats", f"WITH t AS (SELECT seq_id, count(*) AS n FROM computed GROUP BY seq_id, track_id) SELECT seq_id, min(n) AS min, max(n) AS max, round(avg(n), 6) AS mean, count(*) FILTER (n < 10) AS short, count(*) FILTER (n BETWEEN 10 AND 50) AS medium, count(*) FILTER (n > 50) AS long, {_pick('n', 0.5)}::DOUBLE AS median FROM t GROUP BY seq_id", lambda s, d: _r(op.track_stats(_c(s, d)), "mean"))
-_simple("concurrency_stats", "SELECT seq_id, round(avg(n), 6) AS mean, max(n) AS max, count(*) FILTER (n > 20) AS crowded, count(*) FILTER (n < 3) AS sparse FROM (SELECT seq_id, count(DISTINCT track_id) AS n FROM computed GROUP BY seq_id, frame_id) GROUP BY seq_id", lambda s, d: _r(op.concurrency_stats(_c(s, d)), "mean"))
+_simple("track_stats", f"WITH t AS (SELECT seq_id, count(*) AS n FROM computed GROUP BY seq_id, track_id) SELECT seq_id, min(n) AS min, max(n) AS max, round(avg(n), 6) AS mean, count(*) FILTER (n < 10) AS short, count(*) FILTER (n BETWEEN 10 AND 19) AS medium, count(*) FILTER (n >= 20) AS long, {_pick('n', 0.5)}::DOUBLE AS median FROM t GROUP BY seq_id", lambda s, d: _r(op.track_stats(_c(s, d), 10, 20), "mean"))
+_simple("concurrency_stats", "SELECT seq_id, round(avg(n), 6) AS mean, max(n) AS max, count(*) FILTER (n >= 5) AS crowded, count(*) FILTER (n <= 2) AS sparse FROM (SELECT seq_id, count(DISTINCT track_id) AS n FROM computed GROUP BY seq_id, frame_id) GROUP BY seq_id", lambda s, d: _r(op.concurrency_stats(_c(s, d), 5, 2), "mean"))
 _simple("size_cv", f"SELECT seq_id, round(avg(cv), 6) AS mean_cv, round(avg(CASE WHEN cv > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS high_share FROM (SELECT seq_id, stddev_pop({A}) / avg({A}) AS cv FROM computed GROUP BY seq_id, track_id) GROUP BY seq_id", lambda s, d: _r(op.size_cv(_c(s, d), 0.05), "mean_cv", "high_share"))
 _LEN = "x1 - 60 + y1 % 7"
 _simple("length_agg", f"WITH t AS (SELECT seq_id, track_id, list_sort(list({_LEN})) AS v, count(*) AS n FROM computed WHERE {_LEN} > 0 GROUP BY ALL) SELECT seq_id, track_id, n::INT AS n, round(list_sum(v) / n, 6) AS mean, round(CASE WHEN n % 2 = 1 THEN v[n // 2 + 1] ELSE (v[n // 2] + v[n // 2 + 1]) / 2 END, 6) AS median, round(CASE WHEN n < 4 THEN list_sum(v) / n ELSE list_avg(v[n // 4 + 1 : n // 4 + greatest(3 * n // 4 - n // 4, 1)]) END, 6) AS trimmed FROM t", lambda s, d: _r(op.length_agg(_c(s, d).withColumn("length", F.expr(_LEN))), "mean", "median", "trimmed"))
 _simple("gsd_estimate", f"WITH g AS (SELECT seq_id, frame_id, ({_LEN}) / {W} AS ratio, CASE WHEN {_LEN} > 0 AND x1 > 50 AND y1 > 60 AND x2 < 1870 AND y2 < 1030 THEN 0 WHEN {_LEN} > 0 THEN 1 ELSE 2 END AS grade FROM computed), b AS (SELECT *, min(grade) OVER (PARTITION BY seq_id, frame_id) AS best FROM g) SELECT seq_id, frame_id, round({_pick('ratio', 0.45)}, 6) AS gsd FROM b WHERE grade = best GROUP BY ALL", lambda s, d: _r(op.gsd(_c(s, d).withColumn("length", F.expr(_LEN)).withColumns({"x1": F.col("x1"), "y1": F.col("y1") - 10, "y2": F.col("y2") - 10}).withColumn("x2", F.col("x2")).withColumn("y2", F.col("y2")), 1920, 1070, 50), "gsd"))
 _TH = "quantile_cont(CASE WHEN det_id % 3 > 0 THEN conf END, {})"
-_simple("thresholds_fit", f"WITH p AS (SELECT cls, {_TH.format(0.25)} AS p25, {_TH.format(0.02)} AS p2, {_TH.format(0.4)} AS p40, quantile_cont(CASE WHEN det_id % 3 = 0 THEN conf END, 0.6) AS u60 FROM computed GROUP BY cls) SELECT cls, round(greatest(0.3, least(0.8, greatest(p25, coalesce(u60, p25)))), 6) AS high, round(greatest(0.05, least(0.3, p2)), 6) AS low, round(greatest(0.4, least(0.9, p40)), 6) AS new FROM p", lambda s, d: _r(op.thresholds(_c(s, d).withColumn("matched", (F.col("det_id") % 3 > 0).cast("int")), ["cls"]), "high", "low", "new"))
+_simple("thresholds_fit", f"WITH p AS (SELECT cls, {_TH.format(0.25)} AS p25, {_TH.format(0.02)} AS p2, {_TH.format(0.4)} AS p40, quantile_cont(CASE WHEN det_id % 3 = 0 THEN conf END, 0.6) AS u60 FROM computed GROUP BY cls), h AS (SELECT *, least(0.95, greatest(0.05, p25)) AS h FROM p) SELECT cls, round(h, 6) AS high, round(least(h - 0.05, greatest(0.01, p2, u60)), 6) AS low, round(least(0.95, greatest(h, p40)), 6) AS new FROM h", lambda s, d: _r(op.thresholds(_c(s, d).withColumn("matched", (F.col("det_id") % 3 > 0).cast("int")), ["cls"]), "high", "low", "new"))
 _INTER = "(greatest(0.0, least(x2, p2) - greatest(x1, p1)) * greatest(0.0, least(y2, q2) - greatest(y1, q1)))"
 _LINKS = f"(SELECT *, frame_id - pf AS dt, {_INTER} / ({A} + (p2 - p1) * (q2 - q1) - {_INTER}) AS iou, sqrt(((x1 + x2) / 2 - (p1 + p2) / 2) ^ 2 + ((y1 + y2) / 2 - (q1 + q2) / 2) ^ 2) AS moved FROM (SELECT *, lag(x1) OVER w AS p1, lag(y1) OVER w AS q1, lag(x2) OVER w AS p2, lag(y2) OVER w AS q2, lag(frame_id) OVER w AS pf FROM computed WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id)))"
-_simple("match_gate_fit", f"SELECT seq_id, count(*) AS links, round(quantile_cont(iou, 0.05), 6) AS gate FROM {_LINKS} WHERE dt = 1 GROUP BY seq_id HAVING count(*) >= 100", lambda s, d: _r(op.match_gate(_c(s, d)), "gate"))
+_simple("match_gate_fit", f"SELECT seq_id, count(*) AS links, round(1 - least(0.5, greatest(0.02, quantile_cont(iou, 0.05))), 6) AS distance FROM {_LINKS} WHERE dt = 1 GROUP BY seq_id HAVING count(*) >= 100 UNION ALL SELECT seq_id, count(*) FILTER (dt = 1), 0.8 FROM {_LINKS} GROUP BY seq_id HAVING count(*) FILTER (dt = 1) < 100", lambda s, d: _r(op.match_gate(_c(s, d), 95.0), "distance"))
 _simple("link_iou", f"SELECT det_id, round(iou, 6) AS iou FROM {_LINKS} WHERE dt = 1", lambda s, d: _r(op.links(_c(s, d)).where("dt = 1").select("det_id", "iou"), "iou"))
-_simple("kalman_fit", f"WITH d AS (SELECT *, moved / {H} AS step FROM {_LINKS} WHERE dt = 1), e AS (SELECT *, abs(step - lag(step) OVER (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id)) AS change FROM d) SELECT seq_id, round(greatest(0.01, least(0.5, 2 * median(step))), 6) AS position, round(greatest(0.001, least(0.1, 2 * median(change))), 6) AS velocity FROM e GROUP BY seq_id", lambda s, d: _r(op.kalman_fit(_c(s, d)), "position", "velocity"))
+_simple("kalman_fit", f"WITH d AS (SELECT *, ((x1 + x2) - (p1 + p2)) / 2 / dt AS vx, ((y1 + y2) - (q1 + q2)) / 2 / dt AS vy FROM {_LINKS} WHERE dt > 0), e AS (SELECT *, vx - lag(vx) OVER w AS ax, vy - lag(vy) OVER w AS ay FROM d WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id)) SELECT seq_id, round(greatest(0.01, least(0.5, 2 * median(sqrt(vx * vx + vy * vy) / {H}))), 6) AS position, round(greatest(0.001, least(0.5, 2 * median(sqrt(ax * ax + ay * ay) / {H}))), 6) AS velocity FROM e WHERE dt = 1 GROUP BY seq_id", lambda s, d: _r(op.kalman_fit(_c(s, d)), "position", "velocity"))
 _simple("gps_quality", "WITH p AS (SELECT site, camera, round(lat, 6) AS la, round(lon, 6) AS lo, count(*) AS c FROM images GROUP BY ALL), q AS (SELECT site, camera, sum(c)::BIGINT AS n, count(*) / sum(c) AS u, max(c) / sum(c) AS t FROM p GROUP BY ALL) SELECT site, camera, n, round(u, 6) AS unique_share, round(t, 6) AS top_share, n >= 8 AND (u < 0.5 OR t > 0.5) AS frozen FROM q", lambda s, d: _r(op.gps_quality(view(s, d, "images"), ["site", "camera"]), "unique_share", "top_share"))
 _CONF = [("small_net", 10, 1.0, 5.0, 0.0, 3.0), ("large_net", 400, 0.9, 4.0, 1.0, 0.0), ("tiled_net", 50, 1.0, 4.5, 0.5, 2.0)]
 _simple("trainer_rank", "WITH s AS (SELECT seq_id, count(*) AS n, avg(CASE WHEN (x2 - x1) * (y2 - y1) < 3600 THEN 1.0 ELSE 0.0 END) AS ss FROM truth GROUP BY seq_id), c AS (SELECT * FROM (VALUES ('small_net', 10, 1.0, 5.0, 0.0, 3.0), ('large_net', 400, 0.9, 4.0, 1.0, 0.0), ('tiled_net', 50, 1.0, 4.5, 0.5, 2.0)) v(trainer, mo, ms, base, pt, sb)), j AS (SELECT seq_id, trainer, (base + pt * floor(n / 1000) + CASE WHEN ss > 0.5 THEN sb ELSE 0 END)::DOUBLE AS score FROM s, c WHERE n >= mo AND ss <= ms) SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, trainer) AS rank FROM j", lambda s, d: op.rank_trainers(view(s, d, "truth").groupBy("seq_id").agg(F.count("*").alias("n"), F.avg(F.expr(f"CASE WHEN {A} < 3600 THEN 1.0D ELSE 0.0D END")).alias("small_share")), s.createDataFrame(_CONF, "trainer string, min_objects int, max_small_share double, base double, per_thousand double, small_bonus double"), ["seq_id"]))

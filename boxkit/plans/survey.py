@@ -10,13 +10,13 @@ from ..operators import survey as op
 from ..registry import query
 from .views import view, with_views
 
-_I = "(SELECT site, frame AS ord, camera, pass_no, lat, lon, (lon + 160) * 60000 AS e, (lat - 55) * 100000 AS n FROM images WHERE site < 5)"
+_I = "(SELECT site, frame AS ord, camera, pass_no, strftime(time_utc, '%Y%m%d') AS day, frame // 3 AS step, lat, lon, (lon + 160) * 60000 AS e, (lat - 55) * 100000 AS n FROM images WHERE site < 5)"
 #: Axis-parallel footprints of 400 x 300 m, wound as the operator wants them.
 _CELLS = "(SELECT site, ord, camera, pass_no, cx AS cell_x, cy AS cell_y FROM (SELECT *, unnest(range(floor((e - 200) / 50)::BIGINT, floor((e + 200) / 50)::BIGINT + 1)) AS cx FROM " + _I + ") a, range(-10, 60) r(cy) WHERE (cx + 0.5) * 50 BETWEEN e - 200 AND e + 200 AND (cy + 0.5) * 50 BETWEEN n - 150 AND n + 150)"
 
 
 def _images(spark, sf):
-    return view(spark, sf, "images").selectExpr("site", "frame AS ord", "camera", "pass_no", "(lon + 160) * 60000 AS e", "(lat - 55) * 100000 AS n")
+    return view(spark, sf, "images").selectExpr("site", "frame AS ord", "camera", "pass_no", "date_format(time_utc, 'yyyyMMdd') AS day", "frame DIV 3 AS step", "(lon + 160) * 60000 AS e", "(lat - 55) * 100000 AS n")
 
 
 def _cells(spark, sf):
@@ -44,19 +44,19 @@ def prior_fraction(spark, sf):
     return op.prior_fraction(_cells(spark, sf)).withColumn("prior", F.round("prior", 6))
 
 
-_SRC = f"""(SELECT p.*, CASE WHEN a.camera = b.camera AND a.pass_no = b.pass_no AND p.ord - src <= 50 THEN 'sequential' WHEN a.pass_no = b.pass_no AND p.ord - src <= 50 THEN 'cross_camera' ELSE 'revisit' END AS kind
+_SRC = f"""(SELECT p.*, CASE WHEN a.day IS DISTINCT FROM b.day OR a.pass_no IS DISTINCT FROM b.pass_no OR abs(a.step - b.step) > 17 THEN 'revisit' WHEN a.camera = b.camera THEN 'sequential' ELSE 'cross_camera' END AS kind
 FROM (SELECT site, ord, first_ord AS src, count(*) AS shared FROM {_FIRST} WHERE first_ord < ord GROUP BY ALL) p JOIN {_I} a ON a.site = p.site AND a.ord = p.ord JOIN {_I} b ON b.site = p.site AND b.ord = p.src)"""
 
 
 @query("prior_class", with_views(f"SELECT site, ord, src, shared, kind FROM {_SRC}"))
 def prior_class(spark, sf):
-    return op.prior_sources(_cells(spark, sf), _images(spark, sf), 50)
+    return op.prior_sources(_cells(spark, sf), _images(spark, sf), 17)
 
 
 @query("revisits", with_views(f"SELECT r.site, r.ord, src, round(shared / cells, 6) AS overlap FROM (SELECT site, ord, arg_max(src, (shared, -src)) AS src, sum(shared) AS shared FROM {_SRC} WHERE kind = 'revisit' GROUP BY ALL) r JOIN (SELECT site, ord, count(*) AS cells FROM {_CELLS} GROUP BY ALL) USING (site, ord)"))
 def revisits(spark, sf):
     c = _cells(spark, sf)
-    out = op.revisits(op.prior_sources(c, _images(spark, sf), 50), c.groupBy("site", "ord").agg(F.count("*").alias("cells")))
+    out = op.revisits(op.prior_sources(c, _images(spark, sf), 17), c.groupBy("site", "ord").agg(F.count("*").alias("cells")))
     return out.withColumn("overlap", F.round("overlap", 6))
 
 

@@ -141,10 +141,10 @@ def burst_split(spark, sf):
     return op.burst_split(_frames(spark, sf), 5, 0.2)
 
 
-@query("clip_split", with_views("WITH u AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id DESC) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT seq_id FROM computed) WHERE seq_id <> 3) SELECT seq_id, rn <= least(floor(n / 2), greatest(1, round(n * 0.3))) AS validation FROM u"))
+@query("clip_split", with_views("WITH u AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id DESC) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT seq_id FROM computed) WHERE seq_id <> 3) SELECT seq_id, rn <= least(floor(n / 2), greatest(1, floor(n * 0.4))) AS validation FROM u"))
 def clip_split(spark, sf):
     clips = _c(spark, sf).select("seq_id").distinct().withColumn("usable", F.col("seq_id") != 3)
-    return op.clip_split(clips, 0.3)
+    return op.clip_split(clips, 0.4)
 
 
 @query("neg_ratio")
