@@ -214,17 +214,6 @@ def gps_quality(df: DataFrame, keys: list[str]) -> DataFrame:
     return q.withColumn("frozen", (F.col("n") >= 8) & ((F.col("unique_share") < 0.5) | (F.col("top_share") > 0.5)))
 
 
-def rank_trainers(stats: DataFrame, configs: DataFrame, keys: list[str]) -> DataFrame:
-    """Trainers whose gates the statistics meet, by preference: base and points for many objects or small boxes.
-
-    configs: trainer, min_objects, max_small_share, base, per_thousand, small_bonus.
-    """
-    j = stats.crossJoin(F.broadcast(configs)).where((F.col("n") >= F.col("min_objects")) & (F.col("small_share") <= F.col("max_small_share")))  # a table of trainers
-    score = F.col("base") + F.col("per_thousand") * F.floor(F.col("n") / 1000) + F.when(F.col("small_share") > 0.5, F.col("small_bonus")).otherwise(0)
-    j = j.withColumn("score", score)
-    return j.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "trainer"))).select(*keys, "trainer", "score", "rank")
-
-
 def kmedians(df: DataFrame, k: int, rounds: int, key: str = "uid", vec: str = "vec", seed: str = "0") -> DataFrame:
     """Centres by city-block distance; a round assigns by k broadcast centres and takes medians per dimension."""
     spark = df.sparkSession

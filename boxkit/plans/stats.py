@@ -62,8 +62,29 @@ _simple("match_gate_fit", f"SELECT seq_id, count(*) AS links, round(1 - least(0.
 _simple("link_iou", f"SELECT det_id, round(iou, 6) AS iou FROM {_LINKS} WHERE dt = 1", lambda s, d: _r(op.links(_c(s, d)).where("dt = 1").select("det_id", "iou"), "iou"))
 _simple("kalman_fit", f"WITH d AS (SELECT *, ((x1 + x2) - (p1 + p2)) / 2 / dt AS vx, ((y1 + y2) - (q1 + q2)) / 2 / dt AS vy FROM {_LINKS} WHERE dt > 0), e AS (SELECT *, vx - lag(vx) OVER w AS ax, vy - lag(vy) OVER w AS ay FROM d WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame_id, det_id)) SELECT seq_id, round(greatest(0.01, least(0.5, 2 * median(sqrt(vx * vx + vy * vy) / {H}))), 6) AS position, round(greatest(0.001, least(0.5, 2 * median(sqrt(ax * ax + ay * ay) / {H}))), 6) AS velocity FROM e WHERE dt = 1 GROUP BY seq_id", lambda s, d: _r(op.kalman_fit(_c(s, d)), "position", "velocity"))
 _simple("gps_quality", "WITH p AS (SELECT site, camera, round(lat, 6) AS la, round(lon, 6) AS lo, count(*) AS c FROM images GROUP BY ALL), q AS (SELECT site, camera, sum(c)::BIGINT AS n, count(*) / sum(c) AS u, max(c) / sum(c) AS t FROM p GROUP BY ALL) SELECT site, camera, n, round(u, 6) AS unique_share, round(t, 6) AS top_share, n >= 8 AND (u < 0.5 OR t > 0.5) AS frozen FROM q", lambda s, d: _r(op.gps_quality(view(s, d, "images"), ["site", "camera"]), "unique_share", "top_share"))
-_CONF = [("small_net", 10, 1.0, 5.0, 0.0, 3.0), ("large_net", 400, 0.9, 4.0, 1.0, 0.0), ("tiled_net", 50, 1.0, 4.5, 0.5, 2.0)]
-_simple("trainer_rank", "WITH s AS (SELECT seq_id, count(*) AS n, avg(CASE WHEN (x2 - x1) * (y2 - y1) < 3600 THEN 1.0 ELSE 0.0 END) AS ss FROM truth GROUP BY seq_id), c AS (SELECT * FROM (VALUES ('small_net', 10, 1.0, 5.0, 0.0, 3.0), ('large_net', 400, 0.9, 4.0, 1.0, 0.0), ('tiled_net', 50, 1.0, 4.5, 0.5, 2.0)) v(trainer, mo, ms, base, pt, sb)), j AS (SELECT seq_id, trainer, (base + pt * floor(n / 1000) + CASE WHEN ss > 0.5 THEN sb ELSE 0 END)::DOUBLE AS score FROM s, c WHERE n >= mo AND ss <= ms) SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, trainer) AS rank FROM j", lambda s, d: op.rank_trainers(view(s, d, "truth").groupBy("seq_id").agg(F.count("*").alias("n"), F.avg(F.expr(f"CASE WHEN {A} < 3600 THEN 1.0D ELSE 0.0D END")).alias("small_share")), s.createDataFrame(_CONF, "trainer string, min_objects int, max_small_share double, base double, per_thousand double, small_bonus double"), ["seq_id"]))
+#: Settings of four trainers, with gates that some sequences miss.
+TRAINERS = {
+    "small_net": {"annotation_count_preference": "low", "object_size_preference": "small", "required_min_count_per_class": 100},
+    "large_net": {"required_min_object_area": 5000.0, "required_percentile": 0.4, "object_size_preference": "medium", "aspect_ratio_preference": "square", "density_preference": "medium"},
+    "tiled_net": {"required_max_aspect_ratio_std": 0.9, "required_max_objects_per_frame": 6, "scale_preference": "uniform", "aspect_ratio_preference": "wide"},
+    "masked_net": {"required_masks": True},
+}
+_T = "(x2 - x1) * (y2 - y1)"
+_simple("trainer_rank", f"""WITH b AS (SELECT seq_id, count(*) AS n, avg(CASE WHEN {_T} >= 5000 THEN 1.0 ELSE 0.0 END) AS share, stddev_pop((x2 - x1) / (y2 - y1)) AS astd, max({_T}) / min({_T}) > 100 AS multi,
+count(*) FILTER ({_T} < 1024) AS ns, count(*) FILTER ({_T} >= 1024 AND {_T} < 9216) AS nm, count(*) FILTER ({_T} >= 9216) AS nl, count(*) FILTER ((x2 - x1) / (y2 - y1) < 0.5) AS nt, count(*) FILTER ((x2 - x1) / (y2 - y1) BETWEEN 0.5 AND 2) AS nq, count(*) FILTER ((x2 - x1) / (y2 - y1) > 2) AS nw FROM truth GROUP BY seq_id),
+f AS (SELECT seq_id, avg(n) AS mean, max(n) AS most FROM (SELECT seq_id, count(*) AS n FROM truth GROUP BY seq_id, frame_id) GROUP BY seq_id), k AS (SELECT seq_id, min(n) AS least FROM (SELECT seq_id, count(*) AS n FROM truth GROUP BY seq_id, cls) GROUP BY seq_id), s AS (SELECT * FROM b JOIN f USING (seq_id) JOIN k USING (seq_id)),
+o AS (SELECT seq_id, 'small_net' AS trainer, least >= 100 AS eligible, (n < 500)::INT + (ns > nm AND ns >= nl)::INT AS score FROM s UNION ALL SELECT seq_id, 'large_net', share >= 0.4, (nm >= ns AND nm >= nl)::INT + (nq >= nt AND nq >= nw)::INT + (mean > 3 AND mean < 20)::INT FROM s
+UNION ALL SELECT seq_id, 'tiled_net', astd <= 0.9 AND most <= 6, (NOT multi)::INT + (nw > nq AND nw > nt)::INT FROM s UNION ALL SELECT seq_id, 'masked_net', false, 0 FROM s)
+SELECT seq_id, trainer, eligible, score::DOUBLE AS score, CASE WHEN eligible THEN row_number() OVER (PARTITION BY seq_id, eligible ORDER BY score DESC, trainer) END AS rank FROM o""", lambda s, d: _trainers(s, d).drop("reason"))
+
+
+def _trainers(spark, sf):
+    from ..operators import trainers
+
+    table = trainers.rules(spark, TRAINERS)
+    return trainers.evaluate(trainers.detector_statistics(view(spark, sf, "truth"), ["seq_id"], trainers.areas_asked(table)), table, ["seq_id"])
+
+
 
 
 @query("detector_quality")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
+from ..operators import accumulate
 from ..registry import query
 from .views import view, with_views
 
@@ -37,6 +38,33 @@ def udaf_metric(spark, sf):
     return view(spark, sf, "computed").groupBy("seq_id").agg(F.round(spread("conf"), 6).alias("spread"))
 
 
+@query("udaf_states", with_views("SELECT seq_id, count(*) AS n, round(avg(conf), 9) AS mean, round(var_pop(conf), 9) AS variance, round(max(x2 - x1) - min(x2 - x1), 6) AS spread FROM computed GROUP BY seq_id"))
+def udaf_states(spark, sf):
+    """A metric of the library and one of user code, as states that tasks keep and merge."""
+    import numpy as np
+
+    class Spread(accumulate.Metric):
+        result = "spread double"
+
+        def start(self):
+            return np.array([np.inf, -np.inf])
+
+        def add(self, state, rows):
+            w = rows.x2 - rows.x1
+            return self.merge(state, np.array([w.min(), w.max()]))
+
+        def merge(self, a, b):
+            return np.array([min(a[0], b[0]), max(a[1], b[1])])
+
+        def finish(self, state):
+            return (float(state[1] - state[0]),)
+
+    c = view(spark, sf, "computed").select("seq_id", "conf", "x1", "x2")
+    mean = accumulate.accumulate(c, ["seq_id"], "mean", column="conf")
+    wide = accumulate.accumulate(c, ["seq_id"], Spread())
+    return mean.join(wide, "seq_id").select("seq_id", "n", F.round("mean", 9).alias("mean"), F.round("variance", 9).alias("variance"), F.round("spread", 6).alias("spread"))
+
+
 @query("udtf_tiles", "SELECT p_partkey AS id, (gx * 100)::INT AS tx, (gy * 100)::INT AS ty FROM part, range(0, 10) a(gx), range(0, 10) b(gy) WHERE gx * 100 < 150 + p_size * 5 AND gy * 100 < 120 + p_size * 3")
 def udtf_tiles(spark, sf):
     @udtf(returnType="tx int, ty int")

@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-MODULES = ("filters", "matching", "scoring", "fusion", "stats", "tracks", "search", "hashing", "footprints", "survey", "components")
+MODULES = ("filters", "matching", "scoring", "fusion", "stats", "tracks", "search", "hashing", "footprints", "quantiles", "trainers", "accumulate", "survey", "components")
 _own: dict[str, Callable] = {}
 
 
