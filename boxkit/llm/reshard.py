@@ -9,9 +9,10 @@ slot offset of their block by a join with that table; slots within a block are
 numbered block by block, so no task ever sees a whole shard.
 
 Equal texts of an old shard share a block and so stay together. Blocks far over
-the mean are split by another hash of the text. Only a text whose copies alone
-hold more than ``GROUP`` of a new shard, of bytes or rows, is dealt over blocks by
-doc_id: no law could be kept with it in one piece.
+the mean are split by another hash of the text. A text whose copies alone hold
+more than ``GROUP`` of a new shard, of bytes or rows, is numbered in parts by
+doc_id; these stay in one shard unless they hold more than ``WHOLE`` of its bytes:
+then no law could be kept with the text in one piece.
 
 Defined cases: a null text has 0 bytes of text and crc32 0; equal rows get
 different slots; a null doc_id is hashed like any value, and rows are told apart
@@ -22,6 +23,8 @@ rewrite(). A null old shard counts as shard 0.
 
 from __future__ import annotations
 
+import uuid
+
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +33,7 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-SHARDS, BLOCKS, HOT, GROUP = 8, 512, 4, 1 / 8
+SHARDS, BLOCKS, HOT, GROUP, WHOLE = 8, 512, 4, 1 / 8, 1 / 2
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda i, j: int(i != j)) -> dict[tuple[int, int], int]:
@@ -118,7 +121,7 @@ def choose(blocks: list[tuple[int, int, int, int]], old: list[int], shards: int)
     held: dict[int, list] = {}
     for b, _, s, _ in blocks:
         held.setdefault(to[b], []).append((s, b))
-    for _ in range(64):
+    while True:  # each move brings the extremes nearer
         hi, lo = max(range(shards), key=lambda k: size[k]), min(range(shards), key=lambda k: size[k])
         gap = size[hi] - size[lo]
         fit = [x for x in held.get(hi, []) if 0 < x[0] < gap]
@@ -158,22 +161,31 @@ def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS, bloc
     if many:
         split = F.broadcast(spark.createDataFrame(many, "block int, parts int"))
         slim = slim.join(split, "block", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("h", F.lit("text")), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    # copies of one text beyond the limit; no more texts can reach it than there are shards / GROUP, by bytes or rows
+    # copies of one text beyond the limit are numbered in parts; no more texts can reach it than there are shards / GROUP, by bytes or rows
     most = {k: v * GROUP / shards for k, v in total.items()}
     large = [r["block"] for r in first if any(r[k] > most[k] for k in total) and r["rows"] > 1]
+    unit = {}  # the parts of a text that one shard can hold beside others stay together
     if large:
         copies = slim.where(F.col("block").isin(large)).groupBy("block", "h").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
         copies = copies.where(F.col("rows") > 1).where((F.col("size") > most["size"]) | (F.col("rows") > most["rows"])).collect()
         if copies:
-            hot = F.broadcast(spark.createDataFrame([(r["block"], r["h"], (i + 1) * 2 * n, int(over(r)) + 1) for i, r in enumerate(copies)], "block int, h long, start int, parts int"))
+            hot = [(r["block"], r["h"], (i + 1) * 2 * n, int(over(r)) + 1) for i, r in enumerate(copies)]
+            unit = {(b, start + k): (b, start) for (b, _, start, parts), r in zip(hot, copies, strict=True) if r["size"] <= total["size"] / shards * WHOLE for k in range(parts)}
+            hot = F.broadcast(spark.createDataFrame(hot, "block int, h long, start int, parts int"))
             dealt = F.when(F.col("start").isNull(), F.col("part")).otherwise(F.col("start") + F.pmod("order", F.col("parts")))
             slim = slim.join(hot, ["block", "h"], "left").withColumn("part", dealt.cast("int")).drop("start", "parts")
-    units = sorted(tuple(r) for r in slim.groupBy("block", "part").agg(F.sum("size"), F.count("*")).collect())
-    to, _ = choose([((b, p), b % old_shards, s, c) for b, p, s, c in units], list(range(old_shards)), shards)
+    parts = sorted(tuple(r) for r in slim.groupBy("block", "part").agg(F.sum("size"), F.count("*")).collect())
+    units: dict[tuple, list] = {}
+    for b, p, size, c in parts:
+        held = units.setdefault(unit.get((b, p), (b, p)), [0, 0])
+        held[0] += size
+        held[1] += c
+    to, _ = choose([(k, k[0] % old_shards, size, c) for k, (size, c) in sorted(units.items())], list(range(old_shards)), shards)
     at, table = [0] * shards, []
-    for b, p, _, c in units:
-        table.append((b, p, to[b, p], at[to[b, p]]))
-        at[to[b, p]] += c
+    for b, p, _, c in parts:
+        shard = to[unit.get((b, p), (b, p))]
+        table.append((b, p, shard, at[shard]))
+        at[shard] += c
     placed = F.broadcast(spark.createDataFrame(table, "block int, part int, shard int, offset long"))
     within = Window.partitionBy("block", "part").orderBy("order", "doc_id", "text_crc32", "size", "_rid")
     return (
@@ -191,14 +203,31 @@ def transfers(assigned: DataFrame) -> DataFrame:
 def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> list[int]:
     """Writes the files of the shards that a transfer touches, with all columns and the slot, below path; gives those shards.
 
-    Files are partitioned by new_shard; shards that nothing enters or leaves keep the files that they have there.
+    Files are partitioned by new_shard; shards that nothing enters or leaves keep the files that they have there. All new
+    files are written beside the old ones first, so docs may be what lies below path; then each touched shard's folder
+    is put away and the new one moved in, if the shard has rows left, and at the end what was put away is removed. A run
+    that breaks off leaves the old files of a shard or the new ones, and what it has put away.
     """
+    spark = docs.sparkSession
     moved = transfers(assigned).where("old_shard <> shard").collect()  # at most old x new shards
     touched = sorted({r["old_shard"] for r in moved} | {r["shard"] for r in moved})
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
-    place = assigned.where(F.col("shard").isin(touched)).select("_rid", F.col("shard").alias("new_shard"), F.col("slot").alias("new_slot"))
-    rows = rows.join(place, "_rid").select("_row.*", "new_slot", "new_shard")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").parquet(path)
+    place = assigned.where(F.col("shard").isin(touched)).select("_rid", F.col("shard").alias("_to"), F.col("slot").alias("_slot"))
+    keep = [c for c in docs.columns if c not in ("new_slot", "new_shard")]
+    rows = rows.join(place, "_rid").select(*(F.col("_row")[c].alias(c) for c in keep), F.col("_slot").alias("new_slot"), F.col("_to").alias("new_shard"))
+    staged, away = (f"{path}/_{k}-{uuid.uuid4().hex}" for k in ("staged", "away"))  # names that readers pass over
+    rows.write.partitionBy("new_shard").parquet(staged)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at(away))
+    for k in touched:
+        folder = f"new_shard={k}"
+        if fs.exists(at(f"{path}/{folder}")):
+            fs.rename(at(f"{path}/{folder}"), at(f"{away}/{folder}"))
+        if fs.exists(at(f"{staged}/{folder}")):
+            fs.rename(at(f"{staged}/{folder}"), at(f"{path}/{folder}"))
+    fs.delete(at(staged), True)
+    fs.delete(at(away), True)
     return touched
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxkit.llm import conversation_repair as R
+from boxkit.llm import reshard
 from boxkit.llm import spelling_groups as S
 from boxkit.llm import vector_search as V
 
@@ -253,3 +254,58 @@ def test_heap_gives_cells_in_order():
     assert V.traverse(a, b, held.tolist(), held.sum()) == order
     part = V.traverse(a, b, held.tolist(), 20)
     assert part == order[: len(part)] and held[part[:-1]].sum() < 20 <= held[part].sum()
+
+
+# --- resharding onto files that are there
+
+
+def shard_files(spark, path):
+    rows = spark.read.parquet(path).select("doc_id", "text", "new_shard", "new_slot").collect()
+    assert sorted(r.doc_id for r in rows) == sorted({r.doc_id for r in rows})
+    per = defaultdict(list)
+    for r in rows:
+        per[r.new_shard].append(r.new_slot)
+    assert all(sorted(s) == list(range(len(s))) for s in per.values())
+    return {r.doc_id: (r.text, r.new_shard) for r in rows}
+
+
+@pytest.mark.parametrize("before, after", [(8, 4), (4, 8), (8, 8)])
+def test_rewrite_over_existing_files(spark, tmp_path, before, after):
+    """The files of shards are read, moved by a transfer and read again: every row once, in its new shard."""
+    path = str(tmp_path / "shards")
+    rows = [(i, f"text {i} " + "x" * (i % 50), i * 7919 % before) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, new_shard int").withColumn("new_slot", F.expr("row_number() over (partition by new_shard order by doc_id) - 1")).write.partitionBy("new_shard").parquet(path)
+    docs = spark.read.parquet(path)
+    assigned = reshard.assign(docs, after, before, old="new_shard")
+    want = {r.doc_id: r.shard for r in assigned.collect()}
+    touched = reshard.rewrite(docs, assigned, path)
+    got = shard_files(spark, path)
+    assert {k: v[0] for k, v in got.items()} == {r[0]: r[1] for r in rows}
+    assert {k: v[1] for k, v in got.items() if v[1] in touched} == {k: s for k, s in want.items() if s in touched}
+    assert {v[1] for v in got.values()} == set(range(after)) and not [p for p in (tmp_path / "shards").iterdir() if p.name.startswith("_staged") or p.name.startswith("_away")]
+
+
+@pytest.mark.parametrize("pairs, rows", [(10, 40), (25, 100), (3, 1000)])
+def test_equal_texts_stay_together_in_small_tables(spark, tmp_path, pairs, rows):
+    texts = [f"pair {i % pairs}" if i < 2 * pairs else f"own {i}" for i in range(rows)]
+    at = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(at)
+    got = reshard.assign(spark.read.parquet(at)).collect()
+    of = {r.doc_id: r.shard for r in got}
+    assert all(of[i] == of[i + pairs] for i in range(pairs))
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    assert max(size.values()) - min(size.get(k, 0) for k in range(8)) <= 2 * max(len(t) + 1 for t in texts)
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_a_text_that_no_shard_can_hold_is_dealt(spark, tmp_path):
+    at = str(tmp_path / "docs")
+    spark.createDataFrame([(i, "the same text" if i % 3 == 0 else f"own text {i:04d}") for i in range(1200)], "doc_id long, text string").write.parquet(at)
+    got = reshard.assign(spark.read.parquet(at)).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    assert len({r.shard for r in got if r.doc_id % 3 == 0}) > 1 and max(size.values()) < 1.1 * min(size.values())
