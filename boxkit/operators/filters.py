@@ -219,3 +219,14 @@ def preferred_tile(boxes: DataFrame, chips: DataFrame, key: str = "det_id") -> D
     order = [F.desc("inside"), F.when(F.col("inside"), size), F.desc(F.when(F.col("inside"), margin)), F.desc("overlap"), F.col("tx"), F.col("ty")]
     w = Window.partitionBy(key).orderBy(*order)
     return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: Names of survey images: day, site, camera and frame. Fixed format.
+IMAGE_NAME = r"^(\d{8})_S(\d+)_SL([A-Z]+)(\d+)$"
+
+
+def parse_name(name: Column | str, pattern: str = IMAGE_NAME) -> dict[str, Column]:
+    """day, site, camera and frame of an image's name without extension; null where it has another form."""
+    c = F.col(name) if isinstance(name, str) else name
+    part = lambda i: F.when(c.rlike(pattern), F.regexp_extract(c, pattern, i))
+    return {"day": part(1), "site": part(2).try_cast("long"), "camera": part(3), "frame": part(4).try_cast("long")}

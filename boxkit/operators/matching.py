@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import box
 from ..shared import stored
+from .components import components
 
 FRAME = ["seq_id", "frame_id"]
 TAKEN = "CAST(array() AS ARRAY<STRUCT<k: DOUBLE, c_id: BIGINT, t_id: BIGINT, iou: DOUBLE>>)"
@@ -363,3 +364,21 @@ def close_pairs(df: DataFrame, most: float) -> DataFrame:
 def overlapping_pairs(df: DataFrame) -> DataFrame:
     a, b = box.prefixed(df, "c_", FRAME), box.prefixed(df, "t_", FRAME)
     return a.join(b, FRAME).where("c_det_id < t_det_id").withColumn("iou", box.iou("c_", "t_")).where("iou > 0")
+
+
+def chain_cameras(cameras: list[DataFrame], least: float = 0.5) -> DataFrame:
+    """object_id, det_id and camera of boxes that are matched from each camera to the next one, frame by frame, chained to one object."""
+    n, edges = len(cameras), None
+    for i, (a, b) in enumerate(zip(cameras, cameras[1:], strict=False)):
+        e = match_greedy(a, b, least).selectExpr(f"c_id * {n + 1} + {i} AS a", f"t_id * {n + 1} + {i + 1} AS b")
+        edges = e if edges is None else edges.unionByName(e)
+    return components(edges).selectExpr("root AS object_id", f"node DIV {n + 1} AS det_id", f"node % {n + 1} AS camera")
+
+
+def region_groups(regions: DataFrame, more_than: int) -> DataFrame:
+    """In frames with more regions than that, the hull of each group of regions that overlap one another directly or by others (n: how many)."""
+    many = regions.groupBy(*FRAME).agg(F.count("*").alias("n")).where(F.col("n") > more_than).drop("n")
+    t = regions.join(many, FRAME, "left_semi")
+    groups = components(overlapping_pairs(t).selectExpr("c_det_id AS a", "t_det_id AS b"))
+    j = t.join(groups, t["det_id"] == groups["node"], "left").withColumn("grp", F.coalesce("root", "det_id"))
+    return j.groupBy(*FRAME, "grp").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"))

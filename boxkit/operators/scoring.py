@@ -283,3 +283,14 @@ def filter_thresholds(sweep_best: DataFrame, key: str) -> DataFrame:
     r = sweep_best.select(key, F.least("mota_at", "idf1_at").alias("min"), ((F.col("mota_at") + F.col("idf1_at")) / 2).alias("mean"), F.col("idf1_at").alias("idf1"), F.col("mota_at").alias("mota"))
     d = r.agg(*(F.min(k).alias(k) for k in ("min", "mean", "idf1", "mota"))).select(F.lit("default").alias(key), "min", "mean", "idf1", "mota")
     return r.withColumn(key, F.col(key).cast("string")).unionByName(d)
+
+
+def detector_quality(computed: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per sequence what tracker settings are fitted to: mean confidences of matched and unmatched boxes, errors of centre (over the
+    true height) and of width, and the mean length of runs of frames in which a true track is missed."""
+    mm = matched_boxes(computed, truth)
+    centre = F.sqrt(F.pow(F.expr("(c_x1 + c_x2 - t_x1 - t_x2) / 2"), 2) + F.pow(F.expr("(c_y1 + c_y2 - t_y1 - t_y2) / 2"), 2)) / F.expr("t_y2 - t_y1")
+    err = mm.groupBy("seq_id").agg(F.avg("c_conf").alias("matched_conf"), F.avg(centre).alias("centre_error"), F.avg(F.abs(F.expr("(c_x2 - c_x1) / (t_x2 - t_x1) - 1"))).alias("scale_error"))
+    un = m.unmatched(computed, mm, "c_id").groupBy("seq_id").agg(F.avg("conf").alias("unmatched_conf"))
+    miss = runs(status(truth, mm, "t"), "track_id").where("matched = 0").groupBy("seq_id").agg(F.avg("states").alias("miss_run"))
+    return err.join(un, "seq_id", "left").join(miss, "seq_id", "left")

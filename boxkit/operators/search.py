@@ -409,3 +409,36 @@ def apply_models(vectors: DataFrame, models: DataFrame) -> DataFrame:
     """The best model and score of every vector; models are a table with one row per label."""
     s = vectors.join(F.broadcast(models)).select("uid", "model", (V.dot(F.col("vec"), F.col("weights")) + F.col("bias")).alias("score"))
     return s.groupBy("uid").agg(F.max_by("model", F.struct("score", "model")).alias("model"), F.max("score").alias("score"))
+
+
+def lookup(asked: DataFrame, vectors: DataFrame, missing: str = "null") -> DataFrame:
+    """The vectors of asked uids; missing ones stay as nulls ("null"), are left out ("skip") or stop the job when they are met ("error")."""
+    j = asked.join(vectors, "uid", "inner" if missing == "skip" else "left")
+    return j.where(F.assert_true(F.col("vec").isNotNull(), F.concat(F.lit("no vector of "), "uid")).isNull()) if missing == "error" else j
+
+
+def attach(states: DataFrame, vectors: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """States of tracks (seq_id, track_id, frame_id) with their vectors: by a column uid of their own, or by a table from them to uid."""
+    states = states if mapping is None else states.join(mapping, ["seq_id", "track_id", "frame_id"])
+    return states.join(vectors, "uid")
+
+
+def histories(states: DataFrame, *columns: str) -> DataFrame:
+    """Each track with the list of its states in order of frames (h: frame_id, det_id and the columns) and their number n."""
+    return states.groupBy("seq_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "det_id", *columns))).alias("h"), F.count("*").alias("n"))
+
+
+def above(results: DataFrame, least: float, score: str = "score") -> DataFrame:
+    """Results of at least a relevancy."""
+    return results.where(F.col(score) >= least)
+
+
+def selected_query(primary: DataFrame, fallback: DataFrame, key: str = "query_id") -> DataFrame:
+    """The rows of the primary query of each key, and those of the fallback where it has none."""
+    return primary.unionByName(fallback.join(primary.select(key).distinct(), key, "left_anti").select(*primary.columns))
+
+
+def results_as_tracks(results: DataFrame, history: DataFrame) -> DataFrame:
+    """Boxes of the results' histories (uid) as tracks: new ids by rank from 0, the relevancy (score) as confidence."""
+    ids = results.select("uid", "score", (F.row_number().over(Window.orderBy("rank", "uid")) - 1).alias("track_id"))  # one row per result
+    return history.join(ids, "uid").withColumn("conf", F.col("score")).drop("score", "uid")

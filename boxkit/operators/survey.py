@@ -113,3 +113,21 @@ def link_imagelog(images: DataFrame, log: DataFrame, key: str, window: int = 60,
 
     kind = images.schema[key].dataType.simpleString()
     return e.groupBy(key).applyInPandas(link, f"{key} {kind}, frame long, log_frame long, distance double, by string")
+
+
+def link_flightlog(images: DataFrame, log: DataFrame, columns: list[str], imagelog: DataFrame | None = None, exif: DataFrame | None = None, keys: tuple[str, ...] = ("frame", "day")) -> DataFrame:
+    """Images with what the best source knows of them: image log, flight log of the same day by frame number, then the image's own data.
+
+    log may hold a row per file (edited: whether its file is an edited one): a row of an edited file counts before others.
+    columns: what a source gives; src tells the source, "default" without any. imagelog and exif are keyed by site and frame.
+    """
+    best = F.max_by(F.struct(*columns), F.struct("edited", *columns)) if "edited" in log.columns else F.max(F.struct(*columns))
+    j = images.join(log.groupBy(*keys).agg(best.alias("_log")), list(keys), "left")
+    found = [("log", "_log")]
+    for name, table, first in (("imagelog", imagelog, True), ("exif", exif, False)):
+        if table is not None:
+            j = j.join(table.select("site", "frame", F.struct(*columns).alias(f"_{name}")), ["site", "frame"], "left")
+            found.insert(0 if first else len(found), (name, f"_{name}"))
+    value = F.coalesce(*(F.col(c) for _, c in found))
+    src = F.coalesce(*(F.when(F.col(c).isNotNull(), n) for n, c in found), F.lit("default"))
+    return j.withColumn("_best", value).withColumn("src", src).select(*images.columns, *(F.col(f"_best.{c}").alias(c) for c in columns), "src")

@@ -143,9 +143,8 @@ def ts_from_filename(spark, sf):
 @query("name_parse", with_views("SELECT site, frame, strftime(time_utc, '%Y%m%d') AS day, camera, count(*) AS n FROM images GROUP BY ALL"))
 def name_parse(spark, sf):
     name = F.concat(F.date_format("time_utc", "yyyyMMdd"), F.lit("_S"), "site", F.lit("_SL"), "camera", F.lpad(F.col("frame").cast("string"), 9, "0"))
-    p = r"^(\d{8})_S(\d+)_SL([A-Z]+)(\d+)$"
-    x = view(spark, sf, "images").select(name.alias("name")).select(*(F.regexp_extract("name", p, i).alias(k) for i, k in ((1, "day"), (2, "site"), (3, "camera"), (4, "frame"))))
-    return x.groupBy(F.col("site").cast("long").alias("site"), F.col("frame").cast("long").alias("frame"), "day", "camera").agg(F.count("*").alias("n"))
+    x = view(spark, sf, "images").select(name.alias("name")).select(*(c.alias(k) for k, c in op.parse_name("name").items()))
+    return x.groupBy("site", "frame", "day", "camera").agg(F.count("*").alias("n"))
 
 
 @query("head_tail_to_box", with_views("SELECT det_id, (x1 + x2) / 2 - abs(x1 - x2) * 1.2 / 2 AS x1, (y2 + y1) / 2 - abs(y2 - y1) * 1.2 / 2 AS y1, (x1 + x2) / 2 + abs(x1 - x2) * 1.2 / 2 AS x2, (y2 + y1) / 2 + abs(y2 - y1) * 1.2 / 2 AS y2 FROM (SELECT det_id, x1, y1, x2, y2 FROM truth)"))

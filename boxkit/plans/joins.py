@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import footprints
 from ..operators import matching as op
-from ..operators import survey
-from ..operators.components import components
+from ..operators import search, survey
 from ..registry import query
 from .views import view, with_views
 
@@ -177,9 +176,7 @@ def multicam_chain_match(spark, sf):
     """Boxes matched between neighbouring cameras, chained to one object per component."""
     c, t = _both(spark, sf)
     third = t.withColumn("x1", F.col("x1") + 3).withColumn("x2", F.col("x2") + 3)
-    e1 = op.match_greedy(c, t).selectExpr("c_id * 4 AS a", "t_id * 4 + 1 AS b")
-    e2 = op.match_greedy(t, third).selectExpr("c_id * 4 + 1 AS a", "t_id * 4 + 2 AS b")
-    return components(e1.unionByName(e2)).selectExpr("root AS object_id", "node DIV 4 AS det_id", "node % 4 AS camera")
+    return op.chain_cameras([c, t, third])
 
 
 @query("tube_iou", with_views(f"SELECT seq_id, c_track_id, t_track_id, frames, round(mean_iou, 9) AS mean_iou FROM (SELECT c.seq_id, c.track_id AS c_track_id, t.track_id AS t_track_id, count(*) AS frames, avg({IOU}) AS mean_iou FROM computed c JOIN truth t ON c.seq_id = t.seq_id AND c.frame_id = t.frame_id GROUP BY ALL HAVING count(*) >= 3 AND avg({IOU}) > 0)"))
@@ -217,12 +214,7 @@ def chip_truth(spark, sf):
 @query("region_groups")
 def region_groups(spark, sf):
     """Overlap-connected boxes of frames with more than four of them, as one hull per group."""
-    t = _both(spark, sf)[1]
-    many = t.groupBy("seq_id", "frame_id").count().where("count > 4").drop("count")
-    t = t.join(many, ["seq_id", "frame_id"], "left_semi")
-    groups = components(op.overlapping_pairs(t).selectExpr("c_det_id AS a", "t_det_id AS b"))
-    j = t.join(groups, t["det_id"] == groups["node"], "left").withColumn("grp", F.coalesce("root", "det_id"))
-    return j.groupBy("seq_id", "frame_id", "grp").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"))
+    return op.region_groups(_both(spark, sf)[1], 4)
 
 
 @query(
@@ -238,18 +230,19 @@ def desc_label_overlap(spark, sf):
 @query("desc_lookup", with_views("SELECT q.uid, video, len(vec)::BIGINT AS n FROM (SELECT CAST(event_id AS VARCHAR) AS uid FROM events WHERE event_id % 3 = 0) q LEFT JOIN descriptors USING (uid)"))
 def desc_lookup(spark, sf):
     q = view(spark, sf, "events").where("event_id % 3 = 0").selectExpr("CAST(event_id AS STRING) AS uid")
-    return q.join(view(spark, sf, "descriptors"), "uid", "left").selectExpr("uid", "video", "CAST(CASE WHEN vec IS NOT NULL THEN size(vec) END AS LONG) AS n")
+    return search.lookup(q, view(spark, sf, "descriptors")).selectExpr("uid", "video", "CAST(CASE WHEN vec IS NOT NULL THEN size(vec) END AS LONG) AS n")
 
 
-@query("desc_attach", with_views("SELECT c.seq_id, c.track_id, c.frame_id, d.uid, round(d.vec[1]::DOUBLE, 6) AS v0 FROM computed c JOIN (SELECT uid, vec FROM descriptors) d ON d.uid = CAST(c.det_id % 1000 AS VARCHAR)"))
+@query("desc_attach", with_views("SELECT c.seq_id, c.track_id, c.frame_id, d.uid, len(d.vec) AS n, round(list_sum(d.vec::DOUBLE[]), 6) AS total FROM computed c JOIN (SELECT uid, vec FROM descriptors) d ON d.uid = CAST(c.det_id % 1000 AS VARCHAR)"))
 def desc_attach(spark, sf):
     m = view(spark, sf, "computed").select("seq_id", "track_id", "frame_id", (F.col("det_id") % 1000).cast("string").alias("uid"))
-    return m.join(view(spark, sf, "descriptors"), "uid").select("seq_id", "track_id", "frame_id", "uid", F.round(F.col("vec")[0].cast("double"), 6).alias("v0"))
+    vec = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x)
+    return search.attach(m, view(spark, sf, "descriptors")).select("seq_id", "track_id", "frame_id", "uid", F.size("vec").cast("long").alias("n"), F.round(vec, 6).alias("total"))
 
 
 @query("td_history", with_views("SELECT seq_id, track_id, string_agg(frame_id::VARCHAR || ':' || x1::INT, ' ' ORDER BY frame_id, det_id) AS history, count(*) AS n FROM computed GROUP BY seq_id, track_id"))
 def td_history(spark, sf):
-    h = view(spark, sf, "computed").groupBy("seq_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "det_id", F.round("x1").cast("int").alias("x")))).alias("h"), F.count("*").alias("n"))
+    h = search.histories(view(spark, sf, "computed").withColumn("x", F.round("x1").cast("int")), "x")
     return h.select("seq_id", "track_id", F.array_join(F.transform("h", lambda s: F.concat(s["frame_id"], F.lit(":"), s["x"])), " ").alias("history"), "n")
 
 
@@ -290,9 +283,9 @@ def inter_object_overlap(spark, sf):
 @query("link_flightlog", with_views("SELECT i.site, i.frame, l.v AS alt, CASE WHEN l.v IS NULL THEN 'default' ELSE 'log' END AS src FROM (SELECT DISTINCT site, frame, time_utc FROM images) i LEFT JOIN (SELECT event_id AS frame, CAST(ts AS DATE) AS day, max(value) AS v FROM events WHERE event_id % 4 <> 0 GROUP BY ALL) l ON i.frame = l.frame AND CAST(i.time_utc AS DATE) = l.day"))
 def link_flightlog(spark, sf):
     """Images to log rows of the same day by frame number; without one the default."""
-    log = view(spark, sf, "events").where("event_id % 4 <> 0").groupBy(F.col("event_id").alias("frame"), F.to_date("ts").alias("day")).agg(F.max("value").alias("alt"))
+    log = view(spark, sf, "events").where("event_id % 4 <> 0").select(F.col("event_id").alias("frame"), F.to_date("ts").alias("day"), F.col("value").alias("alt"))
     i = view(spark, sf, "images").select("site", "frame", F.to_date("time_utc").alias("day"), "time_utc").distinct()
-    return i.join(log, ["frame", "day"], "left").select("site", "frame", "alt", F.when(F.col("alt").isNull(), "default").otherwise("log").alias("src"))
+    return survey.link_flightlog(i, log, ["alt"]).select("site", "frame", "alt", "src")
 
 
 @query("link_imagelog")

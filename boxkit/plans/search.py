@@ -181,18 +181,15 @@ def apply_category_models(spark, sf):
 
 @query("query_threshold", f"SELECT uid, round(score, 6) AS score FROM {_SC} WHERE score >= 0.9")
 def query_threshold(spark, sf):
-    return _scores(spark, sf).where("score >= 0.9").select("uid", F.round("score", 6).alias("score"))
+    return op.above(_scores(spark, sf), 0.9).select("uid", F.round("score", 6).alias("score"))
 
 
 @query("io_query_results_write", with_views("WITH r AS (SELECT uid, row_number() OVER (ORDER BY uid::BIGINT) - 1 AS track_id FROM descriptors WHERE uid::BIGINT % 50 = 0) SELECT r.track_id, c.frame_id, c.det_id, round(1.0 - r.track_id / 1000.0, 6) AS conf FROM r JOIN computed c ON (c.det_id // 10) % 1000 = r.uid::BIGINT"))
 def io_query_results_write(spark, sf):
     """Results as tracks: new ids by rank, relevancy as confidence, boxes from the history."""
-    from pyspark.sql.window import Window
-
-    r = _v(spark, sf).where("CAST(uid AS LONG) % 50 = 0").select(F.col("uid").cast("long").alias("uid"))
-    r = r.withColumn("track_id", F.row_number().over(Window.orderBy("uid")) - 1)  # one row per result
+    r = _v(spark, sf).where("CAST(uid AS LONG) % 50 = 0").select(F.col("uid").cast("long").alias("uid")).withColumn("rank", F.col("uid") / 50 + 1).withColumn("score", 1.0 - (F.col("rank") - 1) / 1000)
     c = view(spark, sf, "computed").select(F.expr("det_id DIV 10 % 1000").alias("uid"), "frame_id", "det_id")
-    return c.join(r, "uid").select("track_id", "frame_id", "det_id", F.round(1.0 - F.col("track_id") / 1000, 6).alias("conf"))
+    return op.results_as_tracks(r, c).select("track_id", "frame_id", "det_id", F.round("conf", 6).alias("conf"))
 
 
 @query("itq_fit")

@@ -90,12 +90,7 @@ def _trainers(spark, sf):
 @query("detector_quality")
 def detector_quality(spark, sf):
     """Confidences of matched and unmatched boxes, centre error and scale error of matches, lengths of miss runs."""
-    c, t = _c(spark, sf), view(spark, sf, "truth")
-    mm = scoring.matched_boxes(c, t)
-    err = mm.groupBy("seq_id").agg(F.avg("c_conf").alias("matched_conf"), F.avg(F.sqrt(F.pow(F.expr("(c_x1 + c_x2 - t_x1 - t_x2) / 2"), 2) + F.pow(F.expr("(c_y1 + c_y2 - t_y1 - t_y2) / 2"), 2)) / F.expr("t_y2 - t_y1")).alias("centre_error"), F.avg(F.abs(F.expr("(c_x2 - c_x1) / (t_x2 - t_x1) - 1"))).alias("scale_error"))
-    un = m.unmatched(c, mm, "c_id").groupBy("seq_id").agg(F.avg("conf").alias("unmatched_conf"))
-    miss = scoring.runs(scoring.status(t, mm, "t"), "track_id").where("matched = 0").groupBy("seq_id").agg(F.avg("states").alias("miss_run"))
-    return err.join(un, "seq_id", "left").join(miss, "seq_id", "left")
+    return scoring.detector_quality(_c(spark, sf), view(spark, sf, "truth"))
 
 
 @query("track_buffer_fit")
