@@ -30,7 +30,7 @@ def at_ranks(df: DataFrame, value: Column, ranks: dict, keys: list[str], few: in
     first = stored(d.groupBy(*keys).agg(*ends) if keys else d.agg(*ends).where("n > 0"), "extents")
     names = F.array(*(F.struct(F.lit(k).alias("pick"), f(F.col("n")).cast("long").alias("r")) for k, f in ranks.items()))
     want = first.select(*keys, "n", "lo", "hi", F.inline(names))
-    if first.agg(F.max("n")).first()[0] is not None and first.agg(F.max("n")).first()[0] <= few:
+    if (first.agg(F.max("n")).first()[0] or 0) <= few:
         lists = d.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("s"))  # few values of a key
         return lists.select(*keys, *(F.get("s", f(F.size("s").cast("long")).cast("int")).alias(k) for k, f in ranks.items()))
     done = None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import box
+from ..shared import stored
 from .quantiles import by_index
 
 TRACK = ["seq_id", "track_id"]
@@ -65,6 +66,7 @@ def ranked_frames(df: DataFrame, most: int) -> DataFrame:
 
 def det_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest, largest, mean and indexed percentiles of width, height and area, and counts of size bins."""
+    df = stored(df.select(*keys, *box.names()), "boxes")  # read once for each statistic and pass
     base = df.groupBy(*keys).agg(
         F.count("*").alias("n"),
         *(f(e).alias(f"{k}_{name}") for k, e in (("width", box.width()), ("height", box.height()), ("area", box.area())) for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg))),
