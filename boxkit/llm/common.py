@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..shared import shared_dir
 
@@ -124,6 +125,28 @@ def with_row_id(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.monotonically_increasing_id().alias("_rid"))
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows with whole numbers for doc_id, in the order of the ids, and the table that named() gives them back with.
+
+    Ids that are whole numbers stay and need no table; others, of any type that can be sorted, are numbered once.
+    """
+    if isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        return rows.withColumn("doc_id", F.col("doc_id").cast("long")), None
+    ids = rows.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().orderBy("_id")
+    # numbers of sorted rows rise from one partition to the next
+    ids = saved(ids.select("_id", F.monotonically_increasing_id().alias("_number")), "id-numbers")
+    others = [c for c in rows.columns if c != "doc_id"]
+    return rows.join(ids, F.col("doc_id") == F.col("_id"), "left").select(F.col("_number").alias("doc_id"), *others), ids
+
+
+def named(out: DataFrame, ids: DataFrame | None, *columns: str) -> DataFrame:
+    """out with the ids for the numbers in these columns."""
+    for c in columns if ids is not None else ():
+        of = ids.select(F.col("_number").alias(f"_number_{c}"), F.col("_id").alias(f"_id_{c}"))
+        out = out.join(of, F.col(c) == F.col(f"_number_{c}"), "left").withColumn(c, F.col(f"_id_{c}")).drop(f"_number_{c}", f"_id_{c}")
+    return out
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: a lineage cut that survives lost executors."""
     spark = df.sparkSession

@@ -71,7 +71,7 @@ def _more(n):
 def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """_rid, doc_id, n_shingles and component_id of every document, linked where 100 * common >= percent * union."""
     spark, buckets = docs.sparkSession, C.n_buckets(docs.sparkSession)
-    rows = C.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, ids_of = C.numbered(C.with_row_id(docs, "doc_id", "text"))
 
     def send_prefixes(batches):
         sender = Sender(buckets, False, "tokens")
@@ -137,7 +137,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
     # documents without a set that could link are their own class
     rows = every.select("_rid", "doc_id", "n", *(F.col("prints")[k].alias(f"p{k}") for k in (0, 1)))
     out = rows.join(of_key, ["n", "p0", "p1"], "left").select("_rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", -1 - F.col("_rid")).alias("root"))
-    out = C.saved(out, "linked-documents")
+    out = C.saved(C.named(out, ids_of, "doc_id", "component_id"), "linked-documents")
     C.drop(every, reps, star, classes, grouped, merged, named, names, of_key)
     return out
 
@@ -255,7 +255,7 @@ def _apart(pairs: DataFrame, united: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without those that a component has a smaller doc_id (or earlier row) for."""
     linked = links(docs, size, percent).where("root >= 0")
-    first = linked.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_rid")).getField("_rid").alias("first"))
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).getField("_rid").alias("first"))
     gone = linked.join(first, "root").where("_rid <> first").select("_rid")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
     return rows.join(gone, "_rid", "left_anti").select("_row.*")

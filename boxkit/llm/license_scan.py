@@ -196,7 +196,7 @@ class Scanner:
         return base, found
 
 
-SCHEMA = "doc_id long, n_words long, base array<struct<word: int, label: string>>, matched array<struct<label: string, first: int, end: int, fixed: int>>"
+SCHEMA = "n_words long, base array<struct<word: int, label: string>>, matched array<struct<label: string, first: int, end: int, fixed: int>>"
 _BASE = pa.list_(pa.struct([("word", pa.int32()), ("label", pa.string())]))
 _MATCHED = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("fixed", pa.int32())]))
 
@@ -223,7 +223,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
                     names=["doc_id", "n_words", "base", "matched"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

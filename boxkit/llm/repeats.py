@@ -199,11 +199,11 @@ _DDL = "array<struct<start: int, end: int>>"
 def remove_repeats(docs: DataFrame, finder: Finder, texts: bool = False) -> DataFrame:
     """doc_id, n_units, n_removed, spans (of units removed), kept_sha256, and with texts also kept (binary).
 
-    docs: doc_id (long) and text. Rows are told apart by place, so null and
-    repeated ids are safe; a null id counts as larger than all others.
+    docs: doc_id (of any type that can be sorted) and text. Rows are told apart by
+    place, so null and repeated ids are safe; a null id counts as larger than all others.
     """
     spark, buckets, w = docs.sparkSession, C.n_buckets(docs.sparkSession), finder.window
-    rows = C.with_row_id(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, ids_of = C.numbered(C.with_row_id(docs, "doc_id", "text"))
     out_kind = ", kept binary" if texts else ""
     final_ddl = f"doc_id long, n_units long, n_removed long, spans {_DDL}, kept_sha256 string{out_kind}"
     final_names = ["doc_id", "n_units", "n_removed", "spans", "kept_sha256"] + ["kept"] * texts
@@ -317,4 +317,4 @@ def remove_repeats(docs: DataFrame, finder: Finder, texts: bool = False) -> Data
     joined = rows.join(info.hint("shuffle_hash"), rows["_rid"] == info["srid"], "left").drop("srid")
     windows = joined.mapInArrow(list_windows, EXCHANGE).groupBy("part").applyInArrow(meet(buckets, finder.earlier_only, "windows"), TO_DOCS)
     more = to_documents(windows).selectExpr("srid", "at AS more_at", "n AS more_n")
-    return joined.join(more.hint("shuffle_hash"), F.col("_rid") == F.col("srid"), "left").drop("srid").mapInArrow(close, final_ddl)
+    return C.named(joined.join(more.hint("shuffle_hash"), F.col("_rid") == F.col("srid"), "left").drop("srid").mapInArrow(close, final_ddl), ids_of, "doc_id")
