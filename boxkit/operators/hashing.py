@@ -5,7 +5,8 @@ in at most m * (s + 1) - 1 bits have one part that differs in at most s, so all
 them are met by looking up the parts of a query with up to s bits turned. Rounds
 turn one bit more for those queries only that haven't got their n nearest codes
 within the radius that is covered; what is found is exact. Where a round would look
-up more parts than there are codes, the queries left are compared with all of them.
+up more parts than there are codes, or where comparing all pairs is less work than the
+jobs of a round, the queries left are compared with all codes.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql.window import Window
 from ..shared import stored
 
 BITS, LEAST_PART, MOST_PART = 64, 6, 20
+#: Pairs that are compared in about the time that Spark needs for the jobs of a round.
+FEW_PAIRS = 50_000_000
+#: Queries (a number and an id each) that are sent to all tasks at once.
+MOST_SENT = 100_000
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -56,7 +61,7 @@ def _closest(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def nearest_codes(index: DataFrame, cut: list[tuple[int, int]], queries: DataFrame, n: int, counted: list | None = None) -> DataFrame:
+def nearest_codes(index: DataFrame, cut: list[tuple[int, int]], queries: DataFrame, n: int, counted: list | None = None, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """query_id, code, distance and rank of the n nearest distinct codes of each query (query_id, qcode), ties by code.
 
     index: part, sub and code, as sub_codes() gives them. counted, if given, gets the number of pairs that each round compared.
@@ -66,8 +71,8 @@ def nearest_codes(index: DataFrame, cut: list[tuple[int, int]], queries: DataFra
     total, open_, out, seen = codes.count(), stored(queries.select("query_id", "qcode"), "queries"), [], None
     for turned in range(max(w for _, w in cut) + 1):
         looks = sum(math.comb(w, turned) for _, w in cut)
-        if looks > total:
-            pairs = codes.join(open_).select("query_id", "code", distance(F.col("code"), F.col("qcode")).alias("distance"))
+        if looks > total or total * open_.count() <= few_pairs:
+            pairs = codes.join(F.broadcast(open_) if open_.count() <= MOST_SENT else open_).select("query_id", "code", distance(F.col("code"), F.col("qcode")).alias("distance"))
             if counted is not None:
                 counted.append(total * open_.count())
             out.append(_closest(pairs, n))
@@ -125,7 +130,7 @@ def add_to_index(codes: DataFrame, path: str) -> None:
     new.write.mode("append").parquet(f"{path}/codes")
 
 
-def search_index(spark: SparkSession, path: str, queries: DataFrame, n: int, counted: list | None = None) -> DataFrame:
+def search_index(spark: SparkSession, path: str, queries: DataFrame, n: int, counted: list | None = None, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """query_id, uid, code, distance and rank of all uids of the n nearest codes of a stored index."""
     subs = spark.read.parquet(f"{path}/subs")
-    return nearest_codes(subs, _cut(spark, path), queries, n, counted).join(spark.read.parquet(f"{path}/codes"), "code").select("query_id", "uid", "code", "distance", "rank")
+    return nearest_codes(subs, _cut(spark, path), queries, n, counted, few_pairs).join(spark.read.parquet(f"{path}/codes"), "code").select("query_id", "uid", "code", "distance", "rank")

@@ -74,9 +74,12 @@ def det_stats(df: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if((box.area() >= 32 * 32) & (box.area() < 96 * 96)).alias("medium"),
         F.count_if(box.area() >= 96 * 96).alias("large"),
     )
-    for k, e in (("width", box.width()), ("height", box.height()), ("area", box.area())):
-        base = base.join(by_index(df, e, {f"{k}_p10": 0.1, f"{k}_median": 0.5, f"{k}_p90": 0.9}, keys), keys)
-    return base
+    # the ranks of all three in the same passes
+    measures = (("width", box.width()), ("height", box.height()), ("area", box.area()))
+    shares = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    values = df.select(*keys, F.inline(F.array(*(F.struct(F.lit(k).alias("measure"), e.cast("double").alias("v")) for k, e in measures))))
+    ranks = by_index(values, F.col("v"), shares, [*keys, "measure"])
+    return base.join(ranks.groupBy(*keys).agg(*(F.max(F.when(F.col("measure") == k, F.col(s))).alias(f"{k}_{s}") for k, _ in measures for s in shares)), keys)
 
 
 def aspect_stats(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -92,7 +92,7 @@ def hash_index_stored(spark, sf):
     hashing.write_index(c.where("CAST(uid AS LONG) % 2 = 0"), path)
     for _ in range(2):
         hashing.add_to_index(c, path)
-    return hashing.search_index(spark, path, _code_queries(c), 20).select("query_id", "uid", "code", "distance")
+    return hashing.search_index(spark, path, _code_queries(c), 20, few_pairs=0).select("query_id", "uid", "code", "distance")
 
 
 @query("knn_lsh")

@@ -33,12 +33,14 @@ def test_nearest_codes(spark, flips):
     assert sum(w for _, w in cut) == 64 and [f for f, _ in cut] == [sum(w for _, w in cut[:i]) for i in range(len(cut))]
     counted = []
     got = {}
-    for r in hashing.nearest_codes(hashing.sub_codes(df, cut), cut, queries, 15, counted).collect():
+    for r in hashing.nearest_codes(hashing.sub_codes(df, cut), cut, queries, 15, counted, few_pairs=0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.distance, r.code))
     for i, q in enumerate(asked):
         assert [(d, c) for _, d, c in sorted(got[i])] == plain_nearest(have, q, 15)
     if flips == 3:
         assert max(counted[:-1] or counted) < 0.3 * len(set(have)) * len(asked)
+    outright = hashing.nearest_codes(hashing.sub_codes(df, cut), cut, queries, 15).collect()
+    assert sorted(map(str, outright)) == sorted(map(str, hashing.nearest_codes(hashing.sub_codes(df, cut), cut, queries, 15, few_pairs=0).collect()))
     few = hashing.nearest_codes(hashing.sub_codes(df.limit(3), cut), cut, queries, 15)
     assert few.groupBy("query_id").count().select("count").distinct().collect()[0][0] == df.limit(3).select("code").distinct().count()
     assert hashing.nearest_codes(hashing.sub_codes(df.limit(0), cut), cut, queries, 5).collect() == []
