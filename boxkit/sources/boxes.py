@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 
 #: A comma outside double quotes.
 COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: A comma and the field after it, in which double quotes hide commas; linear in the length of a line.
+FIELD = r',((?:[^,"]++|"[^"]*+")*+)'
 
 
 def seq() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
+def fields(c: Column) -> Column:
+    """The fields between commas outside double quotes, as split(c, COMMA) gives them.
+
+    That looks from each comma to the end of the line, which is left to lines with an odd number of quotes.
+    """
+    quotes = F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
+    quoted = F.when(quotes % 2 == 0, F.regexp_extract_all(F.concat(F.lit(","), c), F.lit(FIELD), F.lit(1))).otherwise(F.split(c, COMMA))
+    return F.when(c.contains('"'), quoted).otherwise(F.split(c, ","))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """seq and value of all lines of the files below a path."""
     return spark.read.option("recursiveFileLookup", "true").text(path).select(seq().alias("seq"), "value")
@@ -32,22 +44,22 @@ def read_boxes(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     strict: confidence -1 becomes 1. Otherwise values stay raw, a row without class is 'unknown',
     and rows that are malformed or not finite are left out (see rejects()).
     """
-    d = lines(spark, path).where("NOT value LIKE '#%' AND trim(value) <> ''").select("seq", "value", F.split("value", COMMA).alias("f"))
-    return _fields(d.where(_well_formed()), strict)
+    d = lines(spark, path).where("NOT value LIKE '#%' AND trim(value) <> ''")
+    # a filter below explode() splits a line once; where() on the fields would split it again for each use of them
+    return _fields(d.select("seq", F.explode(F.filter(F.array(fields(F.col("value"))), _well_formed)).alias("f")), strict)
 
 
 def rejects(spark: SparkSession, path: str) -> DataFrame:
     """Lines that read_boxes() leaves out."""
-    d = lines(spark, path).where("NOT value LIKE '#%' AND trim(value) <> ''").select("seq", "value", F.split("value", COMMA).alias("f"))
-    return d.where(~_well_formed()).select("seq", "value")
+    d = lines(spark, path).where("NOT value LIKE '#%' AND trim(value) <> ''")
+    bad = F.filter(F.array(fields(F.col("value"))), lambda f: ~_well_formed(f))
+    return d.select("seq", "value", F.explode(bad)).select("seq", "value")
 
 
-def _well_formed() -> Column:
-    ok = F.size("f") >= 9
-    for i in range(3, 8):
-        v = number(F.get("f", F.lit(i)))
-        ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    return F.coalesce(ok & F.get("f", F.lit(0)).try_cast("long").isNotNull() & F.get("f", F.lit(2)).try_cast("long").isNotNull(), F.lit(False))
+def _well_formed(f: Column) -> Column:
+    finite = F.forall(F.slice(f, 4, 5), lambda x: F.coalesce(F.abs(number(x)) < float("inf"), F.lit(False)))  # NaN is above all numbers
+    whole = lambda i: F.get(f, F.lit(i)).try_cast("long").isNotNull()
+    return (F.size(f) >= 9) & whole(0) & whole(2) & finite
 
 
 def _fields(d: DataFrame, strict: bool) -> DataFrame:
