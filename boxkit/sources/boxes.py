@@ -1,7 +1,8 @@
 """Readers and writers of annotation files: a whole tree of files becomes one table.
 
-The sequence is the name of the file without extension. Lines are split inside
-Spark; no file is opened outside its readers.
+The sequence is that of the folder seq_name=... as writers name it, else the name
+of the file without extension. Lines are split inside Spark; no file is opened
+outside its readers.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ FIELD = r',((?:[^,"]++|"[^"]*+")*+)'
 
 
 def seq() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    path = F.col("_metadata.file_path")
+    return F.coalesce(F.nullif(F.regexp_extract(path, "/seq_name=([^/]+)/", 1), F.lit("")), F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
 
 
 def fields(c: Column) -> Column:
@@ -127,10 +129,10 @@ def write_boxes(df: DataFrame, path: str, fps: float | None = None, top: int = 0
 
 
 def header_fps(spark: SparkSession, path: str) -> DataFrame:
-    """The frame rate in each file's comments, null (unlisted) where there is none."""
-    d = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    """file, seq and the frame rate in each file's comments, null (unlisted) where there is none."""
+    d = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), seq().alias("seq"), "value")
     v = F.when(F.col("value").startswith("#"), F.regexp_extract("value", r"(?i)fps[:=]\s*([0-9.]+)", 1).try_cast("double"))
-    return d.groupBy("file").agg(F.max(v).alias("fps"))
+    return d.groupBy("file", "seq").agg(F.max(v).alias("fps"))
 
 
 def read_columns(spark: SparkSession, path: str, names: list[str], sep: str = " +") -> DataFrame:
