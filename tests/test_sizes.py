@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from boxkit.sources import boxes as B
+from boxkit.sources import documents as D
 
 
 def plan(df):
@@ -24,3 +25,34 @@ def test_fields_are_those_of_the_plain_split(spark):
     rows = [("".join(r.choice('ab ,,"') for _ in range(r.randint(0, 14))),) for _ in range(3000)]
     d = spark.createDataFrame(rows, "value string")
     assert d.where(~B.fields(F.col("value")).eqNullSafe(F.split("value", B.COMMA))).count() == 0
+
+
+def boxes(spark, frames, seqs=2):
+    d = spark.range(frames * seqs).selectExpr(f"concat('clip', id % {seqs}) AS seq", "id AS det_id", "id AS track_id", f"id DIV {seqs} AS frame_id", "1.0D AS x1", "2.0D AS y1", "11.0D AS x2", "12.0D AS y2", "0.5D AS conf", "-1.0D AS length", "'A' AS cls")
+    return d.select("*", F.concat(F.lit("img"), "frame_id").alias("frame_name"), F.expr("array(named_struct('name', cls, 'score', conf))").alias("scores"), F.create_map(F.lit("k"), F.lit("v")).alias("attrs"))
+
+
+def test_a_long_sequence_is_several_image_tables(spark, tmp_path):
+    df = boxes(spark, 25)
+    files = D.coco_files(df, 10).selectExpr("seq", "part", "from_json(value, 'images ARRAY<STRUCT<id: BIGINT>>').images.id AS ids")
+    got = {(r.seq, r.part): r.ids for r in files.collect()}
+    assert {k: len(v) for k, v in got.items()} == {(f"clip{s}", p): n for s in range(2) for p, n in ((0, 10), (1, 10), (2, 5))}
+    assert got["clip1", 2] == list(range(21, 26))
+    D.write_coco(df, str(tmp_path / "c"), 10)
+    back = D.read_coco(spark, str(tmp_path / "c")).collect()
+    assert sorted(r.det_id for r in back) == list(range(50)) and len({r.file for r in back}) == 6
+    assert all(r.video == f"clip{r.det_id % 2}" and r.frame_id == r.det_id // 2 and r.track == f"track_{r.det_id}" for r in back)
+
+
+def test_cut_sequences_count_once(spark, tmp_path):
+    B.write_boxes(boxes(spark, 30).where("frame_id < 10"), str(tmp_path / "a"), fps=5.0)
+    B.write_boxes(boxes(spark, 30).where("frame_id >= 10"), str(tmp_path / "b"), fps=5.0)
+    d = B.header_fps(spark, str(tmp_path)).collect()
+    assert len(d) == 4 and {(r.seq, r.fps) for r in d} == {("clip0", 5.0), ("clip1", 5.0)}
+    assert {r.seq for r in B.read_boxes(spark, str(tmp_path)).select("seq").collect()} == {"clip0", "clip1"}
+
+
+def test_several_files_of_xml_below_one_folder(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.xml").write_text(f'<annotations><image id="{k}" name="i{k}"><box label="A" xtl="1" ytl="2" xbr="3" ybr="4"/></image></annotations>')
+    assert sorted((r.frame_id, r.format) for r in D.read_auto(spark, str(tmp_path)).collect()) == [(k, "cvat") for k in range(3)]
