@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import box
+from ..shared import stored
 from . import matching as m
 
 FRAME = ["seq_id", "frame_id"]
@@ -63,6 +64,15 @@ def id_events(matches: DataFrame, truth: DataFrame) -> DataFrame:
 
     Order: frame, then overlap down, then ids; "previous" is the last match before in that order.
     """
+    seen = truth.select("seq_id", "frame_id", F.col("track_id").alias("t_track_id"), F.col("det_id").alias("t_id")).join(matches.select("seq_id", "frame_id", "t_id", F.lit(1).alias("hit")), [*FRAME, "t_id"], "left")
+    per = Window.partitionBy("seq_id", "t_track_id").orderBy("frame_id", "t_id")
+    frag = seen.withColumn("before", F.lag(F.coalesce("hit", F.lit(0))).over(per)).withColumn("had", F.sum(F.coalesce("hit", F.lit(0))).over(per.rowsBetween(Window.unboundedPreceding, -1)))
+    frag = frag.withColumn("frag", (F.coalesce("hit", F.lit(0)) == 1) & (F.col("before") == 0) & (F.col("had") > 0)).groupBy("seq_id").agg(F.count_if("frag").alias("fragmentations"))
+    return frag.join(switches(matches), "seq_id", "left").fillna(0)
+
+
+def switches(matches: DataFrame) -> DataFrame:
+    """The part of id_events() that matches alone tell: id_switches, ascends and transfers of each seq_id."""
     order = ["frame_id", F.desc("iou"), "c_id", "t_id"]
     gt = Window.partitionBy("seq_id", "t_track_id").orderBy(*order)
     comp = Window.partitionBy("seq_id", "c_track_id").orderBy(*order)
@@ -70,18 +80,13 @@ def id_events(matches: DataFrame, truth: DataFrame) -> DataFrame:
     e = e.withColumn("last_c", F.lag("c_track_id").over(gt)).withColumn("last_t", F.lag("t_track_id").over(comp))
     e = e.withColumn("idsw", F.coalesce(F.col("last_c") != F.col("c_track_id"), F.lit(False))).withColumn("transfer", F.coalesce(F.col("last_t") != F.col("t_track_id"), F.lit(False)))
     e = e.withColumn("ascend", F.col("idsw") & F.col("last_t").isNotNull())
-    seen = truth.select("seq_id", "frame_id", F.col("track_id").alias("t_track_id"), F.col("det_id").alias("t_id")).join(matches.select("seq_id", "frame_id", "t_id", F.lit(1).alias("hit")), [*FRAME, "t_id"], "left")
-    per = Window.partitionBy("seq_id", "t_track_id").orderBy("frame_id", "t_id")
-    frag = seen.withColumn("before", F.lag(F.coalesce("hit", F.lit(0))).over(per)).withColumn("had", F.sum(F.coalesce("hit", F.lit(0))).over(per.rowsBetween(Window.unboundedPreceding, -1)))
-    frag = frag.withColumn("frag", (F.coalesce("hit", F.lit(0)) == 1) & (F.col("before") == 0) & (F.col("had") > 0)).groupBy("seq_id").agg(F.count_if("frag").alias("fragmentations"))
-    n = e.groupBy("seq_id").agg(F.count_if("idsw").alias("id_switches"), F.count_if("ascend").alias("ascends"), F.count_if("transfer").alias("transfers"))
-    return frag.join(n, "seq_id", "left").fillna(0)
+    return e.groupBy("seq_id").agg(F.count_if("idsw").alias("id_switches"), F.count_if("ascend").alias("ascends"), F.count_if("transfer").alias("transfers"))
 
 
-def mot(computed: DataFrame, truth: DataFrame, least: float = 0.5, matches: DataFrame | None = None) -> DataFrame:
-    """MOTA, MOTP (mean overlap), switches and fragmentations per sequence."""
+def mot(computed: DataFrame, truth: DataFrame, least: float = 0.5, matches: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """MOTA, MOTP (mean overlap), switches and fragmentations per sequence; events: those of id_events() or switches() where they are known."""
     matches = matched_boxes(computed, truth, least) if matches is None else matches
-    c = counts(computed, truth, matches, ["seq_id"]).join(id_events(matches, truth), "seq_id", "left").fillna(0)
+    c = counts(computed, truth, matches, ["seq_id"]).join(id_events(matches, truth) if events is None else events, "seq_id", "left").fillna(0)
     p = matches.groupBy("seq_id").agg(F.avg("iou").alias("motp"))
     return c.join(p, "seq_id", "left").withColumn("mota", F.when(F.col("n_truth") > 0, 1 - (F.col("fn") + F.col("fp") + F.col("id_switches")) / F.col("n_truth")).otherwise(0.0))
 
@@ -260,15 +265,32 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def sweep_matches(computed: DataFrame, truth: DataFrame, interval: int, least: float) -> DataFrame:
+    """step, FRAME, c_id, t_id, iou, c_track_id and t_track_id: the greedy matches of boxes of conf >= step / interval, for each step.
+
+    Boxes are joined once; the pairs of a frame are gathered once and chosen from for each step.
+    """
+    pair = F.struct((-F.col("iou")).alias("niou"), F.col("c_det_id").alias("c_id"), F.col("t_det_id").alias("t_id"), F.col("c_track_id"), F.col("t_track_id"), F.col("c_conf").alias("conf"))
+    slim = lambda df, *more: df.select(*FRAME, "det_id", "track_id", *box.names(), *more)
+    cand = m.iou_join(slim(computed, "conf"), slim(truth), least).groupBy(*FRAME).agg(F.sort_array(F.collect_list(pair)).alias("cand"))
+    cand = cand.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(interval - 1))))
+    taken = "CAST(array() AS ARRAY<STRUCT<c_id: BIGINT, t_id: BIGINT, iou: DOUBLE, c_track_id: BIGINT, t_track_id: BIGINT>>)"
+    fold = f"""inline(aggregate(filter(cand, x -> x.conf >= step / {float(interval)}D), {taken}, (acc, x) -> CASE WHEN exists(acc, m -> m.c_id = x.c_id OR m.t_id = x.t_id)
+             THEN acc ELSE concat(acc, array(struct(x.c_id AS c_id, x.t_id AS t_id, -x.niou AS iou, x.c_track_id AS c_track_id, x.t_track_id AS t_track_id))) END))"""
+    return cand.selectExpr("step", *FRAME, fold)
+
+
 def threshold_sweep(computed: DataFrame, truth: DataFrame, interval: int = 10, least: float = 0.5) -> DataFrame:
     """MOTA and IDF1 at confidence thresholds i / interval, per sequence; the thresholds are a key of one job."""
     ts = F.broadcast(computed.sparkSession.range(interval).selectExpr("id AS step", f"id / {float(interval)}D AS threshold"))
     # sequences of different thresholds are kept apart by a widened key
     wide = lambda df: df.withColumn("seq_id", F.col("seq_id") * interval + F.col("step"))
-    c = wide(computed.join(ts, F.col("conf") >= F.col("threshold"))).drop("step", "threshold")
-    t = wide(truth.crossJoin(ts)).drop("step", "threshold")  # interval rows for each truth row
-    mm = matched_boxes(c, t, least)
-    out = mot(c, t, least, mm).join(idf1(c, t, mm).select("seq_id", "idf1"), "seq_id")
+    matches = stored(sweep_matches(computed, truth, interval, least), "matches")
+    # only counted, before any exchange
+    c = wide(computed.select("seq_id", "conf").join(ts, F.col("conf") >= F.col("threshold"))).select("seq_id")
+    t = wide(truth.select("seq_id").crossJoin(ts)).select("seq_id")
+    mm = wide(matches).drop("step")
+    out = mot(c, t, least, mm, switches(mm)).join(idf1(c, t, mm).select("seq_id", "idf1"), "seq_id")
     return out.select(F.expr(f"seq_id DIV {interval}").alias("seq_id"), ((F.col("seq_id") % interval) / interval).alias("threshold"), "mota", "idf1")
 
 

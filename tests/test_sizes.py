@@ -4,6 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from boxkit.operators import matching, scoring
+from boxkit.plans import QUERIES
+from boxkit.plans.views import view
 from boxkit.sources import boxes as B
 from boxkit.sources import documents as D
 
@@ -56,3 +59,21 @@ def test_several_files_of_xml_below_one_folder(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"{k}.xml").write_text(f'<annotations><image id="{k}" name="i{k}"><box label="A" xtl="1" ytl="2" xbr="3" ybr="4"/></image></annotations>')
     assert sorted((r.frame_id, r.format) for r in D.read_auto(spark, str(tmp_path)).collect()) == [(k, "cvat") for k in range(3)]
+
+
+def test_sweep_chooses_as_each_threshold_would(spark, sf):
+    """One gathering of pairs gives the matches that a matching of the boxes left at each threshold gives."""
+    keep = ["seq_id", "frame_id", "det_id", "track_id", "x1", "y1", "x2", "y2", "conf", "cls"]
+    c, t = view(spark, sf, "computed").where("frame_id < 60").select(*keep), view(spark, sf, "truth").where("frame_id < 60").select(*keep)
+    got = scoring.sweep_matches(c, t, 4, 0.3).select("step", "seq_id", "frame_id", "c_id", "t_id").collect()
+    for k in range(4):
+        one = matching.match_greedy(c.where(F.col("conf") >= k / 4), t, 0.3).select("seq_id", "frame_id", "c_id", "t_id").collect()
+        assert sorted(tuple(r) for r in one) == sorted(tuple(r)[1:] for r in got if r.step == k) and one
+
+
+def test_user_code_gets_stretches_of_frames(spark, sf):
+    assert "stretch" in plan(QUERIES["udf_frame"](spark, sf))
+
+
+def test_samples_of_rescoring_are_written_once(spark, sf):
+    assert "Join" not in plan(QUERIES["rescore_fit"](spark, sf))
