@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import fusion as op
 from ..operators import matching as m
 from ..registry import query
+from ..shared import stored
 from .joins import INTER, IOU
 from .views import view, with_views
 
@@ -119,7 +120,8 @@ def calibrate_apply(spark, sf):
 
 @query("rescore_fit")
 def rescore_fit(spark, sf):
-    s = _samples(spark, sf).withColumn("area", F.expr("(x2 - x1) * (y2 - y1) / 1000"))
+    # written once: it is counted, fitted and scored
+    s = stored(_samples(spark, sf).select("det_id", "conf", F.expr("(x2 - x1) * (y2 - y1) / 1000").alias("area"), "hit"), "samples")
     w = op.rescore_fit(s, ["conf", "area"])
     return op.rescore_apply(s, ["conf", "area"], w).select("det_id", "score")
 
