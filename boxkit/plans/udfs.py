@@ -23,10 +23,12 @@ def udf_row(spark, sf):
 
 @query("udf_frame", with_views("SELECT seq_id, frame_id, det_id, conf - min(conf) OVER (PARTITION BY seq_id, frame_id) AS lead FROM computed"))
 def udf_frame(spark, sf):
+    """User code gets the whole frames of a stretch at once: a call for each frame costs more than its work."""
+
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(lead=pdf.conf - pdf.conf.min())[["seq_id", "frame_id", "det_id", "lead"]]
+        return pdf.assign(lead=pdf.conf - pdf.groupby("frame_id").conf.transform("min"))[["seq_id", "frame_id", "det_id", "lead"]]
 
-    return view(spark, sf, "computed").select("seq_id", "frame_id", "det_id", "conf").groupBy("seq_id", "frame_id").applyInPandas(score, "seq_id long, frame_id long, det_id long, lead double")
+    return view(spark, sf, "computed").select("seq_id", "frame_id", "det_id", "conf").groupBy("seq_id", F.floor(F.col("frame_id") / 500).alias("stretch")).applyInPandas(score, "seq_id long, frame_id long, det_id long, lead double")
 
 
 @query("udaf_metric", with_views("SELECT seq_id, round(max(conf) - min(conf), 6) AS spread FROM computed GROUP BY seq_id"))
