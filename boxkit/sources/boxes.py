@@ -137,8 +137,11 @@ def header_fps(spark: SparkSession, path: str) -> DataFrame:
 
 def read_columns(spark: SparkSession, path: str, names: list[str], sep: str = " +") -> DataFrame:
     """Lines of separated columns, by name; comments are skipped. For fixed layouts such as the 19 columns of track files."""
-    d = lines(spark, path).where("NOT value LIKE '#%' AND trim(value) <> ''").select("seq", F.split(F.trim("value"), sep).alias("f"))
-    return d.where(F.size("f") >= len(names)).select("seq", *(F.col("f")[i].alias(n) for i, n in enumerate(names)))
+    d = lines(spark, path).where("NOT value LIKE '#%' AND trim(value) <> ''")
+    # for blanks a plain split, since a pattern is compiled for each line; split once, as in read_boxes()
+    f = F.filter(F.split(F.trim("value"), " "), lambda x: x != "") if sep == " +" else F.split(F.trim("value"), sep)
+    d = d.select("seq", F.explode(F.filter(F.array(f), lambda f: F.size(f) >= len(names))).alias("f"))
+    return d.select("seq", *(F.col("f")[i].alias(n) for i, n in enumerate(names)))
 
 
 #: The columns of the 19-column track layout.
