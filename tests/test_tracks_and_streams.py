@@ -1,6 +1,7 @@
 """Fusion, tracks and streams on small tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -171,3 +172,23 @@ def test_tracker_is_the_filter_written_out():
             tr.restore(counters, rows)
     z = np.c_[(boxes[:, :2] + boxes[:, 2:]) / 2, (boxes[:, 2] - boxes[:, 0]) / (boxes[:, 3] - boxes[:, 1]), boxes[:, 3] - boxes[:, 1]]
     assert np.allclose(tr.mean[0].ravel(), plain_filter(z, 12)) and tr.ids.tolist() == [1]
+
+
+def test_files_arrive_in_order(spark, tmp_path):
+    """A stream takes files by the time of their writing, so each range is written after the one before it."""
+    d = spark.range(40_000).selectExpr("id", "cast((id * 7919) % 40000 AS double) AS arrival", "map('k', id) AS m").repartition(8)
+    streams.staged(d, "arrival", str(tmp_path / "in"), 4, 1000)
+    files = spark.read.parquet(str(tmp_path / "in")).groupBy("_metadata.file_modification_time", "_metadata.file_path").agg(F.min("arrival").alias("lo"), F.max("arrival").alias("hi"), F.count("*").alias("n")).orderBy("file_modification_time").collect()
+    assert sum(r.n for r in files) == 40_000 and len(files) >= 40 and max(r.n for r in files) < 1100
+    assert len({r.file_modification_time for r in files}) == len(files)
+    assert all(a.hi <= b.lo for a, b in zip(files, files[1:]))
+
+
+def test_rows_wait_packed(spark):
+    """Rows go through a pack as they are, whatever columns hold nulls."""
+    from boxkit.streaming.ordered import _packed, _unpacked
+
+    a, b = pd.DataFrame({"at_ms": [1, 2], "v": [None, 0.5], "t": [None, None], "x": [np.array([1.0, 2.0]), None]}), pd.DataFrame({"at_ms": [3], "v": [1.5], "t": ["a"], "x": [np.array([3.0])]})
+    got = _unpacked([_packed(a), _packed(b)])
+    assert got.at_ms.tolist() == [1, 2, 3] and got.at_ms.dtype == "int64" and np.isnan(got.v[0]) and got.v.tolist()[1:] == [0.5, 1.5]
+    assert got.t[0] is None and got.t[2] == "a" and got.x[0].tolist() == [1.0, 2.0] and got.x[1] is None
