@@ -192,3 +192,36 @@ def test_rows_wait_packed(spark):
     got = _unpacked([_packed(a), _packed(b)])
     assert got.at_ms.tolist() == [1, 2, 3] and got.at_ms.dtype == "int64" and np.isnan(got.v[0]) and got.v.tolist()[1:] == [0.5, 1.5]
     assert got.t[0] is None and got.t[2] == "a" and got.x[0].tolist() == [1.0, 2.0] and got.x[1] is None
+
+
+@pytest.mark.parametrize("how", [{}, {"direction": 0.2, "appearance": 0.3}, {"gate": 0.0, "buffer": 2}, {"new": 0.3, "high": 0.5}])
+def test_tracker_on_plain_numbers_is_the_one_on_arrays(how):
+    r = np.random.default_rng(3)
+    frames = np.sort(r.integers(0, 300, 1500))
+    frames[frames > 200] += 7
+    frames = np.append(frames, np.full(70, 310))  # a frame that arrays handle
+    at = r.integers(0, 60, (len(frames), 2)).astype(float)
+    boxes, conf = np.c_[at, at + r.integers(5, 40, at.shape)], r.integers(0, 10, len(frames)) / 10
+    vecs = r.normal(size=(len(frames), 8)) if how.get("appearance") else None
+    if vecs is not None:
+        vecs /= np.linalg.norm(vecs, axis=1)[:, None]
+    part = lambda lo, hi: (boxes[lo:hi], conf[lo:hi], None if vecs is None else vecs[lo:hi])
+    ends = np.append(np.flatnonzero(np.diff(frames)) + 1, len(frames)).tolist()
+    a, b = tracks.Tracker(**how), tracks.Tracker(**how)
+    want = np.concatenate([a.step(int(frames[lo]), *part(lo, hi)) for lo, hi in zip([0, *ends[:-1]], ends)])
+    got = np.concatenate([b.run(frames[lo:hi], *part(lo, hi)) for lo, hi in ((0, ends[90]), (ends[90], len(frames)))])
+    assert got.tolist() == want.tolist() and np.allclose(a.mean, b.mean) and np.allclose(a.variance, b.variance)
+
+
+def test_a_sequence_is_not_one_group_of_python(spark):
+    """The tracker goes on from batch to batch, through a frame that two batches share."""
+    rows = [box(f * 3 + k, 5 * f + 300 * k, 0.9, f=f) for f in range(40) for k in range(3)]
+    d = spark.createDataFrame(rows, BOXES)
+    want = sorted(map(tuple, tracks.link_two_stage(d).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        linked = tracks.link_two_stage(d)
+        got = sorted(map(tuple, linked.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and {r[3] for r in got} == {1, 2, 3}
