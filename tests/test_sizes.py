@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from boxkit.operators import matching, scoring
+from boxkit.operators import footprints, matching, scoring
 from boxkit.plans import QUERIES
 from boxkit.plans.views import view
 from boxkit.sources import boxes as B
@@ -77,3 +77,11 @@ def test_user_code_gets_stretches_of_frames(spark, sf):
 
 def test_samples_of_rescoring_are_written_once(spark, sf):
     assert "Join" not in plan(QUERIES["rescore_fit"](spark, sf))
+
+
+def test_a_frame_is_a_row_for_few_cells(spark):
+    """Cells are about half as wide as a footprint, so the index stays near the number of frames."""
+    f = spark.range(40).selectExpr("0L AS seq_id", "id AS frame_id", "0L AS camera", "id DIV 10 AS reference", "array(1D, 0D, 180D * (id % 10), 0D, 1D, 0D, 0D, 0D, 1D) AS h", "300D AS width", "200D AS height", "'n' AS name")
+    frames = footprints._prepared(f)
+    index = footprints.covered_cells(frames, footprints.cell_size(frames))
+    assert 40 <= index.count() <= 40 * 16 and index.where("full").count()
