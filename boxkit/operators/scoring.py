@@ -194,26 +194,58 @@ def average_precision(computed: DataFrame, truth: DataFrame, least: float = 0.5,
 
 def area_under(d: DataFrame, n: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_truth and ap of detections (keys, conf, det_id, tp) and numbers of truth boxes (keys, n_truth)."""
-    r = running(d, keys).withColumn("_p", F.col("hits") / F.col("n"))
-    # the best precision at or below each row: within its band, and of the bands below
+    r = running(d, keys).where("tp = 1").withColumn("_p", F.col("hits") / F.col("n"))
+    # the best precision at or below each hit, which a hit has: within its band, and of the bands below
     peak = r.groupBy(*keys, "band").agg(F.max("_p").alias("peak"))
     below = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     peak = peak.withColumn("rest", F.coalesce(F.max("peak").over(below), F.lit(0.0))).drop("peak")
     w = Window.partitionBy(*keys, "band").orderBy("conf", F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("env", F.max("_p").over(w)).join(peak, [*keys, "band"]).withColumn("env", F.greatest("env", "rest"))
-    s = r.where("tp = 1").groupBy(*keys).agg(F.sum("env").alias("s"))
+    s = r.groupBy(*keys).agg(F.sum("env").alias("s"))
     return n.join(s, keys, "left").select(*keys, "n_truth", (F.coalesce("s", F.lit(0.0)) / F.col("n_truth")).alias("ap"))
 
 
+def threshold_hits(computed: DataFrame, truth: DataFrame, least: list[float]) -> DataFrame:
+    """conf, det_id and mask of every computed box: bit i says that it is matched at the i-th of rising thresholds.
+
+    Boxes are joined once, those without a partner too, and the pairs of a frame are gathered once and chosen from for each threshold.
+    """
+    a = box.prefixed(computed.select(*FRAME, "det_id", *box.names(), "conf"), "c_", FRAME)
+    b = box.prefixed(truth.select(*FRAME, "det_id", *box.names()), "t_", FRAME)
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in FRAME] + [box.iou("c_", "t_") >= least[0]]
+    pair = F.struct((-F.col("c_conf")).alias("k"), F.col("c_det_id").alias("det_id"), (-box.iou("c_", "t_")).alias("niou"), F.col("t_det_id").alias("t_id"))
+    keys = [F.col(f"a.{k}").alias(k) for k in FRAME]
+    cand = a.alias("a").join(b.alias("b"), on, "left").groupBy(*keys).agg(F.sort_array(F.collect_list(pair)).alias("cand"))
+    taken = "CAST(array() AS ARRAY<STRUCT<k: DOUBLE, det_id: BIGINT, niou: DOUBLE, t_id: BIGINT>>)"
+    fold = f"aggregate(filter(cand, x -> -x.niou >= l), {taken}, (acc, x) -> IF(exists(acc, m -> m.det_id = x.det_id OR m.t_id = x.t_id), acc, concat(acc, array(x))))"
+    hits = f"transform(array({', '.join(f'{x!r}D' for x in least)}), (l, i) -> transform({fold}, m -> struct(m.k AS k, m.det_id AS det_id, shiftleft(1, i) AS mask)))"
+    every = "transform(cand, x -> struct(x.k AS k, x.det_id AS det_id, 0 AS mask))"
+    rows = cand.selectExpr(*FRAME, f"inline(concat({every}, flatten({hits})))")
+    return rows.groupBy(*FRAME, "det_id", "k").agg(F.bit_or("mask").alias("mask")).select((-F.col("k")).alias("conf"), "det_id", "mask")
+
+
 def ap_over_thresholds(computed: DataFrame, truth: DataFrame) -> DataFrame:
-    """ap50, ap75 and the mean over 0.50, 0.55, ..., 0.95; pairs are joined once, and the threshold is a key of one job."""
-    ths = F.broadcast(computed.sparkSession.createDataFrame([(i, 0.5 + 0.05 * i) for i in range(10)], "i int, least double"))  # 10 rows
-    pairs = m.iou_join(computed, truth, 0.5).join(ths, F.col("iou") >= F.col("least"))
-    match = m.confident(pairs, ["i", *FRAME]).select("i", *FRAME, F.col("c_id").alias("det_id"), F.lit(1).alias("tp"))
-    d = computed.select(*FRAME, "det_id", "conf").crossJoin(ths.select("i")).join(match, ["i", *FRAME, "det_id"], "left").fillna(0, ["tp"])
-    n = truth.agg(F.count("*").alias("n_truth")).crossJoin(ths.select("i"))  # ten rows
-    every = area_under(d, n, ["i"])
-    return every.agg(F.max(F.when(F.col("i") == 0, F.col("ap"))).alias("ap50"), F.max(F.when(F.col("i") == 5, F.col("ap"))).alias("ap75"), F.avg("ap").alias("ap50_95"))
+    """ap50, ap75 and the mean over 0.50, 0.55, ..., 0.95; a detection is one row for all thresholds, so they share its place in the order."""
+    ths = range(10)
+    band = F.floor(F.col("conf") * BANDS).cast("int").alias("band")
+    d = stored(threshold_hits(computed, truth, [0.5 + 0.05 * i for i in ths]).select(band, "conf", "det_id", "mask"), "hits")
+    bit = [F.shiftright("mask", i).bitwiseAND(1) for i in ths]
+    each = lambda f: F.array(*(f(i) for i in ths))
+    above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each band
+    bands = d.groupBy("band").agg(F.count("*").alias("n"), *(F.sum(bit[i]).alias(f"h{i}") for i in ths))
+    bands = F.broadcast(bands.select("band", *(F.coalesce(F.sum(k).over(above), F.lit(0)).alias(f"{k}_0") for k in bands.columns[1:])))
+    w = Window.partitionBy("band").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    r = d.withColumns({"n": F.count("*").over(w), **{f"h{i}": F.sum(bit[i]).over(w) for i in ths}}).where("mask <> 0").join(bands, "band")
+    r = r.select("band", "conf", "det_id", *(F.when(bit[i] == 1, (F.col(f"h{i}") + F.col(f"h{i}_0")) / (F.col("n") + F.col("n_0"))).alias(f"p{i}") for i in ths))
+    below = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    rest = r.groupBy("band").agg(*(F.max(f"p{i}").alias(f"p{i}") for i in ths))
+    rest = F.broadcast(rest.select("band", *(F.max(f"p{i}").over(below).alias(f"r{i}") for i in ths)))
+    up = Window.partitionBy("band").orderBy("conf", F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    env = r.select("band", *(F.when(F.col(f"p{i}").isNotNull(), F.max(f"p{i}").over(up)).alias(f"e{i}") for i in ths)).join(rest, "band")
+    sums = env.agg(*(F.sum(F.when(F.col(f"e{i}").isNotNull(), F.greatest(f"e{i}", f"r{i}"))).alias(f"s{i}") for i in ths))
+    ap = sums.crossJoin(truth.agg(F.count("*").alias("n"))).select(each(lambda i: F.coalesce(f"s{i}", F.lit(0.0)) / F.col("n")).alias("ap"))
+    mean = F.aggregate("ap", F.lit(0.0), lambda s, x: s + x) / len(ths)
+    return ap.select(F.get("ap", F.lit(0)).alias("ap50"), F.get("ap", F.lit(5)).alias("ap75"), mean.alias("ap50_95"))
 
 
 def per_class(computed: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:

@@ -85,3 +85,17 @@ def test_a_frame_is_a_row_for_few_cells(spark):
     frames = footprints._prepared(f)
     index = footprints.covered_cells(frames, footprints.cell_size(frames))
     assert 40 <= index.count() <= 40 * 16 and index.where("full").count()
+
+
+def test_a_detection_is_one_row_for_all_thresholds(spark, sf):
+    keep = ["seq_id", "frame_id", "det_id", "x1", "y1", "x2", "y2", "conf"]
+    c, t = view(spark, sf, "computed").where("frame_id < 60").select(*keep), view(spark, sf, "truth").where("frame_id < 60").select(*keep)
+    least = [0.5 + 0.05 * i for i in range(10)]
+    rows = scoring.threshold_hits(c, t, least).collect()
+    assert sorted(r.det_id for r in rows) == sorted(r.det_id for r in c.select("det_id").collect())
+    for i in (0, 5, 9):
+        want = matching.match_by_confidence(c, t, least[i]).collect()
+        assert sorted(r.det_id for r in rows if r["mask"] >> i & 1) == sorted(r.c_id for r in want)
+    got = scoring.ap_over_thresholds(c, t).first()
+    each = [scoring.average_precision(c, t, x).first().ap for x in (least[0], least[5])]
+    assert abs(got.ap50 - each[0]) < 1e-12 and abs(got.ap75 - each[1]) < 1e-12
