@@ -201,14 +201,23 @@ def hash_index(codes: DataFrame, old: DataFrame | None = None) -> DataFrame:
     return codes.groupBy("code").agg(F.array_sort(F.collect_set("uid")).alias("uids"))
 
 
-def hamming_topn(codes: DataFrame, queries: DataFrame, n: int, bits: int = hashing.BITS) -> DataFrame:
-    """All uids of the n nearest distinct codes of each query (query_id, qcode), equal distances by code."""
+def hamming_topn(codes: DataFrame, queries: DataFrame, n: int, bits: int | None = None) -> DataFrame:
+    """All uids of the n nearest distinct codes of each query (query_id, qcode), equal distances by code.
+
+    bits: the width of the codes; None: up to the highest bit that any code has, as a part that is 0 in all codes tells nothing.
+    """
     codes = stored(codes.select("uid", "code"), "codes")
-    cut = hashing.parts(bits, codes.select("code").distinct().count())
+    count, used = codes.agg(F.count_distinct("code"), F.bit_or("code")).first()
+    cut = hashing.parts(bits or _width(used or 0), count)
     index = stored(hashing.sub_codes(codes, cut), "sub-codes")
     return hashing.nearest_codes(index, cut, queries, n).join(codes, "code").select("query_id", "uid", "code", "distance", "rank")
 
 
+def _width(code: int) -> int:
+    """The bits up to the highest one of a long; below zero that is its sign."""
+    return hashing.BITS if code < 0 else max(1, code.bit_length())
+
+
 def knn_lsh(vectors: DataFrame, codes: DataFrame, queries: DataFrame, query_codes: DataFrame, k: int, multiplier: int = 10) -> DataFrame:
     """Candidates by code (k x multiplier codes), ranked by exact distance."""
     cand = hamming_topn(codes, query_codes, k * multiplier).select("query_id", "uid")

@@ -10,3 +10,18 @@ def test_knn_in_blocks(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(search, "MOST_QUERIES", 8)
     assert len(whole) == 60 and rows() == whole
+
+
+def test_no_part_of_short_codes_is_empty(spark, monkeypatch):
+    """Codes of 16 bits are cut as such: a part that is 0 in all codes would meet every code at every look."""
+    from boxkit.operators import hashing, search
+
+    cuts, real = [], hashing.sub_codes
+    monkeypatch.setattr(search.hashing, "sub_codes", lambda codes, cut: cuts.append(cut) or real(codes, cut))
+    codes = spark.range(3000).selectExpr("CAST(id AS STRING) AS uid", "(id * 7919) % 65536 AS code")
+    queries = codes.where("CAST(uid AS LONG) % 500 = 0").selectExpr("uid AS query_id", "code AS qcode")
+    got = search.hamming_topn(codes, queries, 5).collect()
+    assert sum(w for _, w in cuts[0]) == 16
+    long = search.hamming_topn(codes, queries, 5, 64).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, long)) and len(got) == 30
+    assert [search._width(x) for x in (0, 1, 5, -1)] == [1, 1, 3, 64]
