@@ -260,16 +260,46 @@ SIMILARITIES = {"euclidean": lambda d: 1 / (1 + d), "cosine": lambda d: 1 - d, "
 
 
 def rank_by_similarity(vectors: DataFrame, positives: DataFrame, negatives: DataFrame | None = None, distance: str = "intersection") -> DataFrame:
-    """Mean similarity to the positives; exemplars are forced to 1 and 0."""
+    """Mean similarity to the positives; exemplars are forced to 1 and 0.
+
+    The sum of intersections is one of each component, told by its place among those of the positives: no pairs are made.
+    """
     d = DISTANCES[distance](F.col("vec"), F.col("qvec"))
 
-    def sums(some: DataFrame) -> DataFrame:
+    def pairs(some: DataFrame, vectors: DataFrame = vectors) -> DataFrame:
         return vectors.join(some).groupBy("uid").agg(F.sum(SIMILARITIES[distance](d)).alias("s"), F.count("*").alias("n"))
 
+    def sums(some: DataFrame) -> DataFrame:
+        whole = lambda c: F.coalesce(F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+        size, most, ok = some.agg(F.min(F.size("qvec")), F.max(F.size("qvec")), F.bool_and(whole("qvec"))).first()
+        if distance != "intersection" or not ok or not 0 < size == most:
+            return pairs(some)
+        plain = whole("vec") & (F.size("vec") == size)  # others, which are few, meet the positives one by one
+        plain = F.coalesce(plain, F.lit(False))
+        return _intersection_sums(vectors.where(plain), some).unionByName(pairs(some, vectors.where(~plain)))
+
     s = _in_blocks(positives.selectExpr("uid AS pos", "vec AS qvec"), sums, "pos").groupBy("uid").agg((F.sum("s") / F.sum("n")).alias("score"))
     return forced(s, positives, negatives)
 
 
+def _intersection_sums(vectors: DataFrame, positives: DataFrame) -> DataFrame:
+    """uid, s and n: the sum of intersections with the positives (qvec; at most MOST_QUERIES), and their number; all of one length, without nulls and NaN."""
+    rows = positives.select("qvec").toArrow().column("qvec").combine_chunks()
+    n, matrix = len(rows), lambda c: c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(c), -1)
+    ordered = np.sort(matrix(rows), axis=0)
+    below = np.vstack([np.zeros((1, ordered.shape[1])), np.cumsum(ordered, axis=0)])
+
+    def run(batches):
+        for b in batches:
+            s = np.zeros(b.num_rows)
+            for j, x in enumerate(matrix(b.column("vec")).T if b.num_rows else ()):
+                at = np.searchsorted(ordered[:, j], x, side="right")
+                s += below[at, j] + np.where(at < n, x, 0) * (n - at)
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(s), pa.array(np.full(b.num_rows, n))], names=["uid", "s", "n"])
+
+    return vectors.select("uid", "vec").mapInArrow(run, f"uid {vectors.schema['uid'].dataType.simpleString()}, s double, n long")
+
+
 def forced(scores: DataFrame, positives: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
     """Scores with those of the exemplars set to 1 and 0."""
     s = scores.join(positives.select("uid", F.lit(1.0).alias("p")), "uid", "left")

@@ -1,5 +1,7 @@
 """More queries than one broadcast takes give the rows that they give at once."""
 
+from pyspark.sql import functions as F
+
 from boxkit.operators import search
 
 
@@ -25,3 +27,17 @@ def test_no_part_of_short_codes_is_empty(spark, monkeypatch):
     long = search.hamming_topn(codes, queries, 5, 64).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, long)) and len(got) == 30
     assert [search._width(x) for x in (0, 1, 5, -1)] == [1, 1, 3, 64]
+
+
+def test_similarity_to_many_positives_makes_no_pairs(spark):
+    """Sums of intersections by component are those of all pairs; null vectors and ones of other lengths count as before."""
+    v = spark.range(60).selectExpr("CAST(id AS STRING) AS uid", "transform(sequence(0, 7), j -> ((id * 31 + j * 17) % 23) / 23D) AS vec")
+    odd = v.unionByName(spark.sql("SELECT 'null' AS uid, CAST(NULL AS ARRAY<DOUBLE>) AS vec UNION ALL SELECT 'short', array(0.5D, CAST(NULL AS DOUBLE))"))
+    d = search.DISTANCES["intersection"](F.col("vec"), F.col("qvec"))
+    for chosen in (["0", "10", "20", "30"], ["0", "10", "short", "null"]):
+        p = odd.where(F.col("uid").isin(chosen))
+        want = {r.uid: 1.0 if r.uid in chosen else r.s for r in odd.join(p.selectExpr("vec AS qvec")).groupBy("uid").agg((F.sum(1 - d) / F.count("*")).alias("s")).collect()}
+        got = {r.uid: r.score for r in search.rank_by_similarity(odd, p).collect()}
+        assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in got)
+    s = search._intersection_sums(v, v.where("uid < '2'").selectExpr("vec AS qvec"))
+    assert "Join" not in s._jdf.queryExecution().optimizedPlan().toString()
