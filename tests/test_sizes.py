@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from boxkit.operators import footprints, matching, scoring
+from boxkit.operators import footprints, matching, scoring, survey
 from boxkit.plans import QUERIES
 from boxkit.plans.views import view
 from boxkit.sources import boxes as B
@@ -99,3 +99,27 @@ def test_a_detection_is_one_row_for_all_thresholds(spark, sf):
     got = scoring.ap_over_thresholds(c, t).first()
     each = [scoring.average_precision(c, t, x).first().ap for x in (least[0], least[5])]
     assert abs(got.ap50 - each[0]) < 1e-12 and abs(got.ap75 - each[1]) < 1e-12
+
+
+def test_equal_footprints_are_cut_into_cells_once(spark):
+    """Images of one quad share its cells; kinds, shares and revisits are those that the cells of every image give."""
+    r = random.Random(3)
+    rows = [(o % 2, o, r.choice("AB"), 1 + o % 2, f"d{o // 40}", o // 3, 30.0 * r.randrange(4), 50.0 * r.randrange(3)) for o in range(120)]
+    images = spark.createDataFrame(rows, "site long, ord long, camera string, pass_no int, day string, step long, e double, n double")
+    corner = lambda dx, dy: F.struct((F.col("e") + dx).alias("x"), (F.col("n") + dy).alias("y"))
+    images = images.withColumn("quad", F.array(corner(-100.0, 75.0), corner(100.0, 75.0), corner(100.0, -75.0), corner(-100.0, -75.0)))
+    covered = survey.cells(images, 50.0).select("site", "ord", "cell_x", "cell_y")
+    sources = survey.footprint_sources(images, 50.0).collect()
+    assert len(sources) == images.select("site", "quad").distinct().count() < 30
+    want = survey.prior_sources(covered, images, 5).collect()
+    kinds = survey.footprint_kinds(images, 50.0, 5)
+    assert sorted(tuple(x) for x in kinds.select("site", "ord", F.inline("sources")).collect()) == sorted(tuple(x) for x in want)
+    assert {x.kind for x in want} == {"sequential", "cross_camera", "revisit"}
+    plain = {(x.site, x.ord): (round(x.prior, 9), x.cells) for x in survey.prior_fraction(covered).collect()}
+    assert {(x.site, x.ord): (round(x.prior, 9), x.cells) for x in survey.footprint_fraction(images, 50.0).collect()} == plain
+    back = {}
+    for x in want:
+        if x.kind == "revisit":
+            back.setdefault((x.site, x.ord), []).append((-x.shared, x.src))
+    got = {(x.site, x.ord): (x.src, round(x.overlap, 9)) for x in survey.revisits(kinds).collect()}
+    assert got == {k: (min(v)[1], round(-sum(s for s, _ in v) / plain[k][1], 9)) for k, v in back.items()}
