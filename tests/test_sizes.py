@@ -123,3 +123,17 @@ def test_equal_footprints_are_cut_into_cells_once(spark):
             back.setdefault((x.site, x.ord), []).append((-x.shared, x.src))
     got = {(x.site, x.ord): (x.src, round(x.overlap, 9)) for x in survey.revisits(kinds).collect()}
     assert got == {k: (min(v)[1], round(-sum(s for s, _ in v) / plain[k][1], 9)) for k, v in back.items()}
+
+
+def test_pairs_of_a_single_common_point_are_no_rows(spark):
+    r = random.Random(5)
+    points = {(r.randrange(25), r.randrange(60)) for _ in range(260)} | {(100, 1000), (101, 1000), (102, 1001)}
+    df = survey.overlap_pairs(spark.createDataFrame(sorted(points), "image_id long, point_id long"), 3)
+    assert "Join Inner" not in plan(df)
+    of = {i: {p for j, p in points if j == i} for i, _ in points}
+    want = []
+    for i in of:
+        best = sorted((-len(of[i] & of[j]), j) for j in of if j != i and of[i] & of[j])[:3]
+        want += [(i, j, -s, k + 1) for k, (s, j) in enumerate(best)]
+    assert sorted(tuple(x) for x in df.select("image_id", "partner", "shared", "rank").collect()) == sorted(want)
+    assert any(s == 1 for _, _, s, _ in want) and any(s > 2 for _, _, s, _ in want)
