@@ -46,11 +46,14 @@ def iou_join_grid(computed: DataFrame, truth: DataFrame, least: float, cell: flo
     return pairs.where(first).drop("cx", "cy").withColumn("iou", box.iou("c_", "t_")).where((F.col("iou") >= least) & (F.col("iou") > 0))
 
 
-def one_to_one(pairs: DataFrame, rank: Column, keys: list[str]) -> DataFrame:
-    """Pairs taken in ascending (rank, -iou, ids) as long as neither side is taken; keys, c_id, t_id, iou."""
-    cand = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(rank.cast("double").alias("k"), (-F.col("iou")).alias("niou"), F.col("c_det_id").alias("c_id"), F.col("t_det_id").alias("t_id")))).alias("cand"))
-    fold = f"""inline(aggregate(cand, {TAKEN}, (acc, x) -> CASE WHEN exists(acc, m -> m.c_id = x.c_id OR m.t_id = x.t_id)
-             THEN acc ELSE concat(acc, array(struct(x.k AS k, x.c_id AS c_id, x.t_id AS t_id, -x.niou AS iou))) END))"""
+def one_to_one(pairs: DataFrame, rank: Column, keys: list[str], *extra: str) -> DataFrame:
+    """Pairs taken in ascending (rank, -iou, ids) as long as neither side is taken; keys, c_id, t_id, iou and extra columns of the pairs."""
+    kept = [F.col(x) for x in extra]
+    cand = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(rank.cast("double").alias("k"), (-F.col("iou")).alias("niou"), F.col("c_det_id").alias("c_id"), F.col("t_det_id").alias("t_id"), *kept))).alias("cand"))
+    types = "".join(f", {x}: {pairs.schema[x].dataType.simpleString()}" for x in extra)
+    own = "".join(f", x.{x} AS {x}" for x in extra)
+    fold = f"""inline(aggregate(cand, {TAKEN.replace("iou: DOUBLE", f"iou: DOUBLE{types}")}, (acc, x) -> CASE WHEN exists(acc, m -> m.c_id = x.c_id OR m.t_id = x.t_id)
+             THEN acc ELSE concat(acc, array(struct(x.k AS k, x.c_id AS c_id, x.t_id AS t_id, -x.niou AS iou{own}))) END))"""
     return cand.selectExpr(*keys, fold).drop("k")
 
 
@@ -72,10 +75,10 @@ def one_to_one_by_rounds(pairs: DataFrame, keys: list[str]) -> DataFrame:
             return reduce(DataFrame.unionByName, taken)
 
 
-def match_greedy(computed: DataFrame, truth: DataFrame, least: float = 0.5, keys: list[str] | None = None) -> DataFrame:
-    """One-to-one matches by falling overlap."""
+def match_greedy(computed: DataFrame, truth: DataFrame, least: float = 0.5, keys: list[str] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One-to-one matches by falling overlap, with extra columns of both (c_ and t_), which then need no join."""
     keys = keys or FRAME
-    return one_to_one(iou_join(computed, truth, least, keys), -F.col("iou"), keys)
+    return one_to_one(iou_join(computed, truth, least, keys), -F.col("iou"), keys, *extra)
 
 
 def match_by_confidence(computed: DataFrame, truth: DataFrame, least: float = 0.5, keys: list[str] | None = None) -> DataFrame:

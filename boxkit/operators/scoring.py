@@ -17,6 +17,7 @@ from ..shared import stored
 from . import matching as m
 
 FRAME = ["seq_id", "frame_id"]
+TRACKS = ("c_track_id", "t_track_id")
 BANDS = 1024
 
 
@@ -53,6 +54,11 @@ def matched_boxes(computed: DataFrame, truth: DataFrame, least: float = 0.5) ->
     return a.join(box.prefixed(truth, "t_", FRAME).withColumnRenamed("t_det_id", "t_id"), [*FRAME, "t_id"])
 
 
+def matched_tracks(computed: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
+    """The same matches with both boxes' tracks only, written once for those that use them several times."""
+    return stored(m.match_greedy(computed, truth, least, extra=TRACKS), "matches")
+
+
 def localization(matches: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and true median overlap, mean centre distance, mean relative area error."""
     err = F.when(box.area("t_") > 0, F.abs(box.area("c_") - box.area("t_")) / box.area("t_"))
@@ -122,11 +128,11 @@ def hota(computed: DataFrame, truth: DataFrame) -> DataFrame:
     """
     spark = computed.sparkSession
     alphas = F.broadcast(spark.range(19).selectExpr("id AS a", "0.05D + 0.05D * id AS alpha"))  # 19 rows
-    track = lambda df, p: df.select(*FRAME, F.col("det_id").alias(f"{p}_id"), F.col("track_id").alias(f"{p}_track_id"))
-    hit = m.match_greedy(computed, truth, 0.05).join(track(computed, "c"), [*FRAME, "c_id"]).join(track(truth, "t"), [*FRAME, "t_id"])
-    per = hit.join(alphas, F.col("iou") >= F.col("alpha")).groupBy("a", "seq_id", "c_track_id", "t_track_id").agg(F.count("*").alias("tpa"), F.sum("iou").alias("iou"))
+    # the overlaps of two tracks stay one row until their sizes are known; thresholds come last
+    per = m.match_greedy(computed, truth, 0.05, extra=TRACKS).groupBy("seq_id", "c_track_id", "t_track_id").agg(F.collect_list("iou").alias("ious"))
     size = lambda df, p: df.groupBy("seq_id", F.col("track_id").alias(f"{p}_track_id")).agg(F.count("*").alias(f"{p}_n"))
     per = per.join(size(computed, "c"), ["seq_id", "c_track_id"]).join(size(truth, "t"), ["seq_id", "t_track_id"])
+    per = per.join(alphas).withColumn("ious", F.filter("ious", lambda x: x >= F.col("alpha"))).withColumn("tpa", F.size("ious").cast("long")).where("tpa > 0").withColumn("iou", F.aggregate("ious", F.lit(0.0), lambda n, x: n + x))
     per = per.withColumn("ass", F.col("tpa") * F.col("tpa") / (F.col("c_n") + F.col("t_n") - F.col("tpa")))
     s = per.groupBy("a", "seq_id").agg(F.sum("tpa").alias("tp"), F.sum("ass").alias("ass"), F.sum("iou").alias("iou"))
     n = counts(computed, truth, truth.limit(0), ["seq_id"]).select("seq_id", "n_computed", "n_truth")

@@ -155,3 +155,18 @@ def test_files_of_a_version_are_several(spark, sf):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len({f.rsplit("/", 2)[1] for f in files}) == 3 and len(files) > 3
+
+
+def test_matches_bring_their_tracks(spark, sf):
+    keep = ["seq_id", "frame_id", "det_id", "track_id", "x1", "y1", "x2", "y2", "conf", "cls"]
+    c, t = view(spark, sf, "computed").where("frame_id < 60").select(*keep), view(spark, sf, "truth").where("frame_id < 60").select(*keep)
+    cols = ["seq_id", "frame_id", "c_id", "t_id", "c_track_id", "t_track_id"]
+    got = scoring.matched_tracks(c, t)
+    assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(tuple(r) for r in scoring.matched_boxes(c, t).select(cols).collect())
+    assert "Join" not in plan(got)  # written once
+
+
+def test_thresholds_of_hota_meet_pairs_of_tracks(spark, sf):
+    keep = ["seq_id", "frame_id", "det_id", "track_id", "x1", "y1", "x2", "y2"]
+    p = plan(scoring.hota(view(spark, sf, "computed").select(*keep), view(spark, sf, "truth").select(*keep)))
+    assert "collect_list(iou" in p
