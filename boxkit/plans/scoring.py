@@ -61,7 +61,8 @@ def score_hota(spark, sf):
 
 @query("score_kwant")
 def score_kwant(spark, sf):
-    c, t, mm = _matched(spark, sf)
+    c, t = _both(spark, sf)
+    mm = op.matched_tracks(c, t)
     one = lambda df, side: op.kwant(df, mm, side).groupBy("seq_id").agg(F.avg("continuity").alias("continuity"), F.avg("purity").alias("purity"), F.avg((F.col("hits") > 0).cast("double")).alias("hit_share")).withColumn("side", F.lit(side))
     return one(c, "c").unionByName(one(t, "t"))
 
