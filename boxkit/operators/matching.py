@@ -219,22 +219,30 @@ def assign_sparse(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return sorted((r, c) for r, c in column.items() if not isinstance(c, tuple))
 
 
+def solve_frames(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The matches of some frames of a sequence, frame by frame along the sorted pairs."""
+    rows = []
+    pdf = pdf.sort_values(["frame_id", "c_det_id", "t_det_id"])
+    frame, c, t, o = (pdf[k].tolist() for k in ("frame_id", "c_det_id", "t_det_id", "iou"))
+    seq, start = pdf.seq_id.iloc[0], 0
+    for end in range(1, len(frame) + 1):
+        if end < len(frame) and frame[end] == frame[start]:
+            continue
+        over = {(c[i], t[i]): o[i] for i in range(start, end)}
+        chosen = assign_sparse([(*k, 1 - v) for k, v in over.items()])
+        rows += [(seq, frame[start], *k, over[k]) for k in chosen if over[k] >= least]
+        start = end
+    return pd.DataFrame(rows, columns=["seq_id", "frame_id", "c_id", "t_id", "iou"])
+
+
 def match_optimal(computed: DataFrame, truth: DataFrame, least: float = 0.5, frames: int = 32) -> DataFrame:
     """One-to-one matches of the least sum of 1 - overlap, from the list of overlapping pairs of a frame, no matrix.
 
     So many frames of a sequence go to Python together; each is solved for itself.
     """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (seq, frame), d in pdf.sort_values(["c_det_id", "t_det_id"]).groupby(FRAME):
-            over = {(c, t): o for c, t, o in zip(d.c_det_id.tolist(), d.t_det_id.tolist(), d.iou.tolist(), strict=True)}
-            chosen = assign_sparse([(c, t, 1 - o) for (c, t), o in over.items()])
-            rows += [(seq, frame, c, t, over[c, t]) for c, t in chosen if over[c, t] >= least]
-        return pd.DataFrame(rows, columns=["seq_id", "frame_id", "c_id", "t_id", "iou"])
-
     pairs = iou_join(computed, truth, 0.0).select(*FRAME, "c_det_id", "t_det_id", "iou")
-    return pairs.groupBy("seq_id", F.floor(F.col("frame_id") / frames).alias("block")).applyInPandas(solve, "seq_id long, frame_id long, c_id long, t_id long, iou double")
+    return pairs.groupBy("seq_id", F.floor(F.col("frame_id") / frames).alias("block")).applyInPandas(lambda pdf: solve_frames(pdf, least), "seq_id long, frame_id long, c_id long, t_id long, iou double")
 
 
 def unmatched(boxes: DataFrame, matches: DataFrame, side: str) -> DataFrame:

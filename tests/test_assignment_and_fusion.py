@@ -121,3 +121,13 @@ def test_fused_boxes_classes_and_weights(spark):
     assert got[1].scores == {"a": pytest.approx(0.5)} and got[1].x1 == 0
     single = fusion.fuse_tracks(df, 0.3, min_trackers=1).collect()
     assert {(r.frame_id, r.trackers) for r in single} == {(0, 2), (1, 2), (9, 1)}
+
+
+def test_frames_are_solved_along_sorted_pairs(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.delattr(pd.DataFrame, "groupby")  # a group for each frame cost more than its matching
+    rows = [(0, 2, 5, 6, 0.9), (0, 1, 1, 3, 0.6), (0, 1, 1, 4, 0.8), (0, 1, 2, 4, 0.7), (0, 2, 5, 7, 0.4), (0, 3, 8, 9, 0.2)]
+    pdf = pd.DataFrame(rows, columns=["seq_id", "frame_id", "c_det_id", "t_det_id", "iou"])
+    got = matching.solve_frames(pdf, 0.5)
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(0, 1, 1, 3, 0.6), (0, 1, 2, 4, 0.7), (0, 2, 5, 6, 0.9)]
