@@ -1,5 +1,7 @@
 """Fusion of many frames at once against the folds over one frame, and what a sweep gathers."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,3 +47,15 @@ def test_a_sweep_gathers_the_boxes_once(spark, sf, monkeypatch):
     b, t = _m(spark, sf).where("frame_id < 10"), view(spark, sf, "truth").where("frame_id < 10").select(*KEEP)
     fusion.sweep(b, t, MODELS, ious=(0.5,), sigmas=(), draws=1, rounds=0)
     assert not calls
+
+
+def test_a_sweep_keeps_no_tables_and_no_shuffled_rows(spark, sf):
+    from boxkit import shared
+
+    held = lambda: {p.name for p in Path(shared.shared_dir(spark)).iterdir()}
+    Path(shared.shared_dir(spark)).mkdir(exist_ok=True)
+    before, was = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    b, t = _m(spark, sf).where("frame_id < 10"), view(spark, sf, "truth").where("frame_id < 10").select(*KEEP)
+    fusion.sweep(b, t, MODELS, ious=(0.5, 0.6), sigmas=(), draws=1, rounds=0)
+    assert held() == before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
