@@ -246,11 +246,12 @@ def thin_frames(frames: DataFrame, factor: float) -> DataFrame:
     return d.where((F.col("i") == 0) | (F.floor(F.col("i") / factor) != F.floor((F.col("i") - 1) / factor))).select(*frames.columns)
 
 
-def link_greedy(df: DataFrame, least: float = 0.2, homographies: DataFrame | None = None, reference: str | None = None) -> DataFrame:
-    """Track ids from overlaps with the frame before only: frame pairs match in parallel, links become components.
+def link_greedy(df: DataFrame, least: float = 0.2, homographies: DataFrame | None = None, reference: str | None = None, block: int = 1024) -> DataFrame:
+    """Track ids from overlaps with the frame before only: frame pairs match in parallel, links become chains.
 
     homographies: seq_id, frame_id and h, nine values that take the frame before into this one; its boxes are moved by
-    them (frames without one keep theirs). reference: a column; where it changes between two frames tracks end.
+    them (frames without one keep theirs). reference: a column; where it changes between two frames tracks end. block:
+    frames of a sequence whose links are followed together.
     """
     prev = df.withColumn("frame_id", F.col("frame_id") + 1)
     if homographies is not None:
@@ -261,12 +262,47 @@ def link_greedy(df: DataFrame, least: float = 0.2, homographies: DataFrame | Non
         xs, ys = ([at(x, y, r) / at(x, y, 2) for x, y in corners] for r in (0, 1))
         moved = {"x1": F.least(*xs), "y1": F.least(*ys), "x2": F.greatest(*xs), "y2": F.greatest(*ys)}
         prev = prev.withColumns({k: F.when(F.col("h").isNull(), F.col(k)).otherwise(v) for k, v in moved.items()}).drop("h")
-    keys = FRAME if reference is None else [*FRAME, reference]
-    links = m.match_greedy(df, prev, least, keys)
-    roots = components(links.selectExpr("c_id AS a", "t_id AS b"))
+    pairs = m.iou_join(df, prev, least)
+    if reference is not None:
+        # boxes of two references have no pair, so they don't compete; an equality would become a key of the join, and all would be dealt out anew
+        pairs = pairs.where((F.col(f"c_{reference}") <= F.col(f"t_{reference}")) & (F.col(f"c_{reference}") >= F.col(f"t_{reference}")))
+    roots = _chains(m.one_to_one(pairs, -F.col("iou"), FRAME), block)
     return df.join(roots, df["det_id"] == roots["node"], "left").withColumn("linked_track", F.coalesce("root", "det_id")).drop("node", "root")
 
 
+def _chains(links: DataFrame, block: int) -> DataFrame:
+    """node and root, the smallest id of its chain, of links (seq_id, frame_id, c_id, t_id) of boxes to boxes of the frame before.
+
+    Chains are followed within blocks of frames. A box of the last frame of a block that has a link to the next block is told
+    by both; of chains with such boxes only one link for each of them goes into the search for components.
+    """
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_id")
+        place = pdf.frame_id.to_numpy() % block
+        head, low, open_ = {}, {}, {}
+        for c, t, p in zip(pdf.c_id.tolist(), pdf.t_id.tolist(), place.tolist(), strict=True):
+            h = head.setdefault(t, t)
+            head[c] = h
+            low[h] = min(low.get(h, t), c)
+            if p == 0:
+                open_[t] = open_.get(t, 0) | 1
+            if p == block - 1:
+                open_[c] = open_.get(c, 0) | 2
+        ends = {head[x] for x in open_}
+        rows = [(x, low[h], open_.get(x, 0), h in ends) for x, h in head.items()]
+        return pd.DataFrame(rows, columns=["node", "root", "side", "open"])
+
+    of = F.expr(f"frame_id - pmod(frame_id, {block})")
+    d = links.select("seq_id", of.alias("block"), "frame_id", F.col("c_id").cast("long"), F.col("t_id").cast("long"))
+    d = stored(d.groupBy("seq_id", "block").applyInPandas(follow, "node long, root long, side int, open boolean"), "chains")
+    before, after = d.where("side >= 2").selectExpr("node", "root AS a"), d.where("side % 2 = 1").selectExpr("node", "root AS b")
+    met = components(before.join(after, "node").select("a", "b")).selectExpr("node AS root", "root AS smallest")
+    known = d.where("open AND side % 2 = 0").unionByName(d.where("side % 2 = 1").join(before.select("node"), "node", "left_anti"))
+    known = known.join(met, "root", "left").select("node", F.coalesce("smallest", "root").alias("root"))
+    return d.where("NOT open").select("node", "root").unionByName(known)
+
+
 def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     inter = np.prod(np.clip(hi - lo, 0, None), axis=2)

@@ -8,6 +8,7 @@ from ..functions import vec as V
 from ..operators import matching as m
 from ..operators import tracks as op
 from ..registry import query
+from ..shared import stored
 from .views import view, with_views
 
 
@@ -195,7 +196,8 @@ def link_ocsort(spark, sf):
 def link_iou_homography(spark, sf):
     """Greedy links of boxes that move with the camera, ended where the reference frame changes."""
     d = lambda x: F.lit(float(x))
-    c = _c(spark, sf).withColumn("ref", F.expr("frame_id DIV 100"))
+    # written once: it is matched with itself and its frames, and linked
+    c = stored(_c(spark, sf).select("seq_id", "frame_id", "det_id", "x1", "y1", "x2", "y2", F.expr("frame_id DIV 100").alias("ref")), "boxes")
     h = c.select("seq_id", "frame_id").distinct().where("frame_id % 7 <> 0")
     h = h.withColumn("h", F.array(d(1), d(0), (F.col("frame_id") % 3).cast("double"), d(0), d(1), (F.col("frame_id") % 2).cast("double"), d(0), d(0), d(1)))
     return op.link_greedy(c, 0.2, h, "ref").select("seq_id", "frame_id", "det_id", "linked_track")

@@ -225,3 +225,16 @@ def test_a_sequence_is_not_one_group_of_python(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and {r[3] for r in got} == {1, 2, 3}
+
+
+def test_links_are_followed_over_blocks_of_frames(spark, monkeypatch):
+    """A chain of 23 frames in blocks of one to eight, one that ends on a block's last frame, and one that starts there; only open ends are searched."""
+    rows = [(0, f, 100 - f, 0.0, 0.0, 10.0, 10.0) for f in range(23)] + [(0, f, 200 + f, 50.0, 0.0, 60.0, 10.0) for f in range(2, 8)] + [(0, f, 300 + f, 90.0, 0.0, 99.0, 10.0) for f in (7, 8, 9)] + [(1, 0, 400, 0.0, 0.0, 10.0, 10.0)]
+    d = spark.createDataFrame(rows, "seq_id long, frame_id long, det_id long, x1 double, y1 double, x2 double, y2 double")
+    want = {r[2]: 78 if r[2] <= 100 else 202 if r[2] < 300 else 307 if r[2] < 400 else 400 for r in rows}
+    sizes, real = [], tracks.components
+    monkeypatch.setattr(tracks, "components", lambda e: sizes.append(e.count()) or real(e))
+    for block in (1, 4, 8, 1024):
+        got = tracks.link_greedy(d, block=block).select("det_id", "linked_track").collect()
+        assert len(got) == len(rows) and {r.det_id: r.linked_track for r in got} == want
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == 0
