@@ -411,12 +411,22 @@ def overlapping_pairs(df: DataFrame) -> DataFrame:
 
 
 def chain_cameras(cameras: list[DataFrame], least: float = 0.5) -> DataFrame:
-    """object_id, det_id and camera of boxes that are matched from each camera to the next one, frame by frame, chained to one object."""
-    n, edges = len(cameras), None
+    """object_id, det_id and camera of boxes that are matched from each camera to the next one, frame by frame, chained to one object.
+
+    A chain never leaves its frame, so the matches of a frame are gathered and followed there, from camera to camera.
+    """
+    n, links = len(cameras), None
     for i, (a, b) in enumerate(zip(cameras, cameras[1:], strict=False)):
-        e = match_greedy(a, b, least).selectExpr(f"c_id * {n + 1} + {i} AS a", f"t_id * {n + 1} + {i + 1} AS b")
-        edges = e if edges is None else edges.unionByName(e)
-    return components(edges).selectExpr("root AS object_id", f"node DIV {n + 1} AS det_id", f"node % {n + 1} AS camera")
+        e = match_greedy(a, b, least).select(*FRAME, F.lit(i).alias("i"), F.col("c_id").cast("long"), F.col("t_id").cast("long"))
+        links = e if links is None else links.unionByName(e)
+    d = links.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("i", "c_id", "t_id"))).alias("links"))
+    node = lambda id_, camera: f"{id_} * {n + 1} + {camera}"
+    goes_on, put = "p.at = x.i AND p.last = x.c_id", f"struct(x.i + 1 AS at, x.t_id AS last, concat(p.nodes, array({node('x.t_id', '(x.i + 1)')})) AS nodes)"
+    new = f"struct(x.i + 1 AS at, x.t_id AS last, array({node('x.c_id', 'x.i')}, {node('x.t_id', '(x.i + 1)')}) AS nodes)"
+    none = "CAST(array() AS ARRAY<STRUCT<at: INT, last: BIGINT, nodes: ARRAY<BIGINT>>>)"
+    fold = f"aggregate(links, {none}, (acc, x) -> IF(exists(acc, p -> {goes_on}), transform(acc, p -> IF({goes_on}, {put}, p)), concat(acc, array({new}))))"
+    d = d.selectExpr(f"explode({fold}) AS p").selectExpr("array_min(p.nodes) AS object_id", "explode(p.nodes) AS node")
+    return d.selectExpr("object_id", f"node DIV {n + 1} AS det_id", f"node % {n + 1} AS camera")
 
 
 def region_groups(regions: DataFrame, more_than: int) -> DataFrame:

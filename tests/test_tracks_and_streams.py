@@ -238,3 +238,15 @@ def test_links_are_followed_over_blocks_of_frames(spark, monkeypatch):
         got = tracks.link_greedy(d, block=block).select("det_id", "linked_track").collect()
         assert len(got) == len(rows) and {r.det_id: r.linked_track for r in got} == want
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == 0
+
+
+def test_cameras_chain_within_a_frame_without_a_search(spark, monkeypatch):
+    from boxkit.operators import matching
+
+    monkeypatch.setattr(matching, "components", lambda e: 1 / 0)
+    box = lambda frame, id_, x: (0, frame, id_, float(x), 0.0, x + 10.0, 10.0)
+    made = lambda *rows: spark.createDataFrame(rows, "seq_id long, frame_id long, det_id long, x1 double, y1 double, x2 double, y2 double")
+    cams = [made(box(0, 9, 0), box(0, 8, 50), box(1, 7, 0)), made(box(0, 3, 1), box(0, 4, 100), box(1, 5, 0)), made(box(0, 6, 2), box(0, 2, 101), box(1, 1, 90)), made(box(0, 12, 2), box(0, 11, 101), box(1, 10, 90))]
+    got = {(r.object_id, r.det_id, r.camera) for r in matching.chain_cameras(cams).collect()}
+    a, b, c, d = 3 * 5 + 1, 2 * 5 + 2, 5 * 5 + 1, 1 * 5 + 2
+    assert got == {(a, 9, 0), (a, 3, 1), (a, 6, 2), (a, 12, 3), (b, 4, 1), (b, 2, 2), (b, 11, 3), (c, 7, 0), (c, 5, 1), (d, 1, 2), (d, 10, 3)}
