@@ -131,3 +131,19 @@ def test_frames_are_solved_along_sorted_pairs(monkeypatch):
     pdf = pd.DataFrame(rows, columns=["seq_id", "frame_id", "c_det_id", "t_det_id", "iou"])
     got = matching.solve_frames(pdf, 0.5)
     assert [tuple(r) for r in got.itertuples(index=False)] == [(0, 1, 1, 3, 0.6), (0, 1, 2, 4, 0.7), (0, 2, 5, 6, 0.9)]
+
+
+def test_fused_tracks_keep_no_clusters_and_dont_depend_on_order(spark):
+    from pathlib import Path
+
+    from boxkit.shared import shared_dir
+
+    held = lambda: {p.name for p in Path(shared_dir(spark)).glob("*") if p.name.startswith(("clusters-", "joined-"))}
+    rows = [(0, f"m{k}", t, f, 100.0 * t + k / 3, 0.1 * k, 100.0 * t + 10 + k / 7, 10.0 + k / 11, 0.3 + 0.1 * k + f / 77, "AB"[k % 2]) for k in range(4) for t in range(3) for f in range(5)]
+    schema = "seq_id long, model string, track_id long, frame_id long, x1 double, y1 double, x2 double, y2 double, conf double, cls string"
+    before, got = held(), []
+    for data, n in ((rows, 1), (rows[::-1], 7)):
+        out = fusion.fuse_tracks(spark.createDataFrame(data, schema).repartition(n), 0.3, weights={"m1": 1.7})
+        got.append(sorted((r.fused, r.frame_id, r.x1, r.y1, r.x2, r.y2, r.conf, tuple(sorted(r.scores.items())), r.trackers) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) == 15 and {r[-1] for r in got[0]} == {4}
+    assert held() == before
