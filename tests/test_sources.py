@@ -140,3 +140,19 @@ def test_curves_let_the_confident_choose(spark):
     curve = lambda pairs: {r.conf: (r.tp, r.fp) for r in scoring.pr_curve(c, t, pairs, ["seq_id"]).collect()}
     assert curve(m.match_by_confidence(c, t)) == {0.9: (1, 0), 0.4: (1, 1)}
     assert curve(m.match_greedy(c, t)) == {0.9: (0, 1), 0.4: (1, 1)}
+
+
+def test_auto_reads_compressed_files(spark, sf, tmp_path):
+    """Files of the four formats, gzipped: as many boxes as in the plain ones."""
+    from boxkit.plans import sources as P
+    from boxkit.plans.views import view
+    from boxkit.sources import boxes, documents
+
+    c, t = view(spark, sf, "computed").count(), view(spark, sf, "truth").count()
+    boxes.write_boxes(P._c(spark, sf), f"{tmp_path}/a", compression="gzip")
+    documents.coco_files(P._c(spark, sf)).select(F.from_json("value", documents.COCO).alias("j")).select("j.*").write.option("maxRecordsPerFile", 1).option("compression", "gzip").json(f"{tmp_path}/b")
+    P._dive(spark, sf, f"{tmp_path}/c", "gzip")
+    P._cvat(spark, sf, f"{tmp_path}/d", "gzip")
+    assert not [p for p in tmp_path.rglob("part-*") if p.suffix != ".gz"]
+    got = {r.format: r["count"] for r in documents.read_auto(spark, str(tmp_path)).groupBy("format").count().collect()}
+    assert got == {"csv": c, "coco": c, "dive": t, "cvat": t}
