@@ -93,3 +93,22 @@ def test_outlines_and_frames_without_an_inverse(spark):
     b = spark.createDataFrame([(0, 1, 0, 1, 2.0, 40.0, 60.0, 60.0, [(0.5, 50.0), (50.0, 50.0)]), (0, 1, 0, 2, 2.0, 40.0, 60.0, 60.0, []), (0, 1, 0, 3, 40.0, 40.0, 60.0, 60.0, None), (0, 0, 2, 4, 0.0, 0.0, 9.0, 9.0, None)], BOXES + ", outline array<struct<x: double, y: double>>")
     assert {r.det_id: r.cut_off for r in fp.boundary_cutoff(b, f, 1.0).collect()} == {1: True, 2: False, 3: False, 4: False}
     assert fp.suppress(b.limit(0), f).collect() == [] and fp.suppress(b, f.limit(0)).count() == 4
+
+
+def test_cells_of_many_frames_are_judged_in_pieces(spark, monkeypatch):
+    """A frame of 20 x 10 cells, one that is turned and one without an inverse, judged three cells at a time and all at once."""
+    rows = [(0, 0, 0, 0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], 200.0, 100.0, "a"), (0, 1, 0, 0, [0.6, -0.8, 30.0, 0.8, 0.6, 7.0, 0.0005, 0.0, 1.0], 90.0, 60.0, "b"), (0, 2, 0, 0, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], 9.0, 9.0, "c")]
+    f = fp._prepared(spark.createDataFrame(rows, "seq_id long, frame_id long, camera long, reference long, h array<double>, width double, height double, name string"))
+    whole = sorted(fp.covered_cells(f, 10.0).select("o_name", "gx", "gy", "full").collect())
+    monkeypatch.setattr(fp, "CELLS", 3)
+    assert whole == sorted(fp.covered_cells(f, 10.0).select("o_name", "gx", "gy", "full").collect())
+    # a cell that begins where the frame ends touches nothing of it; the last cells reach a corner that lies outside by nothing
+    a = {(r.gx, r.gy): r.full for r in whole if r.o_name == "a"}
+    assert set(a) == {(x, y) for x in range(20) for y in range(10)} and all(v == (x < 19 and y < 9) for (x, y), v in a.items())
+    assert 0 < sum(r.full for r in whole if r.o_name == "b") < sum(r.o_name == "b" for r in whole) and not any(r.o_name == "c" for r in whole)
+
+
+def test_frames_of_one_time_need_no_cells(spark, world, monkeypatch):
+    monkeypatch.setattr(fp, "covered_cells", lambda *a: 1 / 0)
+    b, f = tables(spark, world)
+    assert fp.suppress(b, f, "neighbours").count() >= 0
