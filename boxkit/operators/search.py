@@ -21,14 +21,16 @@ from . import hashing, quantiles
 #: "farthest": what is least alike by histogram intersection comes first.
 DISTANCES = {"euclidean": V.euclidean, "cosine": V.cosine_distance, "intersection": V.intersection_distance, "farthest": lambda a, b: -V.intersection_distance(a, b)}
 MOST_QUERIES = 10_000
+#: Of a search: distances that a task holds as one matrix, rows that the queries of a block keep, and rows that are sent at a time.
+CELLS, KEPT, SENT = 1 << 21, 1_000_000, 10_000
 
 
-def _in_blocks(queries: DataFrame, f, key: str = "query_id") -> DataFrame:
-    """f of a broadcast query table; more than MOST_QUERIES queries go in blocks by hashed key of about half as many, each broadcast for itself."""
-    n = queries.count()
-    if n <= MOST_QUERIES:
+def _in_blocks(queries: DataFrame, f, key: str = "query_id", most: int | None = None) -> DataFrame:
+    """f of a broadcast query table; more than most (MOST_QUERIES) queries go in blocks by hashed key of about half as many, each broadcast for itself."""
+    n, most = queries.count(), most or MOST_QUERIES
+    if n <= most:
         return f(F.broadcast(queries))
-    blocks = -(-2 * n // MOST_QUERIES)
+    blocks = -(-2 * n // most)
     block = F.pmod(F.xxhash64(key), F.lit(blocks))
     return reduce(DataFrame.unionByName, [f(F.broadcast(queries.where(block == i))) for i in range(blocks)])
 
@@ -54,22 +56,29 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, distance: str = "euclide
                     mine, q = groups.get(size, (np.empty(0, int), None))
                     if not len(mine):
                         continue
-                    d = _block_distances(q, x, distance)
-                    if d.shape[1] > k:
-                        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-                        best[mine] = np.fmin(best[mine], kth + 1e-9 * (1 + np.abs(kth)))
-                    of, at = np.nonzero(d <= best[mine][:, None])
-                    held.append((mine[of], d[of, at], b.take(pa.array(rows[at])).select(["uid", "vec"])))
+                    parts, step = [], max(1, CELLS // len(x))
+                    for i in range(0, len(mine), step):
+                        some_of, d = mine[i : i + step], _block_distances(q[i : i + step], x, distance)
+                        if d.shape[1] > k:
+                            kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+                            best[some_of] = np.fmin(best[some_of], kth + 1e-9 * (1 + np.abs(kth)))
+                        of, at = np.nonzero(d <= best[some_of][:, None])
+                        parts.append((some_of[of], d[of, at], at))
+                    of, d, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    used, at = np.unique(at, return_inverse=True)  # a row is held once for all queries that keep it
+                    held.append((of, d, at, b.take(pa.array(rows[used])).select(["uid", "vec"])))
                 if sum(len(h[0]) for h in held) > 4 * k * len(ids) + 100_000:
                     held = [_merged(held, k, best)]
             if held:
-                of, _, rows = _merged(held, k, best)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), rows.column("uid"), rows.column("vec")], names=["query_id", "uid", "vec"])
+                of, _, at, rows = _merged(held, k, best)
+                for i in range(0, len(of), SENT):
+                    one = rows.take(pa.array(at[i : i + SENT]))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[i : i + SENT])), one.column("uid"), one.column("vec")], names=["query_id", "uid", "vec"])
 
         found = vectors.mapInArrow(run, out).join(some, "query_id")
         return ranked(found.select("query_id", "uid", exact.alias("distance")), "query_id", k)
 
-    return _in_blocks(queries.select("query_id", "qvec"), nearest) if k > 0 else queries.limit(0).selectExpr("query_id", "'' AS uid", "0D AS distance", "0 AS rank")
+    return _in_blocks(queries.select("query_id", "qvec"), nearest, most=max(1, min(MOST_QUERIES, KEPT // k))) if k > 0 else queries.limit(0).selectExpr("query_id", "'' AS uid", "0D AS distance", "0 AS rank")
 
 
 def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -94,9 +103,11 @@ def _block_distances(q: np.ndarray, x: np.ndarray, distance: str) -> np.ndarray:
 
 
 def _merged(held: list, k: int, best: np.ndarray):
-    """Of kept rows those that can still be among the k best of their query."""
+    """Of kept rows (query, distance, place in the table beside it) those that can still be among the k best of their query."""
     of, d = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-    rows = pa.Table.from_batches([h[2] for h in held]).combine_chunks()
+    starts = np.cumsum([0, *(h[3].num_rows for h in held[:-1])])
+    at = np.concatenate([h[2] + s for h, s in zip(held, starts, strict=True)])
+    rows = pa.Table.from_batches([h[3] for h in held])
     order = np.lexsort((d, of))
     first = np.searchsorted(of[order], np.arange(len(best)))
     end = np.searchsorted(of[order], np.arange(len(best)), "right")
@@ -104,8 +115,9 @@ def _merged(held: list, k: int, best: np.ndarray):
     kth = d[order][np.minimum(first[full] + k - 1, len(d) - 1)]
     best[full] = np.minimum(best[full], kth + 1e-9 * (1 + np.abs(kth)))
     keep = np.flatnonzero(d <= best[of])
-    rows = rows.take(pa.array(keep))
-    return of[keep], d[keep], rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
+    used, at = np.unique(at[keep], return_inverse=True)
+    rows = rows.take(pa.array(used)).combine_chunks()
+    return of[keep], d[keep], at, rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
 
 
 def ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:

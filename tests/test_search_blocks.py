@@ -41,3 +41,20 @@ def test_similarity_to_many_positives_makes_no_pairs(spark):
         assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in got)
     s = search._intersection_sums(v, v.where("uid < '2'").selectExpr("vec AS qvec"))
     assert "Join" not in s._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_that_many_queries_keep_are_held_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"uid": ["a", "b"], "vec": [[1.0], [2.0]]})
+    part = (np.array([0, 0, 1, 1]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]), rows)
+    of, d, at, kept = search._merged([part, (np.array([0]), np.array([0.05]), np.array([1]), rows)], 2, np.full(2, np.inf))
+    got = sorted((int(q), float(x), kept.column("uid")[int(i)].as_py()) for q, x, i in zip(of, d, at))
+    assert got == [(0, 0.05, "b"), (0, 0.1, "a"), (1, 0.3, "a"), (1, 0.4, "b")] and kept.num_rows == 3
+    # long lists are asked for in smaller blocks, with the same answer
+    v = spark.range(60).selectExpr("CAST(id AS STRING) AS uid", "transform(sequence(1, 4), i -> pmod(xxhash64(id, i), 100) / 100D) AS vec")
+    q = v.selectExpr("uid AS query_id", "vec AS qvec").where("query_id % 3 = 0")
+    one = sorted(search.knn(v, q, 5, "farthest").collect())
+    monkeypatch.setattr(search, "KEPT", 40)
+    assert sorted(search.knn(v, q, 5, "farthest").collect()) == one and len(one) == 100
